@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from strata.llm import bpe, pack
+from strata.llm import bpe, pack, pii, secrets
 
 QUERIES = {
+    "op1_pii": pii.query,
     "op6_best_fit_packing": pack.query,
+    "op8_secrets": secrets.query,
     "op10_bpe": bpe.query,
 }
 ORACLES: dict[str, str] = {}
