@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from strata.llm import bpe, pack, pii, secrets
+from strata.llm import bpe, pack, pii, quality, secrets, shard
 
 QUERIES = {
     "op1_pii": pii.query,
     "op6_best_fit_packing": pack.query,
+    "op7_quality_rules": quality.query,
     "op8_secrets": secrets.query,
+    "op9_sharding": shard.query,
     "op10_bpe": bpe.query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_quality_rules": quality.SQL}
