@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from strata.llm import bpe, neardup, pack, pii, quality, secrets, shard
+from strata.llm import ann, bpe, chat, neardup, pack, pii, quality, secrets, shard
 
 QUERIES = {
     "op1_pii": pii.query,
+    "op2_nearest_vectors": ann.query,
     "op3_near_duplicates": neardup.query,
+    "op4_chat_format": chat.query,
     "op6_best_fit_packing": pack.query,
     "op7_quality_rules": quality.query,
     "op8_secrets": secrets.query,
     "op9_sharding": shard.query,
     "op10_bpe": bpe.query,
 }
-ORACLES: dict[str, str] = {"op3_near_duplicates": neardup.SQL, "op7_quality_rules": quality.SQL}
+ORACLES: dict[str, str] = {
+    "op2_nearest_vectors": ann.SQL,
+    "op3_near_duplicates": neardup.SQL,
+    "op4_chat_format": chat.SQL,
+    "op7_quality_rules": quality.SQL,
+}
