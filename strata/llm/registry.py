@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from strata.llm import ann, bpe, chat, neardup, pack, pii, quality, secrets, shard
+from strata.llm import ann, bpe, chat, langid, neardup, pack, pii, quality, secrets, shard
 
 QUERIES = {
     "op1_pii": pii.query,
     "op2_nearest_vectors": ann.query,
     "op3_near_duplicates": neardup.query,
     "op4_chat_format": chat.query,
+    "op5_language_id": langid.query,
+    "op5_language_id_pages": langid.page_query,
     "op6_best_fit_packing": pack.query,
     "op7_quality_rules": quality.query,
     "op8_secrets": secrets.query,
