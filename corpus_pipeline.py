@@ -1 +1,65 @@
-STAGES = []
+"""From raw documents to packed training sequences, in five stages.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
+and read again as the next one's docs; all but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strata.llm import langid, neardup, pack, pii, quality
+from strata.session import written
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs but for the rows whose doc_id is in ids."""
+    return docs.join(ids.select(F.col("doc_id").alias("_gone")), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected documents go, and from the others the lines that many documents of their host have."""
+    return quality.filtered(docs)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of no known language go; lang becomes the language found."""
+    found = written(langid.identified(langid.of_documents(docs), langid.fitted(docs)), "languages")
+    kept = without(docs, found.where(~F.col("kept")))
+    renamed = found.where(F.col("kept") & ~F.col("lang").eqNullSafe(F.col("declared"))).groupBy(F.col("doc_id").alias("_id")).agg(F.min("lang").alias("_lang"))
+    both = kept.join(renamed, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    return both.withColumn("lang", F.coalesce("_lang", "lang")).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: the one with the smallest id. Rows that repeat it go too."""
+    found = written(neardup.near_duplicates(docs), "groups")
+    repeated = found.where("kept").groupBy("doc_id").count().where("count > 1")
+    once = without(docs, found.where(~F.col("kept")).unionByName(found.join(repeated, "doc_id", "left_semi")))
+    again = docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return once.unionByName(again)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each span of personal data becomes [KIND]; n_chars follows."""
+    clean = docs.withColumn("_clean", pii.redacted("text"))
+    n = F.coalesce(F.length("_clean").cast(docs.schema["n_chars"].dataType), "n_chars")
+    return clean.withColumns({"text": F.col("_clean"), "n_chars": n}).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's pieces and their places in sequences of at most 2048 ids."""
+    return pack.packed_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("quality rules", quality_rules), ("language ID", language_id), ("MinHash near-dedup", near_dedup), ("PII", personal_data), ("best-fit packing", packing)]
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = written(stage(spark, docs, sf_dir), f"stage{k}")
+    return docs

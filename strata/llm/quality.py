@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strata.session import written
+
 SPACES = r"[\x20\x09-\x0D]+"
 MOST_DOCS, MOST_SHARE, LEAST_WORDS, LEAST_LEFT = 20, 0.2, 10, 0.2
 
@@ -77,27 +79,37 @@ def removals(docs: DataFrame, most_docs: int = MOST_DOCS, most_share: float = MO
     return lost.groupBy("_host", "_text").agg(F.sum("words").alias("_lost"), F.collect_set("line").alias("_gone"))
 
 
-def judged(docs: DataFrame, least_words: int = LEAST_WORDS, least_left: float = LEAST_LEFT, **limits) -> DataFrame:
-    """docs with figures(), n_lost_words (words in lines removed, each different line once) and kept."""
-    found = figures(docs).withColumns({"_host": host(), "_text": F.xxhash64(F.coalesce("text", F.lit("")))})
-    both = found.join(removals(docs, **limits).drop("_gone"), ["_host", "_text"], "left")
+def keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumns({"_host": host(), "_text": F.xxhash64(F.coalesce("text", F.lit("")))})
+
+
+def verdict(found: DataFrame, least_words: int, least_left: float) -> DataFrame:
+    """figures() joined to removals(), with n_lost_words (each different line once) and kept."""
     left = F.col("n_words") - F.col("n_lost_words")
     kept = ~F.col("base_failed") & (left >= least_words) & (left >= least_left * F.col("n_words"))
-    return both.withColumn("n_lost_words", F.coalesce("_lost", F.lit(0)).cast("long")).withColumn("kept", kept).drop("_host", "_text", "_lost")
+    return found.withColumn("n_lost_words", F.coalesce("_lost", F.lit(0)).cast("long")).withColumn("kept", kept)
+
+
+def judged(docs: DataFrame, least_words: int = LEAST_WORDS, least_left: float = LEAST_LEFT, **limits) -> DataFrame:
+    """docs with figures(), n_lost_words and kept."""
+    both = keyed(figures(docs)).join(removals(docs, **limits).drop("_gone"), ["_host", "_text"], "left")
+    return verdict(both, least_words, least_left).drop("_host", "_text", "_lost")
 
 
-def filtered(docs: DataFrame, **limits) -> DataFrame:
+def filtered(docs: DataFrame, least_words: int = LEAST_WORDS, least_left: float = LEAST_LEFT, **limits) -> DataFrame:
     """The documents that are kept, without the lines that are removed; the columns of docs.
 
     n_chars, where there is one, follows the text.
     """
-    keyed = judged(docs, **limits).where("kept").withColumns({"_host": host(), "_text": F.xxhash64(F.coalesce("text", F.lit("")))})
-    gone = removals(docs).drop("_lost") if not limits else removals(docs, **{k: v for k, v in limits.items() if k.startswith("most_")}).drop("_lost")
-    both = keyed.join(gone, ["_host", "_text"], "left")
-    stays = F.array_join(F.filter(F.split("text", "\n", -1), lambda x: ~F.coalesce(F.array_contains("_gone", F.xxhash64(normal(x))), F.lit(False))), "\n")
+    lost = written(removals(docs, **limits), "lost")
+    found = verdict(keyed(figures(docs.select("text", "source"))).join(lost.drop("_gone"), ["_host", "_text"], "left"), least_words, least_left)
+    told = written(found.select("_host", "_text", "kept"), "verdicts")  # so that the filter is not taken apart into the figures
+    rejected = told.where(~F.col("kept")).select("_host", "_text").distinct()
+    both = keyed(docs).join(rejected, ["_host", "_text"], "left_anti").join(lost.drop("_lost"), ["_host", "_text"], "left")
+    stays = F.array_join(F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains("_gone", F.xxhash64(normal(x)))), "\n")
     out = both.withColumn("text", F.when(F.col("_gone").isNotNull(), stays).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_gone").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col("_gone").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from strata.llm import ann, bpe, chat, langid, neardup, pack, pii, quality, secrets, shard
 
 QUERIES = {
@@ -16,10 +17,11 @@ QUERIES = {
     "op8_secrets": secrets.query,
     "op9_sharding": shard.query,
     "op10_bpe": bpe.query,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
     "op2_nearest_vectors": ann.SQL,
     "op3_near_duplicates": neardup.SQL,
     "op4_chat_format": chat.SQL,
     "op7_quality_rules": quality.SQL,
-}
+} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
