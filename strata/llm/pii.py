@@ -144,6 +144,6 @@ def joined(spans: Column) -> Column:
 def query(spark, sf_dir: str) -> DataFrame:
     """op1: one row per row of documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", pii_spans("text").alias("found"))
-    counts = [F.size(F.filter("found", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
+    counts = [F.size(F.filter("found", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
     base = F.filter("found", lambda s: s["kind"].isin(*BASE))
     return docs.select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
