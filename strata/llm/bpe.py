@@ -13,6 +13,7 @@ Nulls and empty texts encode to no ids. A decoded id outside the vocabulary is s
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 import unicodedata
@@ -23,9 +24,10 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NONE = np.int64(1) << 40
-#: Chunks (and words) remembered by a Python worker, and characters of text whose chunks are looked up at once.
-REMEMBER, AT_ONCE = 500_000, 4_000_000
+#: The rank of a pair that does not merge; above all ranks, and with a place in a word still a 32-bit integer.
+NONE = np.int32(1 << 23)
+#: Chunks and words remembered by a Python worker, and characters of text whose chunks are looked up at once.
+CHUNKS, WORDS, AT_ONCE = 400_000, 300_000, 2_000_000
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 SPACE = regex.compile(r"\p{White_Space}+")
 
@@ -49,18 +51,17 @@ class WordBPE:
         self.special_ids = {k: np.uint32(v).tobytes() for k, v in special.items()}
         self.word = regex.compile(next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split"))
         letters = byte_letters()
-        self.inner = np.array([vocab.get(c, -1) for c in letters], np.int64)
-        self.last = np.array([vocab.get(c + self.end, -1) for c in letters], np.int64)
+        self.inner = np.array([vocab.get(c, -1) for c in letters], np.int32)
+        self.last = np.array([vocab.get(c + self.end, -1) for c in letters], np.int32)
         pairs = np.array([(vocab[a] << 32 | vocab[b], vocab[a + b]) for a, b in spec["model"]["merges"]], np.int64)
         order = np.argsort(pairs[:, 0], kind="stable")
-        self.keys, self.made, self.rank = pairs[order, 0], pairs[order, 1], order.astype(np.int64)
-        self.pieces = {i: t.encode() for t, i in (vocab | special).items()}
+        self.keys, self.made, self.rank = pairs[order, 0], pairs[order, 1].astype(np.int32), order.astype(np.int32)
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
     def pair(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank of each pair (NONE: not mergeable) and its index in the merge table."""
-        key = left << 32 | right
+        key = left.astype(np.int64) << 32 | right
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.rank[at], NONE), at
 
@@ -71,8 +72,8 @@ class WordBPE:
         sizes = np.array([len(r) for r in raw])
         for least, width in ((0, 4), (4, 8), (8, 16), (16, 32), (32, 64)):
             some = np.flatnonzero((sizes > least) & (sizes <= width))
-            for i in range(0, len(some), 20_000):
-                part = some[i : i + 20_000]
+            for i in range(0, len(some), 4096):
+                part = some[i : i + 4096]
                 for k, ids in zip(part.tolist(), self.lockstep([raw[k] for k in part], width)):
                     out[k] = ids
         for k in np.flatnonzero(sizes > 64):
@@ -82,45 +83,54 @@ class WordBPE:
     def lockstep(self, raw: list[bytes], width: int) -> list[bytes]:
         n, size = len(raw), np.array([len(r) for r in raw])
         data = np.frombuffer(b"".join(r.ljust(width, b"\0") for r in raw), np.uint8).reshape(n, width)
-        at = np.arange(width)
+        at = np.arange(width, dtype=np.int32)
         ids = np.where(at == size[:, None] - 1, self.last[data], self.inner[data])
         ids[at >= size[:, None]] = -1
-        nxt, prv = np.tile(at + 1, (n, 1)), np.tile(at - 1, (n, 1))
-        nxt[nxt >= size[:, None]] = width  # no right neighbour
         bits = width.bit_length()
-        tree = np.full((n, 2 * width), NONE << bits)
+        tree = np.full((n, 2 * width), NONE << bits, np.int32)
         rank, _ = self.pair(ids[:, :-1], ids[:, 1:])
         tree[:, width : 2 * width - 1] = rank << bits | at[:-1]
         for k in range(width - 1, 0, -1):
-            tree[:, k] = np.minimum(tree[:, 2 * k], tree[:, 2 * k + 1])
-        ids = np.concatenate([ids, np.full((n, 1), -1)], 1)  # column width: no symbol
-
-        def put(rows: np.ndarray, leaf: np.ndarray, rank: np.ndarray) -> None:
-            node = leaf + width
-            tree[rows, node] = rank << bits | leaf
-            while node[0] > 1:
+            np.minimum(tree[:, 2 * k], tree[:, 2 * k + 1], out=tree[:, k])
+        tree = tree.ravel()
+        # A word has width + 2 places, of which the first and the last hold no symbol: nothing merges with them.
+        wide = width + 2
+        ids = np.pad(ids, ((0, 0), (1, 1)), constant_values=-1).ravel()
+        place = np.arange(n * wide, dtype=np.int32)
+        nxt, prv = place + 1, place - 1
+        nxt[(np.arange(n) * wide + size)] = np.arange(n) * wide + width + 1
+
+        def put(root: np.ndarray, leaf: np.ndarray, rank: np.ndarray) -> None:
+            """Set the leaves of some words' trees and the nodes above them."""
+            tree[root + width + leaf] = rank << bits | leaf
+            node = width + leaf
+            for _ in range(bits - 1):
                 node = node >> 1
-                tree[rows, node] = np.minimum(tree[rows, 2 * node], tree[rows, 2 * node + 1])
-
-        live = np.flatnonzero(tree[:, 1] >> bits < NONE)
-        while len(live):
-            here = tree[live, 1] & (1 << bits) - 1
-            gone = nxt[live, here]
-            _, which = self.pair(ids[live, here], ids[live, gone])
-            ids[live, here] = self.made[which]
-            ids[live, gone] = -1
-            after = nxt[live, gone]
-            nxt[live, here] = after
-            inside = after < width
-            prv[live[inside], after[inside]] = here[inside]
-            put(live, gone, np.full(len(live), NONE))
-            put(live, here, self.pair(ids[live, here], ids[live, after])[0])
-            before = prv[live, here]
-            left = before >= 0
-            if left.any():
-                put(live[left], before[left], self.pair(ids[live[left], before[left]], ids[live[left], here[left]])[0])
-            live = live[tree[live, 1] >> bits < NONE]
-        return [row[row >= 0].astype("<u4").tobytes() for row in ids]
+                low = root + 2 * node
+                tree[root + node] = np.minimum(tree[low], tree[low + 1])
+
+        live = np.arange(n, dtype=np.int32)
+        while True:
+            top = tree[live * (2 * width) + 1]
+            going = top >> bits < NONE
+            if not going.any():
+                break
+            live, top = live[going], top[going]
+            leaf = top & (1 << bits) - 1
+            first, root = live * wide, live * (2 * width)
+            here = first + leaf + 1
+            gone = nxt[here]
+            made = self.made[self.pair(ids[here], ids[gone])[1]]
+            after, before = nxt[gone], prv[here]
+            ids[here], ids[gone] = made, -1
+            nxt[here], prv[after] = after, here
+            put(root, gone - first - 1, np.full(len(live), NONE, np.int32))
+            put(root, leaf, self.pair(made, ids[after])[0])
+            left = before > first
+            put(root[left], (before - first - 1)[left], self.pair(ids[before[left]], made[left])[0])
+        ids = ids.reshape(n, wide)
+        flat, ends = ids[ids >= 0].astype("<u4").tobytes(), (4 * np.cumsum((ids >= 0).sum(1))).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
 
     def alone(self, raw: bytes) -> bytes:
         """One long word."""
@@ -129,7 +139,7 @@ class WordBPE:
         ids[-1] = int(self.last[raw[-1]])
         width = 1 << (n - 1).bit_length()
         bits, none = width.bit_length(), int(NONE)
-        first = np.full(width, NONE)
+        first = np.full(width, none, np.int64)
         first[: n - 1] = self.pair(np.array(ids[:-1]), np.array(ids[1:]))[0]
         levels = [first << bits | np.arange(width)]
         while len(levels[-1]) > 1:
@@ -182,13 +192,13 @@ class WordBPE:
     def learn(self, chunks: set[str]) -> None:
         """Encode the chunks that are not remembered yet."""
         new = chunks.difference(self.chunks)
-        if len(self.chunks) + len(new) > REMEMBER:
+        if len(self.chunks) + len(new) > CHUNKS:
             self.chunks.clear()
             new = chunks
         split = [self.words_of(c) for c in new]
         words = {w for ws in split for w in ws}
         unknown = list(words.difference(self.words))
-        if len(self.words) + len(unknown) > REMEMBER:
+        if len(self.words) + len(unknown) > WORDS:
             self.words.clear()
             unknown = list(words)
         self.words.update(zip(unknown, self.merged(unknown)))
@@ -221,20 +231,32 @@ class WordBPE:
             start = end
         return out
 
+
+class Pieces:
+    """What each id stands for, to decode with."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        known = {i: t.encode() for t, i in spec["model"]["vocab"].items()} | {x["id"]: x["content"].encode() for x in spec["added_tokens"]}
+        self.pieces = [known.get(i) for i in range(max(known) + 1)]
+
     def decode(self, ids: bytes | None) -> str:
         """What the library's decode gives where a vocabulary names no decoder: its pieces with blanks between."""
         known = self.pieces
-        return b" ".join([known[i] for i in np.frombuffer(ids or b"", "<u4").tolist() if i in known]).decode()
-
-
-OPEN: dict[str, WordBPE] = {}
+        found = [known[i] for i in np.frombuffer(ids or b"", "<u4").tolist() if i < len(known)]
+        return b" ".join([x for x in found if x is not None] if None in found else found).decode()
 
 
+@functools.cache
 def vocabulary(path: str) -> WordBPE:
     """Of this Python process; read once."""
-    if path not in OPEN:
-        OPEN[path] = WordBPE(path)
-    return OPEN[path]
+    return WordBPE(path)
+
+
+@functools.cache
+def pieces_of(path: str) -> Pieces:
+    return Pieces(path)
 
 
 def slices(column: pa.Array, rows: int = 512):
@@ -243,13 +265,17 @@ def slices(column: pa.Array, rows: int = 512):
         yield column.slice(i, rows).to_pylist()
 
 
+def joined(arrays, kind: pa.DataType) -> pa.Array:
+    return pa.concat_arrays([pa.array([], kind), *arrays])
+
+
 def encoded(text: str | Column, path: str) -> Column:
     """Ids of a text column as binary: little-endian unsigned 32-bit integers."""
 
     @F.arrow_udf("binary")
     def encode(column: pa.Array) -> pa.Array:
         bpe = vocabulary(path)
-        return pa.array([x for part in slices(column) for x in bpe.encode(part)], pa.binary())
+        return joined((pa.array(bpe.encode(part), pa.binary()) for part in slices(column)), pa.binary())
 
     return encode.asNondeterministic()(text)  # so that Spark runs it once
 
@@ -257,8 +283,8 @@ def encoded(text: str | Column, path: str) -> Column:
 def decoded(ids: str | Column, path: str) -> Column:
     @F.arrow_udf("string")
     def decode(column: pa.Array) -> pa.Array:
-        bpe = vocabulary(path)
-        return pa.array([bpe.decode(x) for part in slices(column) for x in part], pa.string())
+        known = pieces_of(path)
+        return joined((pa.array([known.decode(x) for x in part], pa.string()) for part in slices(column)), pa.string())
 
     return decode.asNondeterministic()(ids)
 

@@ -75,40 +75,34 @@ def combinations(counts: dict[int, int], capacity: int) -> list[tuple[int, list[
     return out
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
+def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = True) -> DataFrame:
     """Each document's ids with end_id after them, cut every `capacity` ids.
 
-    doc_id, piece (from 0), start, length, ids (binary, little-endian unsigned 32 bit).
-    A null or empty text is the single id end_id. Other columns are left out.
+    doc_id, piece (from 0), start, length, ids_crc32 and, if asked for, ids; both are of
+    little-endian unsigned 32-bit integers. A null or empty text is the single id end_id.
+    Other columns are left out.
     """
     id_type = docs.schema["doc_id"].dataType
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, end, step = vocabulary(path), np.uint32(end_id).tobytes(), 4 * capacity
         for batch in batches:
-            names, texts = batch.column(0), batch.column(1)
             at = 0
-            for part in slices(texts):
-                rows, piece, start, parts = [], [], [], []
+            for part in slices(batch.column(1)):
+                rows, piece, parts = [], [], []
                 for k, ids in enumerate(bpe.encode(part)):
                     ids += end
                     for n, i in enumerate(range(0, len(ids), step)):
                         rows.append(at + k)
                         piece.append(n)
-                        start.append(i // 4)
                         parts.append(ids[i : i + step])
                 at += len(part)
-                yield pa.record_batch([names.take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array([len(p) // 4 for p in parts], pa.int64()), pa.array(parts, pa.binary())], ["doc_id", "piece", "start", "length", "ids"])
+                out = {"doc_id": batch.column(0).take(pa.array(rows, pa.int64())), "piece": pa.array(piece, pa.int32()), "start": pa.array([n * capacity for n in piece], pa.int64())}
+                out |= {"length": pa.array([len(p) // 4 for p in parts], pa.int64()), "ids_crc32": pa.array(map(zlib.crc32, parts), pa.int64())}
+                yield pa.RecordBatch.from_pydict(out | ({"ids": pa.array(parts, pa.binary())} if with_ids else {}))
 
-    return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {id_type.simpleString()}, piece int, start long, length long, ids binary")
-
-
-def crc32(column: str):
-    @F.arrow_udf("long")
-    def crc(ids: pa.Array) -> pa.Array:
-        return pa.array([zlib.crc32(x.as_py()) for x in ids], pa.int64())
-
-    return crc(column)
+    schema = f"doc_id {id_type.simpleString()}, piece int, start long, length long, ids_crc32 long"
+    return docs.select("doc_id", "text").mapInArrow(cut, schema + ", ids binary" * with_ids)
 
 
 def packed(table: DataFrame, capacity: int = 2048, order: tuple[str, ...] = ()) -> DataFrame:
@@ -119,7 +113,6 @@ def packed(table: DataFrame, capacity: int = 2048, order: tuple[str, ...] = ())
     sequence_id or offset are replaced. An empty table gives an empty one.
     """
     table = table.drop("sequence_id", "offset")
-    spark = table.sparkSession
     salted = table.withColumn("_part", F.pmod(F.xxhash64(*(order or table.columns)), F.lit(PARTS)))
     sizes = salted.groupBy("length", "_part").count().collect()  # at most capacity * PARTS rows
     counts: dict[int, int] = {}
@@ -157,7 +150,6 @@ def packed(table: DataFrame, capacity: int = 2048, order: tuple[str, ...] = ())
 
     numbered = salted.withColumn("_number", F.row_number().over(Window.partitionBy("length", "_part").orderBy(*(order or ("length",)))))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema) + ", sequence_id long, offset long"
-    del spark
     return numbered.mapInPandas(place_rows, schema)
 
 
@@ -169,6 +161,6 @@ def query(spark, sf_dir: str) -> DataFrame:
     return packed_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-def packed_documents(docs: DataFrame, path: str) -> DataFrame:
-    cut = pieces(docs, path).withColumn("ids_crc32", crc32("ids")).drop("ids")
-    return packed(written(cut, "pieces"), order=("doc_id", "piece"))
+def packed_documents(docs: DataFrame, path: str, capacity: int = 2048) -> DataFrame:
+    """The places of all pieces; pieces() gives their ids again when sequences are written out."""
+    return packed(written(pieces(docs, path, capacity, with_ids=False), "pieces"), capacity, ("doc_id", "piece"))
