@@ -7,7 +7,6 @@ import math
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from strata.functions.distributions import normal_quantile
 from strata.functions.values import day, label, number, rounded
@@ -132,8 +131,3 @@ def drawn(df: DataFrame, plan: dict, profile: dict) -> DataFrame:
     if mark == "histogram":
         return histogram(s, plan.get("bins"))
     return {"ecdf": ecdf, "box": box, "violin": violin, "qq": qq}[mark](s)
-
-
-def windowed_share(counts: DataFrame) -> DataFrame:
-    """n as a share of its group's total."""
-    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("grp")))

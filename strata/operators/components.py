@@ -92,10 +92,11 @@ def gram(rows: DataFrame, p: int) -> tuple[int, np.ndarray, np.ndarray]:
 
 
 def eigen(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Eigenvalues, largest first, and vectors whose largest weight is positive."""
+    """Eigenvalues, largest first, and vectors whose largest weight is positive (the first, if several are as large)."""
     values, vectors = np.linalg.eigh(matrix)
     values, vectors = values[::-1], vectors[:, ::-1]
-    top = np.argmax(np.abs(vectors), axis=0)
+    size = np.abs(vectors)
+    top = np.argmax(size >= size.max(0) - 1e-9, axis=0)
     return np.maximum(values, 0), vectors * np.where(vectors[top, np.arange(len(top))] < 0, -1, 1)
 
 

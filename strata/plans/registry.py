@@ -398,9 +398,9 @@ def _(part):
 
 
 @query("chart_qq_line", "lineitem", sql="""
-SELECT l_returnflag AS grp, round((quantile_cont(l_extendedprice, 0.75) - quantile_cont(l_extendedprice, 0.25)) / (2 * 0.6744897501960817), 4) AS slope, round(quantile_cont(l_extendedprice, 0.25) + (quantile_cont(l_extendedprice, 0.75) - quantile_cont(l_extendedprice, 0.25)) / 2, 4) AS intercept, round(quantile_cont(l_extendedprice, 0.5), 4) AS middle FROM lineitem GROUP BY 1""")
+SELECT l_returnflag AS grp, round((quantile_cont(l_extendedprice, 0.75) - quantile_cont(l_extendedprice, 0.25)) / (2 * 0.6744897501960817), 3) AS slope, round(quantile_cont(l_extendedprice, 0.25) + (quantile_cont(l_extendedprice, 0.75) - quantile_cont(l_extendedprice, 0.25)) / 2, 3) AS intercept, round(quantile_cont(l_extendedprice, 0.5), 3) AS middle FROM lineitem GROUP BY 1""")
 def _(lineitem):
-    return rounded(charts.qq_line(lines(lineitem)).select("grp", "slope", "intercept", F.col("deciles")[4].alias("middle")), 4, "slope", "intercept", "middle")
+    return rounded(charts.qq_line(lines(lineitem)).select("grp", "slope", "intercept", F.col("deciles")[4].alias("middle")), 3, "slope", "intercept", "middle")
 
 
 @query("chart_bar", "customer", sql="SELECT CASE WHEN n < 5 THEN '(rare values)' ELSE value END AS value, sum(n)::BIGINT AS n FROM (SELECT (c_nationkey)::VARCHAR AS value, count(*) AS n FROM customer GROUP BY 1) GROUP BY 1")
@@ -462,7 +462,7 @@ def _(lineitem):
     return lineitem.sparkSession.createDataFrame([(r["component"], r["eigenvalue"], r["share"], r["cumulative"]) for r in found], "component int, eigenvalue double, share double, cumulative double")
 
 
-@query("pca_two_variables", "lineitem", sql="SELECT 1 AS component, round(1 + corr(l_quantity, l_extendedprice), 9) AS eigenvalue FROM lineitem UNION ALL SELECT 2, round(1 - corr(l_quantity, l_extendedprice), 9) FROM lineitem")
+@query("pca_two_variables", "lineitem", sql="SELECT 1 AS component, round(1 + abs(corr(l_quantity, l_extendedprice)), 9) AS eigenvalue FROM lineitem UNION ALL SELECT 2, round(1 - abs(corr(l_quantity, l_extendedprice)), 9) FROM lineitem")
 def _(lineitem):
     found = components.explained(components.fit(lineitem, ["l_quantity", "l_extendedprice"]))
     return lineitem.sparkSession.createDataFrame([(r["component"], round(r["eigenvalue"], 9)) for r in found], "component int, eigenvalue double")
@@ -470,7 +470,7 @@ def _(lineitem):
 
 @query("pca_scores", "lineitem", sql="""
 WITH z AS (SELECT l_orderkey, l_linenumber, (l_quantity - avg(l_quantity) OVER ()) / stddev_pop(l_quantity) OVER () AS a, (l_extendedprice - avg(l_extendedprice) OVER ()) / stddev_pop(l_extendedprice) OVER () AS b FROM lineitem)
-SELECT l_orderkey, l_linenumber, round((a + b) / sqrt(2), 6) AS PC1 FROM z""")
+SELECT l_orderkey, l_linenumber, round((a + sign((SELECT corr(a, b) FROM z)) * b) / sqrt(2), 6) AS PC1 FROM z""")
 def _(lineitem):
     model = components.fit(lineitem, ["l_quantity", "l_extendedprice"], k=1)
     return rounded(model.transform(lineitem).select("l_orderkey", "l_linenumber", "PC1"), 6, "PC1")
