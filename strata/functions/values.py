@@ -98,23 +98,34 @@ def pattern(text: Column) -> Column:
     return out
 
 
-def cleaned(text: Column) -> Column:
-    """The number that a formatted text stands for; null where that is unclear."""
-    t = trimmed(text)
-    negative = t.rlike(r"^\((.+)\)$")
-    s = F.when(negative, trimmed(F.substring(t, F.lit(2), F.greatest(F.length(t) - 2, F.lit(0))))).otherwise(t)
-    s = trimmed(F.regexp_replace(s, CURRENCY, ""))
-    s = F.when(s.endswith("%"), trimmed(F.regexp_replace(s, "%$", ""))).otherwise(s)
+def let(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def bare_digits(s: Column) -> Column:
+    """A number's text with a point for decimals and nothing between groups of digits."""
     by = dict(PATTERNS)
-    digits = (
+    return (
         F.when(s.rlike(by["thousands separators (1,234)"]), F.regexp_replace(s, ",", ""))
         .when(s.rlike(by["European format (1.234,56)"]), F.regexp_replace(F.regexp_replace(s, r"\.", ""), ",", "."))
         .when(s.rlike(by["comma as decimal (3,14)"]), F.regexp_replace(s, ",", "."))
         .when(s.rlike(by["space-grouped digits (1 234)"]), F.regexp_replace(F.regexp_replace(s, GAPS, ""), ",", "."))
         .otherwise(s)
     )
-    n = parsed(digits)
-    return F.when(t != "", F.when(negative, -n).otherwise(n))
+
+
+def cleaned(text: Column) -> Column:
+    """The number that a formatted text stands for; null where that is unclear."""
+
+    def of(t: Column) -> Column:
+        negative = t.rlike(r"^\((.+)\)$")
+        inner = F.when(negative, F.substring(t, F.lit(2), F.greatest(F.length(t) - 2, F.lit(0)))).otherwise(t)
+        unit = let(trimmed(F.regexp_replace(trimmed(inner), CURRENCY, "")), lambda s: F.regexp_replace(s, r"\s*%$", ""))
+        n = let(let(unit, bare_digits), parsed)
+        return F.when(t != "", F.when(negative, -n).otherwise(n))
+
+    return let(trimmed(text), of)
 
 
 def truncated(text: Column, most: int = 200) -> Column:
