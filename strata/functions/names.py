@@ -6,10 +6,13 @@ import os
 import re
 
 
+# The forms of identifier names.
+IDENTIFIERS = (re.compile(r"^(?:id|uuid|guid)$", re.I), re.compile(r"[_\-\s]id$", re.I), re.compile(r"(?:[^A-Z]|^)ID$"))
+
+
 def is_identifier(name: str) -> bool:
     """id, uuid, guid, or a name that ends in one."""
-    n = name.strip()
-    return bool(re.fullmatch(r"id|uuid|guid", n, re.I) or re.search(r"[_\-\s]id$", n, re.I) or re.search(r"(?:[^A-Z]|^)ID$", n))
+    return any(form.search(name.strip()) for form in IDENTIFIERS)
 
 
 def is_component(name: str) -> bool:

@@ -16,7 +16,7 @@ EDGES = r"^[\s   -     　﻿]+|[\s   -     　﻿
 CURRENCY = "[$€£¥₹]"
 GAPS = r"[\s   ]"
 
-# The names of the formatted-number patterns, in the order in which they are tried.
+# Names and patterns of formatted numbers, in the order in which they are tried, and the forms of dates.
 PATTERNS = [
     ("currency symbol", rf"^{CURRENCY}\s*[-+]?[\d.,\s ]+$|^[-+]?[\d.,\s ]+\s*{CURRENCY}$"),
     ("percent sign", r"^[-+]?[\d.,]+\s*%$"),
