@@ -17,6 +17,7 @@ import functools
 import json
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -289,6 +290,24 @@ def decoded(ids: str | Column, path: str) -> Column:
     return decode.asNondeterministic()(ids)
 
 
+def round_trips(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, ids and decoded of docs (doc_id, text).
+
+    One Python worker does both, and hands back few rows at a time.
+    """
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe, known = vocabulary(path), pieces_of(path)
+        for batch in batches:
+            at = 0
+            for part in slices(batch.column(1), 256):
+                ids = bpe.encode(part)
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(at, len(part)), "ids": pa.array(ids, pa.binary()), "decoded": pa.array(map(known.decode, ids), pa.string())})
+                at += len(part)
+
+    return docs.select("doc_id", "text").mapInArrow(both, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary, decoded string")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op10: each document's ids and what they decode to, as digests.
 
@@ -296,8 +315,6 @@ def query(spark, sf_dir: str) -> DataFrame:
     """
     import public_tokenizers
 
-    path = public_tokenizers.path("word_bpe_49k.json")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    ids = docs.select("doc_id", encoded("text", path).alias("ids"))
-    both = ids.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), decoded("ids", path).alias("decoded"))
-    return both.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    both = round_trips(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return both.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
