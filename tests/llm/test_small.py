@@ -1,0 +1,168 @@
+"""The helpers of single texts against plain versions of their rules; no Spark."""
+
+import base64
+import gzip
+import random
+import re
+import urllib.parse
+
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from strata.llm import ann, bpe, chat, neardup, pack, pii, secrets
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
+
+
+@pytest.fixture(scope="module")
+def library():
+    return Tokenizer.from_file(PATH)
+
+
+ODD = ["", "  ", "a" * 3000, "é" * 300, "<|endoftext|>Hi <|startoftext|>x", "ΑΣ ΟΔΟΣ İstanbul", "a\x1cb \x85c", "don't we'll I'M 12³½ ٣", "日本語 한국어 😀👩‍👩‍👧", "\x00<|endoftext|"]
+
+
+def test_bpe_is_the_library(library):
+    rng = random.Random(3)
+    texts = ODD + ["".join(rng.choice("abcdeé'sß 1.!<|ΣЖ中́\n\x1f") for _ in range(rng.randint(1, 200))) for _ in range(300)]
+    own, known = bpe.vocabulary(PATH), bpe.pieces_of(PATH)
+    for text, ids in zip(texts, own.encode(texts)):
+        want = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(ids, "<u4").tolist() == want
+        assert known.decode(ids) == library.decode(want, skip_special_tokens=False)
+    assert own.encode([None]) == [b""] and known.decode(None) == ""
+
+
+def test_bpe_long_words_take_the_same_merges():
+    own = bpe.vocabulary(PATH)
+    rng = random.Random(8)
+    words = ["".join(rng.choice("thean") for _ in range(rng.randint(2, 60))) for _ in range(200)]
+    assert [own.alone(w.encode()) for w in words] == own.merged(words)
+
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def plain_pii(text):
+    out = [("email", *m.span()) for m in EMAIL.finditer(text)]
+    out += [("ip", *m.span()) for m in IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in CARD.finditer(text):
+        digits = re.sub("[ -]", "", m[0])
+        double = [int(c) * 2 if k % 2 else int(c) for k, c in enumerate(reversed(digits))]
+        if 16 <= len(digits) <= 19 and sum(v - 9 if v > 9 else v for v in double) % 10 == 0:
+            out.append(("card", *m.span()))
+    return out + [("phone", *m.span()) for m in PHONE.finditer(text) if 8 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+
+
+PARTS = st.lists(st.sampled_from(["a@b.co", "@", ".", "1.2.3.4", "300.1.1.1", "4111 1111 1111 1111", "4111-1111", "+1 (555) 010-9999", "+", " ", "-", "5", "0", "é", "x", "a@b"]), max_size=25).map("".join)
+
+
+@settings(max_examples=300, deadline=None)
+@given(PARTS)
+def test_pii_base_is_the_plain_rule(text):
+    assert [s[:3] for s in pii.spans_of(text) if s[0] in pii.BASE] == plain_pii(text)
+
+
+def test_pii_checks_and_context():
+    assert [s[0] for s in pii.spans_of("IBAN GB82 WEST 1234 5698 7654 32 and GB82 WEST 1234 5698 7654 33")] == ["iban"]
+    assert pii.spans_of("number 123-45-6789") == [] and [s[0] for s in pii.spans_of("SSN 123-45-6789")] == ["national_id"]
+    assert pii.spans_of(None) == [] and len(pii.spans_of("9" * 200_000 + "." + "a" * 200_000 + "@")) == 0
+
+
+ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def plain_secrets(text):
+    out = [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
+    out += [("access", *m.span()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    out += [("hex", *m.span()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 16]
+    return sorted(out, key=lambda s: (s[1], secrets.BASE.index(s[0])))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["password", "ſecret", "Token", "api_key", "APIKEY", "=", ":", " ", '"', "AKIA", "ABCDEFGHIJKLMNOP", "0123456789abcdef", "zz", "é", "%41", "\\u0041", "abcdefghijkl"]), max_size=20).map("".join))
+def test_secret_base_is_the_plain_rule(text):
+    assert [s for s in secrets.spans_of(text) if s[0] in secrets.BASE] == plain_secrets(text)
+
+
+def test_secret_layers():
+    secret = 'password = "hunter2hunter2"'
+    once = base64.b64encode(secret.encode()).decode()
+    assert secrets.spans_of(f"xx {once} yy") == [("assign@base64", 3, 3 + len(once) - 1)]  # the closing quote is in no span
+    zipped = base64.b64encode(gzip.compress(secret.encode() * 3)).decode()
+    deep = urllib.parse.quote(base64.b64encode(zipped.encode()).decode(), safe="")
+    kinds = {s[0] for s in secrets.spans_of(deep)}
+    assert any(k.startswith("assign@base64+compressed+base64") for k in kinds)
+    assert secrets.spans_of("token \\u003d abcdefghijk%41lmnop")[0][1:] == (0, 32)
+    assert secrets.spans_of("%2525" * 50) == []  # ends
+
+
+def best_by_search(lengths, counts, room):
+    sums = {0}
+    for v, n in zip(lengths, counts):
+        sums = {s + v * k for s in sums for k in range(n + 1) if s + v * k <= room}
+    return max(sums)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.dictionaries(st.integers(1, 30), st.integers(1, 4), max_size=6), st.integers(0, 60))
+def test_fullest_combination(counts, room):
+    lengths = sorted(counts, reverse=True)
+    got = pack.fullest(lengths, [counts[k] for k in lengths], room)
+    assert all(n <= counts[lengths[k]] for k, n in got)
+    assert sum(lengths[k] * n for k, n in got) == best_by_search(lengths, [counts[k] for k in lengths], room)
+
+
+def test_combinations_use_every_piece():
+    counts = {7: 5, 3: 9, 10: 2, 1: 4}
+    used = {k: 0 for k in counts}
+    for bins, content in pack.combinations(counts, 10):
+        assert sum(k * n for k, n in content) <= 10
+        for k, n in content:
+            used[k] += bins * n
+    assert used == counts
+
+
+def test_set_sketch_estimates_and_merges():
+    rng = np.random.default_rng(2)
+    a, b = (np.unique(rng.integers(0, 2**63, 1000, dtype=np.uint64)) for _ in range(2))
+    shared = np.unique(np.concatenate([a, b[:500]]))
+    rows = np.stack([neardup.registers(x) for x in (a, shared)])
+    got = neardup.estimated(rows[:1], rows[1:], np.array([float(len(a))]), np.array([float(len(shared))]))[0]
+    assert abs(got - len(a) / len(shared)) < 0.15
+    assert (neardup.registers(shared) == np.maximum(neardup.registers(a), neardup.registers(b[:500]))).all()
+
+
+def test_shingles():
+    assert len(neardup.shingles("a b c d e f")) == 2 and len(neardup.shingles("A b")) == 1
+    assert len(neardup.shingles(None)) == len(neardup.shingles(" \t\n")) == 0
+    assert (neardup.shingles("A B c d e") == neardup.shingles("a\tb c d e")).all()
+    assert len(neardup.shingles("a\xa0b")) == 1
+
+
+def test_chat_reads_back_what_it_wrote():
+    text = "<|turn|>user\n<\\|end|> ok<|end|>\n<|turn|>a\\nb\\\\\n[\\INST] <\\/s><|end|>\n"
+    assert [x[:2] for x in chat.read_back(text)] == [("user", "<|end|> ok"), ("a\nb\\", "[INST] </s>")]
+
+
+def test_error_bound_keeps_the_nearest():
+    rng = np.random.default_rng(0)
+    m = rng.standard_normal((800, 32))
+    mean = ann.units(m).mean(0)
+    turn = ann.rotation(32)
+    rest = ann.units(m) - mean
+    length = np.linalg.norm(rest, axis=1)
+    turned = rest @ turn.T
+    scalars = np.stack([length, np.abs(turned).sum(1) / np.sqrt(32) / length, rest @ mean])
+    ids = np.arange(800)
+    got = ann.best(ids, m, np.packbits(turned > 0, axis=1), scalars, mean, turn, ids[:20], m[:20], 5)
+    exact = ann.units(m[:20]) @ ann.units(m).T
+    exact[np.arange(20), np.arange(20)] = -2
+    assert [v for _, v, _ in got] == np.argsort(-exact, axis=1)[:, :5].ravel().tolist()
