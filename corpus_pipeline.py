@@ -15,8 +15,13 @@ from strata.session import written
 
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs but for the rows whose doc_id is in ids."""
-    return docs.join(ids.select(F.col("doc_id").alias("_gone")), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    """docs but for the rows whose doc_id is in ids.
+
+    The ids are written first: Spark then knows their size, and moves the texts only if
+    the ids are too many to broadcast.
+    """
+    gone = written(ids.select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,17 +34,19 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = written(langid.identified(langid.of_documents(docs), langid.fitted(docs)), "languages")
     kept = without(docs, found.where(~F.col("kept")))
     renamed = found.where(F.col("kept") & ~F.col("lang").eqNullSafe(F.col("declared"))).groupBy(F.col("doc_id").alias("_id")).agg(F.min("lang").alias("_lang"))
-    both = kept.join(renamed, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    both = kept.join(written(renamed, "renamed"), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     return both.withColumn("lang", F.coalesce("_lang", "lang")).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one with the smallest id. Rows that repeat it go too."""
     found = written(neardup.near_duplicates(docs), "groups")
-    repeated = found.where("kept").groupBy("doc_id").count().where("count > 1")
-    once = without(docs, found.where(~F.col("kept")).unionByName(found.join(repeated, "doc_id", "left_semi")))
+    repeated = written(found.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    dropped = found.where(~F.col("kept")).select("doc_id")
+    if not repeated.limit(1).count():
+        return without(docs, dropped)
     again = docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return once.unionByName(again)
+    return without(docs, dropped.unionByName(repeated)).unionByName(again)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -101,13 +101,12 @@ def filtered(docs: DataFrame, least_words: int = LEAST_WORDS, least_left: float
 
     n_chars, where there is one, follows the text.
     """
-    lost = written(removals(docs, **limits), "lost")
-    found = verdict(keyed(figures(docs.select("text", "source"))).join(lost.drop("_gone"), ["_host", "_text"], "left"), least_words, least_left)
-    told = written(found.select("_host", "_text", "kept"), "verdicts")  # so that the filter is not taken apart into the figures
-    rejected = told.where(~F.col("kept")).select("_host", "_text").distinct()
-    both = keyed(docs).join(rejected, ["_host", "_text"], "left_anti").join(lost.drop("_lost"), ["_host", "_text"], "left")
+    lost = written(removals(docs, **limits), "lost")  # its size is known then, so a small one is broadcast from the start
+    # A filter is not moved below a column that depends on the row's place, so the figures are computed once.
+    found = keyed(figures(docs).withColumn("_place", F.monotonically_increasing_id()))
+    kept = verdict(found.join(lost, ["_host", "_text"], "left"), least_words, least_left).where("kept AND _place >= 0")
     stays = F.array_join(F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains("_gone", F.xxhash64(normal(x)))), "\n")
-    out = both.withColumn("text", F.when(F.col("_gone").isNotNull(), stays).otherwise(F.col("text")))
+    out = kept.withColumn("text", F.when(F.col("_gone").isNotNull(), stays).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_gone").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
