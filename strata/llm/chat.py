@@ -76,9 +76,11 @@ def paths(nodes: DataFrame, keep: int | None = None) -> DataFrame:
     # Each part of a way is split at the largest step, until each part is one message.
     parts = leaves.select("tree", "leaf", F.col("leaf").alias("node"), "depth", (F.col("depth") + 1).alias("n"))
     for k in range(len(levels) - 1, -1, -1):
-        step = levels[k].select("tree", "node", "up")
-        rest = parts.where(F.col("n") > 1 << k).join(step, key).select("tree", "leaf", F.col("up").alias("node"), (F.col("depth") - (1 << k)).alias("depth"), (F.col("n") - (1 << k)).alias("n"))
-        parts = parts.withColumn("n", F.least(F.col("n"), F.lit(1 << k).cast("long"))).unionByName(rest)
+        both = parts.join(levels[k], key, "left")
+        whole = F.struct("node", "depth", "n")
+        near = F.struct("node", "depth", F.lit(1 << k).cast("long").alias("n"))
+        far = F.struct(F.col("up").alias("node"), (F.col("depth") - (1 << k)).alias("depth"), (F.col("n") - (1 << k)).alias("n"))
+        parts = both.select("tree", "leaf", F.inline(F.when(F.col("n") > 1 << k, F.array(near, far)).otherwise(F.array(whole))))
     found = parts.join(nodes.select(*key, F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("own")), key)
     if keep is None:
         return found.select("tree", "leaf", F.col("own").alias("score"), "depth", "node")
