@@ -59,28 +59,29 @@ def paths(nodes: DataFrame, keep: int | None = None) -> DataFrame:
     key = ["tree", "node"]
     up = nodes.select("tree", F.col("node"), F.col("parent").alias("up"))
     known = nodes.select("tree", F.col("node").alias("up"))
-    level = written(up.join(known, ["tree", "up"]).select("tree", "node", "up"), "up")
-    levels = [level]
+    # levels[k] has the ancestor 2^k steps up of each message that has one; the others' depth is settled by then.
+    levels = [written(up.join(known, ["tree", "up"]).select("tree", "node", "up"), "up")]
+    settled = written(nodes.select(*key).join(levels[0], key, "left_anti").withColumn("depth", F.lit(0).cast("long")), "depth")
     most = nodes.count()
-    while (1 << len(levels) - 1) <= most and level.limit(1).count():
-        level = written(level.join(level.select("tree", F.col("node").alias("up"), F.col("up").alias("next")), ["tree", "up"]).select("tree", "node", F.col("next").alias("up")), "up")
-        levels.append(level)
-    # Depth: the bits of the longest way up, from the largest step down.
-    state = nodes.select(*key, F.col("node").alias("at"), F.lit(0).cast("long").alias("depth"))
-    for k in range(len(levels) - 1, -1, -1):
-        step = levels[k].select("tree", F.col("node").alias("at"), F.col("up").alias("to"))
-        state = state.join(step, ["tree", "at"], "left").select(*key, F.coalesce("to", "at").alias("at"), (F.col("depth") + F.when(F.col("to").isNull(), 0).otherwise(1 << k)).alias("depth"))
+    while (1 << len(levels) - 1) <= most and levels[-1].limit(1).count():
+        step = 1 << len(levels) - 1
+        above = settled.select("tree", F.col("node").alias("up"), "depth")
+        new = written(levels[-1].join(above, ["tree", "up"]).select("tree", "node", (F.col("depth") + step).alias("depth")), "depth")
+        further = levels[-1].select("tree", F.col("node").alias("up"), F.col("up").alias("next"))
+        levels.append(written(levels[-1].join(further, ["tree", "up"]).select("tree", "node", F.col("next").alias("up")), "up"))
+        settled = settled.unionByName(new)
     parents = levels[0].select("tree", F.col("up").alias("node")).distinct()
-    rooted = state.join(levels[0].select("tree", F.col("node").alias("at")), ["tree", "at"], "left_anti")
-    leaves = written(rooted.join(parents, key, "left_anti").select("tree", F.col("node").alias("leaf"), "depth"), "leaves")
-    # Each part of a way is split at the largest step, until each part is one message.
-    parts = leaves.select("tree", "leaf", F.col("leaf").alias("node"), "depth", (F.col("depth") + 1).alias("n"))
+    leaves = written(settled.join(parents, key, "left_anti").select("tree", F.col("node").alias("leaf"), "node", "depth", (F.col("depth") + 1).alias("n")), "leaves")
+    # Each way is split at the largest step below its length, until each part is one message.
+    parts = None
     for k in range(len(levels) - 1, -1, -1):
-        both = parts.join(levels[k], key, "left")
+        fresh = leaves.where((F.col("n") > 1 << k) & (F.lit(parts is None) | (F.col("n") <= 2 << k)))
+        both = (fresh if parts is None else parts.unionByName(fresh)).join(levels[k], key, "left")
         whole = F.struct("node", "depth", "n")
         near = F.struct("node", "depth", F.lit(1 << k).cast("long").alias("n"))
         far = F.struct(F.col("up").alias("node"), (F.col("depth") - (1 << k)).alias("depth"), (F.col("n") - (1 << k)).alias("n"))
         parts = both.select("tree", "leaf", F.inline(F.when(F.col("n") > 1 << k, F.array(near, far)).otherwise(F.array(whole))))
+    parts = parts.unionByName(leaves.where("n = 1").select("tree", "leaf", "node", "depth", "n"))
     found = parts.join(nodes.select(*key, F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("own")), key)
     if keep is None:
         return found.select("tree", "leaf", F.col("own").alias("score"), "depth", "node")
