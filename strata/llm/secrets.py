@@ -3,8 +3,9 @@
 A worklist holds the text and every layer decoded from it. A layer is scanned by all
 rules; with its URL or Unicode escapes decoded it gives a further layer, and so does each
 of its base64 runs (which may be compressed), until none is left. A layer whose text was seen before
-is not scanned again, so a text that decodes to itself ends. Each layer knows, for each
-of its characters, which part of the original text it came from.
+at the same place of the original is not scanned again, so a text that decodes to itself
+ends and each occurrence of a repeated run has its spans. Each layer knows, for each of
+its characters, which part of the original text it came from.
 
 Kinds: assign, access and hex as the base; pem and jwt; and for a span in a layer the
 rule with the layers that led there, as in assign@base64+url. Positions are code points
@@ -17,8 +18,10 @@ from __future__ import annotations
 
 import base64
 import binascii
+import hashlib
 import re
 import zlib
+from array import array
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -90,6 +93,11 @@ class Layer:
     def span(self, start: int, end: int) -> tuple[int, int]:
         return (start, end) if self.starts is None else (self.starts[start], self.ends[end - 1])
 
+    def key(self) -> bytes:
+        """A digest of the text and of the places it came from."""
+        places = b"" if self.starts is None else array("q", self.starts + self.ends).tobytes()
+        return hashlib.blake2b(places + self.text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
     def below(self, kind: str, text: str, at: list[tuple[int, int]]) -> Layer:
         """A layer decoded from this one; at: of each of its characters, start and end here."""
         both = [self.span(*x) for x in at]
@@ -154,9 +162,9 @@ def spans_of(text: str | None) -> list[tuple[str, int, int]]:
     work, seen, known, found = [Layer(text or "")], set(), set(), set()
     while work:
         layer = work.pop()
-        if layer.text in seen:
+        if (key := layer.key()) in seen:
             continue
-        seen.add(layer.text)
+        seen.add(key)
         for rule, start, end in scanned(layer.text):
             if (same := (rule, *layer.span(start, end))) not in known:  # else a layer above has it
                 known.add(same)

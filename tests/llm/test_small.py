@@ -104,6 +104,14 @@ def test_secret_layers():
     assert secrets.spans_of("%2525" * 50) == []  # ends
 
 
+def test_secret_layers_of_repeated_runs():
+    run = base64.b64encode(b'x password="hunter2hunter2hunter2" y').decode()
+    twice = base64.b64encode(f"{run} and {run}".encode()).decode()
+    one = secrets.spans_of(run)
+    assert len(one) == 1 and secrets.spans_of(f"{run}\n\n{run}") == [*one, (one[0][0], one[0][1] + len(run) + 2, one[0][2] + len(run) + 2)]
+    assert [s[0] for s in secrets.spans_of(f"{twice} {twice}")] == ["assign@base64+base64"] * 4
+
+
 def best_by_search(lengths, counts, room):
     sums = {0}
     for v, n in zip(lengths, counts):
