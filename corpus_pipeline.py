@@ -7,21 +7,26 @@ and read again as the next one's docs; all but the last return the columns of do
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm import langid, neardup, pack, pii, quality
 from strata.session import written
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs but for the rows whose doc_id is in ids.
+def digest(*columns: str) -> Column:
+    """A hash of columns that tells nulls from other values, and one column's from the next one's."""
+    return F.xxhash64(*[x for c in columns for x in (F.col(c).isNull(), F.col(c))])
 
-    The ids are written first: Spark then knows their size, and moves the texts only if
-    the ids are too many to broadcast.
+
+def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """docs (with _key) but for the rows whose _key is in keys.
+
+    The keys are written first: Spark then knows their size, and moves the texts only if
+    the keys are too many to broadcast.
     """
-    gone = written(ids.select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    gone = written(keys.select(F.col("_key").alias("_gone")).distinct(), "gone")
+    return docs.join(gone, F.col("_key").eqNullSafe(F.col("_gone")), "left_anti")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,23 +35,33 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of no known language go; lang becomes the language found."""
-    found = written(langid.identified(langid.of_documents(docs), langid.fitted(docs)), "languages")
-    kept = without(docs, found.where(~F.col("kept")))
-    renamed = found.where(F.col("kept") & ~F.col("lang").eqNullSafe(F.col("declared"))).groupBy(F.col("doc_id").alias("_id")).agg(F.min("lang").alias("_lang"))
-    both = kept.join(written(renamed, "renamed"), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    """Documents of no known language go; lang becomes the language found.
+
+    A row's key holds all that its decision depends on, so rows of one key have one decision.
+    """
+    rows = docs.withColumn("_key", F.struct("doc_id", digest("text", "lang", "source").alias("h")))
+    found = langid.identified(langid.of_documents(rows.drop("doc_id").withColumnRenamed("_key", "doc_id")), langid.fitted(docs))
+    found = written(found.withColumnRenamed("doc_id", "_key"), "languages")
+    kept = without(rows, found.where(~F.col("kept")))
+    renamed = found.where(F.col("kept") & ~F.col("lang").eqNullSafe(F.col("declared"))).groupBy(F.col("_key").alias("_id")).agg(F.min("lang").alias("_lang"))
+    both = kept.join(written(renamed, "renamed"), F.col("_key").eqNullSafe(F.col("_id")), "left")
     return both.withColumn("lang", F.coalesce("_lang", "lang")).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest id. Rows that repeat it go too."""
-    found = written(neardup.near_duplicates(docs), "groups")
-    repeated = written(found.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    dropped = found.where(~F.col("kept")).select("doc_id")
+    """One document of each group of near copies stays: the one with the smallest id. Rows that repeat it go too.
+
+    Keys are ordered as ids, null last, then by a hash of the text where texts share an id.
+    """
+    rows = docs.withColumn("_key", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", digest("text").alias("h")))
+    found = neardup.near_duplicates(rows.select(F.col("_key").alias("doc_id"), "text"))
+    found = written(found.withColumnRenamed("doc_id", "_key"), "groups")
+    repeated = written(found.where("kept").groupBy("_key").count().where("count > 1").select("_key"), "repeated")
+    dropped = found.where(~F.col("kept")).select("_key")
     if not repeated.limit(1).count():
-        return without(docs, dropped)
-    again = docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return without(docs, dropped.unionByName(repeated)).unionByName(again)
+        return without(rows, dropped).select(*docs.columns)
+    again = rows.join(repeated, "_key", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    return without(rows, dropped.unionByName(repeated)).select(*docs.columns).unionByName(again)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

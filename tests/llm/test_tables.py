@@ -211,6 +211,22 @@ def test_pipeline_against_a_plain_one(spark):
     assert set(out[["doc_id", "piece", "start", "length", "ids_crc32"]].itertuples(index=False, name=None)) == want
 
 
+def test_pipeline_decides_by_row(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("text", "lang", "source").where("lang = 'en'").dropDuplicates(["text"]).orderBy("text").limit(6).collect()
+    odd = "qzxj vkqw xzjq wvkx jqzv kxqj zvwq " * 5
+    clean = [" ".join(f"{w}{k}" for w in r["text"].split()[:40]) for k, r in enumerate(docs)]
+    rows = [(i, t, r["lang"], r["source"], len(t)) for i, t, r in zip([None, None, 7, 7, 3, 8], clean, docs)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    told = lambda df: sorted(((r["doc_id"] or 0, r["text"]) for r in df.collect()))
+    want = lambda some: sorted((r[0] or 0, r[1]) for r in some)
+    copies = [(7, clean[4], "en", "s", 1), (None, clean[5], "en", "s", 1), rows[0], rows[2]]  # of 3's text, of 8's, and repeated rows
+    assert told(corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows + copies, schema), FOLDER)) == want(rows)
+    mixed = [(None, odd, None, None, 1), (7, odd, None, None, 1)]
+    texts = [(r["text"], r["lang"], r["source"]) for r in docs]
+    rows = [(i, *t, 1) for i, t in zip([None, None, 7, 7, 3, 8], texts)]
+    assert told(corpus_pipeline.language_id(spark, spark.createDataFrame(rows + mixed, schema), FOLDER)) == want(rows)
+
+
 def test_redaction_and_digests(spark):
     df = spark.createDataFrame([("write to a@b.co or 1.2.3.4 now",), (None,)], "text string")
     assert [r[0] for r in df.select(pii.redacted("text")).collect()] == ["write to [EMAIL] or [IP] now", None]
