@@ -9,8 +9,9 @@ Four kinds of evidence meet in one posterior:
   divide over languages, smoothed towards its suffix and that towards all, from grouped
   sums over the whole table.
 
-The text model is fitted on at most about SAMPLE labelled rows, chosen by a hash of their
-id; everything else covers every row. A text whose trigrams are less likely than chance
+The languages are all labels of all rows. The text model is fitted on about SAMPLE labelled
+rows, chosen by a hash of their id and text, and on about EACH of every language at least
+(all of a rarer one); everything else covers every row. A text whose trigrams are less likely than chance
 under each language is of no known language ("und") and is rejected, as is one whose
 posterior stays under LEAST.
 
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from strata.llm.bpe import slices
 from strata.session import written
 
-BITS, SAMPLE = 15, 20_000
+BITS, SAMPLE, EACH = 15, 20_000, 1000
 STRONGEST, DECLARED, LEAST, PSEUDO = 60.0, 0.9, 0.5, 20.0
 #: Mean log-likelihood below which a text of ENOUGH trigrams fits a language less than chance does.
 CHANCE, ENOUGH = -math.log(1 << BITS), 20
@@ -54,9 +55,17 @@ def trigrams(text: str | None) -> np.ndarray:
 
 def fitted(docs: DataFrame, label: str = "lang", sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """Languages and the log-likelihood of each trigram (rows) in each (columns)."""
-    known = docs.where(F.col(label).isNotNull()).select("doc_id", "text", label)
-    some = min(1.0, sample / max(1, known.count()))
-    known = known.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 20)) < math.ceil(some * (1 << 20)))
+    known = docs.where(F.col(label).isNotNull()).select("doc_id", "text", F.col(label).cast("string").alias("label"))
+    sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}  # a row for each language
+    langs, total = sorted(sizes), max(1, sum(sizes.values()))
+    # The hash below which a row is taken, of the languages that need more than the common share.
+    share = {x: math.ceil(min(1.0, max(sample / total, EACH / n)) * (1 << 20)) for x, n in sizes.items()}
+    common = math.ceil(min(1.0, sample / total) * (1 << 20))
+    more = {x: s for x, s in share.items() if s > common}
+    below = F.lit(common)
+    if more:
+        below = F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for x in more.items() for v in x]), F.col("label")), below)
+    known = known.where(F.pmod(F.xxhash64("doc_id", "text", F.lit("fit")), F.lit(1 << 20)) < below)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -68,15 +77,16 @@ def fitted(docs: DataFrame, label: str = "lang", sample: int = SAMPLE) -> tuple[
                 at += len(part)
         for lang, n in sums.items():
             some = np.flatnonzero(n)
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(some)), "i": pa.array(some.astype(np.int32)), "n": pa.array(n[some])})
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(some), pa.string()), "i": pa.array(some.astype(np.int32)), "n": pa.array(n[some])})
 
-    rows = known.select("text", F.col(label).cast("string")).mapInArrow(count, "lang string, i int, n long").groupBy("lang", "i").agg(F.sum("n").alias("n"))
+    rows = known.select("text", "label").mapInArrow(count, "lang string, i int, n long").groupBy("lang", "i").agg(F.sum("n").alias("n"))
     found = rows.toArrow().to_pydict()  # at most 2 ** BITS rows for each language
-    langs = sorted(set(found["lang"]))
+    at = {x: k for k, x in enumerate(langs)}
     n = np.zeros((1 << BITS, len(langs)))
-    n[found["i"], [langs.index(x) for x in found["lang"]]] = found["n"]
+    n[found["i"], [at[x] for x in found["lang"]]] = found["n"]
+    blank = n.sum(0) == 0  # texts without letters only: just under chance, so that no text fits for that
     n += 0.5
-    return langs, np.log(n / n.sum(0)).astype(np.float32)
+    return langs, np.log(n / (n.sum(0) + blank)).astype(np.float32)
 
 
 def likelihoods(text: str | Column, model: tuple[list[str], np.ndarray]) -> Column:

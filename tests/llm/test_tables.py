@@ -171,6 +171,15 @@ def test_language_evidence_and_rejection(spark):
     assert got[2]["lang"] == got[3]["lang"] == "und" and not got[3]["kept"]
 
 
+def test_rare_languages_are_known(spark):
+    word = lambda base, k: " ".join(f"{base}{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}" for _ in range(8))
+    rows = [(k, word("the", k), "en") for k in range(3000)] + [(None, word("łóż", k), "pl") for k in range(4)] + [(9000, "1 2 3", "xx"), (9001, None, None)]
+    langs, table = langid.fitted(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=50)
+    assert langs == ["en", "pl", "xx"] and table.shape == (1 << langid.BITS, 3)
+    at = langid.trigrams(word("łóż", 1))
+    assert table[at].mean(0).argmax() == 1 and table[at].mean(0)[1] > langid.CHANCE > table[at].mean(0)[2]
+
+
 def test_frequent_lines(spark):
     body = lambda k: "\n".join(" ".join(f"t{k}_{j}_{i}" for i in range(9)) for j in range(3))
     rows = [(k, body(k) + "\nall  RIGHTS reserved by the owner of this site", "h") for k in range(30)]
