@@ -238,3 +238,16 @@ def test_profile_floor_and_colour(spark):
     assert r["lowest"] is None and r["highest"] == 7
     assert profile.default_colour(df) == "g" and profile.default_axes(df) == ["v"]
     assert rows.z_scores(df.withColumn("c", F.lit(1.0)), ["c"]).where("c = 0").count() == 11
+
+
+def test_silhouette_and_k_distances_cover_every_row(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(0, 1, (1300, 2)), rng.normal(40, 0.01, (1195, 2)), np.full((5, 2), -900.0)]).round(3)
+    labels = np.array(["a" if p[0] < 20 else "b" for p in x])
+    df = spark.createDataFrame([(i, p.tolist(), c) for i, (p, c) in enumerate(zip(x, labels.tolist()))], "_row long, x array<double>, Cluster string")
+    d = np.sqrt(clusters.squared(x, x))
+    np.fill_diagonal(d, np.inf)
+    got = {r["_row"]: r["d"] for r in clusters.k_distances(df, 7).collect()}
+    assert len(got) == len(x) and np.allclose([got[i] for i in range(len(x))], np.sort(d, 1)[:, 5])
+    one = clusters.silhouette(df).first()
+    assert one["n"] == len(x) and abs(one["silhouette"] - clusters.mean_silhouette(x, labels)) < 1e-9
