@@ -38,6 +38,16 @@ IP = re.compile(r"[0-9](?<![0-9][0-9])[0-9]*+(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9]++(?:[ -][0-9]++)*+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+#: The length of an account number by country.
+LENGTHS = {
+    c: n
+    for n, cs in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in cs.split()
+}
 NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 
 
@@ -53,6 +63,28 @@ def mod97(account: str) -> bool:
     return 15 <= len(account) <= 34 and int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97 == 1
 
 
+def account(text: str, start: int, end: int) -> int | None:
+    """The end of the account number in a match, which may run on into the words after it.
+
+    At the blank where its country's length is reached, else at the whole match; of an
+    unknown country at the last blank before which the check digits are right.
+    """
+    ends = [end, *(k for k in range(end - 1, start, -1) if text[k] == " ")]
+    length = LENGTHS.get(text[start : start + 2])
+    if length:
+        ends = [*(e for e in ends if e - start - text.count(" ", start, e) == length), end]
+    return next((e for e in ends if mod97(text[start:e].replace(" ", ""))), None)
+
+
+def accounts(text: str):
+    at = 0
+    while m := IBAN.search(text, at):
+        end = account(text, m.start(), m.end())
+        if end:
+            yield m.start(), end
+        at = end or m.start() + 4  # another number may begin in a group of this one
+
+
 def emails(text: str):
     end, at = 0, text.find("@")
     while at >= 0:
@@ -84,9 +116,7 @@ def proposed(text: str):
         for m in PHONE.finditer(text):
             if 8 <= sum(c.isdigit() for c in m[0]) <= 15:
                 yield "phone", m.start(), m.end()
-    for m in IBAN.finditer(text):
-        if mod97(m[0].replace(" ", "")):
-            yield "iban", m.start(), m.end()
+    yield from (("iban", *x) for x in accounts(text))
     if "-" in text:
         yield from (("national_id", m.start(), m.end()) for m in NATIONAL.finditer(text))
 

@@ -79,6 +79,18 @@ def test_pii_checks_and_context():
 ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
+def test_accounts_before_other_words():
+    for text, *ibans in [
+        ("pay BE68 5390 0754 7034 EUR 100", "BE68 5390 0754 7034"),
+        ("AT61 1904 3002 3457 3201 BIC", "AT61 1904 3002 3457 3201"),
+        ("BE68539007547034 KBC", "BE68539007547034"),
+        ("BE68 5390 0754 7034 AT61 1904 3002 3457 3201", "BE68 5390 0754 7034", "AT61 1904 3002 3457 3201"),
+        ("NR12 ABCD BE68 5390 0754 7034", "BE68 5390 0754 7034"),
+        ("BE69 5390 0754 7034 EUR 100",),
+    ]:
+        assert [text[s[1] : s[2]] for s in pii.spans_of(text) if s[0] == "iban"] == ibans
+
+
 def plain_secrets(text):
     out = [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
     out += [("access", *m.span()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
