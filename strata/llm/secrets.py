@@ -9,15 +9,18 @@ its characters, which part of the original text it came from.
 
 Kinds: assign, access and hex as the base; pem and jwt; and for a span in a layer the
 rule with the layers that led there, as in assign@base64+url. Positions are code points
-of the original text, the end exclusive. A run that unpacks to more than LARGEST
-characters gives a span of the kind oversize instead of a layer. A null or empty text
-has no spans.
+of the original text, the end exclusive. The lines of a wrapped base64 block are also
+decoded together, and a run that gives no text is tried in pieces between / - _ and from
+each of four alignments. A run that unpacks to more than LARGEST bytes gives a span of the
+kind oversize, and layers of CHUNK bytes that overlap by OVERLAP characters or by the coded
+run they end in (up to LARGEST characters). A null or empty text has no spans.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import codecs
 import hashlib
 import re
 import zlib
@@ -31,8 +34,10 @@ from strata.llm.bpe import slices
 
 BASE = ("assign", "access", "hex")
 RULES = (*BASE, "pem", "jwt")
-#: Bytes that a compressed run may unpack to.
-LARGEST = 32_000_000
+#: Bytes that a compressed run may unpack to at once; beyond, so many bytes at a time, with so many characters in common.
+LARGEST, CHUNK, OVERLAP = 32_000_000, 4_000_000, 1_000_000
+#: Characters of the shortest run that is decoded.
+RUN = 16
 
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
@@ -43,6 +48,12 @@ JWT = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}
 ESCAPES = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});")
 CODED = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+PIECE = re.compile(r"[^/_-]{16,}")
+PACKED = re.compile(rb"\x1f\x8b|x[\x01\x5e\x9c\xda]")
+READABLE = re.compile(r"[^\x00-\x08\x0b\x0c\x0e-\x1f\x7f\ud800-\udfff]{12,}")
+RUNNING = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-= \t\r\n"
 
 
 def scanned(text: str):
@@ -85,23 +96,34 @@ def plain(data: bytes) -> str | None:
 
 
 class Layer:
-    """A text, the layers that led to it, and of each character its original start and end (None: itself)."""
+    """A text, the layers that led to it, and of each character its original start and end (None: itself), or one span for all."""
 
-    def __init__(self, text: str, path: str = "", starts: list[int] | None = None, ends: list[int] | None = None):
-        self.text, self.path, self.starts, self.ends = text, path, starts, ends
+    def __init__(self, text: str, path: str = "", starts: list[int] | None = None, ends: list[int] | None = None, whole: tuple[int, int] | None = None):
+        self.text, self.path, self.starts, self.ends, self.whole = text, path, starts, ends, whole
 
     def span(self, start: int, end: int) -> tuple[int, int]:
+        if self.whole:
+            return self.whole
         return (start, end) if self.starts is None else (self.starts[start], self.ends[end - 1])
 
     def key(self) -> bytes:
         """A digest of the text and of the places it came from."""
-        places = b"" if self.starts is None else array("q", self.starts + self.ends).tobytes()
+        places = array("q", self.whole).tobytes() if self.whole else b"" if self.starts is None else array("q", self.starts + self.ends).tobytes()
         return hashlib.blake2b(places + self.text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
+    def named(self, kind: str) -> str:
+        return f"{kind}+{self.path}" if self.path else kind
+
     def below(self, kind: str, text: str, at: list[tuple[int, int]]) -> Layer:
         """A layer decoded from this one; at: of each of its characters, start and end here."""
+        if self.whole:
+            return Layer(text, self.named(kind), whole=self.whole)
         both = [self.span(*x) for x in at]
-        return Layer(text, f"{kind}+{self.path}" if self.path else kind, [x[0] for x in both], [x[1] for x in both])
+        return Layer(text, self.named(kind), [x[0] for x in both], [x[1] for x in both])
+
+    def inside(self, kind: str, text: str, start: int, end: int) -> Layer:
+        """A layer that comes from one stretch of this one as a whole."""
+        return Layer(text, self.named(kind), whole=self.span(start, end))
 
 
 def unescaped(pattern: re.Pattern, text: str, read):
@@ -128,33 +150,119 @@ def letter_of(m: re.Match) -> str:
 
 
 def decoded(layer: Layer):
-    """The layers directly below, and ("oversize", start, end) for a run that is too large."""
+    """The layers directly below, or an iterator of them, and ("oversize", start, end) for a run that is too large."""
     text = layer.text
     for mark, kind, pattern, read in (("%", "url", ESCAPES, bytes_of), ("\\", "unicode", UNICODE, letter_of), ("&#x", "unicode", UNICODE, letter_of)):
         if mark in text and pattern.search(text):
             yield layer.below(kind, *unescaped(pattern, text, read))
     for m in CODED.finditer(text):
-        run = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        run = run[: len(run) - (len(run) % 4 == 1)]
-        try:
-            data = base64.b64decode(run + "=" * (-len(run) % 4))
-        except (binascii.Error, ValueError):
-            continue
-        try:
-            packed = unpacked(data)
-        except OverflowError:
-            yield ("oversize", *layer.span(m.start(), m.end()))
-            continue
-        if packed is not None:
-            if new := plain(packed):
-                yield layer.below("base64+compressed", new, [m.span()] * len(new))
-        elif new := plain(data):
-            at, byte = [], 0
-            for c in new:
-                size = len(c.encode())
-                at.append((m.start() + byte * 4 // 3, min(m.end(), m.start() + -(-(byte + size) * 4 // 3))))
-                byte += size
-            yield layer.below("base64", new, at)
+        run = m[0].rstrip("=")
+        yield from run_layers(layer, run, range(m.start(), m.start() + len(run)), m.end())
+    if "\n" in text:
+        for run, places, end, last in blocks(text):
+            cut = len(run) - last
+            if (found := whole_layers(layer, run, places, end)) is None and cut > last:  # else the last line may be of what follows
+                found = whole_layers(layer, run[:cut], places[:cut], places[cut - 1] + 1)
+            yield from part_layers(layer, run, places) if found is None else found
+
+
+def blocks(text: str):
+    """Of each base64 block of several lines: its characters, their places, its end, and the length of its last line.
+
+    Lines between the first and the last are of one length, and the last is no longer.
+    """
+    for m in WRAPPED.finditer(text):
+        lines = [x.span() for x in LINE.finditer(text, m.start(), m.end())]
+        at = 0
+        while at < len(lines) - 1:
+            size, to = lines[at + 1][1] - lines[at + 1][0], at + 2
+            if size >= RUN:
+                while to < len(lines) and lines[to][1] - lines[to][0] == size:
+                    to += 1
+                if to < len(lines) and lines[to][1] - lines[to][0] < size:
+                    to += 1
+            elif lines[at][1] - lines[at][0] < RUN:
+                at += 1
+                continue
+            places = [i for x in lines[at:to] for i in range(*x)]
+            yield "".join(text[i:j] for i, j in lines[at:to]), places, m.end() if to == len(lines) else lines[to - 1][1], lines[to - 1][1] - lines[to - 1][0]
+            at = to - 1  # the last line may be the first of another block
+
+
+def bytes_in(run: str) -> bytes:
+    run = run[: len(run) - (len(run) % 4 == 1)].replace("-", "+").replace("_", "/")
+    try:
+        return base64.b64decode(run + "=" * (-len(run) % 4))
+    except (binascii.Error, ValueError):
+        return b""
+
+
+def packed_layers(layer: Layer, data: bytes, start: int, end: int):
+    """Of compressed data, its layers; None if it is none or holds no text."""
+    try:
+        packed = unpacked(data)
+    except OverflowError:
+        return [("oversize", *layer.span(start, end)), chunks(layer, data, start, end)]
+    new = plain(packed) if packed else None
+    return [layer.inside("base64+compressed", new, start, end)] if new else None
+
+
+def chunks(layer: Layer, data: bytes, start: int, end: int):
+    """The text of a large compressed run, a part at a time; it ends at bytes that are no text."""
+    unpack, read, text = zlib.decompressobj(47), codecs.getincrementaldecoder("utf-8")(), ""
+    try:
+        while not unpack.eof:
+            out = unpack.decompress(data, CHUNK)
+            data = unpack.unconsumed_tail
+            if not (out or data):
+                return
+            text += read.decode(out)
+            yield layer.inside("base64+compressed", text, start, end)
+            text = text[max(0, len(text) - LARGEST, min(len(text) - OVERLAP, len(text.rstrip(RUNNING)))) :]
+    except (zlib.error, UnicodeDecodeError):
+        return
+
+
+def text_layer(layer: Layer, new: str, places, byte: int) -> Layer:
+    """A text that starts at a byte of what the characters at these places decode to."""
+    at = []
+    for c in new:
+        size = len(c.encode())
+        at.append((places[byte * 4 // 3], places[min(len(places), -(-(byte + size) * 4 // 3)) - 1] + 1))
+        byte += size
+    return layer.below("base64", new, at)
+
+
+def whole_layers(layer: Layer, run: str, places, end: int):
+    """The layers of a run decoded from its first character; None if it gives no text."""
+    data = bytes_in(run)
+    if (found := packed_layers(layer, data, places[0], end)) is not None:
+        return found
+    new = plain(data)
+    return [text_layer(layer, new, places, 0)] if new else None
+
+
+def part_layers(layer: Layer, run: str, places):
+    """The layers of the pieces of a run, and of the texts in what is left, from each alignment."""
+    left, at = [], 0
+    for m in PIECE.finditer(run):
+        if len(m[0]) < len(run) and (found := whole_layers(layer, m[0], places[m.start() : m.end()], places[m.end() - 1] + 1)) is not None:
+            yield from found
+            left.append((at, m.start()))
+            at = m.end()
+    for start, end in [*left, (at, len(run))]:
+        for k in range(start, min(start + 4, end - RUN + 1)):
+            data, here = bytes_in(run[k:end]), places[k:end]
+            for m in PACKED.finditer(data):
+                yield from packed_layers(layer, data[m.start() :], here[m.start() * 4 // 3], here[-1] + 1) or []
+            text = data.decode("utf-8", "surrogateescape")
+            for m in READABLE.finditer(text):
+                yield text_layer(layer, m[0], here, len(text[: m.start()].encode("utf-8", "surrogateescape")))
+
+
+def run_layers(layer: Layer, run: str, places, end: int):
+    found = whole_layers(layer, run, places, end)
+    yield from part_layers(layer, run, places) if found is None else found
 
 
 def spans_of(text: str | None) -> list[tuple[str, int, int]]:
@@ -162,6 +270,11 @@ def spans_of(text: str | None) -> list[tuple[str, int, int]]:
     work, seen, known, found = [Layer(text or "")], set(), set(), set()
     while work:
         layer = work.pop()
+        if not isinstance(layer, Layer):  # chunks, of which only one at a time is held
+            if (part := next(layer, None)) is None:
+                continue
+            work.append(layer)
+            layer = part
         if (key := layer.key()) in seen:
             continue
         seen.add(key)
@@ -170,10 +283,10 @@ def spans_of(text: str | None) -> list[tuple[str, int, int]]:
                 known.add(same)
                 found.add((f"{rule}@{layer.path}" if layer.path else rule, *same[1:]))
         for x in decoded(layer):
-            if isinstance(x, Layer):
-                work.append(x)
-            else:
+            if isinstance(x, tuple):
                 found.add(x)
+            else:
+                work.append(x)
     rank = {r: k for k, r in enumerate(RULES)}
     return sorted(found, key=lambda s: (s[1], rank.get(s[0], len(rank)), s[0], s[2]))
 
