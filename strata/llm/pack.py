@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strata.llm.bpe import slices, vocabulary
+from strata.llm.bpe import portions, text_buffers, vocabulary
 from strata.session import written
 
 #: Parts of a length's pieces that are numbered apart, so that no length is one task's.
@@ -85,20 +85,20 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, wi
     id_type = docs.schema["doc_id"].dataType
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, end, step = vocabulary(path), np.uint32(end_id).tobytes(), 4 * capacity
+        bpe = vocabulary(path)
         for batch in batches:
-            at = 0
-            for part in slices(batch.column(1)):
-                rows, piece, parts = [], [], []
-                for k, ids in enumerate(bpe.encode(part)):
-                    ids += end
-                    for n, i in enumerate(range(0, len(ids), step)):
-                        rows.append(at + k)
-                        piece.append(n)
-                        parts.append(ids[i : i + step])
-                at += len(part)
-                out = {"doc_id": batch.column(0).take(pa.array(rows, pa.int64())), "piece": pa.array(piece, pa.int32()), "start": pa.array([n * capacity for n in piece], pa.int64())}
-                out |= {"length": pa.array([len(p) // 4 for p in parts], pa.int64()), "ids_crc32": pa.array(map(zlib.crc32, parts), pa.int64())}
+            for here, part in portions(batch.column(1)):
+                ids, at = bpe.encoded(*text_buffers(part))
+                ids, at = np.insert(ids, at[1:], np.uint32(end_id)), at + np.arange(len(at))
+                count = -(-np.diff(at) // capacity)  # pieces of each document
+                row = np.repeat(np.arange(len(part)), count)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                first = at[row] + piece * capacity
+                ends = np.append(first[1:], at[-1])
+                raw = memoryview(ids.view(np.uint8))
+                parts = [raw[4 * a : 4 * b] for a, b in zip(first.tolist(), ends.tolist())]
+                out = {"doc_id": batch.column(0).take(pa.array(here + row)), "piece": pa.array(piece.astype(np.int32)), "start": pa.array(piece * capacity), "length": pa.array(ends - first)}
+                out["ids_crc32"] = pa.array(map(zlib.crc32, parts), pa.int64())
                 yield pa.RecordBatch.from_pydict(out | ({"ids": pa.array(parts, pa.binary())} if with_ids else {}))
 
     schema = f"doc_id {id_type.simpleString()}, piece int, start long, length long, ids_crc32 long"

@@ -35,14 +35,34 @@ def test_bpe_is_the_library(library):
         want = library.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(ids, "<u4").tolist() == want
         assert known.decode(ids) == library.decode(want, skip_special_tokens=False)
-    assert own.encode([None]) == [b""] and known.decode(None) == ""
+    assert own.encode([None]) == [b""] and known.decode(None) == "" and own.encode([]) == []
+    assert own.encode([None, "", "a", None]) == [b"", b"", own.encode(["a"])[0], b""]
 
 
 def test_bpe_long_words_take_the_same_merges():
     own = bpe.vocabulary(PATH)
     rng = random.Random(8)
-    words = ["".join(rng.choice("thean") for _ in range(rng.randint(2, 60))) for _ in range(200)]
-    assert [own.alone(w.encode()) for w in words] == own.merged(words)
+    words = ["".join(rng.choice("thean") for _ in range(rng.randint(2, 60))).encode() for _ in range(200)]
+    sizes = np.array([*map(len, words)])
+    flat, count = own.merged(np.frombuffer(b"".join(words), np.uint8), np.cumsum(sizes) - sizes, sizes)
+    assert np.concatenate([own.alone(w) for w in words]).tolist() == flat.tolist() and [len(own.alone(w)) for w in words] == count.tolist()
+
+
+def test_bpe_of_every_code_point(library):
+    own = bpe.vocabulary(PATH)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(f"a{c}b1{c}2" for c in points[i : i + 4096]) for i in range(0, len(points), 4096)]
+    for text, ids, want in zip(texts, own.encode(texts), library.encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(ids, "<u4").tolist() == want.ids
+
+
+def test_bpe_of_many_small_texts_in_small_windows(library, monkeypatch):
+    monkeypatch.setattr(bpe, "WINDOW", 50)
+    monkeypatch.setattr(bpe, "MEMORY", 3000)
+    rng = random.Random(4)
+    parts = ["don't", "it's'll", "'S", "''s", "’s", "12", "é", "Été", "ß", "×", "\u00a0", "<", "|", "<|endoftext|>", "<|ENDOFTEXT|>", " ", "\n", ".", "!!", "Σ", "e\u0301", "the", "THE", "re", "'", "", "日本"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in bpe.WordBPE(PATH).encode(texts)] == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
 
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
