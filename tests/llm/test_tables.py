@@ -1,6 +1,7 @@
 """The operators over whole tables: against SQL, brute force, and a fixture of odd rows."""
 
 import hashlib
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -194,14 +195,43 @@ def test_frequent_lines(spark):
     assert "RIGHTS" in text[0] and "RIGHTS" not in text[1] and text[1] == body(1) and 200 not in text
 
 
+BLANK = "[\\x20\\x09-\\x0D]+"
+
+
+def plain_quality(rows, most_docs):
+    """doc_id: (kept, text without its frequent lines); rows: (doc_id, text, source), ids are different."""
+    normal = lambda x: re.sub(BLANK, " ", x).lower().strip(" ")
+    holders = defaultdict(dict)  # host and line: texts that have it, each with its smallest id
+    first = {}
+    for d, t, h in rows:
+        first[h, t] = min(d, first.get((h, t), d))
+    for (h, t), d in first.items():
+        for x in {normal(x) for x in t.split("\n")} - {""}:
+            holders[h, x][t] = d
+    out = {}
+    for d, t, h in rows:
+        words = [w for w in re.split(BLANK, t) if w]
+        windows = Counter(zip(*(words[k:] for k in range(5))))
+        covered = {i + k for i, w in enumerate(zip(*(words[k:] for k in range(5)))) if windows[w] > 1 for k in range(5)}
+        gone = {x for x in {normal(x) for x in t.split("\n")} - {""} if len(holders[h, x]) > most_docs and min(holders[h, x].values()) != first[h, t]}
+        left = len(words) - sum(len(x.split(" ")) for x in gone)
+        failed = len(words) < 10 or 100 * len(covered) > 20 * len(words)
+        out[d] = (not failed and left >= 10 and left >= 0.2 * len(words), "\n".join(x for x in t.split("\n") if normal(x) not in gone) if gone else t)
+    return out
+
+
 def test_pipeline_against_a_plain_one(spark):
-    out = corpus_pipeline.run(spark, FOLDER).toPandas()
-    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
-    rows = {r["doc_id"]: r for r in quality.judged(docs).collect()}
-    gone = {(r["_host"], r["_text"]): set(r["_gone"]) for r in quality.removals(docs).collect()}
-    assert not gone  # so texts stay as they are in this small table
-    kept = {d: r["text"] for d, r in rows.items() if r["kept"]}
-    languages = {r["doc_id"]: r["kept"] for r in langid.identified(langid.of_documents(docs.where(F.col("doc_id").isin(*kept))), langid.fitted(docs.where(F.col("doc_id").isin(*kept)))).collect()}
+    folder = "/root/testdata/sf0.01"
+    out = corpus_pipeline.run(spark, folder).toPandas()
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    rows = docs.collect()
+    found = plain_quality([(r["doc_id"], r["text"] or "", r["source"] or "") for r in rows], quality.MOST_DOCS)
+    kept = {d: t for d, (k, t) in found.items() if k}
+    texts = {r["doc_id"]: r["text"] for r in rows}
+    assert sum(t != texts[d] for d, t in kept.items()) > 20  # lines are removed here
+    assert {r["doc_id"]: r["text"] for r in quality.filtered(docs).collect()} == kept
+    left = spark.createDataFrame([(d, t) for d, t in kept.items()], "doc_id long, text string").join(docs.drop("text"), "doc_id")
+    languages = {r["doc_id"]: r["kept"] for r in langid.identified(langid.of_documents(left), langid.fitted(left)).collect()}
     kept = {d: t for d, t in kept.items() if languages[d]}
     comp = brute_components(sorted(kept.items()))
     kept = {d: t for d, t in kept.items() if comp[d] == d}
@@ -220,6 +250,20 @@ def test_pipeline_against_a_plain_one(spark):
     assert set(out[["doc_id", "piece", "start", "length", "ids_crc32"]].itertuples(index=False, name=None)) == want
 
 
+def test_quality_of_many_lines_and_clashing_columns(spark):
+    many = "\n".join(f"line {k % 70_000} has words" for k in range(100_000))
+    rows = [(1, many, "h", 5, "x", True, "y"), (2, None, None, None, "x", False, "z"), (2, "a b", None, 3, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_words int, _text string, _gone boolean, _doc string")
+    got = {(r["doc_id"], r["n_words"]): r for r in quality.judged(docs).collect()}
+    assert set(got) == {(1, 400_000), (2, 0), (2, 2)} and got[1, 400_000]["n_dup_lines"] == 30_000
+    assert (got[1, 400_000]["_text"], got[1, 400_000]["_gone"], got[1, 400_000]["_doc"]) == ("x", True, "y")
+    lines = "\n".join(" ".join(f"w{k}_{i}" for i in range(9)) for k in range(4))
+    rows = [(k, f"shared by many texts of this host\n{lines.replace('w', f'v{k}')}", "h", 7, f"t{k}", k == 3, "d") for k in range(9)]
+    docs = spark.createDataFrame(rows, docs.schema)
+    got = sorted(map(tuple, quality.filtered(docs).collect()))
+    assert got == [(r[0], r[1] if r[0] == 0 else r[1].split("\n", 1)[1], *r[2:]) for r in rows]
+
+
 def test_pipeline_decides_by_row(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("text", "lang", "source").where("lang = 'en'").dropDuplicates(["text"]).orderBy("text").limit(6).collect()
     odd = "qzxj vkqw xzjq wvkx jqzv kxqj zvwq " * 5
