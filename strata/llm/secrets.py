@@ -1,8 +1,9 @@
 """Secrets, also inside encoded layers.
 
 A worklist holds the text and every layer decoded from it. A layer is scanned by all
-rules; with its URL or Unicode escapes decoded it gives a further layer, and so does each
-of its base64 runs (which may be compressed), until none is left. A layer whose text was seen before
+rules; with its URL or Unicode escapes or character references decoded it gives a further
+layer, and so does each of its base64 or hexadecimal runs (which may be compressed), until
+none is left. A layer whose text was seen before
 at the same place of the original is not scanned again, so a text that decodes to itself
 ends and each occurrence of a repeated run has its spans. Each layer knows, for each of
 its characters, which part of the original text it came from.
@@ -13,7 +14,11 @@ of the original text, the end exclusive. The lines of a wrapped base64 block are
 decoded together, and a run that gives no text is tried in pieces between / - _ and from
 each of four alignments. A run that unpacks to more than LARGEST bytes gives a span of the
 kind oversize, and layers of CHUNK bytes that overlap by OVERLAP characters or by the coded
-run they end in (up to LARGEST characters). A null or empty text has no spans.
+run they end in (up to LARGEST characters).
+
+A null or empty text has no spans; a very long one is scanned whole, with 8 bytes of places
+for each character of a decoded layer. Repeated rows each get their row, an empty table
+gives an empty one, and columns besides the id and the text play no part.
 """
 
 from __future__ import annotations
@@ -24,8 +29,8 @@ import codecs
 import hashlib
 import re
 import zlib
-from array import array
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,13 +51,15 @@ PEM = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----")
 JWT = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
 
 ESCAPES = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});")
+UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
+HEXED = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){16,}(?![0-9A-Fa-f])")
 CODED = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
 LINE = re.compile(r"[A-Za-z0-9+/_-]+")
 PIECE = re.compile(r"[^/_-]{16,}")
 PACKED = re.compile(rb"\x1f\x8b|x[\x01\x5e\x9c\xda]")
 READABLE = re.compile(r"[^\x00-\x08\x0b\x0c\x0e-\x1f\x7f\ud800-\udfff]{12,}")
+BREAKS = str.maketrans("", "", "\t\n\r")
 RUNNING = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-= \t\r\n"
 
 
@@ -91,35 +98,38 @@ def plain(data: bytes) -> str | None:
         text = data.decode("utf-8")
     except UnicodeDecodeError:
         return None
+    if text.translate(BREAKS).isprintable():
+        return text or None
     odd = sum(not (c.isprintable() or c in "\t\n\r") for c in text)
-    return text if text and odd * 20 <= len(text) else None
+    return text if odd * 20 <= len(text) else None
 
 
 class Layer:
     """A text, the layers that led to it, and of each character its original start and end (None: itself), or one span for all."""
 
-    def __init__(self, text: str, path: str = "", starts: list[int] | None = None, ends: list[int] | None = None, whole: tuple[int, int] | None = None):
+    def __init__(self, text: str, path: str = "", starts: np.ndarray | None = None, ends: np.ndarray | None = None, whole: tuple[int, int] | None = None):
         self.text, self.path, self.starts, self.ends, self.whole = text, path, starts, ends, whole
 
     def span(self, start: int, end: int) -> tuple[int, int]:
         if self.whole:
             return self.whole
-        return (start, end) if self.starts is None else (self.starts[start], self.ends[end - 1])
+        return (start, end) if self.starts is None else (int(self.starts[start]), int(self.ends[end - 1]))
 
     def key(self) -> bytes:
         """A digest of the text and of the places it came from."""
-        places = array("q", self.whole).tobytes() if self.whole else b"" if self.starts is None else array("q", self.starts + self.ends).tobytes()
+        places = np.array(self.whole).tobytes() if self.whole else b"" if self.starts is None else self.starts.tobytes() + self.ends.tobytes()
         return hashlib.blake2b(places + self.text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
     def named(self, kind: str) -> str:
         return f"{kind}+{self.path}" if self.path else kind
 
-    def below(self, kind: str, text: str, at: list[tuple[int, int]]) -> Layer:
-        """A layer decoded from this one; at: of each of its characters, start and end here."""
+    def below(self, kind: str, text: str, starts: np.ndarray, ends: np.ndarray) -> Layer:
+        """A layer decoded from this one; starts, ends: of each of its characters, here."""
         if self.whole:
             return Layer(text, self.named(kind), whole=self.whole)
-        both = [self.span(*x) for x in at]
-        return Layer(text, self.named(kind), [x[0] for x in both], [x[1] for x in both])
+        if self.starts is not None:
+            starts, ends = self.starts[starts], self.ends[ends - 1]
+        return Layer(text, self.named(kind), starts.astype(np.int32), ends.astype(np.int32))
 
     def inside(self, kind: str, text: str, start: int, end: int) -> Layer:
         """A layer that comes from one stretch of this one as a whole."""
@@ -127,17 +137,24 @@ class Layer:
 
 
 def unescaped(pattern: re.Pattern, text: str, read):
-    """The text with its escapes decoded, and the places of its characters."""
-    out, at, here = [], [], 0
+    """The text with its escapes decoded, and where its characters start and end."""
+    out, found, here = [], [], 0
     for m in pattern.finditer(text):
-        out.append(text[here : m.start()])
-        at += [(i, i + 1) for i in range(here, m.start())]
         new = read(m)
-        out.append(new)
-        at += [(m.start(), m.end())] * len(new)
+        out += [text[here : m.start()], new]
+        found.append((m.start(), m.end(), len(new)))
         here = m.end()
     out.append(text[here:])
-    return "".join(out), at + [(i, i + 1) for i in range(here, len(text))]
+    at = np.array(found, np.int32).reshape(-1, 3)
+    # Plain stretches and escapes in turn: where each begins, its length, and whether its characters have places of their own.
+    begin, size = np.zeros(2 * len(at) + 1, np.int32), np.zeros(2 * len(at) + 1, np.int32)
+    begin[2::2], begin[1::2] = at[:, 1], at[:, 0]
+    size[1::2], size[::2] = at[:, 2], np.append(at[:, 0], len(text)) - begin[::2]
+    plain = np.repeat(np.arange(len(size)) % 2 == 0, size)
+    starts = np.repeat(begin, size)
+    starts += np.where(plain, np.arange(len(starts)) - np.repeat(np.cumsum(size) - size, size), 0).astype(np.int32)
+    ends = np.where(plain, starts + 1, np.repeat(np.insert(np.zeros(len(at) + 1, np.int32), np.arange(1, len(at) + 1), at[:, 1]), size))
+    return "".join(out), starts, ends
 
 
 def bytes_of(m: re.Match) -> str:
@@ -145,24 +162,30 @@ def bytes_of(m: re.Match) -> str:
 
 
 def letter_of(m: re.Match) -> str:
-    code = int(m[1] or m[2] or m[3] or m[4], 16)
+    code = int(m[5]) if m[5] else int(m[1] or m[2] or m[3] or m[4], 16)
     return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "\ufffd"
 
 
 def decoded(layer: Layer):
     """The layers directly below, or an iterator of them, and ("oversize", start, end) for a run that is too large."""
     text = layer.text
-    for mark, kind, pattern, read in (("%", "url", ESCAPES, bytes_of), ("\\", "unicode", UNICODE, letter_of), ("&#x", "unicode", UNICODE, letter_of)):
+    for mark, kind, pattern, read in (("%", "url", ESCAPES, bytes_of), ("\\", "unicode", UNICODE, letter_of), ("&#", "unicode", UNICODE, letter_of)):
         if mark in text and pattern.search(text):
             yield layer.below(kind, *unescaped(pattern, text, read))
     for m in CODED.finditer(text):
         run = m[0].rstrip("=")
-        yield from run_layers(layer, run, range(m.start(), m.start() + len(run)), m.end())
+        yield from run_layers(layer, run, np.arange(m.start(), m.start() + len(run)), m.end())
+    for m in HEXED.finditer(text):
+        data = bytes.fromhex(m[0])
+        if (found := packed_layers(layer, data, m.start(), m.end(), "hex")) is not None:
+            yield from found
+        elif new := plain(data):
+            yield text_layer(layer, new, np.arange(m.start(), m.end()), 0, "hex")
     if "\n" in text:
         for run, places, end, last in blocks(text):
             cut = len(run) - last
             if (found := whole_layers(layer, run, places, end)) is None and cut > last:  # else the last line may be of what follows
-                found = whole_layers(layer, run[:cut], places[:cut], places[cut - 1] + 1)
+                found = whole_layers(layer, run[:cut], places[:cut], int(places[cut - 1]) + 1)
             yield from part_layers(layer, run, places) if found is None else found
 
 
@@ -184,7 +207,7 @@ def blocks(text: str):
             elif lines[at][1] - lines[at][0] < RUN:
                 at += 1
                 continue
-            places = [i for x in lines[at:to] for i in range(*x)]
+            places = np.concatenate([np.arange(*x) for x in lines[at:to]])
             yield "".join(text[i:j] for i, j in lines[at:to]), places, m.end() if to == len(lines) else lines[to - 1][1], lines[to - 1][1] - lines[to - 1][0]
             at = to - 1  # the last line may be the first of another block
 
@@ -197,17 +220,17 @@ def bytes_in(run: str) -> bytes:
         return b""
 
 
-def packed_layers(layer: Layer, data: bytes, start: int, end: int):
+def packed_layers(layer: Layer, data: bytes, start: int, end: int, kind: str = "base64"):
     """Of compressed data, its layers; None if it is none or holds no text."""
     try:
         packed = unpacked(data)
     except OverflowError:
-        return [("oversize", *layer.span(start, end)), chunks(layer, data, start, end)]
+        return [("oversize", *layer.span(start, end)), chunks(layer, data, start, end, kind)]
     new = plain(packed) if packed else None
-    return [layer.inside("base64+compressed", new, start, end)] if new else None
+    return [layer.inside(f"{kind}+compressed", new, start, end)] if new else None
 
 
-def chunks(layer: Layer, data: bytes, start: int, end: int):
+def chunks(layer: Layer, data: bytes, start: int, end: int, kind: str):
     """The text of a large compressed run, a part at a time; it ends at bytes that are no text."""
     unpack, read, text = zlib.decompressobj(47), codecs.getincrementaldecoder("utf-8")(), ""
     try:
@@ -217,26 +240,25 @@ def chunks(layer: Layer, data: bytes, start: int, end: int):
             if not (out or data):
                 return
             text += read.decode(out)
-            yield layer.inside("base64+compressed", text, start, end)
+            yield layer.inside(f"{kind}+compressed", text, start, end)
             text = text[max(0, len(text) - LARGEST, min(len(text) - OVERLAP, len(text.rstrip(RUNNING)))) :]
     except (zlib.error, UnicodeDecodeError):
         return
 
 
-def text_layer(layer: Layer, new: str, places, byte: int) -> Layer:
+def text_layer(layer: Layer, new: str, places: np.ndarray, byte: int, kind: str = "base64") -> Layer:
     """A text that starts at a byte of what the characters at these places decode to."""
-    at = []
-    for c in new:
-        size = len(c.encode())
-        at.append((places[byte * 4 // 3], places[min(len(places), -(-(byte + size) * 4 // 3)) - 1] + 1))
-        byte += size
-    return layer.below("base64", new, at)
+    up, down = (4, 3) if kind == "base64" else (2, 1)
+    code = np.frombuffer(new.encode("utf-32-le", "surrogatepass"), np.uint32)
+    ends = byte + np.cumsum(1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF))
+    starts = np.append(byte, ends[:-1])
+    return layer.below(kind, new, places[starts * up // down], places[np.minimum(len(places), -(-ends * up // down)) - 1] + 1)
 
 
 def whole_layers(layer: Layer, run: str, places, end: int):
     """The layers of a run decoded from its first character; None if it gives no text."""
     data = bytes_in(run)
-    if (found := packed_layers(layer, data, places[0], end)) is not None:
+    if (found := packed_layers(layer, data, int(places[0]), end)) is not None:
         return found
     new = plain(data)
     return [text_layer(layer, new, places, 0)] if new else None
@@ -246,7 +268,7 @@ def part_layers(layer: Layer, run: str, places):
     """The layers of the pieces of a run, and of the texts in what is left, from each alignment."""
     left, at = [], 0
     for m in PIECE.finditer(run):
-        if len(m[0]) < len(run) and (found := whole_layers(layer, m[0], places[m.start() : m.end()], places[m.end() - 1] + 1)) is not None:
+        if len(m[0]) < len(run) and (found := whole_layers(layer, m[0], places[m.start() : m.end()], int(places[m.end() - 1]) + 1)) is not None:
             yield from found
             left.append((at, m.start()))
             at = m.end()
@@ -254,7 +276,7 @@ def part_layers(layer: Layer, run: str, places):
         for k in range(start, min(start + 4, end - RUN + 1)):
             data, here = bytes_in(run[k:end]), places[k:end]
             for m in PACKED.finditer(data):
-                yield from packed_layers(layer, data[m.start() :], here[m.start() * 4 // 3], here[-1] + 1) or []
+                yield from packed_layers(layer, data[m.start() :], int(here[m.start() * 4 // 3]), int(here[-1]) + 1) or []
             text = data.decode("utf-8", "surrogateescape")
             for m in READABLE.finditer(text):
                 yield text_layer(layer, m[0], here, len(text[: m.start()].encode("utf-8", "surrogateescape")))

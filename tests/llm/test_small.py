@@ -4,6 +4,7 @@ import base64
 import gzip
 import random
 import re
+import tracemalloc
 import urllib.parse
 import zlib
 
@@ -169,6 +170,40 @@ def test_secret_layers_of_broken_runs(monkeypatch):
         assert set(secrets.spans_of(large)) == {("oversize", 0, len(large)), *plainly}
 
 
+def test_secret_layers_nested_at_random():
+    rng = random.Random(11)
+    wrap = {
+        "url": lambda x: "".join(f"%{b:02X}" for b in x.encode()),
+        "unicode": lambda x: "".join(rng.choice([f"\\u{ord(c):04x}", f"&#x{ord(c):x};", f"&#{ord(c)};"]) for c in x),
+        "base64": lambda x: base64.b64encode(x.encode()).decode(),
+        "hex": lambda x: x.encode().hex(),
+        "base64+compressed": lambda x: base64.b64encode(gzip.compress((x + " ").encode() * 3)).decode(),
+    }
+    for _ in range(150):
+        inner = "password=" + "".join(rng.choice("ghijkmnpqrstuvwxyzGHJKMN") for _ in range(14))
+        code, layers = inner, []
+        for _ in range(rng.randint(1, 3)):
+            kind = rng.choice(sorted(wrap))
+            if kind == "unicode" and layers[:1] == ["unicode"]:
+                continue
+            code, layers = wrap[kind](code), [kind, *layers]
+        text = f"é first {code} then {code} end"
+        first = len("é first ")
+        places = [first, first + len(code) + len(" then ")]
+        found = [s for s in secrets.spans_of(text) if s[0].startswith("assign@")]
+        for p in places:
+            assert any(p <= s[1] and s[2] <= p + len(code) and all(x in s[0] for x in layers) for s in found), (layers, text, found)
+
+
+def test_secrets_of_long_texts_in_little_memory():
+    for text in ["a b " * 500_000 + "tok%65n=abcdefghijklmnop", base64.b64encode(gzip.compress(b"many words " * 400_000 + b"token=abcdefghijklmnop")).decode(), "%41" * 500_000]:
+        tracemalloc.start()
+        found = secrets.spans_of(text)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 200_000_000 and (len(found) == 1 or text[0] == "%")
+
+
 def best_by_search(lengths, counts, room):
     sums = {0}
     for v, n in zip(lengths, counts):
