@@ -1,8 +1,14 @@
 """Personal data: patterns propose spans, checksums confirm them, words nearby adjust the score.
 
-Kinds: email, ip, card (Luhn) and phone as the base; iban (mod 97) always, and national_id
-where words nearby support it. Positions are code points, the end exclusive. Every pattern
-is scanned in time linear in the text. A null or empty text has no spans.
+Kinds: email, ip, card (Luhn) and phone as the base, always returned with their scores; and
+where the score reaches LEAST iban (mod 97), national_id, nir (mod 97), tax_id (mod 11, 10),
+dni (mod 23), nhs (mod 11), routing (3-7-1) and imei (Luhn). Words that speak for a kind raise its score and
+words that speak against personal data (an example, a version, an order) lower it, so most
+of these kinds need support nearby, and a version number like an address is not redacted.
+
+Positions are code points, the end exclusive. Every pattern is scanned in time linear in the
+whole text, however long. A null or empty text has no spans. Repeated rows each get their
+row, an empty table gives an empty one, and columns besides the id and the text play no part.
 """
 
 from __future__ import annotations
@@ -16,10 +22,10 @@ from pyspark.sql import functions as F
 from strata.llm.bpe import slices
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "iban", "national_id")
-#: Score of a confirmed span, what supporting words nearby add, and from which score a span counts.
-SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "national_id": 0.3}
-SUPPORT, LEAST, NEAR = 0.3, 0.5, 48
+KINDS = (*BASE, "iban", "national_id", "nir", "tax_id", "dni", "nhs", "routing", "imei")
+#: Score of a confirmed span, what words nearby add or take, and from which score a span counts.
+SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "national_id": 0.3, "nir": 0.6, "tax_id": 0.3, "dni": 0.3, "nhs": 0.3, "routing": 0.3, "imei": 0.3}
+SUPPORT, AGAINST, LEAST, NEAR = 0.3, 0.3, 0.5, 48
 NEARBY = {
     "email": "mail|e-mail|email|contact|correo|courriel|kontakt",
     "ip": "ip|address|host|server|adresse|direccion",
@@ -27,8 +33,16 @@ NEARBY = {
     "phone": "phone|tel|call|mobile|telefon|telephone|fax",
     "iban": "iban|bank|account|konto|compte|cuenta",
     "national_id": "ssn|social security|national id|identity|personal number",
+    "nir": "nir|insee|sécurité sociale|securite sociale|assuré|numéro de sécu",
+    "tax_id": "steuer-id|steuer-idnr|steueridentifikationsnummer|idnr|tax id|tax number",
+    "dni": "dni|nif|documento|identidad",
+    "nhs": "nhs|patient|health service",
+    "routing": "routing|aba|rtn|bank",
+    "imei": "imei|handset|device id",
 }
-WORDS = {k: re.compile(rf"(?<![^\W_])(?:{v})(?![^\W_])", re.I) for k, v in NEARBY.items()}
+#: Words that speak against personal data.
+OTHERS = "example|sample|dummy|placeholder|test|version|release|order no|invoice no|part no|sku|isbn|beispiel|exemple|ejemplo|versión"
+WORDS = {k: re.compile(rf"(?<![^\W_])(?:{v})(?![^\W_])", re.I) for k, v in (NEARBY | {"": OTHERS}).items()}
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -51,6 +65,39 @@ LENGTHS = {
 NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 
 
+NIR = re.compile(r"(?<![0-9])[12] ?[0-9]{2} ?(?:0[1-9]|1[0-2]) ?(?:[0-9]{2}|2[AB]) ?[0-9]{3} ?[0-9]{3} ?[0-9]{2}(?![0-9])")
+TAX_ID = re.compile(r"(?<![0-9])[1-9][0-9](?: ?[0-9]{3}){3}(?![0-9])")
+DNI = re.compile(r"(?<![0-9A-Za-z])[0-9]{8}-?[A-Z](?![0-9A-Za-z])")
+NHS = re.compile(r"(?<![0-9])[0-9]{3}([ -]?)[0-9]{3}\1[0-9]{4}(?![0-9])")
+ROUTING = re.compile(r"(?<![0-9])[0-9]{9}(?![0-9])")
+IMEI = re.compile(r"(?<![0-9])[0-9]{15}(?![0-9])")
+
+
+def nir(s: str) -> bool:
+    """The key is 97 less the number's rest; the departments 2A and 2B count as 19 and 18."""
+    s = s.replace("2A", "19").replace("2B", "18") if s[5:7] in ("2A", "2B") else s
+    return int(s[13:]) == 97 - int(s[:13]) % 97
+
+
+def tax_id(s: str) -> bool:
+    left = 10
+    for c in s[:10]:
+        left = ((left + int(c)) % 10 or 10) * 2 % 11
+    return (11 - left) % 10 == int(s[10])
+
+
+def dni(s: str) -> bool:
+    return "TRWAGMYFPDXBNJZSQVHLCKE"[int(s[:8]) % 23] == s[8]
+
+
+def nhs(s: str) -> bool:
+    return 11 - sum(int(c) * (10 - k) for k, c in enumerate(s[:9])) % 11 == (int(s[9]) or 11)
+
+
+def routing(s: str) -> bool:
+    return sum(int(c) * (3, 7, 1)[k % 3] for k, c in enumerate(s)) % 10 == 0 and int(s) > 0
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for k, c in enumerate(reversed(digits)):
@@ -97,6 +144,10 @@ def emails(text: str):
         at = text.find("@", max(at + 1, end))
 
 
+#: Kinds whose matches, without blanks and hyphens, are checked as they are.
+CHECKED = (("nir", NIR, nir), ("tax_id", TAX_ID, tax_id), ("dni", DNI, dni), ("nhs", NHS, nhs), ("routing", ROUTING, routing), ("imei", IMEI, luhn))
+
+
 def proposed(text: str):
     """(kind, start, end) of every span that its checksum or range confirms."""
     if "@" in text:
@@ -119,15 +170,18 @@ def proposed(text: str):
     yield from (("iban", *x) for x in accounts(text))
     if "-" in text:
         yield from (("national_id", m.start(), m.end()) for m in NATIONAL.finditer(text))
+    for kind, pattern, right in CHECKED:
+        yield from ((kind, m.start(), m.end()) for m in pattern.finditer(text) if right(m[0].replace(" ", "").replace("-", "")))
 
 
 def spans_of(text: str | None) -> list[tuple[str, int, int, float]]:
     """By kind as listed, then by start."""
     found = []
     for kind, start, end in proposed(text or ""):
-        near = WORDS[kind].search(text[max(0, start - NEAR) : start]) or WORDS[kind].search(text[end : end + NEAR])
-        score = min(1.0, SCORE[kind] + SUPPORT * bool(near))
-        if score >= LEAST:
+        around = (text[max(0, start - NEAR) : start], text[end : end + NEAR])
+        score = SCORE[kind] + SUPPORT * any(map(WORDS[kind].search, around)) - AGAINST * any(map(WORDS[""].search, around))
+        score = round(min(1.0, max(0.0, score)), 6)
+        if kind in BASE or score >= LEAST:
             found.append((kind, start, end, score))
     return sorted(found, key=lambda s: (KINDS.index(s[0]), s[1]))
 
@@ -146,10 +200,10 @@ def pii_spans(text: str | Column) -> Column:
 
 
 def redacted(text: str | Column) -> Column:
-    """The text with [KIND] for each span; overlapping spans become one, named by the first. Null stays null."""
+    """The text with [KIND] for each span that scores LEAST or more; overlapping ones become one, named by the first. Null stays null."""
 
     def blank(t: str | None) -> str | None:
-        found = sorted((s[1], -s[2], s[0]) for s in spans_of(t))
+        found = sorted((s[1], -s[2], s[0]) for s in spans_of(t) if s[3] >= LEAST)
         if not found:
             return t
         out, at = [], 0

@@ -15,6 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from plain import plain_pii, plain_secrets
 from strata.llm import ann, bpe, chat, neardup, pack, pii, secrets
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -66,23 +67,6 @@ def test_bpe_of_many_small_texts_in_small_windows(library, monkeypatch):
     assert [np.frombuffer(x, "<u4").tolist() for x in bpe.WordBPE(PATH).encode(texts)] == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
 
 
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
-PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-
-
-def plain_pii(text):
-    out = [("email", *m.span()) for m in EMAIL.finditer(text)]
-    out += [("ip", *m.span()) for m in IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
-    for m in CARD.finditer(text):
-        digits = re.sub("[ -]", "", m[0])
-        double = [int(c) * 2 if k % 2 else int(c) for k, c in enumerate(reversed(digits))]
-        if 16 <= len(digits) <= 19 and sum(v - 9 if v > 9 else v for v in double) % 10 == 0:
-            out.append(("card", *m.span()))
-    return out + [("phone", *m.span()) for m in PHONE.finditer(text) if 8 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
-
-
 PARTS = st.lists(st.sampled_from(["a@b.co", "@", ".", "1.2.3.4", "300.1.1.1", "4111 1111 1111 1111", "4111-1111", "+1 (555) 010-9999", "+", " ", "-", "5", "0", "é", "x", "a@b"]), max_size=25).map("".join)
 
 
@@ -98,7 +82,25 @@ def test_pii_checks_and_context():
     assert pii.spans_of(None) == [] and len(pii.spans_of("9" * 200_000 + "." + "a" * 200_000 + "@")) == 0
 
 
-ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+def test_pii_numbers_with_check_digits():
+    right = {"nir": "1 84 12 76 451 089 46", "tax_id": "86 095 742 719", "dni": "12345678Z", "nhs": "943 476 5919", "routing": "021000021", "imei": "490154203237518"}
+    words = {"nir": "NIR", "tax_id": "Steuer-ID", "dni": "DNI", "nhs": "NHS", "routing": "routing number", "imei": "IMEI"}
+    for kind, number in right.items():
+        text = f"{words[kind]} {number}"
+        assert (kind, text.index(number), len(text)) in [s[:3] for s in pii.spans_of(text)], kind
+        last = number[-1]
+        for other in "0123456789" if last.isdigit() else "ABCDEFGHIJKLMNOPQRSTUVWXYZ":
+            if other != last:
+                assert kind not in [s[0] for s in pii.spans_of(text[:-1] + other)]
+        if kind != "nir":
+            assert kind not in [s[0] for s in pii.spans_of(f"so many: {number}")]
+
+
+def test_pii_context_raises_and_lowers():
+    score = lambda t: {s[0]: s[3] for s in pii.spans_of(t)}
+    assert score("see 10.1.2.3")["ip"] == 0.6 and score("server 10.1.2.3")["ip"] == 0.9 and score("version 10.1.2.3")["ip"] == 0.3
+    assert score("for example IBAN GB82 WEST 1234 5698 7654 32")["iban"] == 0.9
+    assert score("ssn 123-45-6789") == {"national_id": 0.6} and score("test ssn 123-45-6789") == {}
 
 
 def test_accounts_before_other_words():
@@ -113,13 +115,6 @@ def test_accounts_before_other_words():
         assert [text[s[1] : s[2]] for s in pii.spans_of(text) if s[0] == "iban"] == ibans
 
 
-def plain_secrets(text):
-    out = [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
-    out += [("access", *m.span()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
-    out += [("hex", *m.span()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 16]
-    return sorted(out, key=lambda s: (s[1], secrets.BASE.index(s[0])))
-
-
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from(["password", "ſecret", "Token", "api_key", "APIKEY", "=", ":", " ", '"', "AKIA", "ABCDEFGHIJKLMNOP", "0123456789abcdef", "zz", "é", "%41", "\\u0041", "abcdefghijkl"]), max_size=20).map("".join))
 def test_secret_base_is_the_plain_rule(text):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from compare import assert_same, connected
+from plain import plain_pii, plain_secrets
 from strata.llm import ann, chat, langid, neardup, pack, pii, quality, registry, secrets, shard
 
 FOLDER = "/root/testdata/sf0.001"
@@ -241,7 +242,7 @@ def test_pipeline_against_a_plain_one(spark):
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     want = set()
     for d, t in kept.items():
-        for kind, start, end, _ in sorted(pii.spans_of(t), key=lambda s: -s[1]):
+        for kind, start, end, _ in sorted((s for s in pii.spans_of(t) if s[3] >= pii.LEAST), key=lambda s: -s[1]):
             t = f"{t[:start]}[{kind.upper()}]{t[end:]}"
         ids = [*library.encode(t, add_special_tokens=False).ids, 0]
         for n, i in enumerate(range(0, len(ids), 2048)):
@@ -280,8 +281,20 @@ def test_pipeline_decides_by_row(spark):
     assert told(corpus_pipeline.language_id(spark, spark.createDataFrame(rows + mixed, schema), FOLDER)) == want(rows)
 
 
+@pytest.mark.parametrize("name, plain, helper, kinds", [("op1_pii", plain_pii, pii, pii.BASE), ("op8_secrets", plain_secrets, secrets, secrets.BASE)])
+def test_span_queries_against_plain_patterns(spark, odd, name, plain, helper, kinds):
+    for folder in (FOLDER, odd):
+        rows = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
+        want = Counter()
+        for d, t in rows:
+            base = plain(t or "")
+            told = lambda spans: ",".join(f"{s[0]}:{s[1]}:{s[2]}" for s in spans)
+            want[(d, *(sum(s[0] == k for s in base) for k in kinds), hashlib.sha256(told(base).encode()).hexdigest(), told(helper.spans_of(t)))] += 1
+        assert Counter(map(tuple, registry.QUERIES[name](spark, folder).collect())) == want
+
+
 def test_redaction_and_digests(spark):
-    df = spark.createDataFrame([("write to a@b.co or 1.2.3.4 now",), (None,)], "text string")
-    assert [r[0] for r in df.select(pii.redacted("text")).collect()] == ["write to [EMAIL] or [IP] now", None]
+    df = spark.createDataFrame([("write to a@b.co or 1.2.3.4 now",), (None,), ("version 1.2.3.4",)], "text string")
+    assert [r[0] for r in df.select(pii.redacted("text")).collect()] == ["write to [EMAIL] or [IP] now", None, "version 1.2.3.4"]
     found = df.select(pii.joined(pii.pii_spans("text")), pii.joined(secrets.secret_spans("text"))).collect()
     assert found[0][0] == "email:9:15,ip:19:26" and found[1][0] == found[0][1] == ""
