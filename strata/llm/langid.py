@@ -7,18 +7,20 @@ Four kinds of evidence meet in one posterior:
   probability DECLARED;
 - the address suffix (such as .fr) and the host, as priors: how the texts of a host
   divide over languages, smoothed towards its suffix and that towards all, from grouped
-  sums over the whole table.
+  sums over the whole table, less what the row itself added to them: no evidence counts twice.
 
 The languages are all labels of all rows. The text model is fitted on about SAMPLE labelled
 rows, chosen by a hash of their id and text, and on about EACH of every language at least
-(all of a rarer one); everything else covers every row. A text whose trigrams are less likely than chance
+(all of a rarer one); everything else covers every row. More than LABELS different labels
+are an error: such a column does not name languages. A text whose trigrams are less likely than chance
 under each language is of no known language ("und") and is rejected, as is one whose
 posterior stays under LEAST.
 
 Nulls: a null text is empty; a text without letters or words has no likelihood, so the other
 evidence decides; without any it is und. A null label is left out of the fit, a null or
 unknown declaration says nothing, a null host is a host of its own. An empty table gives
-an empty one. Repeated rows each count and each get their row.
+an empty one. Repeated rows each count and each get their row. Texts are read whole, however
+long. Columns besides those named play no part.
 """
 
 from __future__ import annotations
@@ -30,13 +32,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm.bpe import slices
 from strata.session import written
 
-BITS, SAMPLE, EACH = 15, 20_000, 1000
+BITS, SAMPLE, EACH, LABELS = 15, 20_000, 1000, 400
 STRONGEST, DECLARED, LEAST, PSEUDO = 60.0, 0.9, 0.5, 20.0
 #: Mean log-likelihood below which a text of ENOUGH trigrams fits a language less than chance does.
 CHANCE, ENOUGH = -math.log(1 << BITS), 20
@@ -56,8 +58,10 @@ def trigrams(text: str | None) -> np.ndarray:
 def fitted(docs: DataFrame, label: str = "lang", sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """Languages and the log-likelihood of each trigram (rows) in each (columns)."""
     known = docs.where(F.col(label).isNotNull()).select("doc_id", "text", F.col(label).cast("string").alias("label"))
-    sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}  # a row for each language
+    sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().limit(LABELS + 1).collect()}
     langs, total = sorted(sizes), max(1, sum(sizes.values()))
+    if len(langs) > LABELS:
+        raise ValueError(f"{len(langs)} different labels; {LABELS} languages at most")
     # The hash below which a row is taken, of the languages that need more than the common share.
     share = {x: math.ceil(min(1.0, max(sample / total, EACH / n)) * (1 << 20)) for x, n in sizes.items()}
     common = math.ceil(min(1.0, sample / total) * (1 << 20))
@@ -90,12 +94,15 @@ def fitted(docs: DataFrame, label: str = "lang", sample: int = SAMPLE) -> tuple[
 
 
 def likelihoods(text: str | Column, model: tuple[list[str], np.ndarray]) -> Column:
-    """struct<n, ll>: a text's number of trigrams and its mean log-likelihood in each language."""
-    spark_model = model[1]
+    """struct<n, ll>: a text's number of trigrams and its mean log-likelihood in each language.
+
+    The model, at most 2 ** BITS x LABELS numbers of four bytes, is sent once to each executor.
+    """
+    sent = SparkSession.getActiveSession().sparkContext.broadcast(model[1])
 
     @F.arrow_udf("struct<n:long,ll:array<double>>")
     def score(column: pa.Array) -> pa.Array:
-        table = spark_model
+        table = sent.value
         counts, means = [], []
         for part in slices(column):
             for t in part:
@@ -130,25 +137,30 @@ def identified(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFram
     weight = F.when(F.col("t.n") > 0, F.least(F.col("t.n"), F.lit(STRONGEST)) * 1.0).otherwise(0.0)
     strange = (F.col("t.n") >= ENOUGH) & (F.array_max("t.ll") < CHANCE)
     seen = keys.select("doc_id", "declared", "host", "suffix", F.col("t.n").alias("n"), F.transform("t.ll", lambda x: x * weight).alias("ll"), said.alias("said"), strange.alias("strange"))
-    seen = written(seen, "evidence")
-    # How a host's texts divide, by text and declaration alone; the sums of a hot host are taken before the shuffle.
+    # What a row adds to its host: how its text and declaration alone divide over the languages; nothing if it says nothing.
     alone = softmax(F.when(F.col("said").isNull(), F.col("ll")).otherwise(F.zip_with("ll", "said", lambda a, b: a + b)))
-    shares = seen.where(~F.col("strange") & ((F.col("n") > 0) | F.col("said").isNotNull())).select("host", "suffix", alone.alias("p"))
-    sums = [F.sum(F.col("p")[k]).alias(f"p{k}") for k in range(len(langs))]
+    adds = ~F.col("strange") & ((F.col("n") > 0) | F.col("said").isNotNull())
+    seen = written(seen.withColumn("own", F.when(adds, alone)), "evidence")
+    sums = [F.sum(F.col("own")[k]).alias(f"p{k}") for k in range(len(langs))]
     again = [F.sum(f"p{k}").alias(f"p{k}") for k in range(len(langs))]
-    by_host = written(shares.groupBy("host", "suffix").agg(*sums), "hosts")
+    by_host = written(seen.where(F.col("own").isNotNull()).groupBy("host", "suffix").agg(*sums), "hosts")  # sums of a hot host are taken before the shuffle
     by_suffix = by_host.groupBy("suffix").agg(*again)
-    whole = by_host.agg(*again).first()
-    total = sum(x or 0.0 for x in whole)
-    overall = [((x or 0.0) + 1) / (total + len(langs)) for x in whole]
-
-    def smoothed(prior: list[Column]) -> list[Column]:
-        size = sum((F.col(f"p{k}") for k in range(len(langs))), F.lit(0.0))
-        return [(F.col(f"p{k}") + PSEUDO * prior[k]) / (size + PSEUDO) for k in range(len(langs))]
-
-    suffixes = by_suffix.select("suffix", F.array(*smoothed([F.lit(x) for x in overall])).alias("up"))
-    hosts = by_host.join(suffixes, "suffix").select("host", "suffix", F.array(*smoothed([F.col("up")[k] for k in range(len(langs))])).alias("prior"))
-    fused = seen.join(hosts, ["host", "suffix"], "left").withColumn("prior", F.transform(F.coalesce("prior", F.array(*[F.lit(x) for x in overall])), lambda x: F.log(x)))
+    whole = [x or 0.0 for x in by_host.agg(*again).first()]
+    shares = F.array(*[F.col(f"p{k}") for k in range(len(langs))])
+    hosts = by_host.select("host", "suffix", shares.alias("of_host")).join(by_suffix.select("suffix", shares.alias("of_suffix")), "suffix")
+    nothing = F.array(*[F.lit(0.0)] * len(langs))
+
+    def smoothed(counts: Column, prior: Column, weight: float | Column) -> Column:
+        """Shares of the counts less the row's own, with a prior of so much weight."""
+        others = F.zip_with(counts, F.coalesce("own", nothing), lambda a, b: F.greatest(a - b, F.lit(0.0)))
+        size = F.aggregate(others, F.lit(0.0), lambda a, b: a + b) + weight
+        return F.zip_with(others, prior, lambda a, b: (a + weight * b) / size)
+
+    fused = seen.join(hosts, ["host", "suffix"], "left")
+    fused = fused.withColumn("prior", smoothed(F.array(*map(F.lit, whole)), F.array(*[F.lit(1.0 / len(langs))] * len(langs)), float(len(langs))))
+    for counts in ("of_suffix", "of_host"):
+        fused = fused.withColumn("prior", smoothed(F.coalesce(counts, nothing), F.col("prior"), PSEUDO))
+    fused = fused.withColumn("prior", F.transform("prior", lambda x: F.log(x)))
     logs = F.zip_with("ll", "prior", lambda a, b: a + b)
     post = softmax(F.when(F.col("said").isNull(), logs).otherwise(F.zip_with(logs, "said", lambda a, b: a + b)))
     out = fused.withColumn("post", post).withColumn("posterior", F.array_max("post"))
@@ -163,7 +175,43 @@ def of_documents(docs: DataFrame, more: Column | None = None) -> DataFrame:
     return docs.select("doc_id", "text", F.col("lang").alias("declared"), F.col("source").alias("host"), suffix.alias("suffix"))
 
 
-TAG = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
+OPEN, CLOSE = re.compile(r"<(script|style)\b", re.I), {x: re.compile(rf"</{x}\s*>", re.I) for x in ("script", "style")}
+
+
+def visible(page: str) -> str:
+    """A page's text: comments, scripts, styles and tags become blanks, and character references are read.
+
+    What is never closed is a tag like any other. Takes time linear in the page.
+    """
+    out, here, endless = [], 0, set()
+
+    def after(name: str, start: int) -> int | None:
+        """Where what opens at start ends; nothing is looked for again where it was missing."""
+        if name not in endless:
+            if name == "comment":
+                if (end := page.find("-->", start + 4)) >= 0:
+                    return end + 3
+            elif m := CLOSE[name].search(page, start):
+                return m.end()
+            endless.add(name)
+        return None
+
+    while (at := page.find("<", here)) >= 0:
+        out.append(page[here:at])
+        end = None
+        if m := OPEN.match(page, at):
+            end = after(m[1].lower(), m.end())
+        elif page.startswith("<!--", at):
+            end = after("comment", at)
+        if end is None:
+            end = page.find(">", at) + 1
+        if not end:
+            out.append(page[at:])
+            here = len(page)
+            break
+        out.append(" ")
+        here = end
+    return html.unescape("".join([*out, page[here:]]))
 
 
 def of_pages(pages: DataFrame) -> DataFrame:
@@ -171,10 +219,10 @@ def of_pages(pages: DataFrame) -> DataFrame:
 
     @F.arrow_udf("string")
     def words(column: pa.Array) -> pa.Array:
-        return pa.array([html.unescape(TAG.sub(" ", t or "")) for part in slices(column) for t in part], pa.string())
+        return pa.array([visible(t or "") for part in slices(column) for t in part], pa.string())
 
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z]+://([^/:?#]+)", 1))
-    declared = F.nullif(F.lower(F.regexp_extract(F.coalesce("html", F.lit("")), r"""(?i)<html[^>]*?\blang\s*=\s*["']?([A-Za-z]{2,3})""", 1)), F.lit(""))
+    declared = F.nullif(F.lower(F.regexp_extract(F.coalesce("html", F.lit("")), r"""(?i)<html[^>]{0,1000}?\blang\s*=\s*["']?([A-Za-z]{2,3})""", 1)), F.lit(""))
     return pages.select(F.col("page_id").alias("doc_id"), words("html").alias("text"), declared.alias("declared"), F.substring_index(host, ".", -3).alias("host"), F.substring_index(host, ".", -1).alias("suffix"))
 
 

@@ -1,7 +1,11 @@
 """The operators over whole tables: against SQL, brute force, and a fixture of odd rows."""
 
 import hashlib
+import html
+import math
+import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -173,6 +177,79 @@ def test_language_evidence_and_rejection(spark):
     assert got[2]["lang"] == got[3]["lang"] == "und" and not got[3]["kept"]
 
 
+def brute_languages(rows, fit):
+    """[(lang, posterior, kept)] of rows (text, declared, host, suffix) with a model of all of fit (text, lang)."""
+    langs = sorted({x for _, x in fit if x is not None})
+    counts = {x: Counter() for x in langs}
+    for t, x in fit:
+        if x is not None:
+            counts[x].update(langid.trigrams(t).tolist())
+    size = 1 << langid.BITS
+    chance = lambda x, i: math.log((counts[x][i] + 0.5) / (sum(counts[x].values()) + size / 2))
+    share = lambda logs: [math.exp(v - max(logs)) / sum(math.exp(w - max(logs)) for w in logs) for v in logs]
+    seen, own = [], []
+    for t, declared, host, suffix in rows:
+        at = langid.trigrams(t).tolist()
+        mean = [sum(chance(x, i) for i in at) / max(len(at), 1) for x in langs]
+        ll = [m * min(len(at), langid.STRONGEST) for m in mean]
+        said = [math.log(langid.DECLARED if x == declared else (1 - langid.DECLARED) / max(1, len(langs) - 1)) for x in langs] if declared in langs else None
+        strange = len(at) >= langid.ENOUGH and max(mean) < langid.CHANCE
+        both = [a + b for a, b in zip(ll, said or [0.0] * len(langs))]
+        seen.append((both, strange, not at and not said, host or "", suffix or ""))
+        own.append(None if strange or not (at or said) else share(both))
+    out = []
+    whole, hosts, suffixes = Counter(), Counter(), Counter()
+    for p, (_, _, _, h, s) in zip(own, seen):
+        for k, v in enumerate(p or []):
+            whole[k] += v
+            suffixes[s, k] += v
+            hosts[h, s, k] += v
+    for p, (both, strange, blank, h, s) in zip(own, seen):
+        prior = [1 / len(langs)] * len(langs)
+        for of, weight in ((lambda k: whole[k], len(langs)), (lambda k: suffixes[s, k], langid.PSEUDO), (lambda k: hosts[h, s, k], langid.PSEUDO)):
+            n = [max(0.0, of(k) - (p[k] if p else 0)) for k in range(len(langs))]
+            prior = [(a + weight * b) / (sum(n) + weight) for a, b in zip(n, prior)]
+        post = share([a + math.log(b) for a, b in zip(both, prior)])
+        out.append(("und" if strange or blank else langs[post.index(max(post))], max(post), not strange and not blank and max(post) >= langid.LEAST))
+    return out
+
+
+def test_language_queries_against_brute_force(spark, odd):
+    tag = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
+    for folder in (FOLDER, odd):
+        docs = spark.read.parquet(f"{folder}/documents.parquet").collect()
+        fit = [(r["text"], r["lang"]) for r in docs]
+        rows = [(r["text"], r["lang"], r["source"], r["source"].rsplit(".", 1)[1] if "." in (r["source"] or "") else None) for r in docs]
+        told = lambda x: sorted((str(i), lang, round(p, 6), k) for i, lang, p, k in x)
+        got = langid.query(spark, folder).collect()
+        assert told((r["doc_id"], r["lang"], r["posterior"], r["kept"]) for r in got) == told((r["doc_id"], *x) for r, x in zip(docs, brute_languages(rows, fit)))
+        pages, rows = spark.read.parquet(f"{folder}/pages.parquet").collect(), []
+        for r in pages:
+            address = re.match(r"[A-Za-z]+://([^/:?#]+)", r["url"] or "")
+            host = address[1].lower() if address else ""
+            declared = re.search(r"""(?i)<html[^>]*?\blang\s*=\s*["']?([A-Za-z]{2,3})""", r["html"] or "")
+            rows.append((html.unescape(tag.sub(" ", r["html"] or "")), declared and declared[1].lower(), ".".join(host.split(".")[-3:]), host.split(".")[-1]))
+        got = langid.page_query(spark, folder).collect()
+        assert told((r["page_id"], r["lang"], r["posterior"], r["kept"]) for r in got) == told((r["page_id"], *x) for r, x in zip(pages, brute_languages(rows, fit)))
+
+
+def test_visible_text_is_linear_and_like_the_plain_pattern():
+    tag = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
+    rng = random.Random(6)
+    parts = ["<script>", "</script >", "<STYLE", "</style>", "<!--", "-->", "<", ">", "<p>", "a", "&amp;", "<!-->", "\n"]
+    for _ in range(3000):
+        page = "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
+        assert langid.visible(page) == html.unescape(tag.sub(" ", page)), page
+    began = time.perf_counter()
+    langid.visible("<script <!-- <style " * 100_000)
+    assert time.perf_counter() - began < 5
+
+
+def test_more_labels_than_languages_are_refused(spark):
+    with pytest.raises(ValueError):
+        langid.fitted(spark.range(500).select(F.col("id").alias("doc_id"), F.lit("a text").alias("text"), F.col("id").cast("string").alias("lang")))
+
+
 def test_rare_languages_are_known(spark):
     word = lambda base, k: " ".join(f"{base}{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}" for _ in range(8))
     rows = [(k, word("the", k), "en") for k in range(3000)] + [(None, word("łóż", k), "pl") for k in range(4)] + [(9000, "1 2 3", "xx"), (9001, None, None)]
