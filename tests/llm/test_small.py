@@ -247,17 +247,18 @@ def test_chat_reads_back_what_it_wrote():
     assert [x[:2] for x in chat.read_back(text)] == [("user", "<|end|> ok"), ("a\nb\\", "[INST] </s>")]
 
 
-def test_error_bound_keeps_the_nearest():
-    rng = np.random.default_rng(0)
-    m = rng.standard_normal((800, 32))
+@pytest.mark.parametrize("dim", [3, 32, 64, 100, 200])
+def test_codes_keep_the_nearest(dim):
+    rng = np.random.default_rng(dim)
+    m = rng.standard_normal((3000, dim))
+    m[7] = m[1999]
+    ids = rng.permutation(3000)
     mean = ann.units(m).mean(0)
-    turn = ann.rotation(32)
-    rest = ann.units(m) - mean
-    length = np.linalg.norm(rest, axis=1)
-    turned = rest @ turn.T
-    scalars = np.stack([length, np.abs(turned).sum(1) / np.sqrt(32) / length, rest @ mean])
-    ids = np.arange(800)
-    got = ann.best(ids, m, np.packbits(turned > 0, axis=1), scalars, mean, turn, ids[:20], m[:20], 5)
-    exact = ann.units(m[:20]) @ ann.units(m).T
-    exact[np.arange(20), np.arange(20)] = -2
-    assert [v for _, v, _ in got] == np.argsort(-exact, axis=1)[:, :5].ravel().tolist()
+    asked = ann.Asked(ids[:40], m[:40], mean, 5)
+    for i in range(0, 3000, 700):
+        asked.meet(ann.Codes.read(ann.Codes.of(ids[i : i + 700], m[i : i + 700], mean).record().to_pylist()[0]))
+    exact = ann.units(m[:40]) @ ann.units(m).T
+    exact[np.arange(40), np.arange(40)] = -2
+    want = ids[np.argsort(-exact, axis=1)[:, :5]]
+    assert np.mean([len(set(a) & set(b)) / 5 for a, b in zip(asked.found.tolist(), want.tolist())]) >= 0.99
+    assert np.abs(np.sort(asked.score)[:, ::-1] - asked.score).max() == 0
