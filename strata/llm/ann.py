@@ -178,7 +178,7 @@ class Asked:
     def take(self, i: int, some: np.ndarray, codes: Codes) -> None:
         """Add some of the codes to what query i has, as far as they are among its k nearest."""
         if len(some) > self.k:  # exact sums only where they can matter
-            rough = codes.m[some] @ self.q[i] / codes.scalars[3, some]
+            rough = np.einsum("ij,j->i", codes.m[some], self.q[i]) / codes.scalars[3, some]  # in one thread
             some = some[rough >= max(np.partition(rough, len(some) - self.k)[len(some) - self.k], self.score[i, -1] * self.size[i]) - 1e-9 * np.abs(rough).max()]
         known = np.isfinite(self.score[i])
         score, ids = np.append(self.score[i][known], self.exact(i, some, codes)), np.append(self.found[i][known], codes.ids[some])
