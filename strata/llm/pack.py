@@ -24,8 +24,8 @@ from pyspark.sql.window import Window
 from strata.llm.bpe import portions, text_buffers, vocabulary
 from strata.session import written
 
-#: Parts of a length's pieces that are numbered apart, so that no length is one task's.
-PARTS = 64
+#: Pieces of one length that are numbered in one task, about.
+TOGETHER = 1_000_000
 
 
 def fullest(lengths: list[int], counts: list[int], room: int) -> list[tuple[int, int]]:
@@ -113,14 +113,19 @@ def packed(table: DataFrame, capacity: int = 2048, order: tuple[str, ...] = ())
     sequence_id or offset are replaced. An empty table gives an empty one.
     """
     table = table.drop("sequence_id", "offset")
-    salted = table.withColumn("_part", F.pmod(F.xxhash64(*(order or table.columns)), F.lit(PARTS)))
-    sizes = salted.groupBy("length", "_part").count().collect()  # at most capacity * PARTS rows
+    lengths = table.groupBy("length").count().collect()  # at most capacity rows
+    if any(not 1 <= r["length"] <= capacity for r in lengths):
+        raise ValueError(f"there are pieces that do not fit into {capacity}")
+    # A common length is dealt over many parts, which are numbered apart; so no length is one task's.
+    parts = {r["length"]: max(1, -(-r["count"] // TOGETHER)) for r in lengths}
+    common = {k: n for k, n in parts.items() if n > 1}
+    of = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kn in common.items() for x in kn]), F.col("length")), F.lit(1)) if common else F.lit(1)
+    salted = table.withColumn("_part", F.pmod(F.xxhash64(*(order or table.columns)), of).cast("int"))
+    sizes = salted.groupBy("length", "_part").count().collect()  # at most capacity + pieces / TOGETHER rows
     counts: dict[int, int] = {}
     before: dict[int, int] = {}
     for r in sorted(sizes, key=lambda r: (r["length"], r["_part"])):
-        if not 1 <= r["length"] <= capacity:
-            raise ValueError(f"a piece of length {r['length']} does not fit into {capacity}")
-        before[r["length"] * PARTS + r["_part"]] = counts.get(r["length"], 0)
+        before[r["length"] << 32 | r["_part"]] = counts.get(r["length"], 0)
         counts[r["length"]] = counts.get(r["length"], 0) + r["count"]
     keys, first, each, bins, places = [], [], [], [], []
     taken: dict[int, int] = {}
@@ -143,7 +148,7 @@ def packed(table: DataFrame, capacity: int = 2048, order: tuple[str, ...] = ())
     def place_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             length = pdf["length"].to_numpy(np.int64)
-            number = pdf.pop("_number").to_numpy(np.int64) - 1 + starts[np.searchsorted(slots, length * PARTS + pdf.pop("_part").to_numpy(np.int64))]
+            number = pdf.pop("_number").to_numpy(np.int64) - 1 + starts[np.searchsorted(slots, length << 32 | pdf.pop("_part").to_numpy(np.int64))]
             at = np.searchsorted(keys, length << 44 | number, side="right") - 1
             beyond = number - first[at]
             yield pdf.assign(sequence_id=bins[at] + beyond // each[at], offset=places[at] + beyond % each[at] * length)

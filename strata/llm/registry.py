@@ -10,6 +10,7 @@ QUERIES = {
     "op2_nearest_vectors": ann.query,
     "op3_near_duplicates": neardup.query,
     "op4_chat_format": chat.query,
+    "op4_reply_trees": chat.tree_query,
     "op5_language_id": langid.query,
     "op5_language_id_pages": langid.page_query,
     "op6_best_fit_packing": pack.query,
@@ -23,5 +24,6 @@ ORACLES: dict[str, str] = {
     "op2_nearest_vectors": ann.SQL,
     "op3_near_duplicates": neardup.SQL,
     "op4_chat_format": chat.SQL,
+    "op4_reply_trees": chat.TREE_SQL,
     "op7_quality_rules": quality.SQL,
 } | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -7,7 +7,9 @@ how many bytes precede it, which decides its shard. So shards differ by about on
 
 The key is the text's hash and the row's number in the scan: equal texts stand together
 and are only parted where a shard is full. A null text has no bytes. An empty table gives
-an empty one; repeated rows are rows like any other.
+an empty one; repeated rows are rows like any other; very long texts are whole rows. Columns
+besides the id and the text play no part. At most MOST ranges are cut, so beyond MOST x ROWS
+rows a range, and with it a task, grows with the table.
 """
 
 from __future__ import annotations
@@ -66,11 +68,11 @@ def sharded(docs: DataFrame, shards: int = 40, overhead: int = 16) -> DataFrame:
     rows, total = table.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     parts = int(min(MOST, max(4 * shards, rows // ROWS)))
     cuts = quantiles(sampled(table, parts * SAMPLED, total), parts)
-    for _ in range(4):
+    for again in range(5):
         parted = ranged(table, cuts)
         sums = {r["_range"]: (r["n"], r["s"]) for r in parted.groupBy("_range").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s")).collect()}
         full = [k for k, (n, s) in sums.items() if n > 1 and s > 4 * total / parts]
-        if not full:
+        if not full or again == 4:  # the sums are always those of the last cuts
             break
         within = sum(sums[k][1] for k in full)
         inside = sampled(parted.where(F.col("_range").isin(full)), SAMPLED * parts * within / total, within)

@@ -65,7 +65,7 @@ def test_empty_and_odd_tables(spark, odd, empty, name):
     assert none.count() == (1 if name == "op4_chat_format" else 0)
     got = registry.QUERIES[name](spark, odd)
     n = got.count()
-    if name.startswith("op") and name not in ("op2_nearest_vectors", "op4_chat_format", "op5_language_id_pages", "op6_best_fit_packing"):
+    if name.startswith("op") and name not in ("op2_nearest_vectors", "op4_chat_format", "op4_reply_trees", "op5_language_id_pages", "op6_best_fit_packing"):
         assert n == len(odd_rows())
     assert n > 0 and got.columns == none.columns
 
@@ -116,6 +116,30 @@ def test_packing(spark, odd):
     assert got["sequence_id"].nunique() == -(-got["length"].sum() // 2048) or got["sequence_id"].nunique() <= 1.02 * got["length"].sum() / 2048 + 1
 
 
+def test_packing_of_common_lengths(spark, monkeypatch):
+    monkeypatch.setattr(pack, "TOGETHER", 50)
+    rows = [(k, 2048 if k % 2 else 1 + k % 37) for k in range(2000)]
+    got = pack.packed(spark.createDataFrame(rows, "doc_id long, length long"), order=("doc_id",)).toPandas()
+    assert sorted(got[["doc_id", "length"]].itertuples(index=False, name=None)) == rows
+    total = got["length"].sum()
+    assert got["sequence_id"].nunique() == -(-total // 2048)
+    for _, g in got.sort_values("offset").groupby("sequence_id"):
+        assert (g["offset"] == g["length"].cumsum() - g["length"]).all() and g["length"].sum() <= 2048
+
+
+@pytest.mark.parametrize("rows", [400, 3000])
+def test_sharding_after_many_cuts(spark, monkeypatch, rows):
+    """Sizes over many orders of magnitude, so that ranges are cut again until the last round."""
+    monkeypatch.setattr(shard, "SAMPLED", 1)
+    table = [(k, "x" * int(2 ** (k % 17)) + str(k)) for k in range(rows)]
+    got = shard.sharded(spark.createDataFrame(table, "doc_id long, text string"), 10).toPandas()
+    assert len(got) == rows
+    for _, g in got.groupby("shard"):
+        assert sorted(g["slot"]) == list(range(len(g)))
+    sums = got.groupby("shard")["size"].sum()
+    assert sums.max() - sums.min() <= 2 * got["size"].max()
+
+
 def test_sharding(spark):
     rows = [(k, "hot text " * 20 if k % 3 == 0 else f"text {k} " * (k % 50)) for k in range(3000)] + [(None, None)]
     got = shard.sharded(spark.createDataFrame(rows, "doc_id long, text string"), 40).toPandas()
