@@ -85,6 +85,27 @@ def kinds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return kind, lead
 
 
+def window_end(data: np.ndarray, begins: np.ndarray, here: int) -> int:
+    """Where the window that begins here ends: at white space or at another text."""
+    end = here + WINDOW
+    if end >= len(data):
+        return len(data)
+    next_text = int(begins[np.searchsorted(begins, end)])
+    while end < next_text:
+        blank = np.flatnonzero(CLASS[data[end : min(end + WINDOW, next_text)]] == 0)
+        if len(blank):
+            return end + int(blank[0])
+        end += WINDOW
+    return next_text
+
+
+def stretches(data: np.ndarray, solid: np.ndarray, start: np.ndarray) -> pa.Array:
+    """The solid bytes of data, cut where start says, as an Arrow array."""
+    kept = data[solid]
+    ends = np.append(np.flatnonzero(start[solid]), len(kept)).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(kept)])
+
+
 def units(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The units of a window, in lower case but for whole chunks, and where each begins; begins: where texts do."""
     (kind, lead), low = kinds(data), LOWER[data]
@@ -118,10 +139,7 @@ def units(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         inside = np.repeat(whole, np.diff(np.append(at, len(data))))
         start[at[0] :] = np.where(inside, chunk[at[0] :], start[at[0] :])
         low[at[0] :] = np.where(inside, data[at[0] :], low[at[0] :])
-    place = np.flatnonzero(start)
-    kept = low[solid]
-    ends = np.append(np.flatnonzero(start[solid]), len(kept)).astype(np.int64)
-    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(place), [None, pa.py_buffer(ends), pa.py_buffer(kept)]), place
+    return stretches(low, solid, start), np.flatnonzero(start)
 
 
 def restarted(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -372,7 +390,7 @@ class WordBPE:
         out, at, done = [], [], 0
         here = 0
         while here < len(data):
-            end = self.window(data, begins, here)
+            end = window_end(data, begins, here)
             own = begins[np.searchsorted(begins, here) : np.searchsorted(begins, end)] - here
             found, place = units(data[here:end], own)
             coded = found.dictionary_encode()
@@ -385,20 +403,6 @@ class WordBPE:
         at.append(np.full(len(begins) - sum(map(len, at)), done, np.int64))
         return np.concatenate([np.zeros(0, "<u4"), *out]), np.concatenate(at)
 
-    @staticmethod
-    def window(data: np.ndarray, begins: np.ndarray, here: int) -> int:
-        """Where the window that begins here ends: at white space or at another text."""
-        end = here + WINDOW
-        if end >= len(data):
-            return len(data)
-        next_text = int(begins[np.searchsorted(begins, end)])
-        while end < next_text:
-            blank = np.flatnonzero(CLASS[data[end : min(end + WINDOW, next_text)]] == 0)
-            if len(blank):
-                return end + int(blank[0])
-            end += WINDOW
-        return next_text
-
     def encode(self, texts: list[str | None]) -> list[bytes]:
         ids, at = self.encoded(*text_buffers(pa.array(texts, pa.string())))
         return [ids[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]

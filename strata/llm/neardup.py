@@ -31,8 +31,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.bpe import slices
-from strata.session import written
+from strata.llm.bpe import CLASS, LOWER, portions, stretches, text_buffers, window_end
+from strata.session import removed, written
 
 WORDS, LEAST, OF = 5, 75, 100
 REGISTERS, PER_BAND = 128, 4
@@ -40,7 +40,7 @@ BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
 #: The estimate's standard deviation is at most 0.039 at the least similarity; five of them are allowed for.
 NEAR = LEAST / OF - 5 * 0.039
 #: Buckets up to SMALL classes give pairs; larger ones are compared in blocks of BLOCK.
-SMALL, BLOCK, REMEMBER = 16, 512, 400_000
+SMALL, BLOCK = 16, 512
 
 
 def scattered(x: np.ndarray) -> np.ndarray:
@@ -56,30 +56,50 @@ FLIP, FACTOR = SEEDS[:REGISTERS, None], SEEDS[REGISTERS:, None] | np.uint64(1)
 STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
-class Words(dict):
-    """Hashes of words, of bounded number."""
+def tokens(part: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of texts, one text's after the other's, and where each text's begin, then where the last end.
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBER:
-            self.clear()
-        self[word] = found = xxhash.xxh3_64_intdigest(word)
-        return found
-
-
-KNOWN = Words()
+    Lower-cases A-Z only, and splits at ASCII white space only. The different words of a
+    window are hashed once; nothing is remembered.
+    """
+    data, begins = text_buffers(part)
+    out, at, here, done = [np.zeros(0, np.uint64)], [], 0, 0
+    while here < len(data):
+        end = window_end(data, begins, here)
+        own = begins[np.searchsorted(begins, here) : np.searchsorted(begins, end)] - here
+        piece = LOWER[data[here:end]]
+        solid = CLASS[piece] > 0
+        start = solid.copy()
+        start[1:] &= ~solid[:-1]
+        start[own] = solid[own]
+        coded = stretches(piece, solid, start).dictionary_encode()
+        raw, ends = text_buffers(coded.dictionary)
+        raw, ends = raw.tobytes(), ends.tolist()
+        hashes = np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(ends, ends[1:])), np.uint64, len(ends) - 1)
+        out.append(hashes[coded.indices.to_numpy()])
+        at.append(np.searchsorted(np.flatnonzero(start), own) + done)
+        done += len(out[-1])
+        here = end
+    at.append(np.full(len(begins) - sum(map(len, at)), done, np.int64))
+    return np.concatenate(out), np.concatenate(at)
+
+
+def shingle_sets(part: pa.Array) -> list[np.ndarray]:
+    """Of each text the sorted hashes of its different shingles."""
+    h, at = tokens(part)
+
+    def rolled(h: np.ndarray, width: int) -> np.ndarray:
+        out = np.full(len(h) - width + 1, width, np.uint64)
+        for k in range(width):
+            out = out * STEP + h[k : len(h) - width + 1 + k]
+        return scattered(out)
+
+    every = rolled(h, WORDS) if len(h) >= WORDS else h[:0]
+    return [np.unique(every[a : b - WORDS + 1]) if b - a >= WORDS else rolled(h[a:b], b - a) if b > a else h[:0] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
 
 
 def shingles(text: str | None) -> np.ndarray:
-    """The sorted hashes of a text's different shingles."""
-    words = (text or "").encode().lower().split()  # bytes: only A-Z and ASCII white space
-    h = np.fromiter(map(KNOWN.__getitem__, words), np.uint64, len(words))
-    if not len(h):
-        return h
-    width = min(WORDS, len(h))
-    out = np.full(len(h) - width + 1, width, np.uint64)
-    for k in range(width):
-        out = out * STEP + h[k : len(h) - width + 1 + k]
-    return np.unique(scattered(out))
+    return shingle_sets(pa.array([text], pa.string()))[0]
 
 
 def registers(s: np.ndarray) -> np.ndarray:
@@ -124,8 +144,8 @@ def sketched(docs: DataFrame) -> DataFrame:
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for part in slices(batch.column(1)):
-                sets = [shingles(t) for t in part]
+            for _, part in portions(batch.column(1), 512):
+                sets = shingle_sets(part)
                 yield pa.record_batch([
                     batch.column(0).slice(at, len(part)), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
@@ -158,8 +178,8 @@ def full_sets(docs: DataFrame, rows: DataFrame, classes: DataFrame, shared: Data
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch.column(0)):
-                raw = [s.tobytes() for t in part if len(s := shingles(t))]
+            for _, part in portions(batch.column(0), 512):
+                raw = [s.tobytes() for s in shingle_sets(part) if len(s)]
                 yield pa.record_batch([pa.array([xxhash.xxh128_digest(x) for x in raw], pa.binary()), pa.array(raw, pa.binary())], ["cls", "set"])
 
     sets = texts.mapInArrow(compute, "cls binary, set binary")
@@ -190,9 +210,11 @@ def components(links: DataFrame) -> DataFrame:
         hooked = comp.join(near.withColumnRenamed("a", "node"), "node").select("node", F.least("comp", "near").alias("to"), F.col("comp").alias("was"))
         own = comp.select(F.col("node").alias("to"), F.col("comp").alias("top"))
         moved = written(hooked.join(own, "to").select("node", F.least("to", "top").alias("comp"), "was"), "comp")
+        removed(comp)
         if not moved.where(F.col("comp") != F.col("was")).limit(1).count():
-            return moved.select("node", "comp")
-        comp = moved.select("node", "comp")
+            removed(both)
+            return moved
+        comp = moved
 
 
 def starred(shared: DataFrame) -> DataFrame:
@@ -205,7 +227,7 @@ def starred(shared: DataFrame) -> DataFrame:
 
 def mixed(shared: DataFrame, comp: DataFrame) -> DataFrame:
     """The rows, with comp, of the buckets that hold several components."""
-    told = shared.join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    told = shared.join(comp.select(F.col("node").alias("cid"), "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     torn = told.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
     return told.join(torn, "band").select("band", "cid", "n", "comp", "k")
 
@@ -278,9 +300,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = written(full_sets(docs, rows, classes, shared), "sets")
     links = written(confirmed(starred(shared), sets), "starred")
     left = written(mixed(shared, components(links)), "mixed")
-    more = confirmed(small_pairs(left, classes), sets).union(block_links(left, sets))
-    comp = components(written(links.union(more), "confirmed"))
-    told = classes.select("cid", "cls", "least").join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    more = written(confirmed(small_pairs(left, classes), sets).union(block_links(left, sets)), "confirmed")
+    removed(shared, sets, left)
+    comp = components(links.union(more))
+    told = classes.select("cid", "cls", "least").join(comp.select(F.col("node").alias("cid"), "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     smallest = told.groupBy("comp").agg(F.min("least").alias("component_id"))
     named = told.join(smallest, "comp").select("cls", "component_id")
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), "cls").join(named, "cls", "left")
