@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
 and read again as the next one's docs; all but the last return the columns of documents.
+
+Every stage keeps rows whose id, text, language or source is null, as far as its rules do not
+reject them, and whatever further columns there are, by whatever names. Texts are worked on
+whole. Repeated rows are decided alike (near-dedup keeps one of them); an empty table gives
+an empty one.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm import langid, neardup, pack, pii, quality
-from strata.session import written
+from strata.session import removed, written
 
 
 def digest(*columns: str) -> Column:
@@ -30,7 +35,10 @@ def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go, and from the others the lines that many documents of their host have."""
+    """Rejected documents go, and from the others the lines that many documents of their host have.
+
+    A null or empty text has too few words and is rejected.
+    """
     return quality.filtered(docs)
 
 
@@ -38,6 +46,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of no known language go; lang becomes the language found.
 
     A row's key holds all that its decision depends on, so rows of one key have one decision.
+    A null or empty text is kept if its declaration or host says enough.
     """
     rows = docs.withColumn("_key", F.struct("doc_id", digest("text", "lang", "source").alias("h")))
     found = langid.identified(langid.of_documents(rows.drop("doc_id").withColumnRenamed("_key", "doc_id")), langid.fitted(docs))
@@ -52,6 +61,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one with the smallest id. Rows that repeat it go too.
 
     Keys are ordered as ids, null last, then by a hash of the text where texts share an id.
+    Texts without words are no copies of each other, and all stay but repeated rows.
     """
     rows = docs.withColumn("_key", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", digest("text").alias("h")))
     found = neardup.near_duplicates(rows.select(F.col("_key").alias("doc_id"), "text"))
@@ -65,14 +75,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each span of personal data becomes [KIND]; n_chars follows."""
+    """Each span of personal data becomes [KIND]; n_chars follows. A null text stays null."""
     clean = docs.withColumn("_clean", pii.redacted("text"))
     n = F.coalesce(F.length("_clean").cast(docs.schema["n_chars"].dataType), "n_chars")
     return clean.withColumns({"text": F.col("_clean"), "n_chars": n}).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's pieces and their places in sequences of at most 2048 ids."""
+    """Every document's pieces and their places in sequences of at most 2048 ids; a null or empty text is one id."""
     return pack.packed_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -83,5 +93,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        docs = written(stage(spark, docs, sf_dir), f"stage{k}")
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"stage{k}")
+        if k:
+            removed(before)
     return docs
