@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm.bpe import CLASS, LOWER, portions, stretches, text_buffers, window_end
+from strata.llm.sieve import passing
 from strata.session import removed, written
 
 WORDS, LEAST, OF = 5, 75, 100
@@ -173,8 +174,9 @@ def banded(classes: DataFrame) -> DataFrame:
 def full_sets(docs: DataFrame, rows: DataFrame, classes: DataFrame, shared: DataFrame) -> DataFrame:
     """cid and set (sorted hashes) of the classes in shared, computed again from one text each."""
     needed = classes.join(shared.select("cid").distinct(), "cid", "left_semi").select("cid", "cls")
-    ids = rows.select("doc_id", "cls").join(needed, "cls").groupBy("cid").agg(F.min("doc_id").alias("_one")).select("_one").distinct()
-    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_one")), "left_semi").select("text")
+    ids = written(rows.select("doc_id", "cls").join(needed, "cls").groupBy("cid").agg(F.min("doc_id").alias("_one")).select("_one").distinct(), "ids")
+    may = passing(ids, "_one", ids.count())  # most texts are in no pair and need not move
+    texts = docs.select("doc_id", "text").where(may("doc_id")).join(ids, F.col("doc_id").eqNullSafe(F.col("_one")), "left_semi").select("text")
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

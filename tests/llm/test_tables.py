@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from compare import assert_same, connected
 from plain import plain_pii, plain_secrets
-from strata.llm import ann, chat, langid, neardup, pack, pii, quality, registry, secrets, shard
+from strata.llm import ann, chat, langid, neardup, pack, pii, quality, registry, secrets, shard, sieve
 
 FOLDER = "/root/testdata/sf0.001"
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, _row long, kept string, length int"
@@ -108,6 +108,14 @@ def test_near_duplicates_against_brute_force(spark):
     assert got == brute_components(rows)
 
 
+def test_sieve_passes_all_keys_and_few_others(spark):
+    table = spark.range(20_000).select(F.when(F.col("id") > 0, F.col("id")).alias("k"))
+    keys = table.where("k % 10 = 0 OR k IS NULL")
+    got = [r["k"] for r in table.where(sieve.passing(keys, "k", 2000)("k")).collect()]
+    assert {None, *range(10, 20_000, 10)} <= set(got) and len(got) < 4000
+    assert table.where(sieve.passing(keys.where("false"), "k", 0)("k")).count() == 0
+
+
 def test_packing(spark, odd):
     got = pack.query(spark, odd).toPandas()
     assert got.groupby("sequence_id")["length"].sum().max() <= 2048
