@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm import langid, neardup, pack, pii, quality
+from strata.llm.sieve import passing
 from strata.session import removed, written
 
 
@@ -27,11 +28,12 @@ def digest(*columns: str) -> Column:
 def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """docs (with _key) but for the rows whose _key is in keys.
 
-    The keys are written first: Spark then knows their size, and moves the texts only if
-    the keys are too many to broadcast.
+    Only rows that may be among the keys take part in the join, so most texts do not move.
     """
     gone = written(keys.select(F.col("_key").alias("_gone")).distinct(), "gone")
-    return docs.join(gone, F.col("_key").eqNullSafe(F.col("_gone")), "left_anti")
+    may = passing(gone, "_gone", gone.count())("_key")
+    told = docs.where(may).join(gone, F.col("_key").eqNullSafe(F.col("_gone")), "left_anti")
+    return docs.where(~may).unionByName(told)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
