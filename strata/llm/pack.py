@@ -24,8 +24,8 @@ from pyspark.sql.window import Window
 from strata.llm.bpe import portions, text_buffers, vocabulary
 from strata.session import written
 
-#: Pieces of one length that are numbered in one task, about.
-TOGETHER = 1_000_000
+#: Pieces of one length that are numbered in one task: a share of all, but within these.
+SHARE, LEAST, MOST = 4000, 1000, 1_000_000
 
 
 def fullest(lengths: list[int], counts: list[int], room: int) -> list[tuple[int, int]]:
@@ -117,11 +117,12 @@ def packed(table: DataFrame, capacity: int = 2048, order: tuple[str, ...] = ())
     if any(not 1 <= r["length"] <= capacity for r in lengths):
         raise ValueError(f"there are pieces that do not fit into {capacity}")
     # A common length is dealt over many parts, which are numbered apart; so no length is one task's.
-    parts = {r["length"]: max(1, -(-r["count"] // TOGETHER)) for r in lengths}
+    together = min(MOST, max(LEAST, sum(r["count"] for r in lengths) // SHARE))
+    parts = {r["length"]: max(1, -(-r["count"] // together)) for r in lengths}
     common = {k: n for k, n in parts.items() if n > 1}
     of = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kn in common.items() for x in kn]), F.col("length")), F.lit(1)) if common else F.lit(1)
     salted = table.withColumn("_part", F.pmod(F.xxhash64(*(order or table.columns)), of).cast("int"))
-    sizes = salted.groupBy("length", "_part").count().collect()  # at most capacity + pieces / TOGETHER rows
+    sizes = salted.groupBy("length", "_part").count().collect()  # at most capacity + SHARE + pieces / MOST rows
     counts: dict[int, int] = {}
     before: dict[int, int] = {}
     for r in sorted(sizes, key=lambda r: (r["length"], r["_part"])):

@@ -125,7 +125,7 @@ def test_packing(spark, odd):
 
 
 def test_packing_of_common_lengths(spark, monkeypatch):
-    monkeypatch.setattr(pack, "TOGETHER", 50)
+    monkeypatch.setattr(pack, "LEAST", 50)
     rows = [(k, 2048 if k % 2 else 1 + k % 37) for k in range(2000)]
     got = pack.packed(spark.createDataFrame(rows, "doc_id long, length long"), order=("doc_id",)).toPandas()
     assert sorted(got[["doc_id", "length"]].itertuples(index=False, name=None)) == rows
