@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from strata.functions.distributions import normal_quantile
 from strata.functions.values import day, label, number, rounded
-from strata.operators.groups import midranks_by
 from strata.operators.profile import FLOOR
+from strata.operators.ranks import midranks_by, quantiles
+from strata.session import written
 
 
 def series(df: DataFrame, column: str, by: str | None = None, groups: list[str] | None = None) -> DataFrame:
@@ -23,8 +24,8 @@ def series(df: DataFrame, column: str, by: str | None = None, groups: list[str]
 
 def five_numbers(s: DataFrame) -> DataFrame:
     """grp, n, and minimum, quartiles and maximum (type 7), to three places."""
-    q = F.percentile("v", F.array(*[F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0)]))
-    return s.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), q.alias("q")).select("grp", "n", *[rounded(F.col("q")[k]).alias(c) for k, c in enumerate(("lo", "q1", "med", "q3", "hi"))])
+    shares = {"lo": 0.0, "q1": 0.25, "med": 0.5, "q3": 0.75, "hi": 1.0}
+    return quantiles(s, shares).select("grp", "n", *[rounded(F.col(c)).alias(c) for c in shares])
 
 
 def ecdf(s: DataFrame) -> DataFrame:
@@ -47,20 +48,21 @@ def histogram(s: DataFrame, bins: int | None = None) -> DataFrame:
 
 
 def quartiles(s: DataFrame) -> DataFrame:
-    return s.groupBy("grp").agg(F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")).select("grp", *[F.col("q")[k].alias(c) for k, c in enumerate(("q1", "med", "q3"))])
+    """grp, q1, med and q3, written so that a small table is known to be one."""
+    return written(quantiles(s, {"q1": 0.25, "med": 0.5, "q3": 0.75}).drop("n"), "quartiles")
 
 
 def box(s: DataFrame) -> DataFrame:
     """grp, q1, med, q3, whisker_lo, whisker_hi (extreme values within 1.5 interquartile ranges) and n_outliers."""
     reach = (F.col("q3") - F.col("q1")) * 1.5
     inside = (F.col("v") >= F.col("q1") - reach) & (F.col("v") <= F.col("q3") + reach)
-    both = s.join(F.broadcast(quartiles(s)), "grp")  # a row for each visible group, of which a plan allows few
+    both = s.join(quartiles(s), "grp")
     return both.groupBy("grp", "q1", "med", "q3").agg(F.min(F.when(inside, F.col("v"))).alias("whisker_lo"), F.max(F.when(inside, F.col("v"))).alias("whisker_hi"), F.count_if(~inside).alias("n_outliers"))
 
 
 def outliers(s: DataFrame) -> DataFrame:
     reach = (F.col("q3") - F.col("q1")) * 1.5
-    return s.join(F.broadcast(quartiles(s)), "grp").where((F.col("v") < F.col("q1") - reach) | (F.col("v") > F.col("q3") + reach)).select("grp", "v")
+    return s.join(quartiles(s), "grp").where((F.col("v") < F.col("q1") - reach) | (F.col("v") > F.col("q3") + reach)).select("grp", "v")
 
 
 def violin(s: DataFrame, points: int = 60) -> DataFrame:
@@ -68,14 +70,15 @@ def violin(s: DataFrame, points: int = 60) -> DataFrame:
 
     Equal values count once with their number, and each meets the grid's fixed points.
     """
-    shape = s.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("v").alias("sd"), F.percentile("v", F.array(F.lit(0.25), F.lit(0.75))).alias("q"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    spread = F.least(F.when(F.col("sd") > 0, F.col("sd")), F.when(F.col("q")[1] > F.col("q")[0], (F.col("q")[1] - F.col("q")[0]) / 1.34))
+    shape = s.groupBy("grp").agg(F.stddev_samp("v").alias("sd"), F.min("v").alias("lo"), F.max("v").alias("hi")).join(quantiles(s, {"q1": 0.25, "q3": 0.75}), "grp")
+    spread = F.least(F.when(F.col("sd") > 0, F.col("sd")), F.when(F.col("q3") > F.col("q1"), (F.col("q3") - F.col("q1")) / 1.34))
     shape = shape.select("grp", "n", F.coalesce(0.9 * spread * F.pow(F.col("n").cast("double"), F.lit(-0.2)), F.lit(1.0)).alias("h"), "lo", "hi")
     grid = shape.select("grp", "n", "h", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))
     grid = grid.select("grp", "n", "h", "i", (F.col("lo") - 2 * F.col("h") + (F.col("hi") - F.col("lo") + 4 * F.col("h")) * F.col("i") / (points - 1)).alias("x"))
+    grid = written(grid, "grid")
     counts = s.groupBy("grp", "v").agg(F.count(F.lit(1)).alias("k"))
     z = (F.col("x") - F.col("v")) / F.col("h")
-    return counts.join(F.broadcast(grid), "grp").groupBy("grp", "i", "x", "n", "h").agg(F.sum(F.col("k") * F.exp(-z * z / 2)).alias("s")).select("grp", "i", "x", (F.col("s") / (F.col("n") * F.col("h") * math.sqrt(2 * math.pi))).alias("density"))
+    return counts.join(grid, "grp").groupBy("grp", "i", "x", "n", "h").agg(F.sum(F.col("k") * F.exp(-z * z / 2)).alias("s")).select("grp", "i", "x", (F.col("s") / (F.col("n") * F.col("h") * math.sqrt(2 * math.pi))).alias("density"))
 
 
 def qq(s: DataFrame) -> DataFrame:
@@ -91,9 +94,9 @@ def qq(s: DataFrame) -> DataFrame:
 def qq_line(s: DataFrame) -> DataFrame:
     """grp, slope and intercept of the line through the quartiles, and the deciles."""
     high = normal_quantile(0.75)
-    deciles = F.percentile("v", F.array(*[F.lit(k / 10) for k in range(1, 10)]))
     slope = (F.col("q3") - F.col("q1")) / (2 * high)
-    return quartiles(s).join(s.groupBy("grp").agg(deciles.alias("deciles")), "grp").select("grp", slope.alias("slope"), (F.col("q1") + slope * high).alias("intercept"), "deciles")
+    shares = {"q1": 0.25, "q3": 0.75} | {f"d{k}": k / 10 for k in range(1, 10)}
+    return quantiles(s, shares).withColumn("deciles", F.array(*[f"d{k}" for k in range(1, 10)])).select("grp", slope.alias("slope"), (F.col("q1") + slope * high).alias("intercept"), "deciles")
 
 
 def bar(df: DataFrame, column: str, open_data: bool = False) -> DataFrame:

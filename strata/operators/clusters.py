@@ -1,8 +1,7 @@
 """Clustering on two or three axes, and the diagnostics that go with it.
 
-K-means comes in two forms: `kmeans_scaled` (MLlib, any size) and `kmeans_reference`, whose
-sequential random numbers and row order give reproducible labels on a bounded sample of
-rows; its centres then label all rows. DBSCAN is stated without an order: cores, the
+K-means comes in two forms: `kmeans_scaled` (MLlib) and `kmeans_reference`, whose sequential
+random numbers and row order give reproducible labels; both fit all rows. DBSCAN is stated without an order: cores, the
 components of cores within eps, and border points, so it runs as joins on a grid.
 """
 
@@ -11,6 +10,7 @@ from __future__ import annotations
 import functools
 import itertools
 import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -84,22 +84,129 @@ def lloyd(x: np.ndarray, k: int, seed: int) -> tuple[float, np.ndarray, np.ndarr
 
 
 def sampled(points: DataFrame, most: int, seed: int = 0x5CA7, row: str = "_row") -> pd.DataFrame:
-    """At most `most` rows on the driver, by a seeded hash of the row number, in row order."""
+    """At most `most` rows on the driver, by a seeded hash of the row number, in row order; for diagnostics."""
     rows = points.orderBy(F.xxhash64(row, F.lit(seed)), row).limit(most) if points.count() > most else points
     return rows.toPandas().sort_values(row)
 
 
-def kmeans_reference(points: DataFrame, k: int, sample: int = SAMPLE, row: str = "_row") -> DataFrame:
-    """_row and Cluster: the best of ten seeded starts over at most `sample` rows, labels for all rows."""
-    some = sampled(points, sample, row=row)
-    if not len(some):
+def kmeans_reference(points: DataFrame, k: int, row: str = "_row") -> DataFrame:
+    """_row and Cluster: the best of ten seeded starts over all rows in row order.
+
+    Up to SAMPLE rows are one chunk, which is fitted where it is; more are fitted in chunks by
+    tasks, of which only sums and single points reach the driver. Both take the same steps.
+    """
+    n = points.count()
+    if not n:
         return points.select(row, F.lit(None).cast("string").alias("Cluster"))
-    x = np.stack(some["x"].to_numpy()).astype(float)
-    k = max(1, min(k, len(x)))
-    _, _, centres = min((lloyd(x, k, seed) for seed in STARTS), key=lambda r: r[0])
+    k = max(1, min(k, n))
+    if n <= SAMPLE:
+        x = np.stack(points.toPandas().sort_values(row)["x"].to_numpy()).astype(float)
+        _, _, centres = min((lloyd(x, k, seed) for seed in STARTS), key=lambda r: r[0])
+    else:
+        centres = Chunks(points, n, row).fitted(k)
     return assigned(points, centres, row)
 
 
+class Chunks:
+    """Points in row order, in chunks that tasks work on; all starts take each step together."""
+
+    def __init__(self, points: DataFrame, n: int, row: str):
+        parts = -(-n // SAMPLE)
+        ranged = points.select(row, "x").repartitionByRange(parts, row).sortWithinPartitions(row)
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    x = np.array(batch.column("x").to_pylist(), float)
+                    yield pa.RecordBatch.from_pydict({"first": batch.column(row).slice(0, 1), "x": pa.array([x.tobytes()], pa.binary()), "dims": pa.array([x.shape[1]], pa.int32())})
+
+        self.table = written(ranged.mapInArrow(pack, f"first {points.schema[row].dataType.simpleString()}, x binary, dims int"), "chunks")
+        self.n = n
+
+    def each(self, work) -> list[tuple]:
+        """(first row, what work gives for the chunk), in row order."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    x = np.frombuffer(batch.column("x")[k].as_py()).reshape(-1, batch.column("dims")[k].as_py())
+                    yield pa.RecordBatch.from_pydict({"first": batch.column("first").slice(k, 1), "out": pa.array([pickle.dumps(work(x, batch.column("first")[k].as_py()))], pa.binary())})
+
+        rows = self.table.mapInArrow(run, f"first {self.table.schema['first'].dataType.simpleString()}, out binary").collect()
+        return [(r["first"], pickle.loads(r["out"])) for r in sorted(rows, key=lambda r: r["first"])]
+
+    def at(self, wanted: dict[int, tuple]) -> dict[int, np.ndarray]:
+        """For each start the point at a place of a chunk; wanted: start to (chunk's first row, a function from points to the place)."""
+        found = self.each(lambda x, first: {s: x[place(x)] for s, (chunk, place) in wanted.items() if chunk == first})
+        return {s: v for _, one in found for s, v in one.items()}
+
+    def fitted(self, k: int) -> np.ndarray:
+        """The centres with the least inertia."""
+        draws = [Draws(seed) for seed in STARTS]
+        sizes = self.each(lambda x, first: len(x))
+
+        def numbered(index: int) -> tuple:
+            for first, n in sizes:
+                if index < n:
+                    return first, lambda x, index=index: index
+                index -= n
+            return sizes[-1][0], lambda x: len(x) - 1
+
+        one = self.at({s: numbered(int(draw() * self.n)) for s, draw in enumerate(draws)})
+        chosen = [one[s][None] for s in range(len(draws))]
+        while len(chosen[0]) < k:
+            now = chosen
+            near = self.each(lambda x, first: [float(squared(x, c).min(1).sum()) for c in now])
+            wanted = {}
+            for s, draw in enumerate(draws):
+                sums = np.cumsum([v[s] for _, v in near])
+                mark = draw() * sums[-1]
+                if sums[-1] <= 0:
+                    wanted[s] = numbered(int(draw() * self.n))
+                    continue
+                c = min(int(np.searchsorted(sums, mark)), len(near) - 1)
+                rest = mark - (sums[c - 1] if c else 0.0)
+                wanted[s] = near[c][0], lambda x, rest=rest, centres=now[s]: min(int(np.searchsorted(np.cumsum(squared(x, centres).min(1)), rest)), len(x) - 1)
+            one = self.at(wanted)
+            chosen = [np.concatenate([c, one[s][None]]) for s, c in enumerate(chosen)]
+        centres, before, live = [c.copy() for c in chosen], [None] * len(chosen), set(range(len(chosen)))
+        for _ in range(PASSES):
+            state = {s: (centres[s], before[s]) for s in live}
+            told = self.each(lambda x, first: {s: step(x, *c) for s, c in state.items()})
+            for s in sorted(live):
+                parts = [v[s] for _, v in told]
+                total, count = sum(p[0] for p in parts), sum(p[1] for p in parts)
+                far = sorted((f for p in parts for f in p[3]), key=lambda f: -f[0])
+                before[s], new = centres[s], centres[s].copy()
+                for c in range(k):
+                    if count[c]:
+                        new[c] = total[c] / count[c]
+                    elif far:
+                        _, label, new[c] = far.pop(0)
+                        total[label] -= new[c]
+                        count[label] -= 1
+                centres[s] = new
+                if not sum(p[2] for p in parts):
+                    live.discard(s)
+            if not live:
+                break
+        last = centres
+        inertia = self.each(lambda x, first: [float(squared(x, c).min(1).sum()) for c in last])
+        return centres[int(np.argmin([sum(v[s] for _, v in inertia) for s in range(len(centres))]))]
+
+
+def step(x: np.ndarray, centres: np.ndarray, before: np.ndarray | None):
+    """A chunk's sums and counts by centre, how many labels changed, and its farthest points as (distance, label, point)."""
+    d = squared(x, centres)
+    new = d.argmin(1)
+    own = d[np.arange(len(x)), new]
+    count = np.bincount(new, minlength=len(centres))
+    total = np.stack([np.bincount(new, weights=v, minlength=len(centres)) for v in x.T], 1)
+    changed = len(x) if before is None else int((squared(x, before).argmin(1) != new).sum())
+    far = np.argsort(-own, kind="stable")[: len(centres)] if not count.all() else []
+    return total, count, changed, [(float(own[i]), int(new[i]), x[i]) for i in far]
+
+
 def assigned(points: DataFrame, centres: np.ndarray, row: str = "_row") -> DataFrame:
     """The nearest centre of each point, the lowest on ties."""
     terms = [sum(((F.col("x")[j] - float(v)) ** 2 for j, v in enumerate(c)), F.lit(0.0)) for c in centres]

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from strata.functions.values import label, number
 from strata.operators.profile import FLOOR
+from strata.operators.ranks import midranks
 
 
 def pairs(df: DataFrame, column: str, by: str) -> DataFrame:
@@ -87,30 +88,7 @@ def breakdown(df: DataFrame, cluster: str, attribute: str, open_data: bool = Fal
     return counts.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "b"))).where(F.col("rank") <= top)
 
 
-def midranks_by(values: DataFrame, keys: tuple[str, ...] = ("grp",), parts: int = 64) -> DataFrame:
-    """keys, v, n, upto (rows of the key up to and with v), of (its rows) and midrank of every different v.
-
-    Values are counted first, then cut into ranges and added up within each; what the ranges
-    before hold is a small table. So no task sees more than a range, however few keys.
-    """
-    counts = values.where(F.col("v").isNotNull()).groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n"))
-    cuts = sorted(set(counts.stat.approxQuantile("v", [k / parts for k in range(1, parts)], 0.001))) if parts > 1 else []
-    part = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda x: x <= F.col("v"))) if cuts else F.lit(0)
-    ranged = counts.withColumn("_part", part)
-    sums = ranged.groupBy(*keys, "_part").agg(F.sum("n").alias("_n"))  # keys times parts
-    key = Window.partitionBy(*keys)
-    before = sums.select(*keys, "_part", (F.sum("_n").over(key.orderBy("_part")) - F.col("_n")).alias("_before"), F.sum("_n").over(key).alias("of"))
-    within = F.sum("n").over(Window.partitionBy(*keys, "_part").orderBy("v"))
-    out = ranged.withColumn("_within", within).join(before, [*keys, "_part"]).withColumn("upto", F.col("_before") + F.col("_within"))
-    return out.select(*keys, "v", "n", "upto", "of", (F.col("upto") - F.col("n") + (F.col("n") + 1) / 2).alias("midrank"))
-
-
-def midranks(values: DataFrame, parts: int = 64) -> DataFrame:
-    """The same without keys."""
-    return midranks_by(values.withColumn("_all", F.lit(0)), ("_all",), parts).drop("_all", "of")
-
-
-def correlation(df: DataFrame, a: str, b: str, parts: int = 32) -> DataFrame:
+def correlation(df: DataFrame, a: str, b: str) -> DataFrame:
     """n, pearson and spearman of the rows that have both numbers; null under three rows or without variance."""
     both = df.select(number(df, a).alias("x"), number(df, b).alias("y")).where(F.col("x").isNotNull() & F.col("y").isNotNull())
 
@@ -119,6 +97,6 @@ def correlation(df: DataFrame, a: str, b: str, parts: int = 32) -> DataFrame:
 
     ranked = both
     for c in ("x", "y"):
-        rank = midranks(both.select(F.col(c).alias("v")), parts).select(F.col("v").alias(c), F.col("midrank").alias(f"r{c}"))
+        rank = midranks(both.select(F.col(c).alias("v"))).select(F.col("v").alias(c), F.col("midrank").alias(f"r{c}"))
         ranked = ranked.join(rank, c)
     return ranked.agg(F.count(F.lit(1)).alias("n"), of("x", "y").alias("pearson"), of("rx", "ry").alias("spearman"))

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from strata.functions.distributions import chi_square_tail, kolmogorov_tail, normal_below, t_critical, t_two_sided
-from strata.operators.groups import crosstab, midranks, midranks_by, pairs
+from strata.operators.groups import crosstab, pairs
+from strata.operators.ranks import midranks, midranks_by
+from strata.session import written
 
 
 def chosen(df: DataFrame, column: str, by: str, groups: list[str]) -> DataFrame:
@@ -30,10 +32,10 @@ def welch_t(df: DataFrame, column: str, by: str, groups: list[str]) -> dict:
     return out | {"statistic": t, "df": free, "p": t_two_sided(t, free), "ci": [a["m"] - b["m"] - half, a["m"] - b["m"] + half], "effect": (a["m"] - b["m"]) / pooled}
 
 
-def rank_sums(df: DataFrame, column: str, by: str, groups: list[str], parts: int = 32) -> tuple[DataFrame, DataFrame]:
+def rank_sums(df: DataFrame, column: str, by: str, groups: list[str]) -> tuple[DataFrame, DataFrame]:
     """(grp, n, rank_sum), and (n, tie_term); the ranks are over all chosen groups."""
     rows = chosen(df, column, by, groups)
-    ranks = midranks(rows, parts)
+    ranks = written(midranks(rows), "ranks")
     counted = rows.groupBy("grp", "v").agg(F.count(F.lit(1)).alias("k"))
     sums = counted.join(ranks.select("v", "midrank"), "v").groupBy("grp").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("midrank")).alias("rank_sum"))
     t = F.col("n").cast("double")
@@ -70,32 +72,14 @@ def kruskal_wallis(df: DataFrame, column: str, by: str, groups: list[str]) -> di
 
 
 def ks_distance(df: DataFrame, column: str, by: str, groups: list[str]) -> DataFrame:
-    """d, location (the smallest value with the largest distance), n1 and n2.
-
-    The two samples are one, in which a row of the first counts +1/n1 and of the second -1/n2.
-    """
-    rows = chosen(df, column, by, groups)
-    sizes = rows.agg(F.count_if(F.col("grp") == groups[0]).alias("n1"), F.count_if(F.col("grp") == groups[1]).alias("n2"))
-    both = rows.withColumn("_all", F.lit(0))
-    upto = midranks_by(both, ("_all",)).select("v", F.col("upto").alias("u"))
-    first_upto = midranks_by(both.where(F.col("grp") == groups[0]), ("_all",)).select("v", F.col("upto").alias("a"))
-    # The first sample's running count at a value it lacks is that of the value before: a running maximum within ranges.
-    joined = upto.join(first_upto, "v", "left")
-    filled = carried(joined)
-    d = F.abs(F.try_divide("a", "n1") - F.try_divide(F.col("u") - F.col("a"), "n2"))
-    told = filled.join(F.broadcast(sizes)).select("v", d.alias("d"), "n1", "n2")
-    return told.agg(F.max("d").alias("d"), F.max_by("v", F.struct("d", -F.col("v"))).alias("location"), F.max("n1").alias("n1"), F.max("n2").alias("n2"))
-
-
-def carried(rows: DataFrame, parts: int = 64) -> DataFrame:
-    """v, u and a, where a missing a is the largest a of a smaller v (0 before the first)."""
-    cuts = sorted(set(rows.stat.approxQuantile("v", [k / parts for k in range(1, parts)], 0.001)))
-    part = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda x: x <= F.col("v"))) if cuts else F.lit(0)
-    ranged = rows.withColumn("_part", part)
-    tops = ranged.groupBy("_part").agg(F.max("a").alias("_top"))  # a row for each part
-    before = tops.select("_part", F.max("_top").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
-    within = F.max("a").over(Window.partitionBy("_part").orderBy("v"))
-    return ranged.withColumn("_within", within).join(F.broadcast(before), "_part").select("v", "u", F.coalesce("_within", "_before", F.lit(0)).alias("a"))
+    """d, location (the smallest value with the largest distance), n1 and n2; from one count of values by sample."""
+    both = chosen(df, column, by, groups).withColumn("_all", F.lit(0))
+    ranks = midranks_by(both, ("_all",), {"a": F.count_if(F.col("grp") == groups[0])})
+    n1, of = ranks.agg(F.max("upto_a"), F.max("of")).first()
+    n1, n2 = n1 or 0, (of or 0) - (n1 or 0)
+    d = F.abs(F.try_divide("upto_a", F.lit(n1)) - F.try_divide(F.col("upto") - F.col("upto_a"), F.lit(n2)))
+    told = ranks.select("v", d.alias("d"))
+    return told.agg(F.max("d").alias("d"), F.max_by("v", F.struct("d", -F.col("v"))).alias("location"), F.lit(n1).alias("n1"), F.lit(n2).alias("n2"))
 
 
 def ks(df: DataFrame, column: str, by: str, groups: list[str]) -> dict:
@@ -108,16 +92,31 @@ def ks(df: DataFrame, column: str, by: str, groups: list[str]) -> dict:
     return out | {"p": kolmogorov_tail((en + 0.12 + 0.11 / en) * r["d"])}
 
 
+def few_expected(rows: DataFrame, cols: DataFrame, of: int) -> int:
+    """How many pairs of levels expect under five, from how many levels there are of each size.
+
+    There are fewer than sqrt(2 of) different sizes.
+    """
+    sizes = [t.groupBy(F.col(c).alias("s")).count().toPandas().sort_values("s") for t, c in ((rows, "a_n"), (cols, "b_n"))]
+    (r, times), (c, each) = ((s["s"].to_numpy(np.int64), s["count"].to_numpy(np.int64)) for s in sizes)
+    below = np.append(0, np.cumsum(each))
+    return int((times * below[np.searchsorted(c, -(-5 * of // r))]).sum()) if of else 0
+
+
 def chi_square(df: DataFrame, a: str, b: str, levels: tuple[list[str], list[str]] | None = None) -> dict:
     """Pearson's statistic without correction, its p, Cramér's V and how many cells expect under five."""
     counts = crosstab(df, a, b)
     if levels:
         counts = counts.where(F.col("a").isin(*levels[0]) & F.col("b").isin(*levels[1]))
+    counts = written(counts, "crosstab")
     rows, cols = (counts.groupBy(c).agg(F.sum("n").alias(f"{c}_n")) for c in "ab")
     total = counts.agg(F.sum("n").alias("of"))
-    cells = rows.crossJoin(F.broadcast(cols)).crossJoin(F.broadcast(total)).join(counts, ["a", "b"], "left")  # levels by levels
-    expected = F.col("a_n") * F.col("b_n") / F.col("of")
-    one = cells.agg(F.sum((F.coalesce("n", F.lit(0)) - expected) ** 2 / expected).alias("x"), F.count_if(expected < 5).alias("low"), F.max("of").alias("n"), F.count_distinct("a").alias("r"), F.count_distinct("b").alias("c")).first()
+    # Cells that are empty add their expectation, and all expectations add up to n: so only cells with rows are needed.
+    of = total.first()["of"] or 0
+    expected = F.col("a_n") * F.col("b_n") / of
+    cells = counts.join(rows, "a").join(cols, "b") if of else counts.withColumns({"a_n": F.lit(1), "b_n": F.lit(1)})
+    some = cells.agg(F.sum((F.col("n") - expected) ** 2 / expected - expected if of else F.lit(0.0)).alias("x")).first()
+    one = {"x": (some["x"] or 0.0) + of, "n": of, "r": rows.count(), "c": cols.count(), "low": few_expected(rows, cols, of)}
     free = (one["r"] - 1) * (one["c"] - 1)
     out = {"test": "chi_square", "n": one["n"] or 0, "statistic": None, "df": free, "p": None, "effect": None, "low_expected": one["low"]}
     if free < 1:

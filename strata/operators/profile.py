@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strata.functions.names import is_component, is_derived, is_identifier
 from strata.functions.values import DATE_LIKE, boolean_like, cleaned, kind_of, label, number, pattern, rounded, temporal, trimmed
+from strata.operators.ranks import midranks_by
 
 #: Distinct numbers from which a column is continuous, distinct labels that a category may have,
 #: and rows that a value must have to be shown of private data.
@@ -21,22 +24,21 @@ def long_form(df: DataFrame, columns: list[str], value) -> DataFrame:
 
 
 def scan(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """column_name, missing, is_numeric, min_value, max_value, n_unique, kind; one pass.
+    """column_name, missing, is_numeric, min_value, max_value, n_unique, kind.
 
     kind: continuous (numbers with more than 20 values), too-many (others with more than 50),
     else categorical; an empty column is categorical.
     """
     columns = columns or df.columns
-    labels = {c: label(df, c) for c in columns}
-    values = {c: number(df, c) for c in columns}
-    one = df.agg(*[
-        F.struct(
-            F.lit(c).alias("column_name"), F.count_if(labels[c].isNull()).alias("missing"), F.coalesce(F.bool_or(values[c].isNotNull()), F.lit(False)).alias("is_numeric"),
-            F.min(values[c]).alias("min_value"), F.max(values[c]).alias("max_value"), F.count_distinct(values[c] if kind_of(df, c) == "number" else labels[c]).alias("n_unique"), F.lit(kind_of(df, c) == "number").alias("typed"),
-        ).alias(c)
-        for c in columns
-    ])
-    rows = one.select(F.inline(F.array(*[F.col(f"`{c}`") for c in columns])))
+
+    def one(c: str) -> DataFrame:
+        """A column's own aggregate: only it is read, and only its different values are moved."""
+        text, value, typed = label(df, c), number(df, c), kind_of(df, c) == "number"
+        cells = df.select(text.alias("t"), value.alias("v"))
+        counted = cells.agg(F.count_if(F.col("t").isNull()).alias("missing"), F.coalesce(F.bool_or(F.col("v").isNotNull()), F.lit(False)).alias("is_numeric"), F.min("v").alias("min_value"), F.max("v").alias("max_value"), F.count_distinct("v" if typed else "t").alias("n_unique"))
+        return counted.select(F.lit(c).alias("column_name"), "*", F.lit(typed).alias("typed"))
+
+    rows = functools.reduce(DataFrame.unionByName, map(one, columns))
     kind = F.when(F.col("typed") & (F.col("n_unique") > CONTINUOUS), "continuous").when(~F.col("typed") & (F.col("n_unique") > CATEGORIES), "too-many").otherwise("categorical")
     return rows.withColumn("kind", kind).drop("typed")
 
@@ -46,34 +48,20 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if one[c]]
 
 
-def nearest_rank(values: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:
-    """For each group the value at place min(n - 1, floor(p n)) in order, for each share p.
-
-    Values are counted first, so a group's order is over its different values.
-    """
-    counted = values.where(F.col(value).isNotNull()).groupBy(by, value).count()
-    upto = F.sum("count").over(Window.partitionBy(by).orderBy(value))
-    ranked = counted.withColumn("_upto", upto).withColumn("_n", F.sum("count").over(Window.partitionBy(by)))
-    picks = [F.min(F.when(F.col("_upto") > F.least(F.col("_n") - 1, F.floor(F.col("_n") * p)), F.col(value))).alias(name) for name, p in shares.items()]
-    return ranked.groupBy(by).agg(*picks)
-
-
 def numeric_summary(df: DataFrame, columns: list[str], open_data: bool = False, keep: Column | None = None) -> DataFrame:
     """column_name, n, missing, mean, sd (population), q1, median, q3, lowest and highest, to 4 places.
 
     Private data shows an extreme only if FLOOR rows share it.
     """
     table = df if keep is None else df.where(keep)
-    cells = long_form(table, columns, number)
-    ends = cells.groupBy("column_name").agg(F.count("value").alias("n"), F.count_if(F.col("value").isNull()).alias("missing"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"), F.min("value").alias("lo"), F.max("value").alias("hi"))
-    shared = cells.where(F.col("value").isNotNull()).groupBy("column_name", "value").count()
+    one = table.agg(*[F.struct(F.lit(c).alias("column_name"), F.count(number(df, c)).alias("n"), F.count_if(number(df, c).isNull()).alias("missing"), F.avg(number(df, c)).alias("mean"), F.stddev_pop(number(df, c)).alias("sd")).alias(f"c{k}") for k, c in enumerate(columns)])
+    whole = one.select(F.inline(F.array(*[f"c{k}" for k in range(len(columns))])))
+    ranks = midranks_by(long_form(table, columns, number).withColumnRenamed("value", "v"), ("column_name",))
     floor = 1 if open_data else FLOOR
-    tails = shared.join(ends.select("column_name", "lo", "hi"), "column_name").groupBy("column_name").agg(
-        F.max(F.when((F.col("value") == F.col("lo")) & (F.col("count") >= floor), F.col("lo"))).alias("lowest"),
-        F.max(F.when((F.col("value") == F.col("hi")) & (F.col("count") >= floor), F.col("hi"))).alias("highest"),
-    )
-    quartiles = nearest_rank(cells, "column_name", "value", {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    out = ends.drop("lo", "hi").join(tails, "column_name", "left").join(quartiles, "column_name", "left")
+    # The value at place min(n - 1, floor(p n)) in order.
+    picks = [F.min(F.when(F.col("upto") > F.least(F.col("of") - 1, F.floor(F.col("of") * p)), F.col("v"))).alias(name) for name, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))]
+    ends = [F.when(by("n", "v") >= floor, end("v")).alias(name) for name, by, end in (("lowest", F.min_by, F.min), ("highest", F.max_by, F.max))]
+    out = whole.join(ranks.groupBy("column_name").agg(*picks, *ends), "column_name", "left")
     return out.select("column_name", "n", "missing", *[rounded(F.col(c), 4).alias(c) for c in ("mean", "sd", "q1", "median", "q3", "lowest", "highest")])
 
 

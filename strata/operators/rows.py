@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.functions.values import kind_of, label, number, truncated
+from strata.operators.ranks import quantiles
 
 MOST_ROWS, MOST_COLUMNS = 50, 20
 
@@ -64,8 +65,9 @@ def z_scores(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def medians(df: DataFrame, columns: list[str]) -> list[float]:
     """Exact medians; 0 for a column without numbers."""
-    one = df.agg(*[F.median(number(df, c)).alias(f"m{k}") for k, c in enumerate(columns)]).first()
-    return [x or 0.0 for x in one]
+    cells = df.select(F.inline(F.array(*[F.struct(F.lit(k).alias("k"), number(df, c).alias("v")) for k, c in enumerate(columns)])))
+    found = {r["k"]: r["m"] for r in quantiles(cells, {"m": 0.5}, ("k",)).collect()}  # a row for each column
+    return [found.get(k, 0.0) for k in range(len(columns))]
 
 
 def imputed(df: DataFrame, columns: list[str]) -> DataFrame:

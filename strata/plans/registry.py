@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.functions import values
-from strata.operators import charts, clusters, codes, components, filters, groups, hypothesis, profile, rows, transfer
+from strata.operators import charts, clusters, codes, components, filters, groups, hypothesis, profile, ranks, rows, transfer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -77,7 +77,7 @@ def _(part):
 
 @query("midranks", "part", sql="SELECT v, n, upto, upto - n + (n + 1) / 2 AS midrank FROM (SELECT v, n, (sum(n) OVER (ORDER BY v))::BIGINT AS upto FROM (SELECT p_retailprice AS v, count(*) AS n FROM part GROUP BY 1))")
 def _(part):
-    return groups.midranks(part.select(values.number(part, "p_retailprice").alias("v")))
+    return ranks.midranks(part.select(values.number(part, "p_retailprice").alias("v")))
 
 
 @query("correlation", "lineitem", sql="""

@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strata.functions import distributions as d
 from strata.functions import names, values
-from strata.operators import charts, clusters, codes, components, filters, groups, hypothesis, profile, rows, transfer
+from strata.operators import charts, clusters, codes, components, filters, groups, hypothesis, profile, ranks, rows, transfer
 from strata.plans import plan, policy
 from strata.plans.dataset import Dataset
 
@@ -58,7 +59,7 @@ def test_group_effect(spark):
 
 
 def test_midranks_and_correlation(spark):
-    got = {r["v"]: r["midrank"] for r in groups.midranks(spark.createDataFrame([(x,) for x in (1.0, 2.0, 2.0, 3.0)], "v double"), 4).collect()}
+    got = {r["v"]: r["midrank"] for r in ranks.midranks(spark.createDataFrame([(x,) for x in (1.0, 2.0, 2.0, 3.0)], "v double")).collect()}
     assert got == {1.0: 1.0, 2.0: 2.5, 3.0: 4.0}
     flat = spark.createDataFrame([(1.0, 2.0)] * 4, "a double, b double")
     assert groups.correlation(flat, "a", "b").first()["pearson"] is None
@@ -251,3 +252,34 @@ def test_silhouette_and_k_distances_cover_every_row(spark):
     assert len(got) == len(x) and np.allclose([got[i] for i in range(len(x))], np.sort(d, 1)[:, 5])
     one = clusters.silhouette(df).first()
     assert one["n"] == len(x) and abs(one["silhouette"] - clusters.mean_silhouette(x, labels)) < 1e-9
+
+
+def test_running_counts_in_ranges(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(rng.choice("ab"), float(rng.randint(0, 400))) for _ in range(3000)] + [("c", 1.0), ("c", None), (None, 2.0)]
+    df = spark.createDataFrame(rows, "grp string, v double")
+    whole = {(r["grp"], r["v"]): tuple(r) for r in ranks.midranks_by(df).collect()}
+    monkeypatch.setattr(ranks, "RANGE", 7)
+    assert {(r["grp"], r["v"]): tuple(r) for r in ranks.midranks_by(df).collect()} == whole
+    for r in ranks.quantiles(df, {"q": 0.3, "m": 0.5, "hi": 1.0}).where("grp IS NOT NULL").collect():
+        own = [v for g, v in rows if g == r["grp"] and v is not None]
+        assert r["n"] == len(own) and [r["q"], r["m"], r["hi"]] == pytest.approx(np.quantile(own, [0.3, 0.5, 1.0]).tolist())
+
+
+def test_kmeans_on_all_rows_is_the_reference_on_one_chunk(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(c, 0.4, (300, 2)) for c in ((0, 0), (4, 0), (0, 5), (6, 6))])
+    rng.shuffle(x)
+    points = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "_row long, x array<double>")
+    small = {r["_row"]: r["Cluster"] for r in clusters.kmeans_reference(points, 5).collect()}
+    monkeypatch.setattr(clusters, "SAMPLE", 137)
+    assert {r["_row"]: r["Cluster"] for r in clusters.kmeans_reference(points, 5).collect()} == small
+
+
+def test_chi_square_of_many_levels(spark):
+    rng = random.Random(9)
+    rows = [(f"a{rng.randint(0, 30)}", f"b{rng.randint(0, 20)}") for _ in range(900)]
+    got = hypothesis.chi_square(spark.createDataFrame(rows, "a string, b string"), "a", "b")
+    n, r, c, both = len(rows), Counter(a for a, _ in rows), Counter(b for _, b in rows), Counter(rows)
+    want = sum((both[a, b] - r[a] * c[b] / n) ** 2 / (r[a] * c[b] / n) for a in r for b in c)
+    assert got["statistic"] == pytest.approx(want) and got["low_expected"] == sum(r[a] * c[b] / n < 5 for a in r for b in c)
