@@ -64,9 +64,19 @@ def with_rows(df: DataFrame, order: list) -> DataFrame:
 
     The sorted table is written first: which range a row is in must not change between the two looks at it.
     """
+    return added_up(df.repartitionByRange(*order).sortWithinPartitions(*order))
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """A row number from 0 in the order in which rows are read."""
+    return added_up(df)
+
+
+def added_up(df: DataFrame) -> DataFrame:
+    """A row number over a table's partitions, in their order."""
     from strata.session import written
 
-    ranged = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id()), "ordered")
+    ranged = written(df.withColumn("_part", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id()), "ordered")
     starts = {r["_part"]: (r["m"], r["n"]) for r in ranged.groupBy("_part").agg(F.min("_place").alias("m"), F.count(F.lit(1)).alias("n")).collect()}
     offsets, run = {}, 0
     for k in sorted(starts):

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.functions.names import is_component, is_identifier
 from strata.operators import charts, clusters, codes, components, filters, groups, hypothesis, profile, rows, transfer
 from strata.plans import plan as plans
 from strata.plans import policy
+from strata.sources import tables
 
 
 @dataclass
@@ -22,17 +24,38 @@ class Dataset:
     mode: str = "private"
     conditions: list[dict] = field(default_factory=list)
     log: tuple[str, ...] = ()
+    known: dict = field(default_factory=dict, repr=False, compare=False)  # profiles of this table by filter and mode
 
     @classmethod
     def of(cls, df: DataFrame, order: list, **more) -> Dataset:
         return cls(transfer.with_rows(df, order), **more)
 
+    @classmethod
+    def from_path(cls, spark: SparkSession, path: str, order: list | None = None, repair: bool = False, sheet: str | None = None, **more) -> Dataset:
+        """A file as a dataset, with its warnings in the log. ValueError unless two columns hold numbers.
+
+        repair reads numbers written as formatted text as numbers first. Without an order,
+        rows are numbered as they are read.
+        """
+        df, said = tables.read_table(spark, path, sheet)
+        log = [f"read {path}", *said]
+        told = profile.diagnosis(df).collect()  # a row for each column
+        if repair and (fix := [r["column_name"] for r in told if r["kind"] == "fixable"]):
+            df = profile.with_numbers_cleaned(df, fix)
+            log.append(f"formatted text read as numbers: {', '.join(fix)}")
+        else:
+            fix = []
+        if sum(r["kind"] == "numeric" or r["column_name"] in fix for r in told) < 2:
+            raise ValueError(f"two columns of numbers are needed. {profile.diagnosis_text(told)}")
+        ds = cls.of(df, order, **more) if order else cls(transfer.numbered(df), **more)
+        return replace(ds, log=(*log, *ds.log))
+
     @property
     def open(self) -> bool:
         return policy.mode_of(self.mode) == "open"
 
     def noted(self, what: str, **changes) -> Dataset:
-        return replace(self, log=(*self.log, what), **changes)
+        return replace(self, log=(*self.log, what), **({"known": {}} | changes if "df" in changes else changes))
 
     def columns(self) -> list[str]:
         return [c for c in self.df.columns if c != "_row"]
@@ -41,7 +64,7 @@ class Dataset:
         """Replace or add conditions; an empty list clears them."""
         if found := filters.problems(self.df, conditions):
             raise ValueError("; ".join(found))
-        if not self.open and (found := filters.policy_problems(profile.analysis_profile(self.df.drop("_row")), conditions, False)):
+        if not self.open and (found := filters.policy_problems(self._profiled(self.df, []), conditions, False)):
             raise ValueError("; ".join(found))
         every = [*self.conditions, *conditions] if how == "add" else conditions
         return self.noted(f"filter: {filters.described(every) or 'none'}", conditions=every)
@@ -56,7 +79,14 @@ class Dataset:
         return filters.kept(self.df, self.conditions)
 
     def profile(self) -> dict:
-        return profile.analysis_profile(self.visible().drop("_row"), self.open)
+        return self._profiled(self.visible(), self.conditions)
+
+    def _profiled(self, table: DataFrame, conditions: list[dict]) -> dict:
+        """The profile of the rows that meet the conditions, taken once for each table, filter and mode."""
+        key = (json.dumps(conditions, sort_keys=True, default=str), self.open)
+        if key not in self.known:
+            self.known[key] = profile.analysis_profile(table.drop("_row"), self.open)
+        return self.known[key]
 
     def run_plan(self, plan: dict):
         """A test's result as a dict, or a chart's data as a DataFrame."""

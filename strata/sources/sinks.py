@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import re
 import zipfile
 from xml.sax.saxutils import escape
 
@@ -20,28 +21,20 @@ def cells(df: DataFrame, guard, derived: bool = True) -> DataFrame:
     return df.select(*[(guard(label(df, c)) if kind_of(df, c) in ("text", "other") else label(df, c)).alias(c) for c in names])
 
 
-def write_csv(df: DataFrame, path: str, derived: bool = True) -> None:
-    """Quoted as RFC 4180 has it, lines end with CR LF."""
-    table = cells(df, csv_cell, derived)
-    quoted = [F.when(F.col(f"`{c}`").rlike('[",\\r\\n]'), F.concat(F.lit('"'), F.replace(F.col(f"`{c}`"), F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.coalesce(F.col(f"`{c}`"), F.lit(""))) for c in table.columns]
-    head = ",".join('"' + c.replace('"', '""') + '"' if any(x in c for x in '",\r\n') else c for c in table.columns)
-    body = table.select(F.concat_ws(",", *quoted).alias("value"))
-
-    def lines(batches):
-        import pandas as pd
+def delimited(df: DataFrame, path: str, **form: str) -> None:
+    """Each file has a byte order mark and the header, so that each is whole; a table without rows gives the header."""
+    head = [f"\ufeff{c}" if not k else c for k, c in enumerate(df.columns)]
+    options = {"header": True, "escape": '"', "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, **form}
+    df.toDF(*head).write.options(**options).csv(path)
 
-        first = True
-        for pdf in batches:
-            if first:
-                pdf = pd.concat([pd.DataFrame({"value": ["﻿" + head]}), pdf])
-                first = False
-            yield pdf
 
-    body.mapInPandas(lines, "value string").write.option("lineSep", "\r\n").text(path)
+def write_csv(df: DataFrame, path: str, derived: bool = True) -> None:
+    """Quoted as RFC 4180 has it, lines end with CR LF."""
+    delimited(cells(df, csv_cell, derived), path, lineSep="\r\n")
 
 
 def write_tsv(df: DataFrame, path: str, derived: bool = True) -> None:
-    cells(df, tsv_cell, derived).write.option("sep", "\t").option("header", True).option("quote", "").csv(path)
+    delimited(cells(df, tsv_cell, derived), path, sep="\t", quote="")
 
 
 def write_json(df: DataFrame, path: str, derived: bool = True) -> None:
@@ -92,8 +85,45 @@ def save_workspace(spark: SparkSession, folder: str, name: str, datasets: list,
     return manifest
 
 
+def list_workspaces(spark: SparkSession, folder: str) -> list[dict]:
+    """name, datasets and saved (milliseconds since 1970) of the workspaces in a folder, the latest first."""
+    fs, path = file_system(spark, folder)
+    if not fs.exists(path):
+        return []
+    out = []
+    for f in fs.listStatus(path):
+        name = f.getPath().getName()
+        if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}/manifest/_SUCCESS")):
+            m = manifest(spark, folder, name)
+            out.append({"name": name, "datasets": [d["name"] for d in m["datasets"]], "saved": f.getModificationTime()})
+    return sorted(out, key=lambda w: (-w["saved"], w["name"]))
+
+
+def delete_workspace(spark: SparkSession, folder: str, name: str) -> bool:
+    """Whether there was one. Only a folder with a manifest is deleted."""
+    if not re.fullmatch(r"[\w .-]+", name) or name in (".", ".."):
+        raise ValueError("not a workspace's name")
+    fs, path = file_system(spark, f"{folder}/{name}")
+    return bool(fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}/manifest")) and fs.delete(path, True))
+
+
+def file_system(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def manifest(spark: SparkSession, folder: str, name: str) -> dict:
+    """A workspace's checked manifest."""
+    m = json.loads(spark.read.text(f"{folder}/{name}/manifest").first()["value"])
+    if found := manifest_problems(m):
+        raise ValueError("; ".join(found))
+    return m
+
+
 def manifest_problems(m) -> list[str]:
     """What is wrong with a manifest's structure."""
+    if isinstance(m, dict) and isinstance(m.get("version"), int) and m["version"] > 1:
+        return ["the workspace was saved by a newer version"]
     if not isinstance(m, dict) or m.get("version") != 1:
         return ["not a workspace of version 1"]
     tables, out = m.get("tables"), []
@@ -111,9 +141,7 @@ def load_workspace(spark: SparkSession, folder: str, name: str) -> list:
     from strata.plans.dataset import Dataset
     from strata.plans.policy import mode_of
 
-    m = json.loads(spark.read.text(f"{folder}/{name}/manifest").first()["value"])
-    if found := manifest_problems(m):
-        raise ValueError("; ".join(found))
+    m = manifest(spark, folder, name)
     return [Dataset(spark.read.parquet(f"{folder}/{name}/{d['table']}"), d["name"], mode_of(d.get("mode")), d.get("conditions", []), tuple(d.get("log", []))) for d in m["datasets"]]
 
 

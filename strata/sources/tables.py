@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import re
 import zipfile
 from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.functions.values import label, number, normalised, pattern
+from strata.functions.values import label, normalised, number, pattern
+from strata.session import removed, written
 
 #: Bytes of a workbook, which is read on the driver; files that Spark reads have no limit.
 LARGEST_WORKBOOK = 250 * 1024 * 1024
+#: How many lines with a fault a warning lists.
+LISTED = 5
 
 
 def unique_names(header: list[str | None]) -> tuple[list[str], list[int], list[str]]:
@@ -46,52 +50,105 @@ def delimiter_of(line: str) -> str | None:
     return best if bare.count(best) else None
 
 
+def fields_of(line: str, separator: str) -> list[str]:
+    """The cells of one line."""
+    return next(csv.reader([line], delimiter=separator), [])
+
+
+def placed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """value, file, block (where its part of the file begins) and place (grows by one from line to line of a block)."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    return lines.withColumn("place", F.monotonically_increasing_id())
+
+
+def line_faults(spark: SparkSession, path: str, separator: str, width: int) -> DataFrame:
+    """file, block, n_lines, first (place of the first line), few, many and open: lines with fewer or more
+    fields than width, or with an odd number of quotes, for each block of a file."""
+    lines = placed_lines(spark, path)
+    few, many, open_quote = faults(separator, width)
+    return lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n_lines"), F.min("place").alias("first"), F.count_if(few).alias("few"), F.count_if(many).alias("many"), F.count_if(open_quote).alias("open"))
+
+
+def faults(separator: str, width: int) -> list[Column]:
+    """Whether a line (value) has too few fields, too many, or an odd number of quotes. Blank lines have no faults."""
+    bare = F.regexp_replace("value", r'"(?:[^"]|"")*"', "q")
+    blank = F.trim(F.replace("value", F.lit(separator), F.lit(""))) == ""
+    n = F.size(F.split(bare, re.escape(separator), -1))
+    return [~blank & (n < width), ~blank & (n > width), bare.contains('"')]
+
+
+def line_numbers(spark: SparkSession, path: str, blocks: DataFrame, fault: Column, last: bool = False) -> list[int]:
+    """Numbers, from 1 in their file, of the first LISTED lines with a fault, or of the last one."""
+    order = ["file", "block", "place"]
+    some = placed_lines(spark, path).where(fault).select(*order)
+    some = some.orderBy(*[F.desc(c) for c in order]).limit(1) if last else some.orderBy(*order).limit(LISTED)
+    own = some.join(blocks.select("file", "block", "first"), ["file", "block"])
+    before = F.broadcast(own).join(blocks.select(F.col("file").alias("f"), F.col("block").alias("b"), "n_lines"), (F.col("f") == F.col("file")) & (F.col("b") < F.col("block")), "left")
+    found = before.groupBy(*order, "first").agg(F.coalesce(F.sum("n_lines"), F.lit(0)).alias("n"))
+    return [r["n"] + r["place"] - r["first"] + 1 for r in found.orderBy(*order).collect()]
+
+
+def line_warnings(spark: SparkSession, path: str, separator: str, width: int) -> tuple[list[str], bool]:
+    """Warnings about ragged rows and open quotes, with line numbers, and whether cells may hold line breaks.
+
+    If they may, lines are not rows, and only an odd number of quotes in the whole is told here.
+    """
+    blocks = written(line_faults(spark, path, separator, width), "lines")
+    one = blocks.agg(*[F.sum(c).alias(c) for c in ("few", "many", "open")]).first()
+    few, many, open_quote = faults(separator, width)
+    said = []
+    if one["open"]:
+        if one["open"] % 2:
+            said.append(f"an unclosed quotation mark near line {line_numbers(spark, path, blocks, open_quote, last=True)[0]}: what follows is read as one value")
+    else:
+        for n, fault, what, then in ((one["many"], many, "more", "the extra values were discarded"), (one["few"], few, "fewer", "the missing values are blank")):
+            if n:
+                lines = line_numbers(spark, path, blocks, fault)
+                said.append(f"{n} row(s) had {what} values than the header has columns (line {', '.join(map(str, lines))}{', …' if n > len(lines) else ''}); {then}")
+    removed(blocks)
+    return said, bool(one["open"])
+
+
 def read_csv(spark: SparkSession, path: str, separator: str | None = None) -> tuple[DataFrame, list[str]]:
     """A table in the value domain (a column with a number in it and no other text is double), and warnings.
 
-    Only the header and a sample line come to the driver; the body is one lazy scan.
+    Only the header, counts and the numbers of a few lines come to the driver; the body is
+    one lazy scan, in as many tasks as the file has blocks. Only a file in which a line has
+    an odd number of quotes, so that cells may hold line breaks, is read in one task.
     """
     first = spark.read.text(path).limit(1).collect()
     if not first:
         raise ValueError("the file is empty")
     said = []
-    found = separator or delimiter_of(first[0]["value"])
+    line = first[0]["value"]
+    found = separator or delimiter_of(line)
     if found is None:
         said.append("no delimiter was found; a comma is assumed")
-    raw = spark.read.csv(path, sep=found or ",", header=False, multiLine=True, escape='"', mode="PERMISSIVE", enforceSchema=True)
-    header = raw.limit(1).collect()[0]
-    names, places, more = unique_names(list(header))
+    found = found or ","
+    more, breaks = line_warnings(spark, path, found, len(fields_of(line, found)))
+    said += more
+    form = {"sep": found, "multiLine": breaks, "escape": '"', "mode": "PERMISSIVE", "enforceSchema": True}
+    header = list(spark.read.csv(path, header=False, **form).limit(1).collect()[0]) if breaks else fields_of(line, found)
+    names, places, more = unique_names(header)
     said += more
     if looks_headerless(names):
         said.append("all headers are numbers; the first row may be data")
-    body = spark.read.csv(path, sep=found or ",", header=True, multiLine=True, escape='"', mode="PERMISSIVE", enforceSchema=True, schema=", ".join(f"`_{k}` string" for k in range(len(header))))
+    body = spark.read.csv(path, header=True, schema=", ".join(f"`_{k}` string" for k in range(len(header))), **form)
     table = body.select(*[F.col(f"_{k}").alias(n) for k, n in zip(places, names)])
-    table = table.where(~F.forall(F.array(*[F.coalesce(F.trim(F.col(f"`{n}`")), F.lit("")) for n in names]), lambda x: x == "")) if names else table
-    said += number_warnings(table)
-    return typed(table), said
-
-
-def field_counts(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
-    """fields and n_lines: how many fields the lines of a CSV without line breaks in cells have, quotes respected."""
-    bare = F.regexp_replace("value", r'"(?:[^"]|"")*"', "q")
-    return spark.read.text(path).where(F.trim("value") != "").select((F.size(F.split(bare, re.escape(separator), -1))).alias("fields"), bare.contains('"').alias("open_quote")).groupBy("fields", "open_quote").agg(F.count(F.lit(1)).alias("n_lines"))
-
-
-def typed(table: DataFrame) -> DataFrame:
-    """Text columns that hold numbers only become double; others are trimmed text."""
-    if not table.columns:
-        return table
-    one = table.agg(*[F.coalesce(F.count_if(number(table, c).isNotNull()) == F.count(label(table, c)), F.lit(False)).alias(c) for c in table.columns], *[F.count(label(table, c)).alias(f"{c}\0n") for c in table.columns]).first()
-    return table.select(*[(number(table, c) if one[c] and one[f"{c}\0n"] else label(table, c)).alias(c) for c in table.columns])
-
-
-def number_warnings(table: DataFrame) -> list[str]:
-    """Columns without numbers whose cells are mostly (80 %) numbers written with separators or signs."""
-    if not table.columns:
-        return []
-    parts = [F.struct(F.count_if(number(table, c).isNotNull()).alias("now"), F.try_divide(F.count(pattern(label(table, c))), F.count(label(table, c))).alias("s")).alias(c) for c in table.columns]
-    one = table.agg(*parts).first()
-    return [f'"{c}" holds formatted numbers and is read as text' for c in table.columns if not one[c]["now"] and (one[c]["s"] or 0) >= 0.8]
+    if not names:
+        return table, said
+    table = table.where(~F.forall(F.array(*[F.coalesce(F.trim(F.col(f"`{n}`")), F.lit("")) for n in names]), lambda x: x == ""))
+    numbers, more = column_kinds(table)
+    return table.select(*[(number(table, c) if c in numbers else label(table, c)).alias(c) for c in table.columns]), said + more
+
+
+def column_kinds(table: DataFrame) -> tuple[set[str], list[str]]:
+    """The text columns that hold numbers only, and warnings about those without a number whose cells
+    are mostly (80 %) numbers written with separators or signs; one pass."""
+    parts = [F.struct(F.count(number(table, c)).alias("numbers"), F.count(label(table, c)).alias("cells"), F.count(pattern(label(table, c))).alias("formatted")).alias(f"c{k}") for k, c in enumerate(table.columns)]
+    one = dict(zip(table.columns, table.agg(*parts).first()))
+    numbers = {c for c, r in one.items() if r["cells"] and r["numbers"] == r["cells"]}
+    return numbers, [f'"{c}" holds formatted numbers and is read as text' for c, r in one.items() if r["cells"] and not r["numbers"] and r["formatted"] >= 0.8 * r["cells"]]
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:

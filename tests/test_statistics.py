@@ -226,11 +226,57 @@ def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "b.xlsx").write_bytes(sinks.xlsx_bytes(df))
     back, _ = tables.read_table(spark, str(tmp_path / "b.xlsx"))
     assert back.columns == df.columns and back.count() == df.count()
+    empty = df.where("x > 100")
+    sinks.write_csv(empty, str(tmp_path / "none"))
+    assert "".join(p.read_text(encoding="utf-8") for p in (tmp_path / "none").glob("part*")) == "\ufeffx,x_1,note\n"
     ds = table(spark)
     sinks.save_workspace(spark, str(tmp_path), "w", [ds, ds])
+    assert [w["name"] for w in sinks.list_workspaces(spark, str(tmp_path))] == ["w"]
     first, second = sinks.load_workspace(spark, str(tmp_path), "w")
     assert first.df.count() == 12 and second.mode == "private"
-    assert sinks.manifest_problems({"version": 2})
+    assert "newer" in sinks.manifest_problems({"version": 2})[0]
+    assert sinks.delete_workspace(spark, str(tmp_path), "w") and not sinks.delete_workspace(spark, str(tmp_path), "w")
+    assert not sinks.list_workspaces(spark, str(tmp_path)) and (tmp_path / "a.csv").exists()
+
+
+def test_csv_warnings_name_lines(spark, tmp_path):
+    from strata.sources import tables
+
+    def read(text, **conf):
+        path = tmp_path / f"f{len(list(tmp_path.iterdir()))}.csv"
+        path.write_text(text)
+        df, said = tables.read_csv(spark, str(path))
+        return [tuple(r) for r in df.collect()], said
+
+    got, said = read("a,b,c\n1,2,3\n4,5,6,7\n\n,,\n8,9\n")
+    assert got == [(1, 2, 3), (4, 5, 6), (8, 9, None)]
+    assert "1 row(s) had more values" in said[0] and "(line 3)" in said[0] and "1 row(s) had fewer" in said[1] and "(line 6)" in said[1]
+    got, said = read('a,b\n1,"x, ""y"""\n2,z\n')
+    assert got == [(1, 'x, "y"'), (2, "z")] and not said
+    got, said = read('a,b\n1,"two\nlines"\n2,z\n')
+    assert got == [(1, "two\nlines"), (2, "z")] and not said
+    got, said = read('a,b\n"oops,2\n3,4\n5,6\n')
+    assert len(got) == 1 and "unclosed quotation mark near line 2" in said[0]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64b")
+    try:
+        got, said = read("a,b\n" + "".join(f"{k},{k}\n" if k % 40 else f"{k}\n" for k in range(300)))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(got) == 300 and "8 row(s) had fewer" in said[0] and "(line 2, 42, 82, 122, 162, …)" in said[0]
+
+
+def test_dataset_from_a_file(spark, tmp_path):
+    from strata.plans.dataset import Dataset
+
+    path = tmp_path / "sales.csv"
+    path.write_text('region,price,amount\nn,"1,234",5\ns,"2,500",6\ns,"3,000"\n')
+    with pytest.raises(ValueError, match="two columns"):
+        Dataset.from_path(spark, str(path))
+    ds = Dataset.from_path(spark, str(path), repair=True, name="sales", mode="open")
+    assert [(r["_row"], r["price"]) for r in ds.df.orderBy("_row").collect()] == [(0, 1234), (1, 2500), (2, 3000)]
+    assert any("fewer values" in x for x in ds.log) and any("price" in x for x in ds.log)
+    assert ds.profile() is ds.profile() and ds.recoded({"price": [1234.0]}).profile() is not ds.profile()
 
 
 def test_profile_floor_and_colour(spark):
