@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strata.functions.values import label, number
+from strata.functions.values import label, natural, number
 from strata.operators.profile import FLOOR
 from strata.operators.ranks import midranks
+from strata.operators.transfer import with_rows
 
 
 def pairs(df: DataFrame, column: str, by: str) -> DataFrame:
@@ -88,6 +89,16 @@ def breakdown(df: DataFrame, cluster: str, attribute: str, open_data: bool = Fal
     return counts.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "b"))).where(F.col("rank") <= top)
 
 
+def sizes(df: DataFrame, cluster: str = "Cluster") -> DataFrame:
+    """value and n of each cluster, rows without one left out."""
+    return df.select(label(df, cluster).alias("value")).where(F.col("value").isNotNull()).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def palette(df: DataFrame, column: str) -> DataFrame:
+    """value, n and index: the labels in natural order (digits by value, Noise last), numbered from 0 without gaps."""
+    return with_rows(sizes(df, column), natural(F.col("value"))).withColumnRenamed("_row", "index")
+
+
 def correlation(df: DataFrame, a: str, b: str) -> DataFrame:
     """n, pearson and spearman of the rows that have both numbers; null under three rows or without variance."""
     both = df.select(number(df, a).alias("x"), number(df, b).alias("y")).where(F.col("x").isNotNull() & F.col("y").isNotNull())

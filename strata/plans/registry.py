@@ -5,6 +5,7 @@ Means and other sums of doubles are rounded on both sides, as the order of addit
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 from strata.functions import values
 from strata.operators import charts, clusters, codes, components, filters, groups, hypothesis, profile, ranks, rows, transfer
+from strata.session import shared_folder
+from strata.sources import sinks, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -277,6 +280,83 @@ def _(lineitem):
     return rows.bounds(rows.points(lineitem, ["l_quantity", "l_extendedprice"], "l_returnflag", "l_linestatus"))
 
 
+@query("plot_thinned", "lineitem", sql="SELECT l_returnflag AS colour, '' AS shape, l_quantity AS axis0, l_extendedprice AS axis1 FROM lineitem WHERE l_orderkey % 4 = 0 AND l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL")
+def _(lineitem):
+    return rows.points(lineitem, ["l_quantity", "l_extendedprice"], "l_returnflag", thin=4, order="l_orderkey")
+
+
+@query("row_page", "orders", sql="SELECT * FROM (SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 100 OFFSET 200)")
+def _(orders):
+    return rows.page(orders, [F.desc_nulls_last("o_totalprice"), "o_orderkey"], 2).select("o_orderkey", "o_totalprice")
+
+
+#: A label in natural order: text before digits, digits by value, the label.
+NATURAL = "lower({0}) = 'noise', lower(regexp_extract({0}, '^([^0-9]*)', 1)), TRY_CAST(nullif(regexp_extract({0}, '^[^0-9]*([0-9]{{1,18}})', 1), '') AS BIGINT) NULLS FIRST, {0}"
+
+
+@query("palette", "customer", sql="WITH c AS (SELECT 'Segment ' || c_nationkey AS value, count(*) AS n FROM customer GROUP BY 1) SELECT value, n, row_number() OVER (ORDER BY " + NATURAL.format("value") + ") - 1 AS index FROM c")
+def _(customer):
+    return groups.palette(customer.select(F.concat(F.lit("Segment "), "c_nationkey").alias("s")), "s")
+
+
+@query("cluster_sizes", "orders", sql="SELECT CASE WHEN o_totalprice < 1000 THEN 'Noise' ELSE 'Cluster ' || (o_custkey % 7) END AS value, count(*) AS n FROM orders WHERE o_custkey % 11 > 0 GROUP BY 1")
+def _(orders):
+    return groups.sizes(orders.select(F.expr("CASE WHEN o_custkey % 11 > 0 THEN CASE WHEN o_totalprice < 1000 THEN 'Noise' ELSE concat('Cluster ', o_custkey % 7) END END").alias("Cluster")))
+
+
+@query("analysis_profile", "labels", sql="""
+WITH q AS (SELECT 'quality' AS column_name, quality::VARCHAR AS v FROM labels UNION ALL SELECT 'toxic', toxic::VARCHAR FROM labels), c AS (SELECT column_name, v, count(*) AS n FROM q WHERE v IS NOT NULL GROUP BY 1, 2), t AS (SELECT typeof(quality) AS quality, typeof(toxic) AS toxic FROM labels LIMIT 1)
+SELECT column_name, count(*) AS n_groups, count(*) FILTER (n < 5) AS n_withheld, sum(n)::BIGINT AS n FROM c GROUP BY 1""")
+def _(labels):
+    found = profile.analysis_profile(labels.select("quality", "toxic"))
+    told = [(c, len(p["groups"]), sum(g["withheld"] for g in p["groups"]), sum(g["n"] for g in p["groups"])) for c, p in found.items()]
+    return labels.sparkSession.createDataFrame(told, "column_name string, n_groups long, n_withheld long, n long")
+
+
+@query("column_roles", "events", sql="""
+SELECT 'event_type' AS column_name, false AS is_numeric, false AS is_temporal, false AS is_identifier UNION ALL SELECT 'ts', false, count(ts) >= 0.8 * count(*), false FROM events UNION ALL SELECT 'value', count(value) > 0, false, false FROM events UNION ALL SELECT 'user_id', count(user_id) > 0, false, true FROM events""")
+def _(events):
+    found = profile.analysis_profile(events.select("event_type", "ts", "value", "user_id"))
+    return events.sparkSession.createDataFrame([(c, p["numeric"], p["temporal"], p["identifier"]) for c, p in found.items()], "column_name string, is_numeric boolean, is_temporal boolean, is_identifier boolean")
+
+
+@query("default_view", "customer", sql="""
+WITH s AS (SELECT 's' || c_mktsegment AS seg, c_nationkey + 0.0 AS nation, c_acctbal FROM customer), n AS (SELECT count(DISTINCT seg) AS a, count(DISTINCT nation) AS b, count(DISTINCT c_acctbal) AS c FROM s)
+SELECT 'nation, c_acctbal' AS axes, CASE WHEN a BETWEEN 2 AND 20 AND (b > 20 OR b < 2 OR a <= b) AND (c > 20 OR c < 2 OR a <= c) THEN 'seg' WHEN b BETWEEN 2 AND 20 AND (c > 20 OR c < 2 OR b <= c) THEN 'nation' WHEN c BETWEEN 2 AND 20 THEN 'c_acctbal' ELSE 'seg' END AS colour, (SELECT greatest(max(nation) - min(nation), max(c_acctbal) - min(c_acctbal)) > 3 * least(max(nation) - min(nation), max(c_acctbal) - min(c_acctbal)) FROM s) AS standardise FROM n""")
+def _(customer):
+    table = customer.select(F.concat(F.lit("s"), "c_mktsegment").alias("seg"), (F.col("c_nationkey") + 0.0).alias("nation"), "c_acctbal")
+    axes = profile.default_axes(table)
+    return customer.sparkSession.createDataFrame([(", ".join(axes), profile.default_colour(table), profile.suggest_standardise(table, axes))], "axes string, colour string, standardise boolean")
+
+
+@query("clean_columns", "orders", sql="SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN -round(o_totalprice, 0) WHEN o_orderkey % 3 = 1 THEN round(o_totalprice, 0) ELSE o_orderkey % 100 END AS price FROM orders")
+def _(orders):
+    price = "CASE WHEN o_orderkey % 3 = 0 THEN concat('($', format_number(round(o_totalprice, 0), 0), ')') WHEN o_orderkey % 3 = 1 THEN concat(' ', format_number(round(o_totalprice, 0), 0)) ELSE concat(o_orderkey % 100, ' %') END"
+    return profile.with_numbers_cleaned(orders.select("o_orderkey", F.expr(price).alias("price")), ["price"])
+
+
+@query("diagnosis_sentence", "orders", sql="SELECT '2 numeric column(s). Numbers written as formatted text, which can be cleaned: price.' AS sentence FROM orders HAVING count(*) > 0")
+def _(orders):
+    table = orders.select("o_orderkey", "o_custkey", F.concat(F.lit("$"), F.format_number("o_totalprice", 2)).alias("price"))
+    return orders.sparkSession.createDataFrame([(profile.diagnosis_text(profile.diagnosis(table).collect()),)], "sentence string")
+
+
+@query("csv_round_trip", "customer", sql="SELECT c_custkey::DOUBLE AS c_custkey, c_name, c_acctbal, CASE WHEN c_custkey % 2 = 0 THEN chr(39) || '=a, ' || chr(34) || c_custkey || chr(34) ELSE 'b;' || c_custkey END AS note FROM customer")
+def _(customer):
+    table = customer.select("c_custkey", "c_name", "c_acctbal", F.expr("""CASE WHEN c_custkey % 2 = 0 THEN concat('=a, "', c_custkey, '"') ELSE concat('b;', c_custkey) END""").alias("note"))
+    path = f"{shared_folder(customer.sparkSession)}/customers-{uuid.uuid4().hex}"
+    sinks.write_csv(table, path)
+    return tables.read_csv(customer.sparkSession, path)[0]
+
+
+@query("csv_line_faults", "orders", sql="SELECT count(*) FILTER (o_orderkey % 5 = 1) AS few, count(*) FILTER (o_orderkey % 5 = 2) AS many, count(*) AS n_lines FROM orders")
+def _(orders):
+    spark = orders.sparkSession
+    path = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    orders.select(F.concat("o_orderkey", F.lit(","), F.expr("CASE o_orderkey % 5 WHEN 1 THEN '' WHEN 2 THEN '7,8' ELSE '\"7,8\"' END"), F.expr("CASE o_orderkey % 5 WHEN 1 THEN '' ELSE ',9' END"))).write.text(path)
+    return tables.line_faults(spark, path, ",", 3).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("few", "many", "n_lines")])
+
+
 # --- transfers ----------------------------------------------------------------------------
 
 @query("transfer_by_key", "labels", "documents", sql="SELECT d.doc_id, l.quality FROM documents d LEFT JOIN (SELECT doc_id, max_by(quality, doc_id) AS quality FROM labels GROUP BY doc_id) l USING (doc_id)")
@@ -302,6 +382,14 @@ def _(customer, supplier):
     return transfer.by_order(transfer.with_rows(customer, ["c_custkey"]), transfer.with_rows(supplier, ["s_suppkey"]), "s_acctbal", "v").select("c_custkey", "v")
 
 
+@query("transfer_probe", "customer", sql="SELECT count(*) FILTER (c_custkey % 10 > 0 OR c_custkey IS NULL) AS agree, count(*) AS total FROM customer")
+def _(customer):
+    numbered = transfer.with_rows(customer, ["c_custkey"]).select("_row", F.col("c_custkey").alias("customer_id"), "c_nationkey")
+    other = numbered.withColumn("customer_id", F.expr("if(customer_id % 10 > 0 OR customer_id IS NULL, customer_id, -customer_id - 1)"))
+    found = transfer.probe(numbered, other)
+    return customer.sparkSession.createDataFrame([(found["agree"], found["total"])], "agree long, total long")
+
+
 # --- tests --------------------------------------------------------------------------------
 
 def one_row(table: DataFrame, result: dict, **columns: str) -> DataFrame:
@@ -317,6 +405,17 @@ def _(lineitem):
     return one_row(lineitem, hypothesis.welch_t(lineitem, "l_extendedprice", "l_returnflag", ["A", "R"]), statistic="statistic", df="df", effect="effect")
 
 
+#: Simpson's rule over 4,000 steps from 0 to hi: weights and places for an integrand of x.
+SIMPSON = ", s AS (SELECT i, hi / 4000 AS h, hi * i / 4000 AS x, CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS w FROM r, range(0, 4001) t(i))"
+
+
+@query("test_welch_t_p", "lineitem", sql=TWO + ", r AS (SELECT abs(a.m - b.m) / sqrt(a.s / a.n + b.s / b.n) AS hi, a.m - b.m AS diff, sqrt(a.s / a.n + b.s / b.n) AS se, (a.s / a.n + b.s / b.n) ** 2 / ((a.s / a.n) ** 2 / (a.n - 1) + (b.s / b.n) ** 2 / (b.n - 1)) AS df FROM a, b), c AS (SELECT *, 1.959963984540054 AS z FROM r), d AS (SELECT *, z + (z ** 3 + z) / (4 * df) + (5 * z ** 5 + 16 * z ** 3 + 3 * z) / (96 * df ** 2) AS crit FROM c)" + SIMPSON + " SELECT round(1 - 2 * exp(lgamma((max(df) + 1) / 2) - lgamma(max(df) / 2)) / sqrt(max(df) * pi()) * sum(w * h / 3 * (1 + x * x / df) ** (-(df + 1) / 2)), 6) AS p, round(max(diff - crit * se), 4) AS ci_low, round(max(diff + crit * se), 4) AS ci_high FROM s, d")
+def _(lineitem):
+    r = hypothesis.welch_t(lineitem, "l_extendedprice", "l_returnflag", ["A", "R"])
+    low, high = (round(x, 4) for x in r["ci"])
+    return one_row(lineitem, {"p": r["p"], "low": low, "high": high}, p="p", ci_low="low", ci_high="high")
+
+
 RANKED = "WITH x AS (SELECT c_mktsegment AS grp, c_acctbal AS v FROM customer{where}), r AS (SELECT grp, v, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2 AS r FROM x), t AS (SELECT sum(k ** 3 - k) AS tie, sum(k) AS n FROM (SELECT count(*) AS k FROM x GROUP BY v)), g AS (SELECT grp, count(*) AS n, sum(r) AS s FROM r GROUP BY grp)"
 
 
@@ -325,12 +424,36 @@ def _(customer):
     return one_row(customer, hypothesis.mann_whitney(customer, "c_acctbal", "c_mktsegment", ["BUILDING", "MACHINERY"]), statistic="statistic", effect="effect")
 
 
+@query("test_mann_whitney_p", "customer", sql=RANKED.format(where=" WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')") + ", r2 AS (SELECT a.s - a.n * (a.n + 1) / 2 - a.n * b.n / 2 AS u, a.n * b.n / 12 * (a.n + b.n + 1 - t.tie / ((a.n + b.n) * (a.n + b.n - 1))) AS var FROM g a, g b, t WHERE a.grp = 'BUILDING' AND b.grp = 'MACHINERY')" + SIMPSON.replace("FROM r,", "FROM (SELECT abs(u) / sqrt(var) AS hi FROM r2),") + " SELECT round(1 - 2 / sqrt(2 * pi()) * sum(w * h / 3 * exp(-x * x / 2)), 5) AS p FROM s")
+def _(customer):
+    return rounded(one_row(customer, hypothesis.mann_whitney(customer, "c_acctbal", "c_mktsegment", ["BUILDING", "MACHINERY"]), p="p"), 5, "p")
+
+
+#: The chance that chi square of df is over x, by x = u * u.
+CHI_TAIL = SIMPSON + " SELECT round(1 - 2 / (2 ** (max(df) / 2) * gamma(max(df) / 2)) * sum(w * h / 3 * CASE WHEN df = 1 THEN 1 ELSE x ** (df - 1) END * exp(-x * x / 2)), 6) AS p, max(df)::DOUBLE AS df FROM s, r"
+
+
 @query("test_kruskal_wallis", "customer", sql=RANKED.format(where="") + ", h AS (SELECT (12 / (t.n * (t.n + 1)) * (SELECT sum(s * s / n) FROM g) - 3 * (t.n + 1)) / (1 - t.tie / (t.n ** 3 - t.n)) AS h, t.n FROM t) SELECT round(h, 6) AS statistic, round(h / (n - 1), 6) AS effect FROM h")
 def _(customer):
     segments = [r["value"] for r in profile.value_counts(customer, ["c_mktsegment"]).collect()]
     return one_row(customer, hypothesis.kruskal_wallis(customer, "c_acctbal", "c_mktsegment", segments), statistic="statistic", effect="effect")
 
 
+@query("test_kruskal_wallis_p", "customer", sql=RANKED.format(where="").replace(", r AS (SELECT grp", ", q AS (SELECT grp").replace("FROM r GROUP BY grp", "FROM q GROUP BY grp") + ", r AS (SELECT sqrt((12 / (t.n * (t.n + 1)) * (SELECT sum(s * s / n) FROM g) - 3 * (t.n + 1)) / (1 - t.tie / (t.n ** 3 - t.n))) AS hi, (SELECT count(*) - 1 FROM g) AS df FROM t)" + CHI_TAIL)
+def _(customer):
+    segments = [r["value"] for r in profile.value_counts(customer, ["c_mktsegment"]).collect()]
+    return one_row(customer, hypothesis.kruskal_wallis(customer, "c_acctbal", "c_mktsegment", segments), p="p", df="df")
+
+
+@query("test_ks_p", "events", sql="""
+WITH x AS (SELECT event_type AS grp, value AS v FROM events WHERE event_type IN ('click', 'view')), n AS (SELECT count(*) FILTER (grp = 'click') AS a, count(*) FILTER (grp = 'view') AS b FROM x),
+c AS (SELECT v, sum(count(*) FILTER (grp = 'click')) OVER (ORDER BY v) AS a, sum(count(*) FILTER (grp = 'view')) OVER (ORDER BY v) AS b FROM x GROUP BY v),
+d AS (SELECT max(abs(c.a / n.a - c.b / n.b)) AS d, sqrt(max(n.a) * max(n.b) / (max(n.a) + max(n.b))) AS en FROM c, n), l AS (SELECT (en + 0.12 + 0.11 / en) * d AS l FROM d)
+SELECT round(least(1, greatest(0, 2 * sum(CASE WHEN j % 2 = 1 THEN 1 ELSE -1 END * exp(-2 * j * j * l * l)))), 6) AS p FROM l, range(1, 101) t(j)""")
+def _(events):
+    return one_row(events, hypothesis.ks(events, "value", "event_type", ["click", "view"]), p="p")
+
+
 @query("test_ks", "events", sql="""
 WITH x AS (SELECT event_type AS grp, value AS v FROM events WHERE event_type IN ('click', 'view')), n AS (SELECT count(*) FILTER (grp = 'click') AS a, count(*) FILTER (grp = 'view') AS b FROM x),
 c AS (SELECT v, sum(count(*) FILTER (grp = 'click')) OVER (ORDER BY v) AS a, sum(count(*) FILTER (grp = 'view')) OVER (ORDER BY v) AS b FROM x GROUP BY v)
@@ -347,6 +470,14 @@ def _(labels):
     return one_row(labels, hypothesis.chi_square(labels, "quality", "toxic"), statistic="statistic", effect="effect")
 
 
+@query("test_chi_square_p", "labels", sql="""
+WITH c AS (SELECT quality AS a, toxic AS b, count(*) AS n FROM labels GROUP BY 1, 2), m AS (SELECT a, sum(n) AS n FROM c GROUP BY a), k AS (SELECT b, sum(n) AS n FROM c GROUP BY b), t AS (SELECT sum(n) AS n FROM c),
+e AS (SELECT m.n * k.n / t.n AS e, coalesce(c.n, 0) AS o FROM m CROSS JOIN k CROSS JOIN t LEFT JOIN c ON c.a = m.a AND c.b = k.b),
+r AS (SELECT sqrt(sum((o - e) ** 2 / e)) AS hi, (SELECT count(*) - 1 FROM m) * (SELECT count(*) - 1 FROM k) AS df FROM e)""" + CHI_TAIL)
+def _(labels):
+    return one_row(labels, hypothesis.chi_square(labels, "quality", "toxic"), p="p", df="df")
+
+
 # --- charts -------------------------------------------------------------------------------
 
 def lines(lineitem: DataFrame) -> DataFrame:
@@ -468,6 +599,14 @@ def _(lineitem):
     return lineitem.sparkSession.createDataFrame([(r["component"], round(r["eigenvalue"], 9)) for r in found], "component int, eigenvalue double")
 
 
+@query("pca_three_variables", "lineitem", sql="""
+WITH r AS (SELECT corr(l_quantity, l_extendedprice) AS a, corr(l_quantity, l_discount) AS b, corr(l_extendedprice, l_discount) AS c FROM lineitem), p AS (SELECT sqrt((a * a + b * b + c * c) / 3) AS p, a * b * c AS d FROM r), e AS (SELECT 1 + 2 * p * cos(acos(d / p ** 3) / 3) AS e1, 1 + 2 * p * cos(acos(d / p ** 3) / 3 + 2 * pi() / 3) AS e3 FROM p)
+SELECT 1 AS component, round(e1, 6) AS eigenvalue, round(e1 / 3, 6) AS share, round(e1 / 3, 6) AS cumulative FROM e UNION ALL SELECT 2, round(3 - e1 - e3, 6), round((3 - e1 - e3) / 3, 6), round((3 - e3) / 3, 6) FROM e UNION ALL SELECT 3, round(e3, 6), round(e3 / 3, 6), 1 FROM e""")
+def _(lineitem):
+    found = components.explained(components.fit(lineitem, ["l_quantity", "l_extendedprice", "l_discount"]))
+    return lineitem.sparkSession.createDataFrame([(r["component"], round(r["eigenvalue"], 6), round(r["share"], 6), round(r["cumulative"], 6)) for r in found], "component int, eigenvalue double, share double, cumulative double")
+
+
 @query("pca_scores", "lineitem", sql="""
 WITH z AS (SELECT l_orderkey, l_linenumber, (l_quantity - avg(l_quantity) OVER ()) / stddev_pop(l_quantity) OVER () AS a, (l_extendedprice - avg(l_extendedprice) OVER ()) / stddev_pop(l_extendedprice) OVER () AS b FROM lineitem)
 SELECT l_orderkey, l_linenumber, round((a + sign((SELECT corr(a, b) FROM z)) * b) / sqrt(2), 6) AS PC1 FROM z""")
