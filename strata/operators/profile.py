@@ -97,19 +97,27 @@ def analysis_profile(df: DataFrame, open_data: bool = False) -> dict[str, dict]:
     return {c: {"numeric": r["is_numeric"], "categorical": c in groups, "temporal": times[c], "identifier": is_identifier(c), "groups": groups.get(c), "values": {g["value"] for g in groups.get(c, []) if not g["withheld"]}} for c, r in scans.items()}
 
 
+def told_text(df: DataFrame, c: str) -> Column:
+    """A cell's label as far as a diagnosis depends on it: of a number or time only that it is there."""
+    kind = kind_of(df, c)
+    if kind in ("number", "boolean"):
+        return F.when(number(df, c).isNotNull(), F.lit("0"))
+    return F.when(F.col(f"`{c}`").isNotNull(), F.lit("2000-01-01")) if kind == "time" else label(df, c)
+
+
 def diagnosis(df: DataFrame) -> DataFrame:
     """column_name, non_null, numeric_now, numeric_after_fix, date_like, kind and patterns (most frequent first)."""
-    from strata.functions.values import PATTERNS
-
-    parts = []
-    for c in df.columns:
-        text, now = label(df, c), number(df, c)
-        is_text = kind_of(df, c) == "text"
-        fixed = now if not is_text else F.coalesce(now, cleaned(text))
-        new = text.isNotNull() & now.isNull() & fixed.isNotNull()
-        found = F.array(*[F.struct(F.count_if(new & (pattern(text) == p)).alias("n"), F.lit(p).alias("p")) for p, _ in PATTERNS]) if is_text else F.array().cast("array<struct<n:bigint,p:string>>")
-        parts.append(F.struct(F.lit(c).alias("column_name"), F.count(text).alias("non_null"), F.count(now).alias("numeric_now"), F.count_if(text.isNotNull() & fixed.isNotNull()).alias("numeric_after_fix"), F.count_if(text.isNotNull() & fixed.isNull() & trimmed(text).rlike(DATE_LIKE)).alias("date_like"), found.alias("found")).alias(c))
-    rows = df.agg(*parts).select(F.inline(F.array(*[F.col(f"`{c}`") for c in df.columns])))
+    cells = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(kind_of(df, c) == "text").alias("is_text"), told_text(df, c).alias("text"), number(df, c).alias("now")) for k, c in enumerate(df.columns)])
+    long = df.select(F.inline(cells)).where(F.col("text").isNotNull())
+    text, now = F.col("text"), F.col("now")
+    read = F.when(now.isNull() & F.col("is_text"), F.struct(cleaned(text).alias("v"), trimmed(text).rlike(DATE_LIKE).alias("date")))
+    told = long.select("k", "is_text", "text", "now", read.alias("read")).withColumn("p", F.when(F.col("read.v").isNotNull(), pattern(text)))
+    strange = F.when(F.col("is_text"), F.col("read.v").isNull() & now.isNull()).otherwise(now.isNull())
+    # A row for each column and pattern, whatever the number of rows.
+    parts = told.groupBy("k", "p").agg(F.count("text").alias("n"), F.count("now").alias("now"), F.count_if(~strange).alias("fixed"), F.count_if(strange & F.coalesce("read.date", F.when(~F.col("is_text"), trimmed(text).rlike(DATE_LIKE)), F.lit(False))).alias("dates"))
+    named = df.sparkSession.createDataFrame(list(enumerate(df.columns)), "k int, column_name string")
+    found = parts.groupBy("k").agg(*[F.sum(x).alias(y) for x, y in (("n", "non_null"), ("now", "numeric_now"), ("fixed", "numeric_after_fix"), ("dates", "date_like"))], F.collect_list(F.when(F.col("p").isNotNull(), F.struct("n", "p"))).alias("found"))
+    rows = F.broadcast(named).join(found, "k", "left").fillna(0, ["non_null", "numeric_now", "numeric_after_fix", "date_like"]).orderBy("k")
     most = F.ceil(F.col("non_null") * 0.8)
     kind = F.when(F.col("non_null") == 0, "empty").when(F.col("numeric_now") > 0, "numeric").when(F.col("numeric_after_fix") >= F.greatest(F.lit(1), most), "fixable").when(F.col("date_like") >= most, "date-like").otherwise("text")
     ordered = F.transform(F.filter(F.sort_array("found", asc=False), lambda x: x["n"] > 0), lambda x: x["p"])
