@@ -121,10 +121,38 @@ def skipped(df: DataFrame, x: str, column: str) -> DataFrame:
     return df.agg(F.count_if(day(df, x).isNull() | number(df, column).isNull()).alias("n_skipped"))
 
 
+def visible_groups(by: str | None, profile: dict) -> list[str] | None:
+    """The groups of a column that the profile shows; None without a column."""
+    return [g["value"] for g in profile[by]["groups"] if not g["withheld"]] if by else None
+
+
+def withheld(df: DataFrame, column: str, by: str, groups: list[str]) -> DataFrame:
+    """withheld_rows: rows with a number whose group is not among the visible ones."""
+    return series(df, column, by).agg(F.count_if(~F.col("grp").isin(*groups)).alias("withheld_rows"))
+
+
+def compiled(df: DataFrame, plan: dict, profile: dict) -> dict:
+    """data (what is drawn), summary (a line for each series), notes and withheld_rows of a checked chart plan."""
+    mark, column, by = plan["mark"], plan["column"], plan.get("groupBy")
+    out = {"data": drawn(df, plan, profile), "summary": "", "notes": [], "withheld_rows": 0}
+    groups = visible_groups(by, profile)
+    if by and (rare := sum(g["withheld"] for g in profile[by]["groups"])):
+        out["withheld_rows"] = withheld(df, column, by, groups).first()["withheld_rows"]
+        out["notes"].append(f"{rare} rare value(s) of {by} ({out['withheld_rows']} rows) are left out for privacy")
+    if mark == "line":
+        if n := skipped(df, plan["x"], column).first()["n_skipped"]:
+            out["notes"].append(f"{n} row(s) without a date or a number are left out")
+    elif mark != "bar":
+        places = {g: k for k, g in enumerate(groups or [])}
+        told = sorted(five_numbers(series(df, column, by, groups)).collect(), key=lambda r: places.get(r["grp"], 0))  # a row for each visible group
+        out["summary"] = "\n".join(f"{r['grp']}: n={r['n']}, min={r['lo']:g}, q1={r['q1']:g}, median={r['med']:g}, q3={r['q3']:g}, max={r['hi']:g}" for r in told)
+    return out
+
+
 def drawn(df: DataFrame, plan: dict, profile: dict) -> DataFrame:
     """The data of a checked chart plan, with the groups that the profile shows."""
     mark, column, by = plan["mark"], plan["column"], plan.get("groupBy")
-    groups = [g["value"] for g in profile[by]["groups"] if not g["withheld"]] if by else None
+    groups = visible_groups(by, profile)
     if mark == "bar":
         open_data = not any(g["withheld"] for g in profile[column]["groups"])
         return bar(df, column, open_data)

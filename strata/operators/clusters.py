@@ -20,7 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strata.functions.draws import Mulberry32
 from strata.functions.values import number
+from strata.operators import rows
 from strata.operators.filters import complete
 from strata.operators.rows import imputed, z_scores
 from strata.session import written
@@ -28,6 +30,8 @@ from strata.session import written
 STARTS, PASSES, SAMPLE = range(42, 52), 300, 100_000
 #: Points of one grid cell that are compared in one piece with those of another.
 CELL = 256
+#: The seed of diagnostics' samples, a fixed value.
+SEED = 0x5CA7
 #: Points of a block of the silhouette, and how often the first side of the k-distance grid is halved at most.
 BLOCK, HALVINGS = 1024, 40
 
@@ -38,27 +42,13 @@ def axes_of(df: DataFrame, axes: list[str], standardise: bool = False, row: str
     return imputed(table, axes).select(row, F.array(*[F.col(f"`{c}`") for c in axes]).alias("x"))
 
 
-class Draws:
-    """A 32-bit multiplicative generator with a known sequence, for reproducible starts."""
-
-    def __init__(self, seed: int):
-        self.state = seed & 0xFFFFFFFF
-
-    def __call__(self) -> float:
-        mul = lambda a, b: (a * b) & 0xFFFFFFFF
-        self.state = (self.state + 0x6D2B79F5) & 0xFFFFFFFF
-        t = mul(self.state ^ self.state >> 15, self.state | 1)
-        t ^= (t + mul(t ^ t >> 7, t | 61)) & 0xFFFFFFFF
-        return (t ^ t >> 14) / 4294967296
-
-
 def squared(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return ((x[:, None, :] - centres[None]) ** 2).sum(2)
 
 
 def lloyd(x: np.ndarray, k: int, seed: int) -> tuple[float, np.ndarray, np.ndarray]:
     """Inertia, labels and centres from one start; ties go to the lowest centre, an empty one moves to the farthest point."""
-    draw = Draws(seed)
+    draw = Mulberry32(seed)
     chosen = [int(draw() * len(x))]
     near = squared(x, x[chosen])[:, 0]
     while len(chosen) < k:
@@ -83,10 +73,9 @@ def lloyd(x: np.ndarray, k: int, seed: int) -> tuple[float, np.ndarray, np.ndarr
     return float(squared(x, centres)[np.arange(len(x)), labels].sum()), labels, centres
 
 
-def sampled(points: DataFrame, most: int, seed: int = 0x5CA7, row: str = "_row") -> pd.DataFrame:
-    """At most `most` rows on the driver, by a seeded hash of the row number, in row order; for diagnostics."""
-    rows = points.orderBy(F.xxhash64(row, F.lit(seed)), row).limit(most) if points.count() > most else points
-    return rows.toPandas().sort_values(row)
+def sampled(points: DataFrame, most: int, seed: int = SEED, row: str = "_row") -> pd.DataFrame:
+    """At most `most` points on the driver, in row order, at the places of a seeded shuffle; for diagnostics."""
+    return rows.sampled(points, most, [row], seed).toPandas()
 
 
 def kmeans_reference(points: DataFrame, k: int, row: str = "_row") -> DataFrame:
@@ -142,7 +131,7 @@ class Chunks:
 
     def fitted(self, k: int) -> np.ndarray:
         """The centres with the least inertia."""
-        draws = [Draws(seed) for seed in STARTS]
+        draws = [Mulberry32(seed) for seed in STARTS]
         sizes = self.each(lambda x, first: len(x))
 
         def numbered(index: int) -> tuple:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strata.functions.draws import sample_places
 from strata.functions.values import kind_of, label, number, truncated
 from strata.operators.ranks import quantiles
+from strata.operators.transfer import with_rows
 
 MOST_ROWS, MOST_COLUMNS = 50, 20
 
@@ -32,9 +34,17 @@ def top(df: DataFrame, by: str, k: int, tie: list, ascending: bool = False, colu
     return shown(df.orderBy(order, *tie).limit(min(k, MOST_ROWS)), columns_of(df, columns))
 
 
+def sampled(df: DataFrame, k: int, key: list[str], seed: int) -> DataFrame:
+    """k rows in the order of their key, at the places that a seeded shuffle gives; all rows if there are no more."""
+    n = df.count()
+    if n <= k:
+        return df.orderBy(*key)
+    return with_rows(df, key, "_at").where(F.col("_at").isin(*sample_places(n, k, seed))).drop("_at").orderBy(*key)
+
+
 def sample(df: DataFrame, k: int, key: list[str], seed: int = 1, columns: list[str] | None = None) -> DataFrame:
-    """k rows chosen by a seeded hash of their key: the same rows each time, on any cluster."""
-    return shown(df.orderBy(F.xxhash64(*key, F.lit(seed)), *key).limit(min(k, MOST_ROWS)), columns_of(df, columns))
+    """At most MOST_ROWS sampled rows, as they are listed."""
+    return shown(sampled(df, min(k, MOST_ROWS), key, seed), columns_of(df, columns))
 
 
 def page(df: DataFrame, order: list, number_of: int, size: int = 100) -> DataFrame:

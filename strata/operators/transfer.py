@@ -59,12 +59,12 @@ def order_allowed(a: DataFrame, b: DataFrame, row: str = "_row") -> tuple[bool,
     return True, ""
 
 
-def with_rows(df: DataFrame, order: list) -> DataFrame:
+def with_rows(df: DataFrame, order: list, name: str = "_row") -> DataFrame:
     """A row number from 0 in a given order: sorted ranges are numbered apart and their sizes added up.
 
     The sorted table is written first: which range a row is in must not change between the two looks at it.
     """
-    return added_up(df.repartitionByRange(*order).sortWithinPartitions(*order))
+    return added_up(df.repartitionByRange(*order).sortWithinPartitions(*order), name)
 
 
 def numbered(df: DataFrame) -> DataFrame:
@@ -72,7 +72,7 @@ def numbered(df: DataFrame) -> DataFrame:
     return added_up(df)
 
 
-def added_up(df: DataFrame) -> DataFrame:
+def added_up(df: DataFrame, name: str = "_row") -> DataFrame:
     """A row number over a table's partitions, in their order."""
     from strata.session import written
 
@@ -83,6 +83,6 @@ def added_up(df: DataFrame) -> DataFrame:
         offsets[k] = run - starts[k][0]
         run += starts[k][1]
     if not offsets:
-        return df.withColumn("_row", F.lit(0).cast("long"))
+        return df.withColumn(name, F.lit(0).cast("long"))
     at = F.create_map(*[F.lit(x) for k, v in offsets.items() for x in (k, v)])
-    return ranged.withColumn("_row", (F.col("_place") + at[F.col("_part")]).cast("long")).drop("_part", "_place")
+    return ranged.withColumn(name, (F.col("_place") + at[F.col("_part")]).cast("long")).drop("_part", "_place")

@@ -99,6 +99,13 @@ class Dataset:
         levels = plans.shown(known[plan["column"]]) if plan["test"] == "chi_square" else None
         return hypothesis.run(self.visible(), plan["test"], plan["column"], plan["groupBy"], chosen, levels)
 
+    def chart(self, plan: dict) -> dict:
+        """A chart's data with its summary, notes and how many rows are withheld."""
+        known = self.profile()
+        if found := plans.problems(plan, known):
+            raise ValueError(plans.told(found))
+        return charts.compiled(self.visible(), plan, known)
+
     def correlate(self, a: str, b: str) -> dict:
         r = groups.correlation(self.visible(), a, b).first().asDict()
         return r if policy.correlation_allowed(r["n"], self.mode) else {"n": r["n"], "pearson": None, "spearman": None}

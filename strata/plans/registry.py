@@ -549,6 +549,16 @@ def _(orders):
     return rounded(charts.line(orders, "o_orderdate", "o_totalprice", "median"), 4, "value").withColumn("day", F.col("day").cast("string"))
 
 
+@query("chart_withheld", "orders", sql="""
+WITH s AS (SELECT least(o_orderkey % 7919, 40)::VARCHAR AS grp, o_totalprice AS v FROM orders), c AS (SELECT grp, count(*) AS n FROM s GROUP BY grp)
+SELECT count(DISTINCT grp) FILTER (n < 5) AS withheld_groups, count(v) FILTER (n < 5) AS withheld_rows FROM s JOIN c USING (grp)""")
+def _(orders):
+    table = orders.select(F.expr("concat('', least(o_orderkey % 7919, 40))").alias("g"), "o_totalprice")
+    known = profile.analysis_profile(table)
+    rare = sum(x["withheld"] for x in known["g"]["groups"])
+    return charts.withheld(table, "o_totalprice", "g", charts.visible_groups("g", known)).select(F.lit(rare).cast("long").alias("withheld_groups"), "withheld_rows")
+
+
 # --- missing-value codes ------------------------------------------------------------------
 
 def coded(lineitem: DataFrame) -> DataFrame:

@@ -329,3 +329,30 @@ def test_chi_square_of_many_levels(spark):
     n, r, c, both = len(rows), Counter(a for a, _ in rows), Counter(b for _, b in rows), Counter(rows)
     want = sum((both[a, b] - r[a] * c[b] / n) ** 2 / (r[a] * c[b] / n) for a in r for b in c)
     assert got["statistic"] == pytest.approx(want) and got["low_expected"] == sum(r[a] * c[b] / n < 5 for a in r for b in c)
+
+
+def test_seeded_sample_is_the_first_steps_of_a_shuffle(spark):
+    from strata.functions.draws import Mulberry32, sample_places
+
+    def shuffled(n, k, seed):
+        draw, every = Mulberry32(seed), list(range(n))
+        for i in range(k):
+            j = i + int(draw() * (n - i))
+            every[i], every[j] = every[j], every[i]
+        return sorted(every[:k])
+
+    for n, k, seed in ((10, 3, 1), (500, 499, 7), (4800, 1200, 0x5CA7), (5, 9, 1)):
+        assert sample_places(n, k, seed) == (shuffled(n, k, seed) if n > k else list(range(n)))
+    df = spark.range(300).select((F.col("id") * 3).alias("key"))
+    assert [r["key"] for r in rows.sample(df, 20, ["key"], 5).collect()] == [3 * p for p in shuffled(300, 20, 5)]
+    assert rows.sample(df.limit(4), 20, ["key"]).count() == 4
+
+
+def test_charts_tell_what_they_leave_out(spark):
+    from strata.plans.dataset import Dataset
+
+    data = [(i, "a" if i % 2 else "b", float(i)) for i in range(20)] + [(20, "c", 1.0), (21, "c", None)]
+    ds = Dataset(spark.createDataFrame(data, "_row long, g string, v double"))
+    got = ds.chart({"kind": "chart", "mark": "histogram", "column": "v", "groupBy": "g"})
+    assert got["withheld_rows"] == 1 and "1 rare value(s) of g (1 rows)" in got["notes"][0]
+    assert got["summary"].splitlines() == ["a: n=10, min=1, q1=5.5, median=10, q3=14.5, max=19", "b: n=10, min=0, q1=4.5, median=9, q3=13.5, max=18"]
