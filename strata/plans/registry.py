@@ -568,13 +568,17 @@ def coded(lineitem: DataFrame) -> DataFrame:
 CODED = "WITH t AS (SELECT CASE WHEN l_orderkey % 9 = 0 THEN -99 ELSE l_quantity END AS q, CASE WHEN l_orderkey % 9 = 0 AND l_linenumber < 5 THEN -99 ELSE l_linenumber END::DOUBLE AS l, CASE WHEN l_orderkey % 50 = 1 THEN 999 ELSE l_discount END AS d FROM lineitem)"
 
 
-@query("code_scan", "lineitem", sql=CODED + """
+#: Candidate codes (g) with what sets them apart, and which of them stand (FOUND).
+GAPPED = CODED + """
 , u AS (SELECT 'q' AS column_name, q AS value, count(*) AS n FROM t GROUP BY 2 UNION ALL SELECT 'l', l, count(*) FROM t GROUP BY 2 UNION ALL SELECT 'd', d, count(*) FROM t GROUP BY 2),
 m AS (SELECT *, value IN (""" + ", ".join(map(str, codes.CANDIDATES)) + """) AS cand FROM u),
 a AS (SELECT column_name, sum(n) AS numbers, min(value) FILTER (NOT cand) AS lo, max(value) FILTER (NOT cand) AS hi, bool_and(value = floor(value)) FILTER (NOT cand) AS whole, count(*) FILTER (NOT cand) AS levels FROM m GROUP BY 1),
-g AS (SELECT m.column_name, value, n, numbers, value < 0 AND lo >= 0 AS sign, CASE WHEN value < lo THEN lo - value WHEN value > hi THEN value - hi ELSE 0 END AS gap, hi - lo AS spread, whole, levels FROM m JOIN a USING (column_name) WHERE cand)
-SELECT column_name, value, n, numbers::BIGINT AS numbers, CASE WHEN sign OR gap / spread >= 3 THEN 'certain' WHEN n / numbers >= 0.05 THEN 'likely' ELSE 'possible' END AS confidence
-FROM g WHERE sign OR gap > spread * 0.5 OR (whole AND levels <= 20 AND gap >= 2)""")
+g AS (SELECT m.column_name, value, n, numbers, value < 0 AND lo >= 0 AS sign, CASE WHEN value < lo THEN lo - value WHEN value > hi THEN value - hi ELSE 0 END AS gap, hi - lo AS spread, whole, levels FROM m JOIN a USING (column_name) WHERE cand)"""
+FOUND = """CASE WHEN sign OR gap / spread >= 3 THEN 'certain' WHEN n / numbers >= 0.05 THEN 'likely' ELSE 'possible' END AS confidence
+FROM g WHERE sign OR gap > spread * 0.5 OR (whole AND levels <= 20 AND gap >= 2)"""
+
+
+@query("code_scan", "lineitem", sql=GAPPED + " SELECT column_name, value, n, numbers::BIGINT AS numbers, " + FOUND)
 def _(lineitem):
     return codes.found(coded(lineitem), ["q", "l", "d"]).drop("reasons")
 
@@ -587,9 +591,16 @@ def _(lineitem):
     return rounded(codes.together(coded(lineitem), ["q", "l", "d"], [-99.0]).drop("supports").withColumn("peers", F.col("peers").cast("long")), 6, "expected", "lift")
 
 
-@query("code_report", "lineitem")
+@query("code_report", "lineitem", sql=GAPPED + ", found AS (SELECT column_name, value, n, " + FOUND + f"""),
+held AS (SELECT r, column_name, value, count(*) OVER (PARTITION BY r, value) AS k FROM (SELECT r, unnest(['q', 'l', 'd']) AS column_name, unnest([q, l, d]) AS value FROM (SELECT *, row_number() OVER () AS r FROM t)) WHERE value = 5 OR value IN (SELECT value FROM found)),
+hit AS (SELECT column_name, value, count(*) AS n, sum(k - 1) AS observed FROM held GROUP BY 1, 2),
+shared AS (SELECT *, sum(n) OVER (PARTITION BY value) AS total, count(*) OVER (PARTITION BY value) AS holders, (SELECT count(*) FROM t) AS n_rows FROM hit),
+together AS (SELECT column_name, value, observed, coalesce(observed / nullif(n * (total - n) / n_rows, 0), 0) AS lift FROM shared WHERE holders > 1 AND n_rows >= {codes.LEAST_ROWS}),
+named AS (SELECT column_name, value, n AS n5 FROM u WHERE value = 5),
+told AS (SELECT column_name, value, coalesce(n, n5) AS n, confidence AS c, lift, coalesce(observed >= {codes.PAIRS} AND lift >= {codes.LIFT}, false) AS supports FROM found FULL JOIN named USING (column_name, value) LEFT JOIN together USING (column_name, value))
+SELECT column_name, value, n, CASE WHEN supports AND c = 'possible' THEN 'likely' WHEN supports AND c IS NOT NULL THEN 'certain' ELSE c END AS confidence, value = 5 AS declared, round(lift, 6) AS lift, supports, coalesce(c IN ('certain', 'likely'), false) OR supports AS suggested FROM told""")
 def _(lineitem):
-    return codes.scanned(coded(lineitem), ["q", "l", "d"], [5.0])
+    return rounded(codes.scanned(coded(lineitem), ["q", "l", "d"], [5.0]).drop("reasons"), 6, "lift")
 
 
 # --- components and clusters --------------------------------------------------------------
