@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from strata.llm import ann, bpe, chat, langid, neardup, pack, pii, quality, secrets, shard
+from strata.llm import ann, bpe, chat, langid, licences, neardup, pack, pii, quality, ranked, secrets, shard, spelling
 
 QUERIES = {
     "op1_pii": pii.query,
@@ -18,6 +18,9 @@ QUERIES = {
     "op8_secrets": secrets.query,
     "op9_sharding": shard.query,
     "op10_bpe": bpe.query,
+    "op11_spelling_variants": spelling.query,
+    "op12_licence_scan": licences.query,
+    "op13_ranked_search": ranked.query,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
@@ -26,4 +29,5 @@ ORACLES: dict[str, str] = {
     "op4_chat_format": chat.SQL,
     "op4_reply_trees": chat.TREE_SQL,
     "op7_quality_rules": quality.SQL,
+    "op13_ranked_search": ranked.SQL,
 } | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
