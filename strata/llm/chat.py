@@ -121,21 +121,25 @@ def threads(conversations: DataFrame) -> DataFrame:
 
 
 def forest(conversations: DataFrame) -> DataFrame:
-    """Conversations that begin with the same role and text as one reply tree.
+    """Conversations whose first messages have one role and begin with the same OPENING characters as one reply tree.
 
-    They share that message as the root, and each goes on as a branch of its own. A
-    message's score is the length of its text. tree and node hold the smallest conversation
-    (conv_id as a string, null: empty) of the root, and a message's own with its number.
+    Its root is a turn of the role topic that says these characters; each conversation is a
+    branch of its own below it, whole. A message's score is the length of its text. tree holds
+    the smallest conversation (conv_id as a string, null: empty), node a conversation and the
+    message's number; the root is number 0 of the smallest one.
     """
     order = Window.partitionBy("conv").orderBy("turn", "role", "text")
     rows = conversations.select(F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("conv"), "turn", "role", "text")
     rows = written(rows.select("conv", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.row_number().over(order).alias("n")), "said")
-    first = rows.where("n = 1").select("conv", "role", "text", F.sha2(F.concat_ws("\n", "role", "text"), 256).alias("key"))
-    roots = written(first.groupBy("key").agg(F.min("conv").alias("tree")), "roots")
-    of = written(first.select("conv", "key").join(roots, "key").select("conv", "tree"), "trees")
-    node = lambda n: F.struct(F.when(n == 1, F.col("tree")).otherwise(F.col("conv")).alias("conv"), n.alias("n"))
-    every = rows.join(of, "conv").where((F.col("n") > 1) | (F.col("conv") == F.col("tree")))
-    return every.select("tree", node(F.col("n")).alias("node"), F.when(F.col("n") > 1, node(F.col("n") - 1)).alias("parent"), F.length("text").cast("double").alias("score"), "role", "text")
+    first = rows.where("n = 1").select("conv", "role", F.substring("text", 1, OPENING).alias("opening"))
+    roots = written(first.groupBy("role", "opening").agg(F.min("conv").alias("tree")), "roots")
+    of = first.join(roots, ["role", "opening"]).select("conv", "tree")
+    node = lambda conv, n: F.struct(F.col(conv).alias("conv"), n.alias("n"))
+    score = F.length("text").cast("double").alias("score")
+    top = roots.select("tree", node("tree", F.lit(0)).alias("node"), F.lit(None).cast("struct<conv:string,n:int>").alias("parent"), F.lit("topic").alias("role"), F.col("opening").alias("text"))
+    above = F.when(F.col("n") > 1, node("conv", F.col("n") - 1)).otherwise(node("tree", F.lit(0)))
+    said = rows.join(of, "conv").select("tree", node("conv", F.col("n")).alias("node"), above.alias("parent"), "role", "text")
+    return top.unionByName(said).select("tree", "node", "parent", score, "role", "text")
 
 
 DIGEST = pa.struct([("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string())])
@@ -167,8 +171,8 @@ def query(spark, sf_dir: str) -> DataFrame:
     return out.select(name.alias("conv_id"), "d.n_turns", "d.turns_sha256", "d.loss_chars", "d.loss_sha256", F.length("formatted").cast("long").alias("formatted_chars"))
 
 
-#: Branches that are kept of each tree.
-BRANCHES = 2
+#: Branches that are kept of each tree, and the characters that a tree's first messages share.
+BRANCHES, OPENING = 2, 2
 
 
 def tree_query(spark, sf_dir: str) -> DataFrame:
@@ -176,32 +180,29 @@ def tree_query(spark, sf_dir: str) -> DataFrame:
     nodes = written(forest(spark.read.parquet(f"{sf_dir}/conversations.parquet")), "nodes")
     out = formatted(nodes, BRANCHES)
     learnt = F.aggregate("loss", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
-    return out.select("tree", F.col("leaf.conv").alias("conv"), F.col("leaf.n").alias("n_turns"), F.round("score", 6).alias("score"), F.sha2("formatted", 256).alias("formatted_sha256"), learnt.alias("loss_chars"))
+    return out.select("tree", F.col("leaf.conv").alias("conv"), (F.col("leaf.n") + 1).alias("n_turns"), F.round("score", 6).alias("score"), F.sha2("formatted", 256).alias("formatted_sha256"), learnt.alias("loss_chars"))
 
 
-TREE_SQL = r"""
+TREE_SQL = rf"""
 WITH RECURSIVE said AS (
   SELECT coalesce(conv_id::VARCHAR, '') AS conv, coalesce(role, '') AS role, coalesce(text, '') AS text,
          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS n
   FROM conversations),
-roots AS (SELECT role, text, min(conv) AS tree FROM said WHERE n = 1 GROUP BY role, text),
-trees AS (SELECT conv, tree FROM said JOIN roots USING (role, text) WHERE n = 1),
+first AS (SELECT conv, role, left(text, {OPENING}) AS opening FROM said WHERE n = 1),
+trees AS (SELECT conv, opening, min(conv) OVER (PARTITION BY role, opening) AS tree FROM first),
 coded AS (
-  SELECT s.*, t.tree, regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '([<\[])(\\*)(\|turn\|>|\|end\|>|/?s>|/?INST\])', '\1\\\2\3', 'g') AS r,
+  SELECT *, regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '([<\[])(\\*)(\|turn\|>|\|end\|>|/?s>|/?INST\])', '\1\\\2\3', 'g') AS r,
          regexp_replace(text, '([<\[])(\\*)(\|turn\|>|\|end\|>|/?s>|/?INST\])', '\1\\\2\3', 'g') AS t
-  FROM said s JOIN trees t USING (conv)),
+  FROM (SELECT conv, role, text, n FROM said UNION ALL SELECT conv, 'topic', opening, 0 FROM trees)),
 ways AS (
-  SELECT tree, conv, n, length(text)::DOUBLE AS total, '<|turn|>' || r || chr(10) || t || '<|end|>' || chr(10) AS whole, CASE WHEN role = 'assistant' THEN length(t) ELSE 0 END AS learnt
-  FROM coded WHERE n = 1
+  SELECT tree, c.conv, n, length(text)::DOUBLE AS total, '<|turn|>' || r || chr(10) || t || '<|end|>' || chr(10) AS whole, 0 AS learnt
+  FROM coded c JOIN trees USING (conv) WHERE n = 0
   UNION ALL
   SELECT w.tree, w.conv, c.n, w.total + length(c.text), w.whole || '<|turn|>' || c.r || chr(10) || c.t || '<|end|>' || chr(10), w.learnt + CASE WHEN c.role = 'assistant' THEN length(c.t) ELSE 0 END
   FROM ways w JOIN coded c ON c.conv = w.conv AND c.n = w.n + 1),
-leaves AS (
-  SELECT *, max(n) OVER (PARTITION BY conv) AS last, max(n) OVER (PARTITION BY tree) AS deepest FROM ways),
-ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY total / n DESC, conv, n) AS rank
-  FROM leaves WHERE n = last AND (n > 1 OR (deepest = 1 AND conv = tree)))
-SELECT tree, conv, n::INTEGER AS n_turns, round(total / n, 6) AS score, sha256(whole) AS formatted_sha256, learnt::BIGINT AS loss_chars FROM ranked WHERE rank <= 2
+leaves AS (SELECT *, max(n) OVER (PARTITION BY conv) AS last FROM ways),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY total / (n + 1) DESC, conv) AS rank FROM leaves WHERE n = last)
+SELECT tree, conv, (n + 1)::INTEGER AS n_turns, round(total / (n + 1), 6) AS score, sha256(whole) AS formatted_sha256, learnt::BIGINT AS loss_chars FROM ranked WHERE rank <= {BRANCHES}
 """
 
 SQL = r"""

@@ -9,10 +9,11 @@ Four kinds of evidence meet in one posterior:
   divide over languages, smoothed towards its suffix and that towards all, from grouped
   sums over the whole table, less what the row itself added to them: no evidence counts twice.
 
-The languages are all labels of all rows. The text model is fitted on about SAMPLE labelled
-rows, chosen by a hash of their id and text, and on about EACH of every language at least
-(all of a rarer one); everything else covers every row. More than LABELS different labels
-are an error: such a column does not name languages. A text whose trigrams are less likely than chance
+The languages are the labels of all rows, the LABELS most frequent ones where there are more;
+the model has a column for each, so their number is a parameter, and a rarer label is an
+unknown declaration. The text model is fitted on about SAMPLE labelled rows, chosen by a
+hash of their id and text, and on about EACH of every language at least (all of a rarer
+one); everything else covers every row. A text whose trigrams are less likely than chance
 under each language is of no known language ("und") and is rejected, as is one whose
 posterior stays under LEAST.
 
@@ -32,9 +33,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strata.functions.values import let
 from strata.llm.bpe import slices
 from strata.session import written
 
@@ -58,13 +61,12 @@ def trigrams(text: str | None) -> np.ndarray:
 def fitted(docs: DataFrame, label: str = "lang", sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """Languages and the log-likelihood of each trigram (rows) in each (columns)."""
     known = docs.where(F.col(label).isNotNull()).select("doc_id", "text", F.col(label).cast("string").alias("label"))
-    sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().limit(LABELS + 1).collect()}
-    langs, total = sorted(sizes), max(1, sum(sizes.values()))
-    if len(langs) > LABELS:
-        raise ValueError(f"{len(langs)} different labels; {LABELS} languages at most")
+    sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().orderBy(F.desc("count"), "label").limit(LABELS).collect()}
+    langs, n_rows = sorted(sizes), max(1, sum(sizes.values()))
+    known = known.where(F.col("label").isin(langs))
     # The hash below which a row is taken, of the languages that need more than the common share.
-    share = {x: math.ceil(min(1.0, max(sample / total, EACH / n)) * (1 << 20)) for x, n in sizes.items()}
-    common = math.ceil(min(1.0, sample / total) * (1 << 20))
+    share = {x: math.ceil(min(1.0, max(sample / n_rows, EACH / n)) * (1 << 20)) for x, n in sizes.items()}
+    common = math.ceil(min(1.0, sample / n_rows) * (1 << 20))
     more = {x: s for x, s in share.items() if s > common}
     below = F.lit(common)
     if more:
@@ -84,10 +86,9 @@ def fitted(docs: DataFrame, label: str = "lang", sample: int = SAMPLE) -> tuple[
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(some), pa.string()), "i": pa.array(some.astype(np.int32)), "n": pa.array(n[some])})
 
     rows = known.select("text", "label").mapInArrow(count, "lang string, i int, n long").groupBy("lang", "i").agg(F.sum("n").alias("n"))
-    found = rows.toArrow().to_pydict()  # at most 2 ** BITS rows for each language
-    at = {x: k for k, x in enumerate(langs)}
+    found = rows.toArrow()  # at most 2 ** BITS rows for each language
     n = np.zeros((1 << BITS, len(langs)))
-    n[found["i"], [at[x] for x in found["lang"]]] = found["n"]
+    n[found["i"].to_numpy(), pc.index_in(found["lang"], value_set=pa.array(langs, pa.string())).to_numpy()] = found["n"].to_numpy()
     blank = n.sum(0) == 0  # texts without letters only: just under chance, so that no text fits for that
     n += 0.5
     return langs, np.log(n / (n.sum(0) + blank)).astype(np.float32)
@@ -116,10 +117,14 @@ def likelihoods(text: str | Column, model: tuple[list[str], np.ndarray]) -> Colu
     return score.asNondeterministic()(text)
 
 
+def total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, b: a + b)
+
+
 def softmax(logs: Column) -> Column:
-    top = F.array_max(logs)
-    powers = F.transform(logs, lambda x: F.exp(x - top))
-    return F.transform(powers, lambda x: x / F.aggregate(powers, F.lit(0.0), lambda a, b: a + b))
+    """Each step is computed once for an array, so it takes time linear in the languages."""
+    powers = let(logs, lambda y: let(F.array_max(y), lambda top: F.transform(y, lambda x: F.exp(x - top))))
+    return let(powers, lambda p: let(total(p), lambda of: F.transform(p, lambda x: x / of)))
 
 
 def identified(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
@@ -141,23 +146,24 @@ def identified(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFram
     alone = softmax(F.when(F.col("said").isNull(), F.col("ll")).otherwise(F.zip_with("ll", "said", lambda a, b: a + b)))
     adds = ~F.col("strange") & ((F.col("n") > 0) | F.col("said").isNotNull())
     seen = written(seen.withColumn("own", F.when(adds, alone)), "evidence")
-    sums = [F.sum(F.col("own")[k]).alias(f"p{k}") for k in range(len(langs))]
-    again = [F.sum(f"p{k}").alias(f"p{k}") for k in range(len(langs))]
-    by_host = written(seen.where(F.col("own").isNotNull()).groupBy("host", "suffix").agg(*sums), "hosts")  # sums of a hot host are taken before the shuffle
-    by_suffix = by_host.groupBy("suffix").agg(*again)
-    whole = [x or 0.0 for x in by_host.agg(*again).first()]
-    shares = F.array(*[F.col(f"p{k}") for k in range(len(langs))])
-    hosts = by_host.select("host", "suffix", shares.alias("of_host")).join(by_suffix.select("suffix", shares.alias("of_suffix")), "suffix")
-    nothing = F.array(*[F.lit(0.0)] * len(langs))
+    # A row for each host and language, however many languages; sums of a hot host are taken before the shuffle.
+    each = seen.where(F.col("own").isNotNull()).select("host", "suffix", F.posexplode("own").alias("k", "p"))
+    by_host = written(each.groupBy("host", "suffix", "k").agg(F.sum("p").alias("p")), "hosts")
+    whole = np.zeros(len(langs))
+    for r in by_host.groupBy("k").agg(F.sum("p").alias("p")).collect():  # a row for each language
+        whole[r["k"]] = r["p"]
+    shares = F.transform(F.array_sort(F.collect_list(F.struct("k", "p"))), lambda x: x["p"])
+    by_suffix = by_host.groupBy("suffix", "k").agg(F.sum("p").alias("p")).groupBy("suffix").agg(shares.alias("of_suffix"))
+    hosts = by_host.groupBy("host", "suffix").agg(shares.alias("of_host")).join(by_suffix, "suffix")
+    nothing = F.array_repeat(F.lit(0.0), len(langs))
 
     def smoothed(counts: Column, prior: Column, weight: float | Column) -> Column:
         """Shares of the counts less the row's own, with a prior of so much weight."""
         others = F.zip_with(counts, F.coalesce("own", nothing), lambda a, b: F.greatest(a - b, F.lit(0.0)))
-        size = F.aggregate(others, F.lit(0.0), lambda a, b: a + b) + weight
-        return F.zip_with(others, prior, lambda a, b: (a + weight * b) / size)
+        return let(others, lambda o: let(total(o) + weight, lambda size: F.zip_with(o, prior, lambda a, b: (a + weight * b) / size)))
 
     fused = seen.join(hosts, ["host", "suffix"], "left")
-    fused = fused.withColumn("prior", smoothed(F.array(*map(F.lit, whole)), F.array(*[F.lit(1.0 / len(langs))] * len(langs)), float(len(langs))))
+    fused = fused.withColumn("prior", smoothed(F.array(*[F.lit(float(x)) for x in whole]), F.array_repeat(F.lit(1.0 / len(langs)), len(langs)), float(len(langs))))
     for counts in ("of_suffix", "of_host"):
         fused = fused.withColumn("prior", smoothed(F.coalesce(counts, nothing), F.col("prior"), PSEUDO))
     fused = fused.withColumn("prior", F.transform("prior", lambda x: F.log(x)))
@@ -222,7 +228,9 @@ def of_pages(pages: DataFrame) -> DataFrame:
         return pa.array([visible(t or "") for part in slices(column) for t in part], pa.string())
 
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z]+://([^/:?#]+)", 1))
-    declared = F.nullif(F.lower(F.regexp_extract(F.coalesce("html", F.lit("")), r"""(?i)<html[^>]{0,1000}?\blang\s*=\s*["']?([A-Za-z]{2,3})""", 1)), F.lit(""))
+    # The attributes of the first html tag, however many, and then the one that is named.
+    tag = F.regexp_extract(F.coalesce("html", F.lit("")), r"(?is)^.*?<html\b([^>]*)", 1)
+    declared = F.nullif(F.lower(F.regexp_extract(tag, r"""(?i)\blang\s*=\s*["']?([A-Za-z]{2,3})""", 1)), F.lit(""))
     return pages.select(F.col("page_id").alias("doc_id"), words("html").alias("text"), declared.alias("declared"), F.substring_index(host, ".", -3).alias("host"), F.substring_index(host, ".", -1).alias("suffix"))
 
 

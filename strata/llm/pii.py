@@ -174,12 +174,17 @@ def proposed(text: str):
         yield from ((kind, m.start(), m.end()) for m in pattern.finditer(text) if right(m[0].replace(" ", "").replace("-", "")))
 
 
+def nearby(words: re.Pattern, text: str, start: int, end: int) -> bool:
+    """Whether one of the words stands within NEAR characters of a span; none that goes on beyond them or into the span."""
+    sides = ((max(0, start - NEAR), start), (end, min(len(text), end + NEAR)))
+    return any(m.end() <= to for at, to in sides for m in words.finditer(text, at, to + 1))
+
+
 def spans_of(text: str | None) -> list[tuple[str, int, int, float]]:
     """By kind as listed, then by start."""
     found = []
     for kind, start, end in proposed(text or ""):
-        around = (text[max(0, start - NEAR) : start], text[end : end + NEAR])
-        score = SCORE[kind] + SUPPORT * any(map(WORDS[kind].search, around)) - AGAINST * any(map(WORDS[""].search, around))
+        score = SCORE[kind] + SUPPORT * nearby(WORDS[kind], text, start, end) - AGAINST * nearby(WORDS[""], text, start, end)
         score = round(min(1.0, max(0.0, score)), 6)
         if kind in BASE or score >= LEAST:
             found.append((kind, start, end, score))

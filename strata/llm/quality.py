@@ -98,7 +98,7 @@ def judged(docs: DataFrame, least_words: int = LEAST_WORDS, least_left: float =
     """docs (or its carried columns) with FIGURES, n_lost_words and kept."""
     new = (*FIGURES, "kept", "n_lost_words")
     own = [c for c in carried or docs.columns if c not in new]
-    table = written(measured(docs, F.struct(*[docs[c] for c in own]).alias("_doc")), "measured")
+    table = written(measured(docs, F.struct(*[F.col(f"`{c}`") for c in own]).alias("_doc")), "measured")
     return verdict(table, removals(table, most_docs).drop("_gone"), least_words, least_left).select(*[F.col("_doc")[c].alias(c) for c in own], *new)
 
 
@@ -111,7 +111,7 @@ def filtered(docs: DataFrame, least_words: int = LEAST_WORDS, least_left: float
     # What is decided about a text of a host: rejected (null), or without some lines.
     found = verdict(table, removals(table, most_docs), least_words, least_left)
     changed = found.where(~F.col("kept") | F.col("_gone").isNotNull()).groupBy("_host", "_text").agg(F.first(F.when(F.col("kept"), F.col("_gone"))).alias("_gone"), F.lit(True).alias("_found"))
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), host(docs).alias("_host"), key(docs).alias("_text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), host(docs).alias("_host"), key(docs).alias("_text"))
     kept = rows.join(written(changed, "changed"), ["_host", "_text"], "left").where(F.col("_found").isNull() | F.col("_gone").isNotNull())
     text = F.col("_doc")["text"]
     stays = F.array_join(F.filter(F.split(text, "\n", -1), lambda x: ~F.array_contains("_gone", F.xxhash64(normal(x)))), "\n")

@@ -5,7 +5,9 @@ rules; with its URL or Unicode escapes or character references decoded it gives
 layer, and so does each of its base64 or hexadecimal runs (which may be compressed), until
 none is left. A layer whose text was seen before
 at the same place of the original is not scanned again, so a text that decodes to itself
-ends and each occurrence of a repeated run has its spans. Each layer knows, for each of
+ends and each occurrence of a repeated run has its spans. Escapes within escapes are
+decoded a layer at a time up to DEEP layers, and from there to the end in one step (kind
+deep), so a tower of them takes time linear in its length. Each layer knows, for each of
 its characters, which part of the original text it came from.
 
 Kinds: assign, access and hex as the base; pem and jwt; and for a span in a layer the
@@ -41,6 +43,8 @@ BASE = ("assign", "access", "hex")
 RULES = (*BASE, "pem", "jwt")
 #: Bytes that a compressed run may unpack to at once; beyond, so many bytes at a time, with so many characters in common.
 LARGEST, CHUNK, OVERLAP = 32_000_000, 4_000_000, 1_000_000
+#: So many layers of escapes are scanned one by one.
+DEEP = 8
 #: Characters of the shortest run that is decoded.
 RUN = 16
 
@@ -107,8 +111,8 @@ def plain(data: bytes) -> str | None:
 class Layer:
     """A text, the layers that led to it, and of each character its original start and end (None: itself), or one span for all."""
 
-    def __init__(self, text: str, path: str = "", starts: np.ndarray | None = None, ends: np.ndarray | None = None, whole: tuple[int, int] | None = None):
-        self.text, self.path, self.starts, self.ends, self.whole = text, path, starts, ends, whole
+    def __init__(self, text: str, path: str = "", starts: np.ndarray | None = None, ends: np.ndarray | None = None, whole: tuple[int, int] | None = None, escapes: int = 0):
+        self.text, self.path, self.starts, self.ends, self.whole, self.escapes = text, path, starts, ends, whole, escapes
 
     def span(self, start: int, end: int) -> tuple[int, int]:
         if self.whole:
@@ -123,13 +127,13 @@ class Layer:
     def named(self, kind: str) -> str:
         return f"{kind}+{self.path}" if self.path else kind
 
-    def below(self, kind: str, text: str, starts: np.ndarray, ends: np.ndarray) -> Layer:
-        """A layer decoded from this one; starts, ends: of each of its characters, here."""
+    def below(self, kind: str, text: str, starts: np.ndarray, ends: np.ndarray, escapes: int = 0) -> Layer:
+        """A layer decoded from this one; starts, ends: of each of its characters, here; escapes: layers of them in a row."""
         if self.whole:
-            return Layer(text, self.named(kind), whole=self.whole)
+            return Layer(text, self.named(kind), whole=self.whole, escapes=escapes)
         if self.starts is not None:
             starts, ends = self.starts[starts], self.ends[ends - 1]
-        return Layer(text, self.named(kind), starts.astype(np.int32), ends.astype(np.int32))
+        return Layer(text, self.named(kind), starts.astype(np.int32), ends.astype(np.int32), escapes=escapes)
 
     def inside(self, kind: str, text: str, start: int, end: int) -> Layer:
         """A layer that comes from one stretch of this one as a whole."""
@@ -157,6 +161,50 @@ def unescaped(pattern: re.Pattern, text: str, read):
     return "".join(out), starts, ends
 
 
+#: An escape that a text ends with.
+LAST = re.compile(rf"(?:{UNICODE.pattern})\Z")
+HEXES = frozenset("0123456789ABCDEFabcdef")
+
+
+def last_escape(out: list[str]) -> tuple[int, str] | None:
+    """The length of the escape that some characters end with, and what it stands for."""
+    last = out[-1]
+    if last in HEXES and len(out) > 2 and out[-3] == "%" and out[-2] in HEXES:
+        size = 1
+        while True:  # the bytes of one character, from the last one back
+            data = bytes.fromhex("".join(out[-3 * size :]).replace("%", ""))
+            if data[0] & 0xC0 != 0x80:
+                break
+            size += 1
+            if size > 4 or len(out) < 3 * size or out[-3 * size] != "%" or not HEXES.issuperset(out[1 - 3 * size : 3 - 3 * size]):
+                return None
+        try:
+            return (3 * size, char) if len(char := data.decode()) == 1 else None
+        except UnicodeDecodeError:
+            return None
+    if (last in HEXES or last in "};") and (m := LAST.search("".join(out[-11:]))):
+        return len(m[0]), letter_of(m)
+    return None
+
+
+def unwrapped(text: str) -> tuple[str, np.ndarray, np.ndarray]:
+    """The text with its escapes decoded, also those that decoding makes, and where its characters start and end."""
+    out: list[str] = []
+    starts, ends = [], []
+    for i, c in enumerate(text):
+        out.append(c)
+        starts.append(i)
+        ends.append(i + 1)
+        while found := last_escape(out):
+            size, char = found
+            first, last = starts[-size], ends[-1]
+            del out[-size:], starts[-size:], ends[-size:]
+            out.append(char)
+            starts.append(first)
+            ends.append(last)
+    return "".join(out), np.array(starts, np.int32), np.array(ends, np.int32)
+
+
 def bytes_of(m: re.Match) -> str:
     return bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "replace")
 
@@ -171,7 +219,11 @@ def decoded(layer: Layer):
     text = layer.text
     for mark, kind, pattern, read in (("%", "url", ESCAPES, bytes_of), ("\\", "unicode", UNICODE, letter_of), ("&#", "unicode", UNICODE, letter_of)):
         if mark in text and pattern.search(text):
-            yield layer.below(kind, *unescaped(pattern, text, read))
+            if layer.escapes == DEEP:
+                yield layer.below("deep", *unwrapped(text), escapes=DEEP + 1)
+                break
+            if layer.escapes < DEEP:
+                yield layer.below(kind, *unescaped(pattern, text, read), escapes=layer.escapes + 1)
     for m in CODED.finditer(text):
         run = m[0].rstrip("=")
         yield from run_layers(layer, run, np.arange(m.start(), m.start() + len(run)), m.end())
