@@ -20,26 +20,37 @@ from strata.llm.sieve import passing
 from strata.session import removed, written
 
 
-def digest(*columns: str) -> Column:
+def whole(docs: DataFrame) -> Column:
+    """All columns of a row in one, so that no name of theirs can meet another."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+
+
+def unfolded(rows: DataFrame, docs: DataFrame, **changes: Column) -> DataFrame:
+    """The columns of docs from rows that hold them whole, some of them changed."""
+    return rows.select(*[changes.get(c, F.col("doc")[c]).alias(c) for c in docs.columns])
+
+
+def digest(docs: DataFrame, *columns: str) -> Column:
     """A hash of columns that tells nulls from other values, and one column's from the next one's."""
-    return F.xxhash64(*[x for c in columns for x in (F.col(c).isNull(), F.col(c))])
+    return F.xxhash64(*[x for c in columns for x in (docs[c].isNull(), docs[c])])
 
 
-def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """docs (with _key) but for the rows whose _key is in keys.
+def without(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """rows (doc, key) but for those whose key is in keys.
 
     Only rows that may be among the keys take part in the join, so most texts do not move.
     """
-    gone = written(keys.select(F.col("_key").alias("_gone")).distinct(), "gone")
-    may = passing(gone, "_gone", gone.count())("_key")
-    told = docs.where(may).join(gone, F.col("_key").eqNullSafe(F.col("_gone")), "left_anti")
-    return docs.where(~may).unionByName(told)
+    gone = written(keys.select(F.col("key").alias("gone")).distinct(), "gone")
+    may = passing(gone, "gone", gone.count())("key")
+    told = rows.where(may).join(gone, F.col("key").eqNullSafe(F.col("gone")), "left_anti")
+    return rows.where(~may).unionByName(told)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go, and from the others the lines that many documents of their host have.
 
-    A null or empty text has too few words and is rejected.
+    A null or empty text has too few words and is rejected. Repeated rows are copies of one
+    text and stay or go together.
     """
     return quality.filtered(docs)
 
@@ -50,13 +61,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A row's key holds all that its decision depends on, so rows of one key have one decision.
     A null or empty text is kept if its declaration or host says enough.
     """
-    rows = docs.withColumn("_key", F.struct("doc_id", digest("text", "lang", "source").alias("h")))
-    found = langid.identified(langid.of_documents(rows.drop("doc_id").withColumnRenamed("_key", "doc_id")), langid.fitted(docs))
-    found = written(found.withColumnRenamed("doc_id", "_key"), "languages")
+    key = F.struct(docs["doc_id"], digest(docs, "text", "lang", "source").alias("h"))
+    rows = docs.select(whole(docs), key.alias("key"))
+    told = docs.select(key.alias("doc_id"), "text", "lang", "source")
+    found = langid.identified(langid.of_documents(told), langid.fitted(docs))
+    found = written(found.withColumnRenamed("doc_id", "key"), "languages")
     kept = without(rows, found.where(~F.col("kept")))
-    renamed = found.where(F.col("kept") & ~F.col("lang").eqNullSafe(F.col("declared"))).groupBy(F.col("_key").alias("_id")).agg(F.min("lang").alias("_lang"))
-    both = kept.join(written(renamed, "renamed"), F.col("_key").eqNullSafe(F.col("_id")), "left")
-    return both.withColumn("lang", F.coalesce("_lang", "lang")).select(*docs.columns)
+    renamed = found.where(F.col("kept") & ~F.col("lang").eqNullSafe(F.col("declared"))).groupBy(F.col("key").alias("of")).agg(F.min("lang").alias("found"))
+    both = kept.join(written(renamed, "renamed"), F.col("key").eqNullSafe(F.col("of")), "left")
+    return unfolded(both, docs, lang=F.coalesce(F.col("found"), F.col("doc")["lang"]))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,22 +78,23 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Keys are ordered as ids, null last, then by a hash of the text where texts share an id.
     Texts without words are no copies of each other, and all stay but repeated rows.
     """
-    rows = docs.withColumn("_key", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", digest("text").alias("h")))
-    found = neardup.near_duplicates(rows.select(F.col("_key").alias("doc_id"), "text"))
-    found = written(found.withColumnRenamed("doc_id", "_key"), "groups")
-    repeated = written(found.where("kept").groupBy("_key").count().where("count > 1").select("_key"), "repeated")
-    dropped = found.where(~F.col("kept")).select("_key")
+    key = F.struct(docs["doc_id"].isNull().alias("none"), docs["doc_id"], digest(docs, "text").alias("h"))
+    rows = docs.select(whole(docs), key.alias("key"))
+    found = neardup.near_duplicates(docs.select(key.alias("doc_id"), "text"))
+    found = written(found.withColumnRenamed("doc_id", "key"), "groups")
+    repeated = written(found.where("kept").groupBy("key").count().where("count > 1").select("key"), "repeated")
+    dropped = found.where(~F.col("kept")).select("key")
     if not repeated.limit(1).count():
-        return without(rows, dropped).select(*docs.columns)
-    again = rows.join(repeated, "_key", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
-    return without(rows, dropped.unionByName(repeated)).select(*docs.columns).unionByName(again)
+        return unfolded(without(rows, dropped), docs)
+    again = rows.join(repeated, "key", "left_semi").groupBy(F.col("doc")["doc_id"], F.col("doc")["text"]).agg(F.first("doc").alias("doc"))
+    return unfolded(without(rows, dropped.unionByName(repeated)), docs).unionByName(unfolded(again, docs))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each span of personal data becomes [KIND]; n_chars follows. A null text stays null."""
-    clean = docs.withColumn("_clean", pii.redacted("text"))
-    n = F.coalesce(F.length("_clean").cast(docs.schema["n_chars"].dataType), "n_chars")
-    return clean.withColumns({"text": F.col("_clean"), "n_chars": n}).select(*docs.columns)
+    """Each span of personal data becomes [KIND]; n_chars follows. A null text stays null. Each row stays, repeated ones too."""
+    clean = docs.select(whole(docs), pii.redacted(docs["text"]).alias("clean"))
+    n = F.coalesce(F.length("clean").cast(docs.schema["n_chars"].dataType), F.col("doc")["n_chars"])
+    return unfolded(clean, docs, text=F.col("clean"), n_chars=n)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
