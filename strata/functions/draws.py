@@ -6,19 +6,16 @@ from __future__ import annotations
 class Mulberry32:
     """The generator mulberry32: numbers from 0 to below 1."""
 
-    # Fixed values of the generator: its step, its odd masks and its shifts.
-    STEP, MASKS, SHIFTS = 0x6D2B79F5, (1, 61), (15, 7, 14)
-
+    # The step 0x6D2B79F5, the masks 1 and 61, and the shifts 15, 7 and 14 of the generator as published.
     def __init__(self, seed: int):
         self.state = seed & 0xFFFFFFFF
 
     def __call__(self) -> float:
-        mul = lambda a, b: (a * b) & 0xFFFFFFFF
-        self.state = (self.state + self.STEP) & 0xFFFFFFFF
-        a, b, c = self.SHIFTS
-        t = mul(self.state ^ self.state >> a, self.state | self.MASKS[0])
-        t ^= (t + mul(t ^ t >> b, t | self.MASKS[1])) & 0xFFFFFFFF
-        return (t ^ t >> c) / 4294967296
+        self.state = (self.state + 0x6D2B79F5) & 0xFFFFFFFF
+        t = self.state
+        t = ((t ^ t >> 15) * (t | 1)) & 0xFFFFFFFF
+        t ^= (t + (t ^ t >> 7) * (t | 61)) & 0xFFFFFFFF
+        return (t ^ t >> 14) / 4294967296
 
 
 def sample_places(n: int, k: int, seed: int) -> list[int]:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: How a time is written as a label.
+TIME = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 #: White space that a cell is trimmed of.
 EDGES = r"^[\s   -     　﻿]+|[\s   -     　﻿]+$"
@@ -77,7 +79,7 @@ def label(df: DataFrame, name: str) -> Column:
     if kind == "boolean":
         return c.cast("int").cast("string")
     if kind == "time":
-        return F.date_format(c.cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+        return F.date_format(c.cast("timestamp"), TIME)
     return F.nullif(trimmed(c.cast("string")), F.lit(""))
 
 

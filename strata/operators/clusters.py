@@ -2,7 +2,7 @@
 
 K-means comes in two forms: `kmeans_scaled` (MLlib) and `kmeans_reference`, whose sequential
 random numbers and row order give reproducible labels; both fit all rows. DBSCAN is stated without an order: cores, the
-components of cores within eps, and border points, so it runs as joins on a grid.
+components of cores within eps, and border points, so it runs on a graph of grid cells.
 """
 
 from __future__ import annotations
@@ -22,14 +22,12 @@ from pyspark.sql.window import Window
 
 from strata.functions.draws import Mulberry32
 from strata.functions.values import number
-from strata.operators import rows
+from strata.operators import cells, rows
 from strata.operators.filters import complete
 from strata.operators.rows import imputed, z_scores
 from strata.session import written
 
 STARTS, PASSES, SAMPLE = range(42, 52), 300, 100_000
-#: Points of one grid cell that are compared in one piece with those of another.
-CELL = 256
 #: The seed of diagnostics' samples, a fixed value.
 SEED = 0x5CA7
 #: Points of a block of the silhouette, and how often the first side of the k-distance grid is halved at most.
@@ -200,7 +198,7 @@ def assigned(points: DataFrame, centres: np.ndarray, row: str = "_row") -> DataF
     """The nearest centre of each point, the lowest on ties."""
     terms = [sum(((F.col("x")[j] - float(v)) ** 2 for j, v in enumerate(c)), F.lit(0.0)) for c in centres]
     d = points.select(row, F.array(*terms).alias("d"))
-    return d.select(row, F.concat(F.lit("Cluster "), F.array_position("d", F.array_min("d")).cast("string")).alias("Cluster"))
+    return d.select(row, F.concat(F.lit("Cluster "), (F.array_position("d", F.array_min("d")) - 1).cast("string")).alias("Cluster"))
 
 
 def kmeans_scaled(points: DataFrame, k: int, seed: int = 42, row: str = "_row") -> DataFrame:
@@ -210,55 +208,17 @@ def kmeans_scaled(points: DataFrame, k: int, seed: int = 42, row: str = "_row")
 
     ready = points.select(row, array_to_vector("x").alias("features"))
     model = KMeans(k=k, seed=seed, maxIter=PASSES).fit(ready)
-    return model.transform(ready).select(row, F.concat(F.lit("Cluster "), (F.col("prediction") + 1).cast("string")).alias("Cluster"))
-
-
-def gridded(points: DataFrame, eps: float, dims: int, row: str) -> DataFrame:
-    """Points with their grid cell, of side eps, and a part of the cell, so that a crowded cell is many keys."""
-    cell = F.array(*[F.floor(F.col("x")[j] / eps).cast("long") for j in range(dims)])
-    sizes = points.select(cell.alias("cell")).groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("of"))
-    placed = points.select(row, "x", cell.alias("cell")).join(sizes, "cell")
-    return placed.withColumn("part", F.pmod(F.xxhash64(row), F.col("of")).cast("int"))
-
-
-def near_counts_and_links(grid: DataFrame, eps: float, dims: int, row: str) -> DataFrame:
-    """a, b: all pairs of points within eps of each other, each point with itself."""
-    shifts = F.array(*[F.array(*[F.lit(s).cast("long") for s in c]) for c in itertools.product((-1, 0, 1), repeat=dims)])
-    sizes = grid.select("cell", "of").distinct()
-    asks = grid.select(F.col(row).alias("a"), F.col("x").alias("xa"), F.explode(F.transform(shifts, lambda s: F.zip_with("cell", s, lambda c, d: c + d))).alias("cell"))
-    asks = asks.join(sizes, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("of") - 1))).drop("of")
-    d2 = sum(((F.col("xa")[j] - F.col("x")[j]) ** 2 for j in range(dims)), F.lit(0.0))
-    return asks.join(grid.select("cell", "part", F.col(row).alias("b"), "x"), ["cell", "part"]).where(d2 <= eps * eps).select("a", "b")
+    return model.transform(ready).select(row, F.concat(F.lit("Cluster "), F.col("prediction").cast("string")).alias("Cluster"))
 
 
 def dbscan(points: DataFrame, eps: float, least: int, row: str = "_row") -> DataFrame:
-    """_row and Cluster (Cluster 1, 2, ... by their smallest core row, or Noise).
+    """_row and Cluster (Cluster 0, 1, ... by their smallest core row, or Noise).
 
     A core has `least` points within eps, itself included. Cores within eps are one cluster;
     another point takes the lowest cluster of the cores within eps of it.
     """
-    dims = len((points.first() or {"x": [0]})["x"])
-    grid = written(gridded(points, eps, dims, row), "grid")
-    near = near_counts_and_links(grid, eps, dims, row)
-    cores = written(near.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("a"), "cores")
-    touch = written(near.join(cores.withColumnRenamed("a", "b"), "b", "left_semi"), "touch")  # from any point to a core
-    links = written(touch.where("a < b").join(cores, "a", "left_semi"), "links")
-    comp = cores.select("a", F.col("a").alias("comp"))
-    for step in itertools.count():
-        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.join(comp.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("comp").alias("low"))
-        hooked = comp.join(low, "a", "left").select("a", F.least("comp", F.coalesce("low", "comp")).alias("to"), F.col("comp").alias("was"))
-        up = comp.select(F.col("a").alias("to"), F.col("comp").alias("up"))
-        comp = written(hooked.join(up, "to").select("a", F.least("to", "up").alias("comp"), "was"), "comp")
-        if not comp.where("comp != was").limit(1).count():
-            break
-        comp = comp.select("a", "comp")
-    comp = comp.select("a", "comp")
-    border = touch.join(comp.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("comp").alias("comp"))
-    roots = comp.select("comp").distinct()  # one row for each cluster
-    number_of = roots.withColumn("no", F.row_number().over(Window.orderBy("comp")))
-    label = border.join(number_of, "comp").select(F.col("a").alias(row), F.concat(F.lit("Cluster "), F.col("no").cast("string")).alias("Cluster"))
-    return points.select(row).join(label, row, "left").withColumn("Cluster", F.coalesce("Cluster", F.lit("Noise")))
+    found = cells.clustered(points, eps, least, row)
+    return found.select(row, F.coalesce(F.concat(F.lit("Cluster "), F.col("no").cast("string")), F.lit("Noise")).alias("Cluster"))
 
 
 def numbers(df: DataFrame, axes: list[str], row: str = "_row") -> DataFrame:
@@ -383,7 +343,7 @@ def k_distance_percentiles(points: DataFrame, least: int, cap: int = 2000, row:
     """The values at floor(p / 100 n) of the sorted k-distances; none for under two samples."""
     if least < 2:
         return None
-    some = points.orderBy(F.xxhash64(row, F.lit(0x5CA7)), row).limit(cap)
+    some = rows.sampled(points, cap, [row], SEED)
     d = sorted(r["d"] for r in k_distances(written(some, "sample"), least, row).select("d").collect())  # at most `cap`
     if not d:
         return None

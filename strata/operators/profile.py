@@ -1,16 +1,15 @@
-"""Profiles of columns: one aggregate over all columns, or one grouped aggregate over their values."""
+"""Profiles of columns, from their summaries or one grouped aggregate over their values."""
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strata.functions.names import is_component, is_derived, is_identifier
-from strata.functions.values import DATE_LIKE, boolean_like, cleaned, kind_of, label, number, pattern, rounded, temporal, trimmed
+from strata.functions.values import DATE_LIKE, cleaned, kind_of, label, number, pattern, rounded, trimmed
 from strata.operators.ranks import midranks_by
+from strata.operators.summaries import Summary
 
 #: Distinct numbers from which a column is continuous, distinct labels that a category may have,
 #: and rows that a value must have to be shown of private data.
@@ -29,18 +28,18 @@ def scan(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     kind: continuous (numbers with more than 20 values), too-many (others with more than 50),
     else categorical; an empty column is categorical.
     """
-    columns = columns or df.columns
+    found = Summary(df, columns)
+    counts, rows = found.exact(), []
+    for c in found.names:
+        x, typed = found.by[c], kind_of(df, c) == "number"
+        rows.append((c, x["missing"], x["numbers"] > 0, x["lo"], x["hi"], counts[c], kind_by(typed, counts[c])))
+    return df.sparkSession.createDataFrame(rows, "column_name string, missing long, is_numeric boolean, min_value double, max_value double, n_unique long, kind string")
 
-    def one(c: str) -> DataFrame:
-        """A column's own aggregate: only it is read, and only its different values are moved."""
-        text, value, typed = label(df, c), number(df, c), kind_of(df, c) == "number"
-        cells = df.select(text.alias("t"), value.alias("v"))
-        counted = cells.agg(F.count_if(F.col("t").isNull()).alias("missing"), F.coalesce(F.bool_or(F.col("v").isNotNull()), F.lit(False)).alias("is_numeric"), F.min("v").alias("min_value"), F.max("v").alias("max_value"), F.count_distinct("v" if typed else "t").alias("n_unique"))
-        return counted.select(F.lit(c).alias("column_name"), "*", F.lit(typed).alias("typed"))
 
-    rows = functools.reduce(DataFrame.unionByName, map(one, columns))
-    kind = F.when(F.col("typed") & (F.col("n_unique") > CONTINUOUS), "continuous").when(~F.col("typed") & (F.col("n_unique") > CATEGORIES), "too-many").otherwise("categorical")
-    return rows.withColumn("kind", kind).drop("typed")
+def kind_by(typed: bool, n: int | None) -> str:
+    """The kind of a column, numeric by type or not, with so many different values (None: more than CATEGORIES)."""
+    n = CATEGORIES + 1 if n is None else n
+    return "continuous" if typed and n > CONTINUOUS else "too-many" if not typed and n > CATEGORIES else "categorical"
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -87,14 +86,16 @@ def categories(df: DataFrame, column: str, most: int = 200) -> DataFrame:
 
 def analysis_profile(df: DataFrame, open_data: bool = False) -> dict[str, dict]:
     """What plans are checked against: name to roles and, for categories, groups of (value, n, withheld)."""
-    scans = {r["column_name"]: r for r in scan(df).collect()}
-    times = df.agg(*[F.coalesce(F.try_divide(F.count_if(temporal(df, c)), F.count(F.col(f"`{c}`"))) >= 0.8, F.lit(False)).alias(c) for c in df.columns]).first()
-    grouped = [c for c, r in scans.items() if r["kind"] == "categorical"]
-    groups: dict[str, list] = {c: [] for c in grouped}
-    if grouped:
-        for r in value_counts(df, grouped).orderBy(F.desc("n"), "value").collect():  # at most CATEGORIES for each column
-            groups[r["column_name"]].append({"value": r["value"], "n": r["n"], "withheld": not open_data and (is_identifier(r["column_name"]) or r["n"] < FLOOR)})
-    return {c: {"numeric": r["is_numeric"], "categorical": c in groups, "temporal": times[c], "identifier": is_identifier(c), "groups": groups.get(c), "values": {g["value"] for g in groups.get(c, []) if not g["withheld"]}} for c, r in scans.items()}
+    found = Summary(df)
+    kinds = {c: kind_by(kind_of(df, c) == "number", found.by[c]["n_values"]) for c in df.columns}
+    groups = found.groups([c for c in df.columns if kinds[c] == "categorical"])
+    out = {}
+    for c in df.columns:
+        x, secret = found.by[c], is_identifier(c)
+        told = [{"value": v, "n": n, "withheld": not open_data and (secret or n < FLOOR)} for v, n in groups[c]] if c in groups else None
+        temporal = x["filled"] > 0 and x["dates"] >= 0.8 * x["filled"]
+        out[c] = {"numeric": x["numbers"] > 0, "categorical": c in groups, "temporal": temporal, "identifier": secret, "groups": told, "values": {g["value"] for g in told or [] if not g["withheld"]}}
+    return out
 
 
 def told_text(df: DataFrame, c: str) -> Column:
@@ -200,8 +201,11 @@ def default_colour(df: DataFrame, current: str = "") -> str:
         return "Cluster"
     names = [c for c in df.columns if not is_identifier(c)]
     if names:
-        one = df.agg(*[F.struct(F.count_distinct(label(df, c)).alias("n"), F.coalesce(F.bool_and(boolean_like(df, c)), F.lit(True)).alias("b")).alias(c) for c in names]).first()
-        fit = [(one[c]["n"], k, c) for k, c in enumerate(names) if 2 <= one[c]["n"] <= CONTINUOUS and not one[c]["b"]]
+        found = Summary(df, names)
+        few = [c for c in names if 2 <= (found.by[c]["n_values"] or 0) <= CONTINUOUS]
+        flags = {"number": {"0", "1"}, "text": {"true", "false"}, "boolean": {"0", "1"}}
+        values = found.groups(few) if few else {}
+        fit = [(len(values[c]), k, c) for k, c in enumerate(few) if not {v for v, _ in values[c]} <= flags.get(kind_of(df, c), set())]
         return min(fit)[2] if fit else names[0]
     return df.columns[0] if df.columns else ""
 

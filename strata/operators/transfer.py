@@ -84,5 +84,5 @@ def added_up(df: DataFrame, name: str = "_row") -> DataFrame:
         run += starts[k][1]
     if not offsets:
         return df.withColumn(name, F.lit(0).cast("long"))
-    at = F.create_map(*[F.lit(x) for k, v in offsets.items() for x in (k, v)])
-    return ranged.withColumn(name, (F.col("_place") + at[F.col("_part")]).cast("long")).drop("_part", "_place")
+    at = F.array(*[F.lit(offsets.get(k, 0)).cast("long") for k in range(max(offsets) + 1)])
+    return ranged.withColumn(name, F.col("_place") + F.get(at, F.col("_part"))).drop("_part", "_place")

@@ -674,7 +674,7 @@ core AS (SELECT a FROM near GROUP BY a HAVING count(*) >= 4),
 link AS (SELECT near.a, near.b FROM near JOIN core p ON p.a = near.a JOIN core q ON q.a = near.b),
 reach AS (SELECT a, a AS b FROM core UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b),
 comp AS (SELECT a, min(b) AS c FROM reach GROUP BY a),
-no AS (SELECT c, row_number() OVER (ORDER BY c) AS no FROM (SELECT DISTINCT c FROM comp)),
+no AS (SELECT c, row_number() OVER (ORDER BY c) - 1 AS no FROM (SELECT DISTINCT c FROM comp)),
 mine AS (SELECT near.a AS r, min(comp.c) AS c FROM near JOIN comp ON comp.a = near.b GROUP BY near.a)
 SELECT z.r AS _row, coalesce('Cluster ' || no.no, 'Noise') AS "Cluster" FROM z LEFT JOIN mine USING (r) LEFT JOIN no USING (c)""")
 def _(supplier):

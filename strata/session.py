@@ -22,15 +22,18 @@ def local_session(cpus: str = "8") -> SparkSession:
     )
 
 
+#: The temporary folders of local sessions without the setting, by application.
+OWN: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir. Only a local session may do without the setting."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        master = spark.sparkContext.master
+        master, name = spark.sparkContext.master, spark.sparkContext.applicationId
         if not (master == "local" or master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="spark-strata-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = OWN.setdefault(name, OWN.get(name) or tempfile.mkdtemp(prefix="spark-strata-"))
     return found.rstrip("/")
 
 

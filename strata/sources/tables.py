@@ -71,7 +71,7 @@ def line_faults(spark: SparkSession, path: str, separator: str, width: int) -> D
 
 def faults(separator: str, width: int) -> list[Column]:
     """Whether a line (value) has too few fields, too many, or an odd number of quotes. Blank lines have no faults."""
-    bare = F.regexp_replace("value", r'"(?:[^"]|"")*"', "q")
+    bare = F.regexp_replace("value", r'"[^"]*+(?:""[^"]*+)*+"', "q")
     blank = F.trim(F.replace("value", F.lit(separator), F.lit(""))) == ""
     n = F.size(F.split(bare, re.escape(separator), -1))
     return [~blank & (n < width), ~blank & (n > width), bare.contains('"')]

@@ -138,7 +138,7 @@ def test_kmeans_dbscan_silhouette(spark):
 
 def dbscan_by_scan(x, eps, least):
     near = [[j for j in range(len(x)) if (x[i][0] - x[j][0]) ** 2 + (x[i][1] - x[j][1]) ** 2 <= eps * eps] for i in range(len(x))]
-    label, n = [None] * len(x), 0
+    label, n = [None] * len(x), -1
     for i in range(len(x)):
         if label[i] is not None or len(near[i]) < least:
             continue
