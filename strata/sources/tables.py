@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from strata.functions.values import label, normalised, number, pattern
 from strata.session import removed, written
+from strata.sources.records import begun, line_end, lines, records, scanned
 
 #: Bytes of a workbook, which is read on the driver; files that Spark reads have no limit.
 LARGEST_WORKBOOK = 250 * 1024 * 1024
@@ -51,70 +52,51 @@ def delimiter_of(line: str) -> str | None:
 
 
 def fields_of(line: str, separator: str) -> list[str]:
-    """The cells of one line."""
-    return next(csv.reader([line], delimiter=separator), [])
-
-
-def placed_lines(spark: SparkSession, path: str) -> DataFrame:
-    """value, file, block (where its part of the file begins) and place (grows by one from line to line of a block)."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
-    return lines.withColumn("place", F.monotonically_increasing_id())
+    """The cells of one line or record."""
+    return next(csv.reader(io.StringIO(line, newline=""), delimiter=separator), [])
 
 
 def line_faults(spark: SparkSession, path: str, separator: str, width: int) -> DataFrame:
     """file, block, n_lines, first (place of the first line), few, many and open: lines with fewer or more
     fields than width, or with an odd number of quotes, for each block of a file."""
-    lines = placed_lines(spark, path)
     few, many, open_quote = faults(separator, width)
-    return lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n_lines"), F.min("place").alias("first"), F.count_if(few).alias("few"), F.count_if(many).alias("many"), F.count_if(open_quote).alias("open"))
+    rows = lines(spark, path, line_end(spark, path))
+    return rows.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n_lines"), F.min("place").alias("first"), F.count_if(few).alias("few"), F.count_if(many).alias("many"), F.count_if(open_quote).alias("open"))
 
 
 def faults(separator: str, width: int) -> list[Column]:
-    """Whether a line (value) has too few fields, too many, or an odd number of quotes. Blank lines have no faults."""
+    """Whether a line or record (value) has too few fields, too many, or an odd number of quotes. Blank ones have no faults."""
     bare = F.regexp_replace("value", r'"[^"]*+(?:""[^"]*+)*+"', "q")
-    blank = F.trim(F.replace("value", F.lit(separator), F.lit(""))) == ""
+    blank = F.trim(F.regexp_replace(bare, rf"[\r\n]|{re.escape(separator)}", "")) == ""
     n = F.size(F.split(bare, re.escape(separator), -1))
     return [~blank & (n < width), ~blank & (n > width), bare.contains('"')]
 
 
-def line_numbers(spark: SparkSession, path: str, blocks: DataFrame, fault: Column, last: bool = False) -> list[int]:
-    """Numbers, from 1 in their file, of the first LISTED lines with a fault, or of the last one."""
+def line_numbers(rows: DataFrame, blocks: DataFrame) -> list[int]:
+    """Numbers, from 1 in their file, of the first LISTED of the lines that rows (file, block, place) begin at."""
     order = ["file", "block", "place"]
-    some = placed_lines(spark, path).where(fault).select(*order)
-    some = some.orderBy(*[F.desc(c) for c in order]).limit(1) if last else some.orderBy(*order).limit(LISTED)
-    own = some.join(blocks.select("file", "block", "first"), ["file", "block"])
+    own = rows.select(*order).orderBy(*order).limit(LISTED).join(blocks.select("file", "block", "first"), ["file", "block"])
     before = F.broadcast(own).join(blocks.select(F.col("file").alias("f"), F.col("block").alias("b"), "n_lines"), (F.col("f") == F.col("file")) & (F.col("b") < F.col("block")), "left")
     found = before.groupBy(*order, "first").agg(F.coalesce(F.sum("n_lines"), F.lit(0)).alias("n"))
     return [r["n"] + r["place"] - r["first"] + 1 for r in found.orderBy(*order).collect()]
 
 
-def line_warnings(spark: SparkSession, path: str, separator: str, width: int) -> tuple[list[str], bool]:
-    """Warnings about ragged rows and open quotes, with line numbers, and whether cells may hold line breaks.
-
-    If they may, lines are not rows, and only an odd number of quotes in the whole is told here.
-    """
-    blocks = written(line_faults(spark, path, separator, width), "lines")
-    one = blocks.agg(*[F.sum(c).alias(c) for c in ("few", "many", "open")]).first()
-    few, many, open_quote = faults(separator, width)
+def ragged(rows: DataFrame, blocks: DataFrame, separator: str, width: int, few: int, many: int) -> list[str]:
+    """Warnings about so many lines or records with fewer or more fields than the header."""
+    fewer, more, _ = faults(separator, width)
     said = []
-    if one["open"]:
-        if one["open"] % 2:
-            said.append(f"an unclosed quotation mark near line {line_numbers(spark, path, blocks, open_quote, last=True)[0]}: what follows is read as one value")
-    else:
-        for n, fault, what, then in ((one["many"], many, "more", "the extra values were discarded"), (one["few"], few, "fewer", "the missing values are blank")):
-            if n:
-                lines = line_numbers(spark, path, blocks, fault)
-                said.append(f"{n} row(s) had {what} values than the header has columns (line {', '.join(map(str, lines))}{', …' if n > len(lines) else ''}); {then}")
-    removed(blocks)
-    return said, bool(one["open"])
+    for n, fault, what, then in ((many, more, "more", "the extra values were discarded"), (few, fewer, "fewer", "the missing values are blank")):
+        if n:
+            found = line_numbers(rows.where(fault), blocks)
+            said.append(f"{n} row(s) had {what} values than the header has columns (line {', '.join(map(str, found))}{', …' if n > len(found) else ''}); {then}")
+    return said
 
 
 def read_csv(spark: SparkSession, path: str, separator: str | None = None) -> tuple[DataFrame, list[str]]:
     """A table in the value domain (a column with a number in it and no other text is double), and warnings.
 
     Only the header, counts and the numbers of a few lines come to the driver; the body is
-    one lazy scan, in as many tasks as the file has blocks. Only a file in which a line has
-    an odd number of quotes, so that cells may hold line breaks, is read in one task.
+    one lazy scan, in as many tasks as the file has blocks, also where cells hold line breaks.
     """
     first = spark.read.text(path).limit(1).collect()
     if not first:
@@ -125,15 +107,40 @@ def read_csv(spark: SparkSession, path: str, separator: str | None = None) -> tu
     if found is None:
         said.append("no delimiter was found; a comma is assumed")
     found = found or ","
-    more, breaks = line_warnings(spark, path, found, len(fields_of(line, found)))
-    said += more
-    form = {"sep": found, "multiLine": breaks, "escape": '"', "mode": "PERMISSIVE", "enforceSchema": True}
-    header = list(spark.read.csv(path, header=False, **form).limit(1).collect()[0]) if breaks else fields_of(line, found)
+    form = {"sep": found, "escape": '"', "mode": "PERMISSIVE"}
+    width = len(fields_of(line, found))
+    blocks = written(line_faults(spark, path, found, width), "lines")
+    one = blocks.agg(*[F.sum(c).alias(c) for c in ("few", "many", "open")]).first()
+    end = line_end(spark, path)
+    rows = lines(spark, path, end)
+    broken = None
+    if one["open"]:  # a line may end inside quotes
+        states = written(begun(scanned(rows, found)), "states")
+        if states.where("spans").limit(1).count():
+            broken = states
+    if broken is None:
+        header = fields_of(line, found)
+        said += ragged(rows, blocks, found, width, one["few"], one["many"])
+    else:
+        rows, unclosed = records(rows, found, end, broken)
+        top = rows.orderBy("file", "block", "place").limit(1).first()["value"]
+        header = fields_of(top, found)
+        width = len(header)
+        few, many, _ = faults(found, width)
+        one = rows.agg(F.count_if(few).alias("few"), F.count_if(many).alias("many")).first()
+        said += [f"an unclosed quotation mark near line {n}: what follows is read as one value" for n in line_numbers(unclosed, broken)[:1]]
+        said += ragged(rows, broken, found, width, one["few"], one["many"])
+    removed(blocks)
     names, places, more = unique_names(header)
     said += more
     if looks_headerless(names):
         said.append("all headers are numbers; the first row may be data")
-    body = spark.read.csv(path, header=True, schema=", ".join(f"`_{k}` string" for k in range(len(header))), **form)
+    schema = ", ".join(f"`_{k}` string" for k in range(len(header)))
+    if broken is None:
+        body = spark.read.csv(path, header=True, schema=schema, multiLine=False, enforceSchema=True, **form)
+    else:
+        tops = broken.where("block = 0").select("file", "block", F.col("first").alias("place"))
+        body = rows.join(tops, ["file", "block", "place"], "left_anti").where(F.col("value") != "").select(F.from_csv("value", schema, form).alias("_r")).select("_r.*")
     table = body.select(*[F.col(f"_{k}").alias(n) for k, n in zip(places, names)])
     if not names:
         return table, said
