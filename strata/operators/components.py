@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from strata.functions.names import clean_label, component_names, normal_name, owned_by
 from strata.functions.values import number, rounded
 from strata.operators.filters import complete
+from strata.operators.gaps import Filled
 from strata.operators.rows import medians
 
 
@@ -140,51 +141,29 @@ def fit(df: DataFrame, variables: list[str], k: int = 3, scale: bool = True, lab
 def impute(df: DataFrame, variables: list[str], rank: int = 2, scale: bool = True, rounds: int = 200, tolerance: float = 1e-8) -> tuple[DataFrame, dict]:
     """Rows as an array column x with gaps filled by regularised iterative components, and how it went.
 
-    Complete rows never change, so their moments are taken once. A row's fill depends on the
-    fitted plane alone, so each round recomputes the rows with gaps from their observed
-    cells and the last fill's table, which is written between rounds.
+    Between rounds only moments are carried, for each pattern of gaps (see gaps.py); rows are
+    filled once at the end.
     """
-    from strata.session import written
-
     p = len(variables)
     rank = max(1, min(rank, p - 1))
     raw = vectors_of(df, variables)
-    has_gap = F.exists("x", lambda v: v.isNull())
-    whole = gram(raw.where(~has_gap), p)
     means = df.agg(*[F.avg(number(df, v)).alias(f"m{j}") for j, v in enumerate(variables)]).first()
-    start = F.array(*[F.lit(float(means[f"m{j}"])) for j in range(p)])
-    gappy = written(raw.where(has_gap).select(F.col("x").alias("seen"), F.zip_with("x", start, lambda v, m: F.coalesce(v, m)).alias("x"), F.lit(0.0).alias("moved"), F.lit(0.0).alias("size")), "gaps")
+    rows = Filled(raw, p, np.array([float(means[f"m{j}"]) for j in range(p)]))
     done, turn = False, 0
     for turn in range(1, rounds + 1):
-        n1, mean1, m1 = gram(gappy, p)
-        n0, mean0, m0 = whole
-        n = n0 + n1
-        shift = mean1 - mean0
-        mean = mean0 + shift * (n1 / n) if n0 else mean1
-        m2 = m0 + m1 + (np.outer(shift, shift) * (n0 * n1 / n) if n0 else 0)
+        n, mean, m2 = rows.moments.n, rows.moments.mean, rows.moments.m2
         unit = np.sqrt(np.diag(m2) / n) if scale else np.ones(p)
         unit = np.where(unit > 0, unit, 1.0)
         values, vectors = eigen(m2 / n / np.outer(unit, unit))
         noise = values[rank:].sum() / (p - rank)
         shrink = np.where(values[:rank] > 0, np.maximum(0, (values[:rank] - noise) / np.maximum(values[:rank], 1e-300)), 0)
         plane = (vectors[:, :rank] * shrink) @ vectors[:, :rank].T
-
-        def refill(batches: Iterator[pd.DataFrame], mean=mean, unit=unit, plane=plane) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                x, seen = np.stack(pdf["x"].to_numpy()).astype(float), np.stack([np.array(s, float) for s in pdf["seen"]])
-                new = ((x - mean) / unit) @ plane * unit + mean
-                gap = np.isnan(seen)
-                out = np.where(gap, new, seen)
-                yield pd.DataFrame({"seen": pdf["seen"], "x": out.tolist(), "moved": np.where(gap, (new - x) ** 2, 0).sum(1), "size": np.where(gap, new**2, 0).sum(1)})
-
-        gappy = written(gappy.mapInPandas(refill, "seen array<double>, x array<double>, moved double, size double"), "gaps")
-        change = gappy.agg(F.sum("moved").alias("moved"), F.sum("size").alias("size")).first()
-        if change["moved"] is None or change["moved"] <= tolerance * max(change["size"], 1e-12):
+        a = unit[:, None] * plane / unit  # x goes to the plane and back: a @ (x - mean) + mean
+        moved, size = rows.refill(a, mean - a @ mean)
+        if moved <= tolerance * max(size, 1e-12):
             done = True
             break
-    return raw.where(~has_gap).unionByName(gappy.select("x")), {"iterations": turn, "converged": done, "rank": rank}
+    return rows.table(), {"iterations": turn, "converged": done, "rank": rank}
 
 
 def project(df: DataFrame, loadings: DataFrame) -> tuple[DataFrame, dict]:

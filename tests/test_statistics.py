@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strata.functions import distributions as d
 from strata.functions import names, values
-from strata.operators import charts, clusters, codes, components, filters, groups, hypothesis, profile, ranks, rows, transfer
+from strata.operators import charts, clusters, codes, components, filters, gaps, groups, hypothesis, profile, ranks, rows, transfer
 from strata.plans import plan, policy
 from strata.plans.dataset import Dataset
 
@@ -123,6 +123,37 @@ def test_iterative_imputation_beats_the_median(spark):
     assert all(got[r[1:]] == r[0] for k, r in enumerate(full) if k % 5)
 
 
+def plain_imputation(x, rank, rounds, tolerance=1e-8):
+    """Rows refilled one round after the other."""
+    gap = np.isnan(x)
+    x = np.where(gap, np.nanmean(x, 0), x)
+    for turn in range(1, rounds + 1):
+        mean, unit = x.mean(0), x.std(0)
+        values, vectors = components.eigen(np.corrcoef(x.T))
+        shrink = np.maximum(0, values[:rank] - values[rank:].mean()) / values[:rank]
+        new = ((x - mean) / unit) @ ((vectors[:, :rank] * shrink) @ vectors[:, :rank].T) * unit + mean
+        moved, size = ((new - x)[gap] ** 2).sum(), (new[gap] ** 2).sum()
+        x = np.where(gap, new, x)
+        if moved <= tolerance * size:
+            break
+    return x, turn
+
+
+@pytest.mark.parametrize("held", [1024, 3])
+def test_imputation_by_patterns_is_that_by_rows(spark, monkeypatch, held):
+    monkeypatch.setattr(gaps, "PATTERNS", held)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 2)) @ rng.normal(size=(2, 5)) * 3 + rng.normal(size=(200, 5)) + np.arange(5) * 10
+    x[rng.uniform(size=x.shape) < 0.2] = np.nan
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in r) for r in x], "a double, b double, c double, d double, e double").repartition(3)
+    rounds = 200 if held > 3 else 8
+    got, told = components.impute(df, list("abcde"), rank=2, rounds=rounds)
+    want, turns = plain_imputation(x, 2, rounds)
+    assert told["iterations"] == turns and told["converged"] == (held > 3)
+    found, want = (np.array(sorted(map(tuple, v))) for v in ([r["x"] for r in got.collect()], want))
+    assert np.abs(found - want).max() < 1e-9
+
+
 def test_kmeans_dbscan_silhouette(spark):
     rng = random.Random(0)
     blobs = [(k, [rng.gauss(10 * (k % 2), 0.5), rng.gauss(0, 0.5)]) for k in range(100)]
