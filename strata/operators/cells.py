@@ -161,23 +161,23 @@ def clustered(points: DataFrame, eps: float, least: int, row: str = "_row") -> D
     # Two points of a cell are within eps but for the rounding of very large numbers, where the box tells.
     full = (F.col("n") >= least) & (farthest(F.col("lo"), F.col("lo"), F.col("hi"), dims, F.col("hi")) <= e2)
     dense, rest = boxes.where(full), boxes.where(~full)
-    sparse = written(points.join(rest.select("cell"), "cell"), "sparse")
+    sparse = points.join(rest.select("cell"), "cell")
     # Each point of the other cells asks the cells around it, itself included; boxes answer where they can.
     asks = sparse.select("a", "x", around("cell", dims).alias("cell")).join(boxes.select("cell", F.col("n").alias("of"), "lo", "hi"), "cell")
     inside, touches = farthest(F.col("x"), F.col("lo"), F.col("hi"), dims) <= e2, nearest(F.col("x"), F.col("lo"), F.col("hi"), dims) <= e2
     asks = written(asks.where(touches).select("a", "x", "cell", "of", inside.alias("inside")), "asks")
     counts = asks.where("inside").select("a", F.col("of").alias("n")).unionByName(met(asks.where("NOT inside").select("a", "x", "cell"), chunked(points, dims), eps, dims))
     found = written(counts.groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("a"), "cores")
-    alone = written(sparse.join(found, "a", "left_semi"), "alone")
+    alone = sparse.join(found, "a", "left_semi")
     cores = alone.unionByName(points.join(dense.select("cell"), "cell").select(alone.columns)).select("cell", "x")
     nodes = dense.select("cell", "first", "lo", "hi").unionByName(alone.groupBy("cell").agg(F.min("a").alias("first"), *box(dims)).select("cell", "first", "lo", "hi"))
     nodes = written(nodes, "nodes")
     comp = linked(nodes, cores, eps, dims)
     numbers = with_rows(comp.select("comp").distinct(), ["comp"], "no")
-    nodes = written(nodes.join(comp.join(numbers, "comp").select("cell", "no"), "cell"), "numbered")
+    nodes = nodes.join(comp.join(numbers, "comp").select("cell", "no"), "cell")
     # Points that are no cores take the first cluster with a core within eps.
     border = sparse.join(found, "a", "left_anti").select("a", "x", around("cell", dims).alias("cell")).join(nodes.select("cell", "no", "lo", "hi"), "cell").where(touches)
-    border = written(border.select("a", "x", "cell", "no", inside.alias("inside")), "border")
+    border = border.select("a", "x", "cell", "no", inside.alias("inside"))
     open_ = border.where("NOT inside")
     told = chunked(cores, dims).join(open_.select("cell").distinct(), "cell", "left_semi")
     near = met(open_.select(F.struct("a", "no").alias("a"), "x", "cell"), told, eps, dims).where("n > 0").select("a.a", "a.no")

@@ -10,6 +10,7 @@ from strata.functions.values import label, natural, number
 from strata.operators.profile import FLOOR
 from strata.operators.ranks import midranks
 from strata.operators.transfer import with_rows
+from strata.session import written
 
 
 def pairs(df: DataFrame, column: str, by: str) -> DataFrame:
@@ -43,7 +44,7 @@ def effect(df: DataFrame, column: str, by: str) -> DataFrame:
 
 
 def report(df: DataFrame, column: str, by: str, open_data: bool = False) -> dict:
-    """ok, or a reason why the grouping is refused; the groups that may be shown; how many are withheld; caveats."""
+    """ok, or a reason why the grouping is refused; the groups that may be shown (a DataFrame, all of them); how many are withheld; caveats."""
     from strata.functions.names import is_identifier
 
     whole = effect(df, column, by).first()
@@ -53,14 +54,14 @@ def report(df: DataFrame, column: str, by: str, open_data: bool = False) -> dict
         return {"ok": False, "message": f'"{by}" has {whole["n_groups"]} values over {whole["n"]} observations, so it identifies rows rather than groups them'}
     if not open_data and is_identifier(by):
         return {"ok": False, "message": f'"{by}" is an identifier'}
-    groups = compare(df, column, by)
+    groups = written(compare(df, column, by), "groups")
     shown = groups if open_data else groups.where(F.col("n") >= FLOOR)
-    listed = shown.orderBy(F.desc("mean"), "grp").limit(1000).collect()
-    if not listed:
+    one = shown.agg(F.count(F.lit(1)).alias("groups"), F.min("n").alias("least")).first()
+    if not one["groups"]:
         return {"ok": False, "message": f'"{by}" has no value with enough rows'}
-    least = min(r["n"] for r in listed)
+    least = one["least"]
     caveats = [c for c, on in (("some groups have one observation and no standard deviation", open_data and whole["singletons"]), (f"the smallest group listed has n={least}, so its mean is unstable", least < 30), ("eta-squared is inflated by the number of groups; omega-squared corrects for it", whole["omega_squared"] is not None and whole["eta_squared"] - whole["omega_squared"] > 0.05)) if on]
-    return {"ok": True, "groups": listed, "overall": whole, "withheld_groups": whole["n_groups"] - shown.count(), "caveats": caveats}
+    return {"ok": True, "groups": shown.orderBy(F.desc("mean"), "grp"), "overall": whole, "withheld_groups": whole["n_groups"] - one["groups"], "caveats": caveats}
 
 
 def crosstab(df: DataFrame, a: str, b: str, blank: str | None = None) -> DataFrame:
@@ -71,8 +72,9 @@ def crosstab(df: DataFrame, a: str, b: str, blank: str | None = None) -> DataFra
 
 
 def filled(counts: DataFrame) -> DataFrame:
-    """A crosstab with its zeros; both sides are lists of levels."""
-    return counts.select("a").distinct().crossJoin(F.broadcast(counts.select("b").distinct())).join(counts, ["a", "b"], "left").fillna(0, ["n"])
+    """A crosstab with its zeros, which has a row for every pair of levels; the counts are written, so their size is known to the join."""
+    counts = written(counts, "crosstab")
+    return counts.select("a").distinct().crossJoin(counts.select("b").distinct()).join(counts, ["a", "b"], "left").fillna(0, ["n"])
 
 
 def heat_map(df: DataFrame, cluster: str, attribute: str, per: str = "cluster") -> DataFrame:

@@ -9,6 +9,7 @@ from strata.functions.draws import sample_places
 from strata.functions.values import kind_of, label, number, truncated
 from strata.operators.ranks import quantiles
 from strata.operators.transfer import with_rows
+from strata.session import written
 
 MOST_ROWS, MOST_COLUMNS = 50, 20
 
@@ -52,6 +53,22 @@ def page(df: DataFrame, order: list, number_of: int, size: int = 100) -> DataFra
     return df.orderBy(*order).offset(number_of * size).limit(size)
 
 
+class Pages:
+    """A table in an order, kept with its row numbers, so that any page is one range of it.
+
+    The rows are sorted and numbered once and written in their order; a file's footer tells
+    which numbers it has, so a page reads the files and row groups it lies in and no other.
+    """
+
+    def __init__(self, df: DataFrame, order: list, row: str = "_at"):
+        self.row, self.table = row, written(with_rows(df, order, row), "pages")
+
+    def page(self, number_of: int, size: int = 100) -> DataFrame:
+        """The rows from number_of * size on, in order."""
+        at = F.col(self.row)
+        return self.table.where((at >= number_of * size) & (at < (number_of + 1) * size)).orderBy(at).drop(self.row)
+
+
 def recoded(df: DataFrame, plan: dict[str, list[float]]) -> DataFrame:
     """Named codes in named columns become null."""
     return df.withColumns({c: F.when(~F.coalesce(number(df, c).isin(*codes), F.lit(False)), F.col(f"`{c}`")) for c, codes in plan.items()})

@@ -10,15 +10,16 @@ hash) for all of them.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strata.functions.values import TIME, kind_of, label, number, plain, temporal
+from strata.functions.values import EDGES, NUMBER, TEMPORAL, TIME, kind_of, label, number, plain
 from strata.session import removed, written
 
 #: Different values of a column that are told one by one.
@@ -27,48 +28,77 @@ SCHEMA = "k int, value string, num double, n long, missing long, numbers long, f
 FIELDS = pa.schema([("k", pa.int32()), ("value", pa.string()), ("num", pa.float64()), ("n", pa.int64()), ("missing", pa.int64()), ("numbers", pa.int64()), ("filled", pa.int64()), ("dates", pa.int64()), ("lo", pa.float64()), ("hi", pa.float64()), ("over", pa.bool_())])
 
 
-def cells(df: DataFrame, names: list[str]) -> list[Column]:
-    """For column k its labels (t), where they are no numbers by type, its numbers (v) and which cells are times (d)."""
+#: Characters that a cell is trimmed of, one by one.
+EDGE = "".join(chr(c) for c in range(1 << 16) if re.match(EDGES, chr(c), re.ASCII))
+
+
+def chosen(df: DataFrame, names: list[str]) -> list[str]:
+    """Expressions for columns c0, c1, ... as they are summarised: numbers and texts as they are read, times as milliseconds."""
     out = []
     for k, c in enumerate(names):
-        kind, whole = kind_of(df, c), isinstance(df.schema[c].dataType, T.IntegralType)
-        if kind == "number":
-            out.append((F.col(f"`{c}`").cast("long") if whole else number(df, c) + 0.0).alias(f"v{k}"))  # no negative zero
-            continue
-        out.append((F.unix_millis(F.col(f"`{c}`").cast("timestamp")) if kind == "time" else label(df, c)).alias(f"t{k}"))  # a time's label follows its milliseconds
-        if kind in ("text", "boolean"):
-            out.append(number(df, c).alias(f"v{k}"))
-        if kind in ("text", "time"):
-            out.append(F.when(F.col(f"`{c}`").isNotNull(), temporal(df, c)).alias(f"d{k}"))
+        kind, name = kind_of(df, c), "`" + c.replace("`", "``") + "`"
+        decimal = isinstance(df.schema[c].dataType, T.DecimalType)
+        how = {"number": "CAST({} AS DOUBLE)" if decimal else "{}", "text": "{}", "boolean": "CAST({} AS INT)", "time": "unix_millis(CAST({} AS TIMESTAMP))", "other": "CAST({} AS STRING)"}[kind]
+        out.append(f"{how.format(name)} AS c{k}")
     return out
 
 
+def as_numbers(texts: pa.Array) -> pa.Array:
+    """The finite numbers that texts of the form NUMBER are."""
+    try:
+        value = texts.cast(pa.float64())
+    except pa.ArrowInvalid:  # some are out of range
+        value = pa.array([None if t is None else float(t) for t in texts.to_pylist()], pa.float64())
+    return pc.if_else(pc.is_finite(value), value, None)
+
+
 class Part:
-    """What a task has seen of a column."""
+    """What a task has seen of a column of a kind (see kind_of())."""
 
-    def __init__(self, k: int, names: list[str]):
-        self.k, self.t, self.v, self.d = k, *(f"{x}{k}" if f"{x}{k}" in names else None for x in "tvd")
+    def __init__(self, k: int, kind: str):
+        self.k, self.kind = k, kind
         self.missing = self.numbers = self.filled = self.dates = 0
         self.lo = self.hi = None
         self.values: dict | None = {}
 
-    def add(self, batch: pa.RecordBatch) -> None:
-        own = batch.column(self.t or self.v)
+    def add(self, column: pa.Array) -> None:
+        if self.kind == "number":
+            if pa.types.is_floating(column.type):
+                column = pc.cast(column, pa.float64())
+                column = pc.if_else(pc.is_finite(column), pc.add(column, 0.0), None)  # no negative zero
+            self.count(column, column)
+        elif self.kind in ("text", "other"):
+            # Each different text of the batch is trimmed and read once.
+            coded = column.dictionary_encode()
+            raw, which = coded.dictionary, coded.indices
+            text = pc.utf8_trim(raw, characters=EDGE)
+            date = pc.match_substring_regex(text, TEMPORAL)
+            label = pc.if_else(pc.equal(text, ""), None, text)
+            value = as_numbers(pc.if_else(pc.match_substring_regex(text, NUMBER), pc.replace_substring_regex(text, r"^\+", ""), None))
+            if self.kind == "text":
+                self.filled += len(column) - column.null_count
+                self.dates += pc.sum(date.take(which)).as_py() or 0
+            else:
+                value = pa.nulls(len(raw), pa.float64())
+            self.count(label.take(which), value.take(which))
+        elif self.kind == "time":
+            self.filled += len(column) - column.null_count
+            self.dates = self.filled
+            self.count(column, None)
+        else:
+            self.count(column.cast(pa.string()), column.cast(pa.float64()))
+
+    def count(self, own: pa.Array, v: pa.Array | None) -> None:
+        """Labels of cells (null: missing) and their numbers."""
         self.missing += own.null_count
-        if self.v:
-            v = batch.column(self.v)
-            if some := len(v) - v.null_count:
-                self.numbers += some
-                ends = pc.min_max(v)
-                lo, hi = float(ends["min"].as_py()), float(ends["max"].as_py())
-                self.lo, self.hi = (lo, hi) if self.lo is None else (min(lo, self.lo), max(hi, self.hi))
-        if self.d:
-            d = batch.column(self.d)
-            self.filled += len(d) - d.null_count
-            self.dates += d.true_count
+        if v is not None and (some := len(v) - v.null_count):
+            self.numbers += some
+            ends = pc.min_max(v)
+            lo, hi = float(ends["min"].as_py()), float(ends["max"].as_py())
+            self.lo, self.hi = (lo, hi) if self.lo is None else (min(lo, self.lo), max(hi, self.hi))
         if self.values is not None and own.null_count < len(own):
             counts = own.value_counts()
-            if len(counts) > 2 * MOST + 1:
+            if len(counts) > MOST + 1:
                 self.values = None
                 return
             for x in counts.to_pylist():
@@ -92,15 +122,13 @@ class Summary:
     def __init__(self, df: DataFrame, names: list[str] | None = None):
         self.df, self.names = df, list(df.columns if names is None else names)
         parts = self.names
-        chosen = cells(df, parts)
-        table = df.select(*chosen)
-        given, k = table.columns, len(parts)
+        table, kinds = df.selectExpr(*chosen(df, parts)), [kind_of(df, c) for c in parts]
 
         def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen = [Part(i, given) for i in range(k)]
+            seen = [Part(k, kind) for k, kind in enumerate(kinds)]
             for batch in batches:
                 for part in seen:
-                    part.add(batch)
+                    part.add(batch.column(part.k))
             yield pa.RecordBatch.from_pylist([r for part in seen for r in part.rows()], FIELDS)
 
         self.by = {}

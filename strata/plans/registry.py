@@ -697,3 +697,6 @@ def _(supplier):
     points = clusters.numbers(supplier.withColumn("_row", F.col("s_suppkey")), ["s_acctbal", "s_nationkey"])
     labelled = points.withColumn("Cluster", F.when(F.col("x")[0] < 3000, "a").otherwise("b"))
     return rounded(clusters.silhouette(labelled), 6, "silhouette")
+
+
+from strata.plans import feature_queries  # noqa: E402, F401  (it registers more)

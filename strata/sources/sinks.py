@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import json
 import re
@@ -13,7 +14,7 @@ from xml.sax.saxutils import escape
 import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.functions.names import export_columns
@@ -33,9 +34,29 @@ def delimited(df: DataFrame, path: str, **form: str) -> None:
     df.toDF(*head).write.options(**options).csv(path)
 
 
+def quoted(cell: Column) -> Column:
+    return F.when(cell.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(cell, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(cell)
+
+
 def write_csv(df: DataFrame, path: str, derived: bool = True) -> None:
-    """Quoted as RFC 4180 has it, lines end with CR LF."""
-    delimited(cells(df, csv_cell, derived), path, lineSep="\r\n")
+    """Quoted as RFC 4180 has it: lines end with CR LF, and line breaks in cells stay what they are.
+
+    Each file has a byte order mark and the header, so that each is whole; a table without
+    rows gives the header.
+    """
+    table = cells(df, csv_cell, derived)
+    blank = F.lit('""' if len(table.columns) == 1 else "")  # else a row without a value would be no line
+    line = F.concat_ws(",", *[F.coalesce(quoted(F.col(f"`{c}`").cast("string")), blank) for c in table.columns])
+    head = io.StringIO(newline="")
+    csv.writer(head, lineterminator="").writerow(table.columns)
+    first = "\ufeff" + head.getvalue()
+
+    def headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.record_batch([pa.array([first])], ["value"])
+        for batch in batches:
+            yield pa.record_batch([batch.column(0)], ["value"])
+
+    table.select(line.alias("value")).mapInArrow(headed, "value string").write.option("lineSep", "\r\n").text(path)
 
 
 def write_tsv(df: DataFrame, path: str, derived: bool = True) -> None:

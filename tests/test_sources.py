@@ -134,3 +134,29 @@ def test_inline_tables_and_json_arrays(spark, tmp_path):
     sinks.write_json(df, str(tmp_path / "j"), array=True)
     read = [r for f in sorted((tmp_path / "j").glob("part-*")) for r in json.loads(f.read_text())]
     assert sorted((r["k"], r["t"]) for r in read) == [(k, None if k % 2 else f"t\n{k}") for k in range(7)]
+
+
+def test_summaries_are_what_expressions_say(spark):
+    """Cells of every kind, in several parts, against the same notions as Column expressions."""
+    from strata.functions.values import label, number, temporal
+    from strata.operators import profile, summaries
+
+    rng = random.Random(9)
+    texts = [" 12 ", "12", "+1.5", ".5", "5.", "1e400", "-0", "0", "NaN", "x", "", "  ", None, "2020-01-02", "2020-01-02T10:00", "1/2/2020", " 7 ", "1,000", "1e3", "é"]
+    rows = [(rng.choice(texts), rng.choice([None, 1.5, float("nan"), float("inf"), -0.0, 0.0, 2.0]), rng.choice([None, True, False]), rng.choice([None, 7, 2**60]), rng.choice(["a", "b"]) + str(k % 70), [1, None]) for k in range(400)]
+    df = spark.createDataFrame(rows, "t string, d double, b boolean, i long, many string, other array<int>").withColumn("time", F.expr("timestampadd(DAY, i % 5, timestamp'2020-01-01 00:00:00.123')")).withColumn("dec", F.expr("CAST(i % 9 AS DECIMAL(5,1))")).repartition(5)
+    found = summaries.Summary(df)
+    exact, few = found.exact(), [c for c in df.columns if found.by[c]["n_values"] is not None]
+    assert "many" not in few
+    groups = found.groups(few)
+    for c in df.columns:
+        x, v, t = found.by[c], number(df, c), label(df, c)
+        if c == "i":
+            v = F.col("i").cast("double")
+        one = df.agg(F.count_if(v.isNull() if c in ("d", "i", "dec") else t.isNull()).alias("missing"), F.count(v).alias("numbers"), F.min(v).alias("lo"), F.max(v).alias("hi"), F.count_if(temporal(df, c)).alias("dates"), F.count_distinct(v if c in ("d", "dec") else t).alias("n")).first()
+        assert (x["missing"], x["numbers"], x["lo"], x["hi"], x["dates"]) == tuple(one[:5]), c
+        assert exact[c] == one["n"], c
+        if c in groups:
+            want = {r["t"]: r["count"] for r in df.select(t.alias("t")).where("t IS NOT NULL").groupBy("t").count().collect()}
+            assert dict(groups[c]) == want, c
+    assert profile.scan(df.where("false")).select("missing", "n_unique", "kind").distinct().collect() == [(0, 0, "categorical")]
