@@ -93,20 +93,19 @@ def met(asks: DataFrame, chunks: DataFrame, eps: float, dims: int) -> DataFrame:
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """cell and comp, the smallest first (of nodes: cell, first) that links (a, b) lead to."""
-    both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    comp = written(nodes.select("cell", F.col("first").alias("comp"), F.col("first").alias("own")), "comp")
+    """cell and comp, the smallest first (of nodes: cell, first) that links (a, b; both ways, a table) lead to."""
+    comp, before = nodes.select("cell", F.col("first").alias("comp"), F.col("first").alias("own")), None
     while True:
-        low = both.join(comp.select(F.col("cell").alias("b"), "comp"), "b").groupBy(F.col("a").alias("cell")).agg(F.min("comp").alias("low"))
+        low = links.join(comp.select(F.col("cell").alias("b"), "comp"), "b").groupBy(F.col("a").alias("cell")).agg(F.min("comp").alias("low"))
         hooked = comp.join(low, "cell", "left").select("cell", "own", F.least("comp", F.coalesce("low", "comp")).alias("to"), F.col("comp").alias("was"))
         up = comp.select(F.col("own").alias("to"), F.col("comp").alias("up"))  # what the cell of that first core leads to
         moved = Observation()
         new = hooked.join(up, "to").select("cell", "own", F.least("to", "up").alias("comp"), "was")
-        new = written(new.observe(moved, F.count_if(F.col("comp") != F.col("was")).alias("n")).drop("was"), "comp")
-        removed(comp)
-        comp = new
+        comp = written(new.observe(moved, F.count_if(F.col("comp") != F.col("was")).alias("n")).drop("was"), "comp")
+        if before is not None:
+            removed(before)
+        before = comp
         if not moved.get["n"]:
-            removed(both)
             return comp.select("cell", "comp")
 
 
@@ -117,7 +116,7 @@ def linked(boxes: DataFrame, cores: DataFrame, eps: float, dims: int) -> DataFra
     e2 = eps * eps
     pairs = pairs.where(nearest(F.col("lo"), F.col("lo_b"), F.col("hi_b"), dims, F.col("hi")) <= e2)
     whole = farthest(F.col("lo"), F.col("lo_b"), F.col("hi_b"), dims, F.col("hi")) <= e2
-    pairs = written(pairs.select("a", F.col("cell_b").alias("b"), "lo", "hi", "lo_b", "hi_b", whole.alias("whole")), "pairs")
+    pairs = pairs.select("a", F.col("cell_b").alias("b"), "lo", "hi", "lo_b", "hi_b", whole.alias("whole"))
     sure, open_ = pairs.where("whole").select("a", "b"), pairs.where("NOT whole")
 
     def near(some: DataFrame, most: int | None) -> tuple[DataFrame, DataFrame]:
@@ -140,7 +139,10 @@ def linked(boxes: DataFrame, cores: DataFrame, eps: float, dims: int) -> DataFra
         found = met(left.select(pair.alias("a"), "x", "cell"), chunked(right.select("x", key.alias("cell")), dims), eps, dims)
         return found.where("n > 0").select("a.a", "a.b").distinct()
 
-    some = written(sure.unionByName(touching(open_, REACH)), "linked")
+    def both(links: DataFrame) -> DataFrame:
+        return written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
+
+    some = both(sure.unionByName(touching(open_, REACH)))
     comp = components(boxes, some)
     of = lambda c: comp.select(F.col("cell").alias(c), F.col("comp").alias(f"comp_{c}"))
     left = Observation()
@@ -148,7 +150,7 @@ def linked(boxes: DataFrame, cores: DataFrame, eps: float, dims: int) -> DataFra
     apart = written(apart.observe(left, F.count(F.lit(1)).alias("n")), "apart")
     if not left.get["n"]:
         return comp
-    return components(boxes, some.unionByName(touching(apart, None)))
+    return components(boxes, some.unionByName(both(touching(apart, None))))
 
 
 def clustered(points: DataFrame, eps: float, least: int, row: str = "_row") -> DataFrame:
@@ -165,7 +167,7 @@ def clustered(points: DataFrame, eps: float, least: int, row: str = "_row") -> D
     # Each point of the other cells asks the cells around it, itself included; boxes answer where they can.
     asks = sparse.select("a", "x", around("cell", dims).alias("cell")).join(boxes.select("cell", F.col("n").alias("of"), "lo", "hi"), "cell")
     inside, touches = farthest(F.col("x"), F.col("lo"), F.col("hi"), dims) <= e2, nearest(F.col("x"), F.col("lo"), F.col("hi"), dims) <= e2
-    asks = written(asks.where(touches).select("a", "x", "cell", "of", inside.alias("inside")), "asks")
+    asks = asks.where(touches).select("a", "x", "cell", "of", inside.alias("inside"))
     counts = asks.where("inside").select("a", F.col("of").alias("n")).unionByName(met(asks.where("NOT inside").select("a", "x", "cell"), chunked(points, dims), eps, dims))
     found = written(counts.groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("a"), "cores")
     alone = sparse.join(found, "a", "left_semi")

@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strata.functions.values import EDGES, NUMBER, TEMPORAL, TIME, kind_of, label, number, plain
-from strata.session import removed, written
 
 #: Different values of a column that are told one by one.
 MOST = 50
@@ -131,22 +130,22 @@ class Summary:
                     part.add(batch.column(part.k))
             yield pa.RecordBatch.from_pylist([r for part in seen for r in part.rows()], FIELDS)
 
-        self.by = {}
+        self.by, self.told = {}, {}
+        for c in parts:  # what a table without partitions has
+            self.by[c], self.told[c] = {"missing": 0, "numbers": 0, "filled": 0, "dates": 0, "lo": None, "hi": None, "n_values": 0}, []
         if not parts:
-            self.values = df.sparkSession.createDataFrame([], "k int, value string, num double, n long")
             return
-        rows = written(table.mapInArrow(summarise, SCHEMA), "summaries")
+        times = [k for k, kind in enumerate(kinds) if kind == "time"]
+        name = F.when(F.col("k").isin(times), F.date_format(F.timestamp_millis(F.col("value").try_cast("long")), TIME)).otherwise(F.coalesce("value", plain(F.col("num"))))
         sums = [F.sum(c).alias(c) for c in ("missing", "numbers", "filled", "dates")]
-        stats = rows.where("n IS NULL").groupBy("k").agg(*sums, F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.bool_or("over").alias("over"))
-        merged = rows.where("n IS NOT NULL").groupBy("k", "value", "num").agg(F.sum("n").alias("n"))
-        self.values = written(merged, "values")
-        held = {r["k"]: r["count"] for r in self.values.groupBy("k").count().collect()}
-        for r in stats.collect():  # a row for each column
-            n = None if r["over"] or held.get(r["k"], 0) > MOST else held.get(r["k"], 0)
-            self.by[parts[r["k"]]] = {c: r[c] for c in ("missing", "numbers", "filled", "dates", "lo", "hi")} | {"n_values": n}
-        for c in parts:  # a table without partitions
-            self.by.setdefault(c, {"missing": 0, "numbers": 0, "filled": 0, "dates": 0, "lo": None, "hi": None, "n_values": 0})
-        removed(rows)
+        ends = [F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.bool_or("over").alias("over")]
+        merged = table.mapInArrow(summarise, SCHEMA).groupBy("k", "value", "num").agg(F.sum("n").alias("n"), *sums, *ends)
+        # A row for each column, with its values in order, or MOST + 1 of them where it has more.
+        values = F.slice(F.sort_array(F.collect_list(F.when(F.col("n").isNotNull(), F.struct((-F.col("n")).alias("less"), name.alias("name"))))), 1, MOST + 1)
+        for r in merged.groupBy("k").agg(*sums, *ends, values.alias("told")).collect():
+            c, many = parts[r["k"]], r["over"] or len(r["told"]) > MOST
+            self.by[c] = {x: r[x] for x in ("missing", "numbers", "filled", "dates", "lo", "hi")} | {"n_values": None if many else len(r["told"])}
+            self.told[c] = [] if many else [(v["name"], -v["less"]) for v in r["told"]]
 
     def exact(self) -> dict[str, int]:
         """The number of different values of each column, also of those with many."""
@@ -163,12 +162,4 @@ class Summary:
 
     def groups(self, names: list[str]) -> dict[str, list[tuple[str, int]]]:
         """(label, n) of the values of columns that have few, the most frequent first."""
-        number_of = {self.names.index(c): c for c in names}
-        out: dict[str, list] = {c: [] for c in names}
-        times = [k for k, c in number_of.items() if kind_of(self.df, c) == "time"]
-        time = F.date_format(F.timestamp_millis(F.col("value").try_cast("long")), TIME)
-        name = F.when(F.col("k").isin(times), time).otherwise(F.coalesce("value", plain(F.col("num"))))
-        told = self.values.where(F.col("k").isin(list(number_of))).select("k", name.alias("value"), "n")
-        for r in told.orderBy("k", F.desc("n"), "value").collect():  # at most MOST for each column
-            out[number_of[r["k"]]].append((r["value"], r["n"]))
-        return out
+        return {c: self.told[c] for c in names}
