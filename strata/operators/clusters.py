@@ -28,6 +28,8 @@ from strata.operators.rows import imputed, z_scores
 from strata.session import written
 
 STARTS, PASSES, SAMPLE = range(42, 52), 300, 100_000
+#: Parts of a step's sums that reach the driver at most.
+MERGED = 16
 #: The seed of diagnostics' samples, a fixed value.
 SEED = 0x5CA7
 #: Points of a block of the silhouette, and how often the first side of the k-distance grid is halved at most.
@@ -79,16 +81,23 @@ def sampled(points: DataFrame, most: int, seed: int = SEED, row: str = "_row") -
 def kmeans_reference(points: DataFrame, k: int, row: str = "_row") -> DataFrame:
     """_row and Cluster: the best of ten seeded starts over all rows in row order.
 
-    Up to SAMPLE rows are one chunk, which is fitted where it is; more are fitted in chunks by
-    tasks, of which only sums and single points reach the driver. Both take the same steps.
+    Up to SAMPLE rows are one chunk, of which a task takes all steps of a start; more are
+    fitted in chunks, whose sums are added up by tasks before they reach the driver. Both take
+    the same steps, and the driver holds sums and centres only.
     """
     n = points.count()
     if not n:
         return points.select(row, F.lit(None).cast("string").alias("Cluster"))
     k = max(1, min(k, n))
     if n <= SAMPLE:
-        x = np.stack(points.toPandas().sort_values(row)["x"].to_numpy()).astype(float)
-        _, _, centres = min((lloyd(x, k, seed) for seed in STARTS), key=lambda r: r[0])
+        def one(pdf: pd.DataFrame) -> pd.DataFrame:
+            x = np.stack(pdf.sort_values(row)["x"].to_numpy()).astype(float)
+            inertia, _, centres = lloyd(x, k, int(pdf["seed"].iloc[0]))
+            return pd.DataFrame({"seed": pdf["seed"].iloc[:1], "inertia": [inertia], "centres": [centres.tobytes()], "dims": [x.shape[1]]})
+
+        each = points.select(row, "x", F.explode(F.array(*map(F.lit, STARTS))).alias("seed")).groupBy("seed")
+        best = min(each.applyInPandas(one, "seed int, inertia double, centres binary, dims int").collect(), key=lambda r: (r["inertia"], r["seed"]))
+        centres = np.frombuffer(bytes(best["centres"])).reshape(-1, best["dims"])
     else:
         centres = Chunks(points, n, row).fitted(k)
     return assigned(points, centres, row)
@@ -122,6 +131,29 @@ class Chunks:
         rows = self.table.mapInArrow(run, f"first {self.table.schema['first'].dataType.simpleString()}, out binary").collect()
         return [(r["first"], pickle.loads(r["out"])) for r in sorted(rows, key=lambda r: r["first"])]
 
+    def added(self, work) -> dict:
+        """The sums over chunks of what work gives, by start (see summed()): tasks add them up, some at a time, and the driver the last few."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out: dict = {}
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    x = np.frombuffer(batch.column("x")[k].as_py()).reshape(-1, batch.column("dims")[k].as_py())
+                    out = summed(out, work(x, batch.column("first")[k].as_py()))
+            yield pa.RecordBatch.from_pydict({"out": pa.array([pickle.dumps(out)], pa.binary())})
+
+        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out: dict = {}
+            for batch in batches:
+                for one in batch.column("out").to_pylist():
+                    out = summed(out, pickle.loads(one))
+            yield pa.RecordBatch.from_pydict({"out": pa.array([pickle.dumps(out)], pa.binary())})
+
+        out: dict = {}
+        for r in self.table.mapInArrow(run, "out binary").repartition(MERGED).mapInArrow(merge, "out binary").collect():
+            out = summed(out, pickle.loads(r["out"]))
+        return out
+
     def at(self, wanted: dict[int, tuple]) -> dict[int, np.ndarray]:
         """For each start the point at a place of a chunk; wanted: start to (chunk's first row, a function from points to the place)."""
         found = self.each(lambda x, first: {s: x[place(x)] for s, (chunk, place) in wanted.items() if chunk == first})
@@ -159,21 +191,19 @@ class Chunks:
         centres, before, live = [c.copy() for c in chosen], [None] * len(chosen), set(range(len(chosen)))
         for _ in range(PASSES):
             state = {s: (centres[s], before[s]) for s in live}
-            told = self.each(lambda x, first: {s: step(x, *c) for s, c in state.items()})
+            told = self.added(lambda x, first: {s: step(x, *c, first) for s, c in state.items()})
             for s in sorted(live):
-                parts = [v[s] for _, v in told]
-                total, count = sum(p[0] for p in parts), sum(p[1] for p in parts)
-                far = sorted((f for p in parts for f in p[3]), key=lambda f: -f[0])
+                total, count, changed, far = told[s]
                 before[s], new = centres[s], centres[s].copy()
                 for c in range(k):
                     if count[c]:
                         new[c] = total[c] / count[c]
                     elif far:
-                        _, label, new[c] = far.pop(0)
+                        _, _, label, new[c] = far.pop(0)
                         total[label] -= new[c]
                         count[label] -= 1
                 centres[s] = new
-                if not sum(p[2] for p in parts):
+                if not changed:
                     live.discard(s)
             if not live:
                 break
@@ -182,16 +212,28 @@ class Chunks:
         return centres[int(np.argmin([sum(v[s] for _, v in inertia) for s in range(len(centres))]))]
 
 
-def step(x: np.ndarray, centres: np.ndarray, before: np.ndarray | None):
-    """A chunk's sums and counts by centre, how many labels changed, and its farthest points as (distance, label, point)."""
+def summed(a: dict, b: dict) -> dict:
+    """Of each start the sums of two parts' steps; of the farthest points as many as there are centres, those of earlier rows first on ties."""
+    out = dict(a)
+    for s, (total, count, changed, far) in b.items():
+        if s in out:
+            t, n, c, f = out[s]
+            total, count, changed = t + total, n + count, c + changed
+            far = sorted(f + far, key=lambda x: (-x[0], x[1]))[: len(count)]
+        out[s] = (total, count, changed, far)
+    return out
+
+
+def step(x: np.ndarray, centres: np.ndarray, before: np.ndarray | None, first):
+    """A chunk's sums and counts by centre, how many labels changed, and its farthest points as (distance, the chunk's first row, label, point)."""
     d = squared(x, centres)
     new = d.argmin(1)
     own = d[np.arange(len(x)), new]
     count = np.bincount(new, minlength=len(centres))
     total = np.stack([np.bincount(new, weights=v, minlength=len(centres)) for v in x.T], 1)
     changed = len(x) if before is None else int((squared(x, before).argmin(1) != new).sum())
-    far = np.argsort(-own, kind="stable")[: len(centres)] if not count.all() else []
-    return total, count, changed, [(float(own[i]), int(new[i]), x[i]) for i in far]
+    far = np.argsort(-own, kind="stable")[: len(centres)]
+    return total, count, changed, [(float(own[i]), first, int(new[i]), x[i]) for i in far]
 
 
 def assigned(points: DataFrame, centres: np.ndarray, row: str = "_row") -> DataFrame:
