@@ -116,7 +116,7 @@ def linked(boxes: DataFrame, cores: DataFrame, eps: float, dims: int) -> DataFra
     e2 = eps * eps
     pairs = pairs.where(nearest(F.col("lo"), F.col("lo_b"), F.col("hi_b"), dims, F.col("hi")) <= e2)
     whole = farthest(F.col("lo"), F.col("lo_b"), F.col("hi_b"), dims, F.col("hi")) <= e2
-    pairs = pairs.select("a", F.col("cell_b").alias("b"), "lo", "hi", "lo_b", "hi_b", whole.alias("whole"))
+    pairs = written(pairs.select("a", F.col("cell_b").alias("b"), "lo", "hi", "lo_b", "hi_b", whole.alias("whole")), "pairs")
     sure, open_ = pairs.where("whole").select("a", "b"), pairs.where("NOT whole")
 
     def near(some: DataFrame, most: int | None) -> tuple[DataFrame, DataFrame]:
@@ -171,7 +171,7 @@ def clustered(points: DataFrame, eps: float, least: int, row: str = "_row") -> D
     counts = asks.where("inside").select("a", F.col("of").alias("n")).unionByName(met(asks.where("NOT inside").select("a", "x", "cell"), chunked(points, dims), eps, dims))
     found = written(counts.groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("a"), "cores")
     alone = sparse.join(found, "a", "left_semi")
-    cores = alone.unionByName(points.join(dense.select("cell"), "cell").select(alone.columns)).select("cell", "x")
+    cores = written(alone.unionByName(points.join(dense.select("cell"), "cell").select(alone.columns)).select("cell", "x"), "core_points")
     nodes = dense.select("cell", "first", "lo", "hi").unionByName(alone.groupBy("cell").agg(F.min("a").alias("first"), *box(dims)).select("cell", "first", "lo", "hi"))
     nodes = written(nodes, "nodes")
     comp = linked(nodes, cores, eps, dims)
