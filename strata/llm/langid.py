@@ -19,7 +19,8 @@ posterior stays under LEAST.
 
 Nulls: a null text is empty; a text without letters or words has no likelihood, so the other
 evidence decides; without any it is und. A null label is left out of the fit, a null or
-unknown declaration says nothing, a null host is a host of its own. An empty table gives
+unknown declaration says nothing, a null host is a host of its own. Of equal posteriors the
+language that is first by name wins. An empty table gives
 an empty one. Repeated rows each count and each get their row. Texts are read whole, however
 long. Columns besides those named play no part.
 """

@@ -16,7 +16,8 @@ that join components come back. Every link is confirmed on the full sets.
 
 Nulls and ties: a text that is null or without words has an empty set and is linked with
 nothing. A null doc_id is no candidate for the smallest id of a component unless the
-component has no other. Repeated rows are in one class, and each keeps its row. An empty
+component has no other. Very long texts are read a window of bytes at a time, and their sets
+take eight bytes a shingle. Repeated rows are in one class, and each keeps its row. An empty
 table gives an empty one. Columns besides doc_id and text play no part.
 """
 

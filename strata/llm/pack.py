@@ -7,6 +7,7 @@ the combination of the lengths left that fills the rest of the bin best. The sam
 combination is then used as often as the counts allow, which empties a length each time;
 so there are at most `capacity` combinations, however many pieces there are.
 Pieces of a length are then numbered, and a piece's number finds its bin in that table.
+Very long texts are encoded a window of bytes at a time; repeated rows have pieces each.
 """
 
 from __future__ import annotations

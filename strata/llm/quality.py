@@ -10,7 +10,7 @@ The texts are read once for all figures and for the hashes of their lines, which
 written as a table; everything else works on that table.
 
 Nulls: a null text has no words, a null source is a host of its own, a null id counts as
-0. Lines without a word are left alone. Very long texts take time in proportion to their
+0. Texts of a host that share the smallest id all keep the line. Lines without a word are left alone. Very long texts take time in proportion to their
 words and lines. Repeated rows are copies, and each gets its row. An empty table gives an
 empty one. A column of docs that has the name of a figure is replaced by it in judged();
 all others, whatever their names, stay as they are.
