@@ -13,13 +13,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strata.functions.values import EDGES, NUMBER, TEMPORAL, TIME, kind_of, label, number, plain
+from strata.functions.values import EDGES, NUMBER, TEMPORAL, TIME, kind_of, plain
 
 #: Different values of a column that are told one by one.
 MOST = 50
@@ -51,6 +52,17 @@ def as_numbers(texts: pa.Array) -> pa.Array:
     return pc.if_else(pc.is_finite(value), value, None)
 
 
+def normal(kind: str, column: pa.Array) -> pa.Array:
+    """A column's cells as they are told apart: numbers without NaN and negative zero, trimmed texts; null: missing."""
+    if kind == "number" and pa.types.is_floating(column.type):
+        column = pc.cast(column, pa.float64())
+        return pc.if_else(pc.is_finite(column), pc.add(column, 0.0), None)
+    if kind in ("text", "other"):
+        text = pc.utf8_trim(column, characters=EDGE)
+        return pc.if_else(pc.equal(text, ""), None, text)
+    return column.cast(pa.string()) if kind == "boolean" else column
+
+
 class Part:
     """What a task has seen of a column of a kind (see kind_of())."""
 
@@ -62,30 +74,25 @@ class Part:
 
     def add(self, column: pa.Array) -> None:
         if self.kind == "number":
-            if pa.types.is_floating(column.type):
-                column = pc.cast(column, pa.float64())
-                column = pc.if_else(pc.is_finite(column), pc.add(column, 0.0), None)  # no negative zero
+            column = normal(self.kind, column)
             self.count(column, column)
         elif self.kind in ("text", "other"):
             # Each different text of the batch is trimmed and read once.
             coded = column.dictionary_encode()
-            raw, which = coded.dictionary, coded.indices
-            text = pc.utf8_trim(raw, characters=EDGE)
-            date = pc.match_substring_regex(text, TEMPORAL)
-            label = pc.if_else(pc.equal(text, ""), None, text)
-            value = as_numbers(pc.if_else(pc.match_substring_regex(text, NUMBER), pc.replace_substring_regex(text, r"^\+", ""), None))
-            if self.kind == "text":
-                self.filled += len(column) - column.null_count
-                self.dates += pc.sum(date.take(which)).as_py() or 0
-            else:
-                value = pa.nulls(len(raw), pa.float64())
+            label, which = normal(self.kind, coded.dictionary), coded.indices
+            if self.kind == "other":
+                self.count(label.take(which), None)
+                return
+            value = as_numbers(pc.if_else(pc.match_substring_regex(label, NUMBER), pc.replace_substring_regex(label, r"^\+", ""), None))
+            self.filled += len(column) - column.null_count
+            self.dates += pc.sum(pc.match_substring_regex(label, TEMPORAL).take(which)).as_py() or 0
             self.count(label.take(which), value.take(which))
         elif self.kind == "time":
             self.filled += len(column) - column.null_count
             self.dates = self.filled
             self.count(column, None)
         else:
-            self.count(column.cast(pa.string()), column.cast(pa.float64()))
+            self.count(normal(self.kind, column), column.cast(pa.float64()))
 
     def count(self, own: pa.Array, v: pa.Array | None) -> None:
         """Labels of cells (null: missing) and their numbers."""
@@ -152,11 +159,22 @@ class Summary:
         many = [c for c in self.names if self.by[c]["n_values"] is None]
         out = {c: self.by[c]["n_values"] for c in self.names if c not in many}
         if many:
-            kind = {c: kind_of(self.df, c) for c in many}
-            key = lambda c: number(self.df, c) + 0.0 if kind[c] == "number" else F.unix_millis(F.col(f"`{c}`").cast("timestamp")) if kind[c] == "time" else label(self.df, c)
-            hashes = F.array(*[F.struct(F.lit(k).alias("k"), key(c).isNotNull().alias("has"), F.xxhash64(key(c)).alias("h"), F.hash(key(c)).alias("g")) for k, c in enumerate(many)])
-            long = self.df.select(F.inline(hashes)).where("has").groupBy("k", "h", "g").agg(F.lit(1).alias("one"))
-            found = {r["k"]: r["count"] for r in long.groupBy("k").count().collect()}
+            kinds = [kind_of(self.df, c) for c in many]
+            columns = [(pa.string(), "text"), (pa.float64(), "num"), (pa.int64(), "whole")]
+
+            def different(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                """The different cells of each column of a batch."""
+                for batch in batches:
+                    parts = [normal(kind, batch.column(k)).unique().drop_null() for k, kind in enumerate(kinds)]
+                    number_of = pa.array(np.repeat(np.arange(len(parts), dtype=np.int32), [len(x) for x in parts]))
+                    fits = lambda t, x: pa.types.is_integer(x.type) if t == pa.int64() else x.type == t
+                    told = [pa.concat_arrays([x.cast(t) if fits(t, x) else pa.nulls(len(x), t) for x in parts]) for t, _ in columns]
+                    yield pa.record_batch([number_of, *told], ["k", *(name for _, name in columns)])
+
+            rows = self.df.selectExpr(*chosen(self.df, many)).mapInArrow(different, "k int, text string, num double, whole long")
+            # Texts are moved as 96 bits of hash, numbers as they are.
+            keys = rows.select("k", "num", "whole", F.xxhash64("text").alias("h"), F.hash("text").alias("g")).distinct()
+            found = {r["k"]: r["count"] for r in keys.groupBy("k").count().collect()}
             out |= {c: found.get(k, 0) for k, c in enumerate(many)}
         return out
 
