@@ -7,8 +7,6 @@ components of cores within eps, and border points, so it runs on a graph of grid
 
 from __future__ import annotations
 
-import functools
-import itertools
 import math
 import pickle
 from collections.abc import Iterator
@@ -18,11 +16,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from strata.functions.draws import Mulberry32
 from strata.functions.values import number
-from strata.operators import cells, rows
+from strata.operators import cells, rows, trees
 from strata.operators.filters import complete
 from strata.operators.rows import imputed, z_scores
 from strata.session import written
@@ -32,8 +29,6 @@ STARTS, PASSES, SAMPLE = range(42, 52), 300, 100_000
 MERGED = 16
 #: The seed of diagnostics' samples, a fixed value.
 SEED = 0x5CA7
-#: Points of a block of the silhouette, and how often the first side of the k-distance grid is halved at most.
-BLOCK, HALVINGS = 1024, 40
 
 
 def axes_of(df: DataFrame, axes: list[str], standardise: bool = False, row: str = "_row") -> DataFrame:
@@ -268,48 +263,34 @@ def numbers(df: DataFrame, axes: list[str], row: str = "_row") -> DataFrame:
     return complete(df, axes).select(row, F.array(*[number(df, c) for c in axes]).alias("x"))
 
 
-def distance_sums(labelled: DataFrame, row: str) -> DataFrame:
-    """i, ci, cj, s and n: of each point the sum and number of its distances to the other points of each cluster.
+def silhouette(labelled: DataFrame, row: str = "_row", tolerance: float = 0.0) -> DataFrame:
+    """silhouette, error and n: the mean silhouette (Euclidean; 0 for a point alone in its cluster) over all rows of _row, x and Cluster.
 
-    Blocks of about BLOCK points meet each other, and only sums leave a task; the work is
-    that of all pairs, which the mean over them asks for.
+    Mean distances are right to a share `tolerance` of themselves, and the silhouette to
+    `error`, which is told by the bounds of each point. With a tolerance of 0 the work is
+    that of all pairs, which the exact mean over them asks for; with 1e-3 it is a bounded
+    number of nodes for each point. Rows without a cluster or a point are left out.
     """
-    parts = max(1, math.ceil(labelled.count() / BLOCK))
-    block = F.pmod(F.xxhash64(row), F.lit(parts)).cast("int").alias("block")
-    cells = F.collect_list(F.struct(F.col(row).alias("i"), F.col("x"), F.col("Cluster").cast("string").alias("c"))).alias("cells")
-    blocks = written(labelled.select(row, "x", "Cluster", block).groupBy("block").agg(cells), "blocks")
-    kind = labelled.schema[row].dataType.simpleString()
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                one = batch.slice(r, 1).to_pydict()
-                mine, theirs = one["mine"][0], one["theirs"][0]
-                x, y = (np.array([p["x"] for p in side], float) for side in (mine, theirs))
-                d = np.sqrt(sum((x[:, None, k] - y[None, :, k]) ** 2 for k in range(x.shape[1])))
-                own, other = np.array([p["c"] for p in mine], object), np.array([p["c"] for p in theirs], object)
-                for c in set(other.tolist()):
-                    at = np.array([o == c for o in other])
-                    n = at.sum() - (np.array([o == c for o in own]) if one["a"][0] == one["b"][0] else np.zeros(len(own), int))
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([p["i"] for p in mine], batch.schema.field("mine").type.value_type.field("i").type),
-                        pa.array(own.tolist(), pa.string()),
-                        pa.array([c] * len(own), pa.string()),
-                        pa.array(d[:, at].sum(1)),
-                        pa.array(n.astype(np.int64)),
-                    ], ["i", "ci", "cj", "s", "n"])
-
-    both = blocks.select(F.col("block").alias("a"), F.col("cells").alias("mine")).crossJoin(blocks.select(F.col("block").alias("b"), F.col("cells").alias("theirs")))
-    found = both.mapInArrow(sums, f"i {kind}, ci string, cj string, s double, n long")
-    return found.groupBy("i", "ci", "cj").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).where("n > 0")
-
-
-def silhouette(labelled: DataFrame, row: str = "_row") -> DataFrame:
-    """The mean silhouette (Euclidean; 0 for a point alone in its cluster) over all rows of _row, x and Cluster."""
-    means = distance_sums(labelled, row).select("i", "ci", "cj", (F.col("s") / F.col("n")).alias("m"))
-    each = means.groupBy("i", "ci").agg(F.max(F.when(F.col("ci") == F.col("cj"), F.col("m"))).alias("a"), F.min(F.when(F.col("ci") != F.col("cj"), F.col("m"))).alias("b"))
-    s = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
-    return each.agg(F.avg(s).alias("silhouette"), F.count(F.lit(1)).alias("n"))
+    points = written(labelled.where(F.col("Cluster").isNotNull() & F.col("x").isNotNull()).select("x", F.lit(1).cast("long").alias("copies"), F.col("Cluster").cast("string").alias("c")), "points")
+    found = trees.tree(points)
+    if found is None:
+        return labelled.limit(0).agg(F.avg(F.lit(0.0)).alias("silhouette"), F.avg(F.lit(0.0)).alias("error"), F.count(F.lit(1)).alias("n"))
+    own = F.col("ci") == F.col("cj")
+    each = trees.sums(found, tolerance).withColumn("n", F.col("n") - own.cast("int")).where("n > 0")
+    each = each.select("i", own.alias("own"), (F.col("s") / F.col("n")).alias("m"), (F.col("e") / F.col("n")).alias("e"))
+    a = lambda k: F.max(F.when(F.col("own"), F.greatest(F.col("m") + k * F.col("e"), F.lit(0.0))))
+    b = lambda k: F.min(F.when(~F.col("own"), F.greatest(F.col("m") + k * F.col("e"), F.lit(0.0))))
+    ends = each.groupBy("i").agg(*[f(k).alias(f"{name}{j}") for name, f in (("a", a), ("b", b)) for j, k in enumerate((-1, 0, 1))])
+
+    def of(a: str, b: str):
+        s = F.coalesce(F.try_divide(F.col(b) - F.col(a), F.greatest(a, b)), F.lit(0.0))
+        return F.avg(F.when(F.col(a).isNull() | F.col(b).isNull(), 0.0).otherwise(s))
+
+    # A silhouette grows with b and falls with a. A point without other points has no row of sums.
+    means = ends.agg(of("a1", "b1").alias("s"), of("a2", "b0").alias("low"), of("a0", "b2").alias("high"), F.count(F.lit(1)).alias("told"))
+    share, n = F.coalesce(F.col("told") / F.col("n"), F.lit(0.0)), found.placed.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    error = F.greatest(F.col("high") - F.col("s"), F.col("s") - F.col("low"))
+    return means.withColumn("n", F.lit(n).cast("long")).select((F.coalesce("s", F.lit(0.0)) * share).alias("silhouette"), (F.coalesce(error, F.lit(0.0)) * share).alias("error"), "n")
 
 
 def mean_silhouette(x: np.ndarray, labels: np.ndarray) -> float:
@@ -341,44 +322,18 @@ def silhouette_by_k(points: DataFrame, most_k: int = 8, cap: int = 1200, row: st
 def k_distances(points: DataFrame, least: int, row: str = "_row") -> DataFrame:
     """The distance of each point to its (least - 1)-th neighbour, itself not counted.
 
-    Equal points count as one with a multiplicity. On a grid of side eps, all neighbours
-    within eps stand in the cells around a point; points with too few of them ask again
-    on a grid of twice the side. The first side is one at which few pairs share a cell.
+    Equal points count as one with a multiplicity. Points of any density are found in a
+    tree of boxes (`trees`), in a number of jobs that grows with the logarithm of the rows.
+    Under `least` points there is no such neighbour, and no row. Rows without a point are left out.
     """
-    k, dims = least - 1, len((points.first() or {"x": [0]})["x"])
-    sites = written(points.groupBy("x").agg(F.count(F.lit(1)).alias("copies")).withColumn("site", F.monotonically_increasing_id()), "sites")
-    ends = sites.agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("all"), *[f(F.col("x")[j]).alias(f"{f.__name__}{j}") for j in range(dims) for f in (F.min, F.max)]).first()
-    if k < 1 or (ends["all"] or 0) <= k:
+    k = least - 1
+    some = points.where(F.col("x").isNotNull())
+    sites = written(some.groupBy("x").agg(F.count(F.lit(1)).alias("copies")).withColumn("c", F.lit("")), "sites")
+    if k < 1 or (sites.agg(F.sum("copies")).first()[0] or 0) <= k:
         return points.select(row, F.lit(None).cast("double").alias("d")).where("false")
-    widths = [ends[f"max{j}"] - ends[f"min{j}"] for j in range(dims)]
-    eps = max(widths) or 1.0
-    at = lambda e: [F.floor((F.col("x")[j] - ends[f"min{j}"]) / e).cast("long") for j in range(dims)]
-    for _ in range(HALVINGS):
-        pairs = sites.groupBy(*at(eps)).count().agg(F.sum(F.col("count") * F.col("count"))).first()[0]
-        if pairs <= 4 * (k + 1) * ends["n"]:
-            break
-        eps /= 2
-    asking, found = sites, []
-    while True:
-        near = near_sites(asking, sites, at(eps), eps, dims)
-        total = F.sum("copies").over(Window.partitionBy("i").orderBy("d").rangeBetween(Window.unboundedPreceding, Window.currentRow))
-        told = written(near.withColumn("total", total).where(F.col("total") >= k).groupBy(F.col("i").alias("site")).agg(F.min("d").alias("d")), "told")
-        found.append(told)
-        asking = written(asking.join(told, "site", "left_anti"), "asking")
-        if not asking.limit(1).count():
-            break
-        eps *= 2
-    each = functools.reduce(DataFrame.unionByName, found).join(sites, "site").select("x", "d")
-    return points.select(row, "x").join(each, "x").select(row, "d")
-
-
-def near_sites(asking: DataFrame, sites: DataFrame, cell: list, eps: float, dims: int) -> DataFrame:
-    """i, d and copies: the sites within eps of those that ask, a site's own copies less one."""
-    shifts = F.array(*[F.array(*[F.lit(s).cast("long") for s in c]) for c in itertools.product((-1, 0, 1), repeat=dims)])
-    asks = asking.select(F.col("site").alias("i"), F.col("x").alias("xi"), F.explode(F.transform(shifts, lambda s: F.zip_with(F.array(*cell), s, lambda c, d: c + d))).alias("cell"))
-    d = F.sqrt(sum(((F.col("xi")[j] - F.col("x")[j]) ** 2 for j in range(dims)), F.lit(0.0)))
-    pairs = asks.join(sites.withColumn("cell", F.array(*cell)), "cell").select("i", d.alias("d"), (F.col("copies") - (F.col("i") == F.col("site")).cast("long")).alias("copies"))
-    return pairs.where((F.col("d") <= eps) & (F.col("copies") > 0))
+    found = trees.tree(sites)
+    each = found.placed.select("place", "x").join(trees.k_nearest(found, k), "place").select("x", "d")
+    return some.select(row, "x").join(each, "x").select(row, "d")
 
 
 def k_distance_percentiles(points: DataFrame, least: int, cap: int = 2000, row: str = "_row", at: tuple[int, ...] = (50, 75, 90, 95, 99)) -> dict | None:

@@ -696,7 +696,20 @@ SELECT round(avg(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest
 def _(supplier):
     points = clusters.numbers(supplier.withColumn("_row", F.col("s_suppkey")), ["s_acctbal", "s_nationkey"])
     labelled = points.withColumn("Cluster", F.when(F.col("x")[0] < 3000, "a").otherwise("b"))
-    return rounded(clusters.silhouette(labelled), 6, "silhouette")
+    return rounded(clusters.silhouette(labelled), 6, "silhouette").drop("error")
+
+
+@query("silhouette_bounded", "customer", sql="""
+WITH z AS (SELECT c_custkey AS r, c_acctbal AS x, c_nationkey * 400 AS y, CASE WHEN c_acctbal < 1000 THEN 'a' WHEN c_acctbal < 6000 THEN 'b' ELSE 'c' END AS c FROM customer),
+d AS (SELECT a.r, a.c AS ca, b.c AS cb, avg(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) AS m FROM z a, z b WHERE a.r <> b.r GROUP BY 1, 2, 3),
+s AS (SELECT r, max(m) FILTER (ca = cb) AS a, min(m) FILTER (ca <> cb) AS b FROM d GROUP BY r)
+SELECT round(avg(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 3) AS silhouette, true AS bounded, count(*) AS n FROM s""")
+def _(customer):
+    points = clusters.numbers(customer.select(F.col("c_custkey").alias("_row"), "c_acctbal", (F.col("c_nationkey") * 400).alias("y")), ["c_acctbal", "y"])
+    at = F.col("x")[0]
+    labelled = points.withColumn("Cluster", F.when(at < 1000, "a").when(at < 6000, "b").otherwise("c"))
+    found = clusters.silhouette(labelled, tolerance=1e-4)
+    return rounded(found.withColumn("bounded", F.col("error") < 1e-3), 3, "silhouette").drop("error")
 
 
 from strata.plans import feature_queries  # noqa: E402, F401  (it registers more)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strata.functions import distributions as d
 from strata.functions import names, values
-from strata.operators import charts, clusters, codes, components, filters, gaps, groups, hypothesis, profile, ranks, rows, transfer
+from strata.operators import charts, clusters, codes, components, filters, gaps, groups, hypothesis, profile, ranks, rows, transfer, trees
 from strata.plans import plan, policy
 from strata.plans.dataset import Dataset
 
@@ -331,6 +331,54 @@ def test_silhouette_and_k_distances_cover_every_row(spark):
     assert one["n"] == len(x) and abs(one["silhouette"] - clusters.mean_silhouette(x, labels)) < 1e-9
 
 
+@pytest.mark.parametrize("dims", [1, 3])
+def test_trees_of_boxes(spark, monkeypatch, dims):
+    """Clusters of very different density, outliers and copies, over several levels."""
+    monkeypatch.setattr(trees, "BLOCK", 16)
+    monkeypatch.setattr(trees, "FAN", 4)
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(0, 1, (300, dims)), rng.normal(9, 1e-4, (300, dims)), rng.uniform(-1e3, 1e3, (60, dims)), np.zeros((30, dims))])
+    labels = np.array([f"{int(p[0] > 3)}{int(abs(p[0]) > 20)}" for p in x])
+    labels[0] = "alone"
+    df = spark.createDataFrame([(i, p.tolist(), c) for i, (p, c) in enumerate(zip(x, labels.tolist()))], "_row long, x array<double>, Cluster string")
+    d = np.sqrt(clusters.squared(x, x))
+    np.fill_diagonal(d, np.inf)
+    for least in (5, 60):  # fewer and more than a leaf has
+        got = {r["_row"]: r["d"] for r in clusters.k_distances(df, least).collect()}
+        assert len(got) == len(x) and np.allclose([got[i] for i in range(len(x))], np.sort(d, 1)[:, least - 2], rtol=1e-9, atol=0)
+    want = clusters.mean_silhouette(x, labels)
+    for tolerance in (0.0, 0.1):
+        one = clusters.silhouette(df, tolerance=tolerance).first()
+        assert one["n"] == len(x) and abs(one["silhouette"] - want) <= one["error"] + 1e-12
+        assert one["error"] == 0 if tolerance == 0 else 0 < one["error"] < 0.1
+
+
+def test_sums_of_distances_are_within_their_bounds(spark, monkeypatch):
+    monkeypatch.setattr(trees, "BLOCK", 16)
+    x = np.random.default_rng(7).uniform(0, 1, (400, 2))
+    df = spark.createDataFrame([(p.tolist(), 1, "a" if p[0] < 0.5 else "b") for p in x], "x array<double>, copies long, c string")
+    found = trees.tree(df)
+    of = {tuple(r["x"]): r["place"] for r in found.placed.collect()}
+    d, place = np.sqrt(clusters.squared(x, x)), [of[tuple(p)] for p in x]
+    got = {(r["i"], r["cj"]): r for r in trees.sums(found, 0.05).collect()}
+    settled = 0
+    for c, side in (("a", x[:, 0] < 0.5), ("b", x[:, 0] >= 0.5)):
+        for i, want in zip(place, d[:, side].sum(1)):
+            one = got[i, c]
+            assert abs(one["s"] - want) <= one["e"] + 1e-9 and one["e"] <= 0.05 * want and one["n"] == side.sum()
+            settled += one["e"] > 0
+    assert settled > 100
+
+
+def test_diagnostics_of_few_or_no_points(spark):
+    schema = "_row long, x array<double>, Cluster string"
+    none, one = spark.createDataFrame([], schema), spark.createDataFrame([(0, [1.0, 2.0], "a"), (1, None, "a"), (2, [1.0, 2.0], None)], schema)
+    assert clusters.silhouette(none).collect() == [(None, None, 0)]
+    assert clusters.silhouette(one).collect() == [(0.0, 0.0, 1)]
+    assert clusters.k_distances(none, 3).count() == 0 and clusters.k_distances(one, 3).count() == 0
+    assert sorted((r["_row"], r["d"]) for r in clusters.k_distances(one, 2).collect()) == [(0, 0.0), (2, 0.0)]
+
+
 def test_running_counts_in_ranges(spark, monkeypatch):
     rng = random.Random(5)
     rows = [(rng.choice("ab"), float(rng.randint(0, 400))) for _ in range(3000)] + [("c", 1.0), ("c", None), (None, 2.0)]
