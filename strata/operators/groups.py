@@ -102,14 +102,24 @@ def palette(df: DataFrame, column: str) -> DataFrame:
 
 
 def correlation(df: DataFrame, a: str, b: str) -> DataFrame:
-    """n, pearson and spearman of the rows that have both numbers; null under three rows or without variance."""
+    """n, pearson and spearman of the rows that have both numbers; null under three rows or without variance.
+
+    Equal pairs are counted first, so what meets the ranks is a row for each different pair,
+    however many rows have it.
+    """
     both = df.select(number(df, a).alias("x"), number(df, b).alias("y")).where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    pairs = written(both.groupBy("x", "y").agg(F.count(F.lit(1)).alias("k")), "pairs")
+    weighted = lambda e: F.sum(F.col("k") * e)
+    one = pairs.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n"), *[F.try_divide(weighted(F.col(c)), F.sum("k")).alias(c) for c in ("x", "y")]).first()
+    middle = {"x": one["x"], "y": one["y"], "rx": (one["n"] + 1) / 2, "ry": (one["n"] + 1) / 2}
+    ranked = pairs
+    for c in ("x", "y"):
+        rank = midranks(pairs.select(F.col(c).alias("v"), "k"), F.sum("k")).select(F.col("v").alias(c), F.col("midrank").alias(f"r{c}"))
+        ranked = ranked.join(rank, c)
 
     def of(x: str, y: str):
-        return F.when(F.count(F.lit(1)) >= 3, F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
+        dx, dy = (F.col(c) - F.lit(middle[c]).cast("double") for c in (x, y))
+        vary = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
+        return F.when(vary & F.lit(one["n"] >= 3), F.try_divide(weighted(dx * dy), F.sqrt(weighted(dx * dx)) * F.sqrt(weighted(dy * dy))))
 
-    ranked = both
-    for c in ("x", "y"):
-        rank = midranks(both.select(F.col(c).alias("v"))).select(F.col("v").alias(c), F.col("midrank").alias(f"r{c}"))
-        ranked = ranked.join(rank, c)
-    return ranked.agg(F.count(F.lit(1)).alias("n"), of("x", "y").alias("pearson"), of("rx", "ry").alias("spearman"))
+    return ranked.agg(F.lit(one["n"]).cast("long").alias("n"), of("x", "y").alias("pearson"), of("rx", "ry").alias("spearman"))

@@ -21,17 +21,18 @@ def range_of(v: Column, cuts: list[float]) -> Column:
     return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(every, at + step - 1) <= v, at + step).otherwise(at))
 
 
-def midranks_by(values: DataFrame, keys: tuple[str, ...] = ("grp",), also: dict[str, Column] | None = None) -> DataFrame:
+def midranks_by(values: DataFrame, keys: tuple[str, ...] = ("grp",), also: dict[str, Column] | None = None, n: Column | None = None) -> DataFrame:
     """keys, v, n, upto (rows of the key up to and with v), of (its rows) and midrank of every different v.
 
     also: further counts, which get a running sum upto_NAME each. Values are counted first
     and written, then cut into ranges of about RANGE and added up within each; what the
     ranges before hold is a small table. So no task sees more than a range, however few keys.
+    n: what a value counts, its rows if not given; for values that are counted already.
     Rows without a value or a key take no part.
     """
-    also = also or {}
+    also, n = also or {}, F.count(F.lit(1)) if n is None else n
     names = ("n", *also)
-    counts = written(values.dropna(subset=["v", *keys]).groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in also.items()]), "counts")
+    counts = written(values.dropna(subset=["v", *keys]).groupBy(*keys, "v").agg(n.alias("n"), *[c.alias(k) for k, c in also.items()]), "counts")
     parts = -(-counts.count() // RANGE)
     upto = lambda k: "upto" if k == "n" else f"upto_{k}"
     key = Window.partitionBy(*keys)
@@ -48,9 +49,9 @@ def midranks_by(values: DataFrame, keys: tuple[str, ...] = ("grp",), also: dict[
     return out.select(*keys, "v", "n", *map(upto, names), "of", (F.col("upto") - F.col("n") + (F.col("n") + 1) / 2).alias("midrank"))
 
 
-def midranks(values: DataFrame) -> DataFrame:
+def midranks(values: DataFrame, n: Column | None = None) -> DataFrame:
     """The same without keys."""
-    return midranks_by(values.withColumn("_all", F.lit(0)), ("_all",)).drop("_all", "of")
+    return midranks_by(values.withColumn("_all", F.lit(0)), ("_all",), n=n).drop("_all", "of")
 
 
 def quantiles(values: DataFrame, shares: dict[str, float], keys: tuple[str, ...] = ("grp",)) -> DataFrame:

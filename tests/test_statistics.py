@@ -63,6 +63,15 @@ def test_midranks_and_correlation(spark):
     assert got == {1.0: 1.0, 2.0: 2.5, 3.0: 4.0}
     flat = spark.createDataFrame([(1.0, 2.0)] * 4, "a double, b double")
     assert groups.correlation(flat, "a", "b").first()["pearson"] is None
+    rng = random.Random(3)
+    pairs = [(float(rng.randrange(5)), rng.choice([1e9, 1e9 + 1, None])) for _ in range(200)]
+    one = groups.correlation(spark.createDataFrame(pairs, "a double, b double"), "a", "b").first()
+    known = np.array([p for p in pairs if p[1] is not None])
+    middle = lambda v: np.array([(v < x).sum() + ((v == x).sum() + 1) / 2 for x in v])
+    assert one["n"] == len(known) and abs(one["pearson"] - np.corrcoef(known.T)[0, 1]) < 1e-9
+    assert abs(one["spearman"] - np.corrcoef(middle(known[:, 0]), middle(known[:, 1]))[0, 1]) < 1e-9
+    assert groups.correlation(spark.createDataFrame([], "a double, b double"), "a", "b").collect() == [(0, None, None)]
+    assert groups.correlation(spark.createDataFrame([(0.1, k * 0.3) for k in range(7)], "a double, b double"), "a", "b").collect() == [(7, None, None)]
 
 
 def test_number_coercion(spark):
