@@ -92,6 +92,14 @@ def _(customer):
     return sinks.load_workspace(spark, folder, "w")[0].visible().drop("_row")
 
 
+@query("parquet_table", "orders", sql="SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority, CASE WHEN o_orderkey % 3 > 0 THEN o_orderstatus END AS status FROM orders")
+def _(orders):
+    """A Parquet file by its extension, with missing cells."""
+    path = fresh(orders, "orders") + ".parquet"
+    orders.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority", F.expr("CASE WHEN o_orderkey % 3 > 0 THEN o_orderstatus END AS status")).write.parquet(path)
+    return tables.read_table(orders.sparkSession, path)[0]
+
+
 # --- rows, filters and policy -------------------------------------------------------------
 
 @query("row_page_kept", "orders", sql="SELECT * FROM (SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 100 OFFSET 700)")
@@ -188,6 +196,34 @@ def _(lineitem):
     return one_of(lineitem, "rows_used long, rows_dropped long, q_gaps long, p_gaps long", told["rows_used"], told["rows_dropped"], told["by_variable"].get("q", 0), told["by_variable"].get("p", 0))
 
 
+@query("dataset_pca", "lineitem", sql="""
+WITH s AS (SELECT avg(l_quantity) AS ma, stddev_pop(l_quantity) AS sa, avg(l_extendedprice) AS mb, stddev_pop(l_extendedprice) AS sb, sign(corr(l_quantity, l_extendedprice)) AS sign FROM lineitem WHERE l_returnflag = 'R')
+SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN round(((l_quantity - ma) / sa + sign * (l_extendedprice - mb) / sb) / sqrt(2), 6) END AS score FROM lineitem, s""")
+def _(lineitem):
+    """Scores of the rows that a filter shows, null elsewhere; a second run with a label replaces its first."""
+    ds = Dataset.of(lineitem.select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_tax", "l_returnflag"), ["l_orderkey", "l_linenumber"], mode="open")
+    ds, _ = ds.filtered([{"column": "l_returnflag", "op": "eq", "value": "R"}]).run_pca(["l_quantity", "l_tax"], 2, label="run")
+    ds, model = ds.run_pca(["l_quantity", "l_extendedprice"], 1, label="run")
+    return rounded(ds.df.select("l_orderkey", "l_linenumber", F.col(f"`{model.names[0]}`").alias("score")), 6, "score")
+
+
+@query("dataset_transfer", "orders", "customer", sql="""
+SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN c.c_mktsegment END AS segment, 'private' AS mode FROM orders LEFT JOIN customer c ON c.c_custkey = o_custkey AND c.c_custkey % 2 = 0""")
+def _(orders, customer):
+    """A column of another dataset by its key, under both names; what meets private data is private."""
+    mine = Dataset.of(orders.select("o_orderkey", F.col("o_custkey").alias("c_custkey")), ["o_orderkey"], mode="open")
+    other = Dataset.of(customer.where("c_custkey % 2 = 0").select("c_custkey", "c_mktsegment"), ["c_custkey"], name="customer")
+    found = mine.transferred(other, "c_mktsegment", "key", "c_custkey")
+    return found.df.select("o_orderkey", F.col("`c_mktsegment·customer`").alias("segment"), F.lit(found.mode).alias("mode"))
+
+
+@query("axes_without_numbers", "customer", sql=" UNION ALL ".join(f"SELECT '{c}' AS axis WHERE (SELECT count(TRY_CAST({c} AS DOUBLE)) FROM customer) = 0" for c in ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")))
+def _(customer):
+    """The columns that a clustering refuses."""
+    found = profile.without_numbers(customer, ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"])
+    return customer.sparkSession.createDataFrame([(c,) for c in found], "axis string")
+
+
 @query("k_distance_percentiles", "supplier", sql="""
 WITH z AS (SELECT s_suppkey AS r, s_acctbal AS x, s_nationkey AS y FROM supplier ORDER BY r LIMIT 2000), d AS (SELECT a.r, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d FROM z a, z b WHERE a.r <> b.r),
 k AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS place, count(*) OVER () AS n FROM (SELECT r, d, row_number() OVER (PARTITION BY r ORDER BY d) AS k FROM d) WHERE k = 4)
