@@ -230,10 +230,10 @@ def expanded(leaf: Leaf, nodes: Nodes, tolerance: float) -> tuple[np.ndarray, np
     one = np.array([c is not None for c in nodes.c])
     settled = one & (((apart > 0) & (left_out <= tolerance * nodes.n * apart**3)) | (spread == 0))
     n, mean, second, spread = nodes.n[settled], nodes.mean[settled], nodes.second[settled], spread[settled]
-    off = leaf.x[:, None, :] - mean[None]
-    r = np.sqrt((off * off).sum(2))
+    off = [leaf.x[:, None, j] - mean[None, :, j] for j in range(mean.shape[1])]
+    r = np.sqrt(sum(v * v for v in off))
     safe = np.where(r > 0, r, 1.0)
-    along = np.einsum("pmi,mij,pmj->pm", off, second, off) / safe**2
+    along = sum(u * v * second[None, :, i, j] for i, u in enumerate(off) for j, v in enumerate(off)) / safe**2
     s = n * r + np.where(spread > 0, (spread - along) / safe / 2, 0.0)
     return settled, s, np.where(spread > 0, left_out[settled] / np.where(apart > 0, apart, 1.0)[settled] ** 2, 0.0)
 
