@@ -10,7 +10,6 @@ hash) for all of them.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strata.functions.values import EDGES, NUMBER, TEMPORAL, TIME, kind_of, plain
+from strata.functions.values import EDGE, NUMBER, TEMPORAL, TIME, kind_of, plain
 
 #: Different values of a column that are told one by one.
 MOST = 50
@@ -28,10 +27,6 @@ SCHEMA = "k int, value string, num double, n long, missing long, numbers long, f
 FIELDS = pa.schema([("k", pa.int32()), ("value", pa.string()), ("num", pa.float64()), ("n", pa.int64()), ("missing", pa.int64()), ("numbers", pa.int64()), ("filled", pa.int64()), ("dates", pa.int64()), ("lo", pa.float64()), ("hi", pa.float64()), ("over", pa.bool_())])
 
 
-#: Characters that a cell is trimmed of, one by one.
-EDGE = "".join(chr(c) for c in range(1 << 16) if re.match(EDGES, chr(c), re.ASCII))
-
-
 def chosen(df: DataFrame, names: list[str]) -> list[str]:
     """Expressions for columns c0, c1, ... as they are summarised: numbers and texts as they are read, times as milliseconds."""
     out = []

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -86,6 +87,17 @@ def test_formatted_numbers(spark):
     assert {r["s"]: r["n"] for r in df.select("s", values.cleaned(F.col("s")).alias("n")).collect()} == cells
 
 
+def test_cells_are_cleaned_in_few_steps(spark):
+    """White space of all kinds, signs, units and groups; trimming looks at the ends of a text only."""
+    cells = {"\u2009\u00a0 1\u202f234\ufeff": 1234.0, "($1,234.50)": -1234.5, "(1\n234)": None, " 6.500\u2009%": 6.5, "1.234,5 €": 1234.5, "1e999": None, "-7 %": -7.0, "()": None, "": None, "5 % %": None}
+    df = spark.createDataFrame(list(cells.items()), "t string, v double")
+    assert [r["got"] for r in df.select(values.cleaned(F.col("t")).alias("got")).collect()] == list(cells.values())
+    gaps = spark.range(1).select(F.concat(F.lit("a"), F.repeat(F.lit(" "), 300_000), F.lit("b ")).alias("t"))
+    began = time.monotonic()
+    assert gaps.select(F.length(values.label(gaps, "t")).alias("n")).first()["n"] == 300_002
+    assert time.monotonic() - began < 20  # a pattern for the end tries every blank: 4.5e10 steps
+
+
 def test_names():
     assert [n for n in ("id", "user_id", "userID", "ID", "width", "VALID", "GUID") if names.is_identifier(n)] == ["id", "user_id", "userID", "ID", "GUID"]
     assert names.component_names("x", 1) == ["COMP_x"] and names.component_names("", 2) == ["PC1", "PC2"]
