@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,21 +56,21 @@ class Components:
 def gram(rows: DataFrame, p: int) -> tuple[int, np.ndarray, np.ndarray]:
     """n, means and centred cross-products of an array column x: partial matrices from tasks, added up by entry."""
 
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, mean, m2 = 0, np.zeros(p), np.zeros((p, p))
-        for pdf in batches:
-            if not len(pdf):
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            x = np.stack(pdf["x"].to_numpy()).astype(float)
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, p)
             k, centre = len(x), x.mean(0)
             d, shift = x - centre, centre - mean
             m2 += d.T @ d + np.outer(shift, shift) * (n * k / (n + k))
             mean += shift * (k / (n + k))
             n += k
         if n:
-            yield pd.DataFrame({"n": [n], "mean": [mean.tolist()], "m2": [m2.ravel().tolist()]})
+            yield pa.RecordBatch.from_pylist([{"n": n, "mean": mean.tolist(), "m2": m2.ravel().tolist()}])
 
-    parts = rows.select("x").mapInPandas(sums, "n long, mean array<double>, m2 array<double>")
+    parts = rows.select("x").mapInArrow(sums, "n long, mean array<double>, m2 array<double>")
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n, mean, m2 = 0, np.zeros(p), np.zeros(p * p)

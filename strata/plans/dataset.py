@@ -120,9 +120,10 @@ class Dataset:
         """Scores on the visible rows, null elsewhere."""
         rows_in = self.visible()
         model = components.fit(rows_in, variables or self.analysis_columns(), k, scale, label, missing)
-        scored = model.transform(rows_in, label).select("_row", *model.names)
-        rest = self.df.drop(*[c for c in self.df.columns if components.owned_by(label, c)])
-        return self.noted(f"PCA of {', '.join(model.variables)}", df=rest.join(scored, "_row", "left")), model
+        # The mask is taken before columns that it may name are replaced; a score needs its own row only.
+        scored = model.transform(self.df.withColumn("_shown", filters.mask(self.df, self.conditions)), label)
+        scored = scored.withColumns({c: F.when(F.col("_shown"), F.col(f"`{c}`")) for c in model.names}).drop("_shown")
+        return self.noted(f"PCA of {', '.join(model.variables)}", df=scored), model
 
     def run_clustering(self, axes: list[str], method: str = "kmeans", k: int = 3, eps: float = 0.5, least: int = 5, standardise: bool = False) -> Dataset:
         """A Cluster column on the visible rows, null elsewhere."""

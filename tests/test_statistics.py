@@ -265,6 +265,16 @@ def test_dataset_flow(spark):
     assert ds.correlate("participant_id", "sepal_len")["n"] == 11
 
 
+def test_scores_are_added_without_a_join(spark):
+    df = spark.range(60).select("id", (F.col("id") % 7).alias("a"), (F.col("id") % 11).alias("b"), F.expr("if(id % 4 > 0, 'x', null)").alias("g"))
+    ds = Dataset.of(df, ["id"], mode="open").run_pca(["a", "b"], 2, label="r")[0]
+    ds = ds.filtered([{"column": ds.columns()[-1], "op": "gt", "value": 0}, {"column": "g", "op": "eq", "value": "x"}])  # by a column that goes
+    shown = {r["id"] for r in ds.visible().collect()}
+    again, model = ds.run_pca(["a", "b"], 1, label="r")
+    assert {r["id"] for r in again.df.where(F.col(f"`{model.names[0]}`").isNotNull()).collect()} == shown and again.df.count() == 60
+    assert "Join" not in again.df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_sources_and_sinks(spark, tmp_path):
     from strata.sources import sinks, tables
 
