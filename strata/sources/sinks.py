@@ -51,12 +51,18 @@ def write_csv(df: DataFrame, path: str, derived: bool = True) -> None:
     csv.writer(head, lineterminator="").writerow(table.columns)
     first = "\ufeff" + head.getvalue()
 
-    def headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    headed(first, table.select(line.alias("value"))).write.option("lineSep", "\r\n").text(path)
+
+
+def headed(first: str, lines: DataFrame) -> DataFrame:
+    """value: the lines with a first one before each partition's, so that each file is whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([first])], ["value"])
         for batch in batches:
             yield pa.record_batch([batch.column(0)], ["value"])
 
-    table.select(line.alias("value")).mapInArrow(headed, "value string").write.option("lineSep", "\r\n").text(path)
+    return lines.mapInArrow(run, "value string")
 
 
 def write_tsv(df: DataFrame, path: str, derived: bool = True) -> None:
