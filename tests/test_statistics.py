@@ -401,6 +401,25 @@ def test_sums_of_distances_are_within_their_bounds(spark, monkeypatch):
     assert settled > 100
 
 
+def test_silhouette_of_copies_is_that_of_all_rows(spark, monkeypatch):
+    """Equal points are one place of the tree, however often they occur."""
+    monkeypatch.setattr(trees, "BLOCK", 4)
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 6, (40, 2)).astype(float)
+    x, c = np.concatenate([x] * 5), np.array([str(int(k) % 3) for k in range(40)] * 5)
+    df = spark.createDataFrame([(k, p.tolist(), l) for k, (p, l) in enumerate(zip(x, c.tolist()))], "_row long, x array<double>, Cluster string")
+    taken, tree = [], trees.tree
+    monkeypatch.setattr(trees, "tree", lambda points: taken.append(points.count()) or tree(points))
+    got = clusters.silhouette(df).first()
+    assert got["n"] == 200 and got["silhouette"] == pytest.approx(clusters.mean_silhouette(x, c)) and taken[0] <= 40
+
+
+def test_diagnosis_counts_equal_cells_together(spark):
+    df = spark.createDataFrame([("$1",)] * 6 + [("5",), ("2020-01-02",), (None,)], "a string").withColumn("raw", F.lit(bytearray(b"12"))).withColumn("n", F.lit(2))
+    got = {r["column_name"]: tuple(r)[1:6] for r in profile.diagnosis(df).collect()}
+    assert got == {"a": (8, 1, 7, 1, "numeric"), "raw": (9, 0, 0, 0, "text"), "n": (9, 9, 9, 0, "numeric")}
+
+
 def test_diagnostics_of_few_or_no_points(spark):
     schema = "_row long, x array<double>, Cluster string"
     none, one = spark.createDataFrame([], schema), spark.createDataFrame([(0, [1.0, 2.0], "a"), (1, None, "a"), (2, [1.0, 2.0], None)], schema)
